@@ -1,7 +1,8 @@
 """Toxicity scores: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Words are lower-cased runs of letters and non-ASCII bytes. A document's features are the distinct
-hashed unigrams, bigrams and one-gap skip-grams of its whole text, each with value 1. Each coordinate
+hashed unigrams (whole words and their first 4, 5 and 6 bytes, which stand for a word's inflections),
+bigrams and one-gap skip-grams of its whole text, each with value 1. Each coordinate
 has its own learning rate; the L1 term leaves most weights at exactly zero, so that the model is a short
 list of (coordinate, weight) pairs, bounded by 2**bits, and can be broadcast.
 
@@ -21,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,21 +37,31 @@ class Settings:
     bits: int = 18
     alpha: float = 0.3
     beta: float = 1.0
-    l1: float = 1.0
+    l1: float = 0.5
     l2: float = 0.1
     rounds: int = 2
     epochs: int = 2
     shards: int = 4
-    max_rows: int = 12_000
+    max_rows: int = 20_000
 
 
-def features(text: str | None, hashes: Hashes, bits: int) -> np.ndarray:
+class Stems(dict):
+    """For each word the hashes of its first 4, 5 and 6 bytes; of a shorter word, of the word."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= 200_000:
+            self.clear()
+        value = self[word] = b"".join(xxhash.xxh3_64_digest(word[:k], k) for k in (4, 5, 6))
+        return value
+
+
+def features(text: str | None, hashes: Hashes, stems: Stems, bits: int) -> np.ndarray:
     """Hashed coordinates of a text, with repeats."""
-    h = hashes.of((text or "").encode("utf-8", "surrogatepass").translate(_WORDS).split())
-    if not len(h):
+    words = (text or "").encode("utf-8", "surrogatepass").translate(_WORDS).split()
+    if not words:
         return np.empty(0, np.int64)
-    odd = np.uint64(0xD6E8FEB86659FD93)
-    parts = [h]
+    h, odd = hashes.of(words), np.uint64(0xD6E8FEB86659FD93)
+    parts = [h, np.frombuffer(b"".join(map(stems.__getitem__, set(words))), np.uint64)]
     if len(h) > 1:
         parts.append(mix(h[:-1] * odd + h[1:]))
     if len(h) > 2:
@@ -88,9 +100,9 @@ def train(documents: DataFrame, labels: DataFrame, usable: Column, s: Settings =
     joined = documents.select("doc_id", "text").join(sample, "doc_id")
 
     def featurize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = Hashes()
+        hashes, stems = Hashes(), Stems()
         for b in batches:
-            x = [np.append(np.unique(features(t, hashes, s.bits)), 1 << s.bits).astype(np.int32).tobytes() for t in b.text]
+            x = [np.append(np.unique(features(t, hashes, stems, s.bits)), 1 << s.bits).astype(np.int32).tobytes() for t in b.text]
             yield pd.DataFrame({"shard": b.doc_id % s.shards, "doc_id": b.doc_id, "toxic": b.toxic, "x": x})
 
     data = materialize(joined.mapInPandas(featurize, "shard long, doc_id long, toxic int, x binary"), "toxicity")
@@ -123,10 +135,11 @@ def score(documents: DataFrame, model: tuple[np.ndarray, np.ndarray], s: Setting
         dense = np.zeros((1 << s.bits) + 1, np.float64)
         dense[shared.value[0]] = shared.value[1]
         bias, hashes = dense[-1] if len(shared.value[0]) else -1e-9, Hashes()
+        stems = Stems()
         for b in batches:
             raw = np.empty(len(b))
             for k, text in enumerate(b.text):
-                x = features(text, hashes, s.bits)
+                x = features(text, hashes, stems, s.bits)
                 raw[k] = dense[np.unique(x[dense[x] != 0])].sum() + bias
             p = _sigmoid(raw)
             yield pd.DataFrame({"doc_id": b.doc_id, "score": p, "predicted": (p >= 0.5).astype(np.int32)})
