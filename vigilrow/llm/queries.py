@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilrow.llm import toxicity
+from vigilrow.llm import decontaminate, toxicity
 from vigilrow.llm.common import fold, table
 
 QUERIES: dict = {}
@@ -23,3 +23,23 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train(documents, table(spark, sf_dir, "labels"), F.expr(fold("doc_id", "5")) != 0)
     scored = toxicity.score(documents, model)
     return scored.select("doc_id", (F.expr(fold("doc_id", "5")) == 0).alias("held_out"), "score", "predicted")
+
+
+@query
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return decontaminate.digest(found)
+
+
+ORACLE_SQL["op8_decontamination"] = r"""
+with d as (select doc_id, row_number() over () as r, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents),
+b as (select item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from benchmark where text is not null and item_id is not null),
+p as (select distinct item_id, len(w[k : k + 9]) as n, array_to_string(w[k : k + 9], ' ') as s from (select item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as k from b where len(w) > 0)),
+n as (select distinct n from p),
+q as (select r, k, n, array_to_string(w[k : k + n - 1], ' ') as s from (select r, w, n, unnest(range(1, len(w) - n + 2)) as k from d, n where len(w) >= n)),
+h as (select r, item_id, k, n from q join p using (n, s)),
+c as (select r, count(distinct x) as n_hit from (select r, unnest(range(k, k + n)) as x from (select distinct r, k, n from h)) group by r),
+i as (select r, count(*) as n_items, string_agg(item_id::varchar, ',' order by item_id::varchar) as ids from (select distinct r, item_id from h) group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join c using (r) left join i using (r)
+"""
