@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilrow.llm import decontaminate, toxicity
+from vigilrow.llm import decontaminate, packing, toxicity
 from vigilrow.llm.common import fold, table
 
 QUERIES: dict = {}
@@ -43,3 +43,8 @@ i as (select r, count(*) as n_items, string_agg(item_id::varchar, ',' order by i
 select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join c using (r) left join i using (r)
 """
+
+
+@query
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), with_ids=False)
