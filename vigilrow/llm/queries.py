@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilrow.llm import decontaminate, packing, toxicity
+from vigilrow.llm import decontaminate, ngram_join, packing, toxicity
 from vigilrow.llm.common import fold, table
 
 QUERIES: dict = {}
@@ -48,3 +48,22 @@ from d left join c using (r) left join i using (r)
 @query
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), with_ids=False)
+
+
+@query
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
+#: Documents that link share a word set within the size bounds; pairs come from their rarest shingles.
+ORACLE_SQL["op5_ngram_join"] = r"""
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+s as (select distinct doc_id, array_to_string(w[k : k + 4], ' ') as s from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as k from w where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select x.doc_id as a, y.doc_id as b, count(*) as c from s x join s y using (s) where x.doc_id < y.doc_id group by all),
+l as (select a, b from p join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 80 * (na.n + nb.n - c)),
+e as (select a, b from l union all select b, a from l),
+r as (select doc_id as x, doc_id as y from documents union select r.x, e.b from r join e on e.a = r.y),
+m as (select x as doc_id, min(y) as component_id from r group by x)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id from documents left join n using (doc_id) join m using (doc_id)
+"""
