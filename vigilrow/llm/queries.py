@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilrow.llm import decontaminate, ngram_join, packing, toxicity
+from vigilrow.llm import decontaminate, line_dedup, ngram_join, packing, toxicity
 from vigilrow.llm.common import fold, table
 
 QUERIES: dict = {}
@@ -67,3 +67,8 @@ r as (select doc_id as x, doc_id as y from documents union select r.x, e.b from
 m as (select x as doc_id, min(y) as component_id from r group by x)
 select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id from documents left join n using (doc_id) join m using (doc_id)
 """
+
+
+@query
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents", "doc_id", "text"))
