@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilrow.llm import decontaminate, line_dedup, ngram_join, packing, toxicity
+from vigilrow.llm import chat_format, decontaminate, line_dedup, ngram_join, packing, toxicity
 from vigilrow.llm.common import fold, table
 
 QUERIES: dict = {}
@@ -72,3 +72,25 @@ select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id from documents
 @query
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    more = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+    rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    rows = rows.unionByName(spark.createDataFrame(more, "conv_id long, turn long, role string, text string"))
+    return chat_format.digest(chat_format.format_conversations(rows))
+
+
+#: Lengths follow from the template: 9 characters around a conversation, 23 around a turn, 2 for each escaped string and 1 for a backslash.
+ORACLE_SQL["op9_chat_format"] = r"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+x as (select *, len(regexp_extract_all(role || chr(10) || text, '<[|]turn[|]>|<[|]text[|]>|<[|]end[|]>|<s>|</s>|\[INST\]|\[/INST\]')) * 2 + len(regexp_extract_all(role || text, '\\')) as more from c)
+select conv_id::bigint as conv_id, count(*)::bigint as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  (7 + sum(23 + length(role) + length(text) + more))::bigint as formatted_chars
+from x group by conv_id
+"""
