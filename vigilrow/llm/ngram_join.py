@@ -11,12 +11,15 @@ sets that link share one of the first |s| - ceil(0.8 |s|) + 1 of each. Where lig
 the measured length of lists. Sets near the border do both, so that no pair is lost between the two.
 
 Everything large moves as packed numpy columns in binary cells, dealt to `buckets` by hash:
-1. count, for every shingle, the documents that hold it; the frequent ones are broadcast, at most
-   `most_frequent` of them (the limit of "frequent" rises instead: it alters speed, never results);
-2. deal out signatures and prefixes, and keep the lists with two classes or more;
-3. verify, per list, each class against the list's most ordinary one, and take components; then, per list,
-   only what is still in different components, until every candidate pair is either verified or joined by
-   other links. So a group of near copies costs its size, not its square.
+1. count, for every shingle, the documents that hold it, and broadcast a table of `cells` bytes with the
+   magnitude of the count at the shingle's cell (the largest, where several share a cell). The table has
+   that size whatever the input; where too many shingles repeat, those that repeat least are left out.
+   It orders the shingles, rare ones first: it alters speed, never results;
+2. deal out signatures and prefixes, without shingles that occur once, and keep the lists with two classes
+   or more. A document that shares little with any other has no list at all;
+3. verify, per class, the pair with the most ordinary class of its lists, and take components; then, per
+   list, only what is still in different components, until every candidate pair is either verified or
+   joined by other links. So a group of near copies costs its size, not its square.
 
 Edge cases: null and empty texts have the empty set, link with nothing and form their own component;
 repeated rows of a doc_id each give a row; a null doc_id gets a row, but names no component unless
@@ -25,6 +28,7 @@ alone (then null); extra columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
@@ -38,7 +42,11 @@ from pyspark.sql import functions as F
 from vigilrow.llm.common import LOWER, Hashes, materialize, mix, partitions
 from vigilrow.llm.components import connected_components
 
-_ODD = np.uint64(0x9FB21C651E98DF25)
+_POWERS = np.array([pow(0x9FB21C651E98DF25, k, 1 << 64) for k in range(64)], np.uint64)
+
+
+#: Up to so many pairs of ids, of 16 bytes each, are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -51,10 +59,12 @@ def shingle_set(text: str | None, hashes: Hashes, n: int = 5) -> np.ndarray:
     width = min(n, len(h))
     if not width:
         return np.empty(0, np.uint64)
-    out = np.full(len(h) - width + 1, width, np.uint64)
-    for k in range(width):
-        out = mix(out * _ODD + h[k : len(h) - width + 1 + k])
-    return np.unique(out)
+    out = h[width - 1 :] + np.uint64(width)
+    for k in range(width - 1):
+        out += h[k : len(h) - width + 1 + k] * _POWERS[width - 1 - k]
+    out = mix(out)
+    out.sort()
+    return out[np.append(True, out[1:] != out[:-1])]
 
 
 def shared(a: int, b: int, percent: int) -> int:
@@ -96,43 +106,33 @@ def _signatures(s: np.ndarray, limit: int, percent: int) -> list[int]:
 def _split(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """The bucket of each hash and the 32 bits by which it is known there."""
     x = mix(h)
-    return ((x >> np.uint64(34)) % np.uint64(buckets)).astype(np.int64), x.astype(np.uint32)
+    return ((x >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), x.astype(np.uint32)
 
 
 def _dealt(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
     """(bucket, bytes of each column) for each bucket that has rows."""
-    order = np.argsort(bucket, kind="stable")
+    if not len(bucket):
+        return
+    order = np.argsort(bucket.astype(np.uint16 if bucket.max() < 65536 else np.uint64), kind="stable")
     bucket, columns = bucket[order], [c[order] for c in columns]
-    ends = np.append(np.flatnonzero(np.diff(bucket)) + 1, len(bucket)) if len(bucket) else []
     at = 0
-    for end in ends:
+    for end in np.append(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket)):
         yield int(bucket[at]), *(c[at:end].tobytes() for c in columns)
         at = end
 
 
-def _held(groups: list[np.ndarray], column: str, kind) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x, kind) for x in groups[column]])
-
-
-def classes(documents: DataFrame, n: int = 5) -> DataFrame:
-    """doc_id, cls (null for empty sets) and n_shingles of every row."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = Hashes()
-        for b in batches:
-            sets = [shingle_set(t, hashes, n) for t in b.text]
-            cls = pd.array([_class_of(s) if len(s) else None for s in sets], "Int64")
-            yield pd.DataFrame({"doc_id": b.doc_id, "cls": cls, "n_shingles": [len(s) for s in sets]})
-
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, cls long, n_shingles long")
-
-
 def _class_of(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64))
 
 
-def _frequent(documents: DataFrame, n: int, buckets: int, least: int, most: int) -> tuple[np.ndarray, float]:
-    """Sorted (bucket << 32 | key) of frequent shingles, and the mean list length that the others see."""
+def _cell(bucket, key: np.ndarray, own: int) -> np.ndarray:
+    """The cell of a shingle, with `own` cells for each bucket."""
+    return (np.asarray(bucket).astype(np.int64) * own) + ((key.astype(np.uint64) * np.uint64(own)) >> np.uint64(32)).astype(np.int64)
+
+
+def _levels(documents: DataFrame, n: int, buckets: int, cells: int) -> tuple[np.ndarray, bool, float]:
+    """The table of magnitudes (0: the shingle occurs once), whether it holds all that repeat, and the mean length of lists of rare shingles."""
+    own = cells // buckets
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, held, total = Hashes(), [], 0
@@ -140,117 +140,145 @@ def _frequent(documents: DataFrame, n: int, buckets: int, least: int, most: int)
             for text in b.text:
                 held.append(shingle_set(text, hashes, n))
                 total += len(held[-1])
-            if total > 1_500_000:
-                yield press(held)
-                held, total = [], 0
+                if total > 1_500_000:
+                    yield press(held)
+                    held, total = [], 0
         if total:
             yield press(held)
 
     def press(held: list[np.ndarray]) -> pd.DataFrame:
-        h, count = np.unique(np.concatenate(held), return_counts=True)
-        bucket, key = _split(h, buckets)
+        h = np.concatenate(held)
+        h.sort()
+        start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        count = np.diff(np.append(start, len(h)))
+        bucket, key = _split(h[start], buckets)
         # shingles held once, which most are, need no count
         rows = [(b, k, None) for b, k in _dealt(bucket[count == 1], key[count == 1])]
         rows += list(_dealt(bucket[count > 1], key[count > 1], count[count > 1].astype(np.uint32)))
         return pd.DataFrame(rows, columns=["bucket", "key", "n"])
 
     def count(group: pd.DataFrame) -> pd.DataFrame:
-        key = _held(group, "key", np.uint32)
+        key = np.concatenate([np.frombuffer(x, np.uint32) for x in group.key])
         times = np.concatenate([np.ones(len(k) // 4, np.uint32) if c is None else np.frombuffer(c, np.uint32) for k, c in zip(group.key, group.n)])
         order = np.argsort(key, kind="stable")
         key = key[order]
         start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         df = np.add.reduceat(times[order].astype(np.int64), start)
-        often, seldom = df >= least, df[df < least]
-        out = pd.DataFrame({"at": (group.bucket.iloc[0] << 32) | key[start][often].astype(np.int64), "df": df[often], "lists": 0.0, "rows": 0.0})
-        return pd.concat([out, pd.DataFrame({"at": [-1], "df": [0], "lists": [float((seldom * seldom).sum())], "rows": [float(seldom.sum())]})])
+        level = np.minimum(np.log2(df).astype(np.uint8), 31)
+        rows = [(int(group.bucket.iloc[0]), e, *(int(x) for x in (at.sum(), df[at].sum(), (df[at] ** 2).sum())), np.sort(_cell(0, key[start][at], own)).astype(np.int32).tobytes() if e else None) for e in np.unique(level) for at in [level == e]]
+        return pd.DataFrame(rows, columns=["bucket", "level", "shingles", "total", "squares", "at"])
+
+    def lay(group: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(own, np.uint8)
+        for level, at in sorted(zip(group.level, group["at"])):
+            out[np.frombuffer(at, np.int32)] = level
+        return pd.DataFrame({"bucket": group.bucket.iloc[:1], "cells": [zlib.compress(out.tobytes(), 1)]})
 
     dealt = documents.select("text").mapInPandas(deal, "bucket long, key binary, n binary")
-    table = materialize(dealt.groupBy("bucket").applyInPandas(count, "at long, df long, lists double, rows double"), "frequent")
-    lists, rows = table.agg(F.sum("lists"), F.sum("rows")).first()
-    steps = table.filter("at >= 0").groupBy(F.floor(F.log2("df")).cast("int").alias("e")).count().collect()
-    limit, room = None, most
-    for e, k in sorted(((r.e, r["count"]) for r in steps), reverse=True):
-        if k > room:
+    table = materialize(dealt.groupBy("bucket").applyInPandas(count, "bucket long, level int, shingles long, total long, squares long, at binary"), "levels")
+    steps = table.groupBy("level").agg(*(F.sum(c).alias(c) for c in ("shingles", "total", "squares"))).collect()
+    rare = [r for r in steps if r.level < 5]
+    length = sum(r.squares for r in rare) / max(1, sum(r.total for r in rare)) - 1
+    room, least = cells // 4, 32
+    for r in sorted(steps, key=lambda r: -r.level):
+        if r.level == 0 or r.shingles > room:
             break
-        limit, room = 2**e, room - k
-    found = np.empty(0, np.int64)
-    if limit is not None:
-        found = np.sort(table.filter((F.col("at") >= 0) & (F.col("df") >= max(limit, least))).select("at").toPandas()["at"].to_numpy(np.int64))
-    return found, (lists or 0.0) / max(rows or 0.0, 1.0) - 1
-
-
-def _lists(documents: DataFrame, n: int, percent: int, buckets: int, frequent: np.ndarray, limit: int) -> DataFrame:
-    """Lists with two classes or more: rows (key, cls, size), and per list the pairs with its first class (a, b)."""
-    known = documents.sparkSession.sparkContext.broadcast(frequent)
-
-    def postings(s: np.ndarray) -> tuple[np.ndarray, int]:
-        """The hashes under which a set is listed; how many of its shingles are not frequent."""
-        bucket, key = _split(s, buckets)
-        code, often = (bucket << 32) | key.astype(np.int64), np.zeros(len(s), bool)
-        if len(known.value):
-            at = np.minimum(np.searchsorted(known.value, code), len(known.value) - 1)
-            often = known.value[at] == code
-        h = []
-        if len(s) <= limit:
-            h.append(np.array(_signatures(s, limit, percent), np.uint64))
-        if partner_sizes(len(s), percent)[-1] > limit:
-            order = np.concatenate([s[~often], s[often]])
-            h.append(order[: prefix_length(len(s), percent)])
-        return np.concatenate(h), int(len(s) - often.sum())
+        room, least = room - r.shingles, r.level
+    out = np.zeros(own * buckets, np.uint8)
+    for r in table.filter(F.col("level") >= least).select("bucket", "level", "at").groupBy("bucket").applyInPandas(lay, "bucket long, cells binary").toLocalIterator():
+        out[r.bucket * own : (r.bucket + 1) * own] = np.frombuffer(zlib.decompress(r.cells), np.uint8)
+    return out, least == 1, max(0.0, length)
+
+
+def _lists(documents: DataFrame, n: int, percent: int, buckets: int, levels: np.ndarray, exact: bool, limit: int) -> DataFrame:
+    """Three kinds of rows: of documents (doc_id, cls, size), of lists with two classes or more (key, cls,
+    size) and of pairs of a class with the most ordinary one of its list (a, b, and `size`: in how many lists).
+    exact: shingles of level 0 surely occur once.
+    """
+    known, own = documents.sparkSession.sparkContext.broadcast(levels), len(levels) // buckets
+    columns = ["bucket", "key", "own", "cls", "size", "rare", "docs"]
+
+    def postings(held: list[np.ndarray]) -> list[tuple[np.ndarray, int]]:
+        """For each set the hashes under which it is listed, and how many of its shingles are rare."""
+        bucket, key = _split(np.concatenate(held), buckets)
+        level, out, at = known.value[_cell(bucket, key, own)], [], 0
+        for s in held:
+            mine = level[at : at + len(s)]
+            at += len(s)
+            p = prefix_length(len(s), percent)
+            rare = int(np.count_nonzero(mine == 0))
+            if exact and rare >= p:
+                out.append((s[:0], rare))  # what it has for itself alone is too much for any link
+                continue
+            h = [np.array(_signatures(s, limit, percent), np.uint64)] if len(s) <= limit else []
+            if partner_sizes(len(s), percent)[-1] > limit:
+                first = np.argsort(mine, kind="stable")[:p]
+                h.append(s[first[rare:] if exact else first])
+            out.append((np.concatenate(h), rare))
+        return out
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, held, total = Hashes(), {}, 0
+        hashes, held, docs, total = Hashes(), {}, [], 0
         for b in batches:
-            for text in b.text:
+            for doc_id, text in zip(b.doc_id, b.text):
                 s = shingle_set(text, hashes, n)
-                if len(s) and (c := _class_of(s)) not in held:
-                    h, rare = postings(s)
-                    held[c] = (h, len(s), rare)
-                    total += len(h)
-            if total > 600_000:
-                yield press(held)
-                held, total = {}, 0
+                cls = _class_of(s) if len(s) else None
+                docs.append((doc_id, cls, len(s)))
+                if cls is not None and cls not in held:
+                    held[cls] = s
+                    total += len(s)
+                if total > 1_500_000:
+                    yield press(held, docs)
+                    held, docs, total = {}, [], 0
+        if docs:
+            yield press(held, docs)
+
+    def press(held: dict, docs: list) -> pd.DataFrame:
+        ids = [pd.array([x[k] for x in docs], "Int64") for k in range(3)]
+        empty = [ids[k].isna() for k in range(2)]
+        packed = b"".join(np.asarray(x).tobytes() for x in (ids[0].fillna(0).to_numpy(np.int64), ids[1].fillna(0).to_numpy(np.int64), ids[2].to_numpy(np.int64), empty[0], empty[1]))
+        rows = [(int(ids[1].fillna(0)[0] % buckets), b"", b"", b"", b"", b"", packed)]
         if held:
-            yield press(held)
-
-    def press(held: dict) -> pd.DataFrame:
-        counts = [len(x[0]) for x in held.values()]
-        bucket, key = _split(np.concatenate([x[0] for x in held.values()]), buckets)
-        own = np.repeat(np.arange(len(held), dtype=np.uint32), counts)
-        cls, size, rare = np.array(list(held), np.int64), np.array([x[1] for x in held.values()], np.uint32), np.array([x[2] for x in held.values()], np.uint32)
-        rows = []
-        for b, k, o in _dealt(bucket, key, own):
-            at, inverse = np.unique(np.frombuffer(o, np.uint32), return_inverse=True)
-            rows.append((b, k, inverse.astype(np.uint16 if len(at) < 65536 else np.uint32).tobytes(), cls[at].tobytes(), size[at].tobytes(), rare[at].tobytes()))
-        return pd.DataFrame(rows, columns=["bucket", "key", "own", "cls", "size", "rare"])
+            listed = postings(list(held.values()))
+            bucket, key = _split(np.concatenate([x[0] for x in listed]), buckets)
+            who = np.repeat(np.arange(len(held), dtype=np.uint32), [len(x[0]) for x in listed])
+            cls, size, rare = np.array(list(held), np.int64), np.array([len(s) for s in held.values()], np.uint32), np.array([x[1] for x in listed], np.uint32)
+            for b, k, o in _dealt(bucket, key, who):
+                at, inverse = np.unique(np.frombuffer(o, np.uint32), return_inverse=True)
+                rows.append((b, k, inverse.astype(np.uint32).tobytes(), cls[at].tobytes(), size[at].tobytes(), rare[at].tobytes(), None))
+        return pd.DataFrame(rows, columns=columns)
+
+    def opened(packed: bytes) -> pd.DataFrame:
+        k = len(packed) // 26
+        doc, cls, size = (pd.array(np.frombuffer(packed, np.int64, k, 8 * k * i), "Int64") for i in range(3))
+        doc[np.frombuffer(packed, bool, k, 24 * k)] = pd.NA
+        cls[np.frombuffer(packed, bool, k, 25 * k)] = pd.NA
+        return pd.DataFrame({"doc_id": doc, "cls": cls, "size": size})
 
     def gather(group: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        for k, o, c, z, r in zip(group.key, group.own, group.cls, group["size"], group.rare):
-            at = np.frombuffer(o, np.uint16 if len(c) < 65536 * 8 else np.uint32)
-            parts.append((np.frombuffer(k, np.uint32), *(np.frombuffer(x, kind)[at] for x, kind in ((c, np.int64), (z, np.uint32), (r, np.uint32)))))
+        out = [opened(x) for x in group.docs if x is not None] + [pd.DataFrame({c: pd.array([], "Int64") for c in ("doc_id", "key", "cls", "size", "a", "b")})]
+        parts = [(np.frombuffer(k, np.uint32), *(np.frombuffer(x, kind)[np.frombuffer(o, np.uint32)] for x, kind in ((c, np.int64), (z, np.uint32), (r, np.uint32)))) for k, o, c, z, r in zip(group.key, group.own, group.cls, group["size"], group.rare)]
         key, cls, size, rare = (np.concatenate(x) for x in zip(*parts))
         order = np.lexsort((cls, key))
-        key, cls, size, rare = key[order], cls[order], size[order], rare[order]
-        new = np.append(True, (key[1:] != key[:-1]) | (cls[1:] != cls[:-1]))
+        key, cls, size, rare = key[order], cls[order], size[order].astype(np.int64), rare[order]
+        new = np.append(True, (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])) if len(key) else np.empty(0, bool)
         key, cls, size, rare = key[new], cls[new], size[new], rare[new]
-        start = np.append(True, key[1:] != key[:-1])
-        several = ~(start & np.append(start[1:], True))
-        order = np.flatnonzero(several)
-        order = order[np.lexsort((cls[order], rare[order], key[order]))]  # in each list the class with fewest rare shingles first
-        key, cls, size = key[order], cls[order], size[order]
-        if not len(key):
-            return pd.DataFrame({c: [] for c in ("key", "cls", "size", "a", "b")}).astype("Int64")
-        start = np.append(True, key[1:] != key[:-1])
-        first = np.flatnonzero(start)[np.cumsum(start) - 1]
-        near = (np.minimum(size, size[first]) * 100 >= np.maximum(size, size[first]).astype(np.int64) * percent) & (cls != cls[first])
-        pairs = np.unique(np.stack([cls[first], cls])[:, near], axis=1)
-        rows = pd.DataFrame({"key": (group.bucket.iloc[0] << 32) | key.astype(np.int64), "cls": cls, "size": size.astype(np.int64)}).astype("Int64")
-        return pd.concat([rows, pd.DataFrame({"a": pairs[0], "b": pairs[1]}).astype("Int64")])
-
-    dealt = documents.select("text").mapInPandas(deal, "bucket long, key binary, own binary, cls binary, size binary, rare binary")
-    return materialize(dealt.groupBy("bucket").applyInPandas(gather, "key long, cls long, size long, a long, b long"), "lists")
+        if len(key):
+            start = np.append(True, key[1:] != key[:-1])
+            order = np.flatnonzero(~(start & np.append(start[1:], True)))
+            order = order[np.lexsort((cls[order], rare[order], key[order]))]  # in each list the class with fewest rare shingles first
+            key, cls, size = key[order], cls[order], size[order]
+        if len(key):
+            start = np.append(True, key[1:] != key[:-1])
+            first = np.flatnonzero(start)[np.cumsum(start) - 1]
+            near = (np.minimum(size, size[first]) * 100 >= np.maximum(size, size[first]) * percent) & (cls != cls[first])
+            pairs, times = np.unique(np.stack([cls[first], cls])[:, near], axis=1, return_counts=True)
+            out.append(pd.DataFrame({"key": (group.bucket.iloc[0] << 32) | key.astype(np.int64), "cls": cls, "size": size}).astype("Int64"))
+            out.append(pd.DataFrame({"a": pairs[0], "b": pairs[1], "size": times}).astype("Int64"))
+        return pd.concat(out)[["doc_id", "key", "cls", "size", "a", "b"]]
+
+    dealt = documents.select("doc_id", "text").mapInPandas(deal, "bucket long, key binary, own binary, cls binary, size binary, rare binary, docs binary")
+    return materialize(dealt.groupBy("bucket").applyInPandas(gather, "doc_id long, key long, cls long, size long, a long, b long"), "lists")
 
 
 def _sets(documents: DataFrame, needed: DataFrame, n: int) -> DataFrame:
@@ -259,12 +287,13 @@ def _sets(documents: DataFrame, needed: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = Hashes()
         for b in batches:
-            yield pd.DataFrame({"cls": b.cls, "hashes": [shingle_set(t, hashes, n).tobytes() for t in b.text]})
+            sets = [shingle_set(t, hashes, n) for t in b.text]
+            # rows repeated under one doc_id may differ in text: only the class asked for stays
+            own = [len(s) > 0 and _class_of(s) == c for s, c in zip(sets, b.cls)]
+            yield pd.DataFrame({"cls": b.cls, "hashes": [s.tobytes() for s in sets]})[own]
 
     text = documents.select("doc_id", "text").join(needed, "doc_id")
-    # rows repeated under one doc_id may differ in text: only the class asked for stays
-    made = text.mapInPandas(run, "cls long, hashes binary")
-    return made
+    return text.mapInPandas(run, "cls long, hashes binary").dropDuplicates(["cls"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -284,18 +313,21 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
 
 
-def join(documents: DataFrame, n: int = 5, percent: int = 80, least: int = 32, most_frequent: int = 2_000_000) -> DataFrame:
+def join(documents: DataFrame, n: int = 5, percent: int = 80, cells: int = 1 << 26) -> DataFrame:
     """doc_id, n_shingles, cls (the class of equal sets) and component_id of every row."""
-    spark = documents.sparkSession
-    buckets = 2 * partitions(spark)
+    buckets = 2 * partitions(documents.sparkSession)
     documents = documents.select("doc_id", "text")
-    own = materialize(classes(documents, n), "classes")
+    levels, exact, length = _levels(documents, n, buckets, cells)
+    lists = _lists(documents, n, percent, buckets, levels, exact, light_limit(length, percent))
+    own = lists.filter("key is null and a is null").select("doc_id", "cls", F.col("size").alias("n_shingles"))
     by_class = own.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    frequent, length = _frequent(documents, n, buckets, least, most_frequent)
-    lists = _lists(documents, n, percent, buckets, frequent, light_limit(length, percent))
     rows = lists.filter("key is not null").select("key", "cls", "size")
-    stars = lists.filter("a is not null").select("a", "b").distinct()
-    sets = materialize(_sets(documents, by_class.join(rows.select("cls").distinct(), "cls", "left_semi"), n), "sets")
+    stars = lists.filter("a is not null").groupBy("a", "b").agg(F.sum("size").alias("times")).groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a"))
+    stars = materialize(stars, "stars")
+    needed = materialize(by_class.join(rows.select("cls").distinct(), "cls", "left_semi"), "needed")
+    if needed.count() <= BROADCAST_ROWS:
+        needed = F.broadcast(needed)
+    sets = materialize(_sets(documents, needed, n), "sets")
     links = materialize(_verified(stars, sets, percent), "links")
     label = connected_components(links)
     # lists whose classes are still apart: each two of them, unless they were compared before
