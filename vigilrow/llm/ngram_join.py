@@ -132,7 +132,6 @@ def _cell(bucket, key: np.ndarray, own: int) -> np.ndarray:
 
 def _levels(documents: DataFrame, n: int, buckets: int, cells: int) -> tuple[np.ndarray, bool, float]:
     """The table of magnitudes (0: the shingle occurs once), whether it holds all that repeat, and the mean length of lists of rare shingles."""
-    own = cells // buckets
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, held, total = Hashes(), [], 0
@@ -165,13 +164,13 @@ def _levels(documents: DataFrame, n: int, buckets: int, cells: int) -> tuple[np.
         start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         df = np.add.reduceat(times[order].astype(np.int64), start)
         level = np.minimum(np.log2(df).astype(np.uint8), 31)
-        rows = [(int(group.bucket.iloc[0]), e, *(int(x) for x in (at.sum(), df[at].sum(), (df[at] ** 2).sum())), np.sort(_cell(0, key[start][at], own)).astype(np.int32).tobytes() if e else None) for e in np.unique(level) for at in [level == e]]
+        rows = [(int(group.bucket.iloc[0]), e, *(int(x) for x in (at.sum(), df[at].sum(), (df[at] ** 2).sum())), key[start][at].tobytes() if e else None) for e in np.unique(level) for at in [level == e]]
         return pd.DataFrame(rows, columns=["bucket", "level", "shingles", "total", "squares", "at"])
 
     def lay(group: pd.DataFrame) -> pd.DataFrame:
         out = np.zeros(own, np.uint8)
         for level, at in sorted(zip(group.level, group["at"])):
-            out[np.frombuffer(at, np.int32)] = level
+            out[_cell(0, np.frombuffer(at, np.uint32), own)] = level
         return pd.DataFrame({"bucket": group.bucket.iloc[:1], "cells": [zlib.compress(out.tobytes(), 1)]})
 
     dealt = documents.select("text").mapInPandas(deal, "bucket long, key binary, n binary")
@@ -179,7 +178,9 @@ def _levels(documents: DataFrame, n: int, buckets: int, cells: int) -> tuple[np.
     steps = table.groupBy("level").agg(*(F.sum(c).alias(c) for c in ("shingles", "total", "squares"))).collect()
     rare = [r for r in steps if r.level < 5]
     length = sum(r.squares for r in rare) / max(1, sum(r.total for r in rare)) - 1
-    room, least = cells // 4, 32
+    # a quarter of the cells at most is filled; few shingles need few cells
+    cells = min(cells, 1 << max(14, 3 + sum(r.shingles for r in steps if r.level).bit_length()))
+    own, room, least = -(-cells // buckets), cells // 4, 32
     for r in sorted(steps, key=lambda r: -r.level):
         if r.level == 0 or r.shingles > room:
             break
@@ -195,13 +196,13 @@ def _lists(documents: DataFrame, n: int, percent: int, buckets: int, levels: np.
     size) and of pairs of a class with the most ordinary one of its list (a, b, and `size`: in how many lists).
     exact: shingles of level 0 surely occur once.
     """
-    known, own = documents.sparkSession.sparkContext.broadcast(levels), len(levels) // buckets
+    known, own = documents.sparkSession.sparkContext.broadcast(zlib.compress(levels.tobytes(), 1)), len(levels) // buckets
     columns = ["bucket", "key", "own", "cls", "size", "rare", "docs"]
 
-    def postings(held: list[np.ndarray]) -> list[tuple[np.ndarray, int]]:
+    def postings(held: list[np.ndarray], levels: np.ndarray) -> list[tuple[np.ndarray, int]]:
         """For each set the hashes under which it is listed, and how many of its shingles are rare."""
         bucket, key = _split(np.concatenate(held), buckets)
-        level, out, at = known.value[_cell(bucket, key, own)], [], 0
+        level, out, at = levels[_cell(bucket, key, own)], [], 0
         for s in held:
             mine = level[at : at + len(s)]
             at += len(s)
@@ -219,6 +220,7 @@ def _lists(documents: DataFrame, n: int, percent: int, buckets: int, levels: np.
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, held, docs, total = Hashes(), {}, [], 0
+        levels = np.frombuffer(zlib.decompress(known.value), np.uint8)
         for b in batches:
             for doc_id, text in zip(b.doc_id, b.text):
                 s = shingle_set(text, hashes, n)
@@ -228,18 +230,18 @@ def _lists(documents: DataFrame, n: int, percent: int, buckets: int, levels: np.
                     held[cls] = s
                     total += len(s)
                 if total > 1_500_000:
-                    yield press(held, docs)
+                    yield press(held, docs, levels)
                     held, docs, total = {}, [], 0
         if docs:
-            yield press(held, docs)
+            yield press(held, docs, levels)
 
-    def press(held: dict, docs: list) -> pd.DataFrame:
+    def press(held: dict, docs: list, levels: np.ndarray) -> pd.DataFrame:
         ids = [pd.array([x[k] for x in docs], "Int64") for k in range(3)]
         empty = [ids[k].isna() for k in range(2)]
         packed = b"".join(np.asarray(x).tobytes() for x in (ids[0].fillna(0).to_numpy(np.int64), ids[1].fillna(0).to_numpy(np.int64), ids[2].to_numpy(np.int64), empty[0], empty[1]))
         rows = [(int(ids[1].fillna(0)[0] % buckets), b"", b"", b"", b"", b"", packed)]
         if held:
-            listed = postings(list(held.values()))
+            listed = postings(list(held.values()), levels)
             bucket, key = _split(np.concatenate([x[0] for x in listed]), buckets)
             who = np.repeat(np.arange(len(held), dtype=np.uint32), [len(x[0]) for x in listed])
             cls, size, rare = np.array(list(held), np.int64), np.array([len(s) for s in held.values()], np.uint32), np.array([x[1] for x in listed], np.uint32)
