@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilrow.llm import chat_format, decontaminate, line_dedup, ngram_join, packing, toxicity
+from vigilrow.llm import chat_format, decontaminate, embedding_dedup, line_dedup, ngram_join, packing, toxicity
 from vigilrow.llm.common import fold, table
 
 QUERIES: dict = {}
@@ -94,3 +94,20 @@ select conv_id::bigint as conv_id, count(*)::bigint as n_turns,
   (7 + sum(23 + length(role) + length(text) + more))::bigint as formatted_chars
 from x group by conv_id
 """
+
+
+@query
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.dedup(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
+#: All pairs of a label in double precision.
+ORACLE_SQL["op2_embedding_dedup"] = """
+with recursive v as (select vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) as n from (select vec_id, label, embedding::double[] as e from embeddings)),
+u as (select * from v where label is not null and n > 0 and isfinite(n) and len(list_filter(e, lambda x: x is null)) = 0),
+l as (select a.vec_id as a, b.vec_id as b from u a join u b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.98),
+r as (select vec_id as x, vec_id as y from embeddings union select r.x, l.b from r join l on l.a = r.y),
+m as (select x as vec_id, min(y) as component_id from r group by x),
+c as (select a as vec_id, count(*) as n_links from l group by a)
+select vec_id, coalesce(n_links, 0)::bigint as n_links, component_id, vec_id = component_id as kept from embeddings join m using (vec_id) left join c using (vec_id)
+"""
