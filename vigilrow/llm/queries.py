@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilrow.llm import chat_format, decontaminate, embedding_dedup, line_dedup, ngram_join, packing, toxicity
+from vigilrow.llm import chat_format, decontaminate, embedding_dedup, line_dedup, lm_scoring, ngram_join, packing, toxicity
 from vigilrow.llm.common import fold, table
 
 QUERIES: dict = {}
@@ -111,3 +111,10 @@ m as (select x as vec_id, min(y) as component_id from r group by x),
 c as (select a as vec_id, count(*) as n_links from l group by a)
 select vec_id, coalesce(n_links, 0)::bigint as n_links, component_id, vec_id = component_id as kept from embeddings join m using (vec_id) left join c using (vec_id)
 """
+
+
+@query
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents", "doc_id", "text")
+    scored = lm_scoring.fit_and_score(documents, F.expr(fold("doc_id", "5")) != 1)
+    return scored.withColumn("held_out", F.expr(fold("doc_id", "5")) == 1)
