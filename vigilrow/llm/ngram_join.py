@@ -48,6 +48,9 @@ _POWERS = np.array([pow(0x9FB21C651E98DF25, k, 1 << 64) for k in range(64)], np.
 #: Up to so many pairs of ids, of 16 bytes each, are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
+#: In lists of over LARGE classes, so many classes are compared with all others at first.
+LARGE, LEADERS = 16, 8
+
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
@@ -193,7 +196,8 @@ def _levels(documents: DataFrame, n: int, buckets: int, cells: int) -> tuple[np.
 
 def _lists(documents: DataFrame, n: int, percent: int, buckets: int, levels: np.ndarray, exact: bool, limit: int) -> DataFrame:
     """Three kinds of rows: of documents (doc_id, cls, size), of lists with two classes or more (key, cls,
-    size) and of pairs of a class with the most ordinary one of its list (a, b, and `size`: in how many lists).
+    size) and of pairs (a, b): of a class with the most ordinary one of its list, with `size` the number of
+    such lists, and, in long lists, with other classes, with size 0.
     exact: shingles of level 0 surely occur once.
     """
     known, own = documents.sparkSession.sparkContext.broadcast(zlib.compress(levels.tobytes(), 1)), len(levels) // buckets
@@ -272,11 +276,24 @@ def _lists(documents: DataFrame, n: int, percent: int, buckets: int, levels: np.
             key, cls, size = key[order], cls[order], size[order]
         if len(key):
             start = np.append(True, key[1:] != key[:-1])
-            first = np.flatnonzero(start)[np.cumsum(start) - 1]
-            near = (np.minimum(size, size[first]) * 100 >= np.maximum(size, size[first]) * percent) & (cls != cls[first])
-            pairs, times = np.unique(np.stack([cls[first], cls])[:, near], axis=1, return_counts=True)
-            out.append(pd.DataFrame({"key": (group.bucket.iloc[0] << 32) | key.astype(np.int64), "cls": cls, "size": size}).astype("Int64"))
-            out.append(pd.DataFrame({"a": pairs[0], "b": pairs[1], "size": times}).astype("Int64"))
+            begin = np.flatnonzero(start)
+            length = np.diff(np.append(begin, len(key)))
+            first = np.repeat(begin, length)
+            lead, member = [first], [np.arange(len(key))]
+            # in long lists some other classes, chosen by hash, are compared with all too: what they join needs no pairs
+            long = np.repeat(length, length) > LARGE
+            order = np.lexsort((mix(cls.astype(np.uint64)), key))
+            for k in range(LEADERS):
+                lead.append(order[np.minimum(first + k, len(key) - 1)][long])
+                member.append(np.flatnonzero(long))
+            x, y, kind = np.concatenate(lead), np.concatenate(member), np.repeat([0, 1], [len(key), LEADERS * int(long.sum())])
+            near = (np.minimum(size[x], size[y]) * 100 >= np.maximum(size[x], size[y]) * percent) & (cls[x] != cls[y])
+            pairs, times = np.unique(np.stack([kind, cls[x], cls[y]])[:, near], axis=1, return_counts=True)
+            # lists of the same classes are one list, known by its classes
+            same = np.add.reduceat(mix(cls.astype(np.uint64) ^ np.uint64(0xA5A5)), begin)
+            rows = np.unique(np.stack([np.repeat(same.astype(np.int64), length), cls, size]), axis=1)
+            out.append(pd.DataFrame(dict(zip(("key", "cls", "size"), rows))).astype("Int64"))
+            out.append(pd.DataFrame({"a": pairs[1], "b": pairs[2], "size": np.where(pairs[0] == 0, times, 0)}).astype("Int64"))
         return pd.concat(out)[["doc_id", "key", "cls", "size", "a", "b"]]
 
     dealt = documents.select("doc_id", "text").mapInPandas(deal, "bucket long, key binary, own binary, cls binary, size binary, rare binary, docs binary")
@@ -323,8 +340,11 @@ def join(documents: DataFrame, n: int = 5, percent: int = 80, cells: int = 1 <<
     lists = _lists(documents, n, percent, buckets, levels, exact, light_limit(length, percent))
     own = lists.filter("key is null and a is null").select("doc_id", "cls", F.col("size").alias("n_shingles"))
     by_class = own.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    rows = lists.filter("key is not null").select("key", "cls", "size")
-    stars = lists.filter("a is not null").groupBy("a", "b").agg(F.sum("size").alias("times")).groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a"))
+    rows = lists.filter("key is not null").select("key", "cls", "size").distinct()
+    stars = lists.filter("a is not null").groupBy("a", "b").agg(F.sum("size").alias("times"), F.min("size").alias("least"))
+    best = stars.filter("times > 0").groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a"))
+    stars = best.select("a", "b").union(stars.filter("least = 0").select("a", "b"))
+    stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     stars = materialize(stars, "stars")
     needed = materialize(by_class.join(rows.select("cls").distinct(), "cls", "left_semi"), "needed")
     if needed.count() <= BROADCAST_ROWS:
@@ -338,8 +358,8 @@ def join(documents: DataFrame, n: int = 5, percent: int = 80, cells: int = 1 <<
     held = materialize(held.join(apart, "key", "left_semi"), "apart")
     x, y = held.select("key", *(F.col(c).alias(f"{c}_x") for c in ("cls", "size", "component"))), held.select("key", *(F.col(c).alias(f"{c}_y") for c in ("cls", "size", "component")))
     near = (F.col("size_x") * 100 >= F.col("size_y") * percent) & (F.col("size_y") * 100 >= F.col("size_x") * percent)
-    rest = x.join(y, "key").filter((F.col("component_x") < F.col("component_y")) & near).select(F.col("cls_x").alias("a"), F.col("cls_y").alias("b")).distinct()
-    rest = rest.join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+    rest = x.join(y, "key").filter((F.col("component_x") < F.col("component_y")) & near)
+    rest = rest.select(F.least("cls_x", "cls_y").alias("a"), F.greatest("cls_x", "cls_y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     more = materialize(_verified(rest, sets, percent), "links")
     label = connected_components(links.unionByName(more))
     known = by_class.join(label.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
