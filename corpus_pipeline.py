@@ -1,12 +1,60 @@
-"""Corpus pipeline: stages over documents, each calling an operator of vigilrow.llm."""
+"""Corpus pipeline: toxic documents go, then fuzzy repeated lines, then near copies, then documents that
+hold benchmark passages; what stays is packed into sequences.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. All but the last
+return the columns of documents. Documents that lose all their lines stay, with an empty text.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vigilrow.llm import decontaminate, line_dedup, ngram_join, packing, toxicity
+from vigilrow.llm.common import table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model, learned from the labelled documents of docs, scores below 0.5."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), F.lit(True))
+    return toxicity.keep_clean(docs, model)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that repeat an earlier line or nearly do; n_chars follows the text."""
+    out = line_dedup.dedup(docs)
+    return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group of near copies; those without a doc_id stay."""
+    joined = ngram_join.join(docs).select(F.col("doc_id").alias("_doc"), "component_id")
+    return docs.join(joined.filter("_doc <> component_id").select("_doc").distinct(), F.col("doc_id") == F.col("_doc"), "left_anti")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a benchmark item occurs."""
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their token ids, sequences and offsets."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_lines),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("packing", pack),
+]
+
+#: FTRL, MinHash and byte-pair encoding have no SQL form; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)

@@ -24,6 +24,7 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,19 +87,42 @@ def patterns_of(items: list[tuple[int, str]], width: int) -> list[WuManber]:
     return [WuManber(p) for p in by_length.values()]
 
 
-def find(documents: DataFrame, benchmark: DataFrame, width: int = 10, chunk_bytes: int = 4_000_000) -> DataFrame:
-    """Per document: doc_id, n_words, hit (positions of words inside occurrences), items (sorted ids)."""
+def _shares(benchmark: DataFrame, chunk_bytes: int):
+    """Broadcasts of (item_id, text), each of about chunk_bytes; a single longer item still fits."""
     items = benchmark.select("item_id", "text").filter("item_id is not null and text is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     chunks = max(1, -(-int(total) // chunk_bytes))
-    docs = documents.select("doc_id", "text")
-    if chunks > 1:
-        docs = docs.withColumn("_row", F.monotonically_increasing_id())
-    sc, parts = documents.sparkSession.sparkContext, []
     for c in range(chunks):
-        # about chunk_bytes of items; a single longer item still fits
         own = items if chunks == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(chunks)) == c)
-        shared = sc.broadcast([(r.item_id, r.text) for r in own.collect()])
+        yield benchmark.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in own.collect()])
+
+
+def keep_clean(documents: DataFrame, benchmark: DataFrame, width: int = 10, chunk_bytes: int = 4_000_000) -> DataFrame:
+    """The rows of documents, all columns, in which no window of the benchmark occurs."""
+    for shared in _shares(benchmark, chunk_bytes):
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            searchers = patterns_of(shared.value, width)
+            for b in batches:
+                clean = []
+                for text in b.column("text").to_pylist():
+                    words, found = words_of(text), set()
+                    hit = np.zeros(len(words), bool)
+                    for s in searchers:
+                        s.search(words, hit, found)
+                    clean.append(not hit.any())
+                yield b.filter(pa.array(clean, pa.bool_()))
+
+        documents = documents.mapInArrow(run, documents.schema)
+    return documents
+
+
+def find(documents: DataFrame, benchmark: DataFrame, width: int = 10, chunk_bytes: int = 4_000_000) -> DataFrame:
+    """Per document: doc_id, n_words, hit (positions of words inside occurrences), items (sorted ids)."""
+    shares, docs, parts = list(_shares(benchmark, chunk_bytes)), documents.select("doc_id", "text"), []
+    if len(shares) > 1:
+        docs = docs.withColumn("_row", F.monotonically_increasing_id())
+    for shared in shares:
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             searchers = patterns_of(shared.value, width)
@@ -114,7 +138,7 @@ def find(documents: DataFrame, benchmark: DataFrame, width: int = 10, chunk_byte
 
         kept = ", ".join(f"{c} long" for c in docs.columns if c != "text")
         parts.append(docs.mapInPandas(run, f"{kept}, n_words long, hit array<int>, items array<long>"))
-    if chunks == 1:
+    if len(parts) == 1:
         return parts[0]
     every = parts[0]
     for p in parts[1:]:

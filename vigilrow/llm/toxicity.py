@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -136,12 +137,10 @@ def train(documents: DataFrame, labels: DataFrame, usable: Column, s: Settings =
     return idx[w != 0], w[w != 0]
 
 
-def score(documents: DataFrame, model: tuple[np.ndarray, np.ndarray], s: Settings = Settings()) -> DataFrame:
-    """doc_id, score (0 to 1) and predicted (1 from 0.5 on) for every row of documents."""
-    at, weights = model
-    shared = documents.sparkSession.sparkContext.broadcast((at.astype(np.int32), weights.astype(np.float32)))
+def _scorer(shared, s: Settings):
+    """A function from texts to scores; shared: the broadcast model."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scores(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
         dense = np.zeros((1 << s.bits) + 1, np.float64)
         dense[shared.value[0]] = shared.value[1]
         bias, hashes = dense[-1] if len(shared.value[0]) else -1e-9, Hashes()
@@ -151,7 +150,33 @@ def score(documents: DataFrame, model: tuple[np.ndarray, np.ndarray], s: Setting
             for k, text in enumerate(b.text):
                 x = features(text, hashes, stems, s.bits)
                 raw[k] = dense[np.unique(x[dense[x] != 0])].sum() + bias
-            p = _sigmoid(raw)
+            yield b, _sigmoid(raw)
+
+    return scores
+
+
+def _shared(documents: DataFrame, model: tuple[np.ndarray, np.ndarray]):
+    return documents.sparkSession.sparkContext.broadcast((model[0].astype(np.int32), model[1].astype(np.float32)))
+
+
+def keep_clean(documents: DataFrame, model: tuple[np.ndarray, np.ndarray], s: Settings = Settings()) -> DataFrame:
+    """The rows of documents, all columns, whose score is below 0.5."""
+    scores = _scorer(_shared(documents, model), s)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, p in scores([pd.DataFrame({"text": b.column("text").to_pylist()})]):
+                yield b.filter(pa.array(p < 0.5))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
+def score(documents: DataFrame, model: tuple[np.ndarray, np.ndarray], s: Settings = Settings()) -> DataFrame:
+    """doc_id, score (0 to 1) and predicted (1 from 0.5 on) for every row of documents."""
+    scores = _scorer(_shared(documents, model), s)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b, p in scores(batches):
             yield pd.DataFrame({"doc_id": b.doc_id, "score": p, "predicted": (p >= 0.5).astype(np.int32)})
 
     return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, score double, predicted int")
