@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilrow.llm import chat_format, decontaminate, embedding_dedup, language_id, line_dedup, lm_scoring, ngram_join, packing, toxicity
+from vigilrow.llm import chat_format, decontaminate, embedding_dedup, language_id, line_dedup, lm_scoring, ngram_join, packing, suffix_dedup, toxicity
 from vigilrow.llm.common import fold, table
 
 QUERIES: dict = {}
@@ -125,3 +125,8 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     model = language_id.train(documents, F.expr(fold("doc_id", "4")) != 2)
     return language_id.predict(documents, model).withColumn("held_out", F.expr(fold("doc_id", "4")) == 2)
+
+
+@query
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.dedup(table(spark, sf_dir, "documents", "doc_id", "text")))
