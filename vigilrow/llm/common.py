@@ -5,10 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A-Z to a-z on bytes; nothing else changes.
@@ -89,3 +92,43 @@ def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
     if n <= most:
         return df
     return df.filter(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) < int(most / n * (1 << 30)))
+
+
+def packed_batches(documents: DataFrame, flag: Column | None = None, size: int = 8_000_000) -> DataFrame:
+    """Batches of about `size` bytes of text, each a row (batch, ids, flags, lengths, data), in a table of the
+    shared folder bucketed by batch, so that joins by batch don't shuffle texts. Null texts are empty.
+    """
+    spark = documents.sparkSession
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, total = [], 0
+        for b in batches:
+            for doc_id, text, f in zip(b.doc_id, b.text, b.flag):
+                held.append((None if pd.isna(doc_id) else int(doc_id), bool(f), (text or "").encode("utf-8", "surrogatepass")))
+                total += len(held[-1][2])
+                if total >= size:
+                    yield row(held)
+                    held, total = [], 0
+        if held:
+            yield row(held)
+
+    def row(held: list) -> pd.DataFrame:
+        ids, flags, texts = zip(*held)
+        return pd.DataFrame({"ids": [list(ids)], "flags": [list(flags)], "lengths": [[len(t) for t in texts]], "data": [zstandard.compress(b"".join(texts), 3)]})
+
+    flag = F.lit(False) if flag is None else F.coalesce(flag, F.lit(False))
+    rows = documents.select("doc_id", "text", flag.alias("flag")).mapInPandas(pack, "ids array<long>, flags array<boolean>, lengths array<long>, data binary")
+    name = f"vigilrow_batches_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/vigilrow/{name}"
+    rows.withColumn("batch", F.monotonically_increasing_id()).write.bucketBy(partitions(spark), "batch").option("path", path).saveAsTable(name)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.table(name)
+
+
+def texts_of(row) -> Iterator[tuple[int, int | None, bytes]]:
+    """(place, doc_id, text) of the documents of a batch."""
+    data, at = zstandard.decompress(row.data), 0
+    for k, (doc_id, n) in enumerate(zip(row.ids, row.lengths)):
+        yield k, None if pd.isna(doc_id) else int(doc_id), data[at : at + int(n)]
+        at += int(n)

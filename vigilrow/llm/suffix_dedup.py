@@ -28,7 +28,6 @@ extra columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -38,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilrow.llm.common import materialize, mix, partitions, shared_dir
+from vigilrow.llm.common import materialize, mix, packed_batches, partitions, texts_of
 
 #: Low bits of an anchor's key hold its place, so that of equal hashes the leftmost is the least.
 _PLACE = 24
@@ -79,49 +78,13 @@ def anchors(text: bytes, width: int, gram: int) -> tuple[np.ndarray, np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-def _packed(documents: DataFrame, size: int = 8_000_000) -> DataFrame:
-    """Batches of documents, each a row, in a table bucketed by batch in the shared folder."""
-    spark = documents.sparkSession
-
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, texts, total = [], [], 0
-        for b in batches:
-            for doc_id, text in zip(b.doc_id, b.text):
-                ids.append(None if pd.isna(doc_id) else int(doc_id))
-                texts.append((text or "").encode("utf-8", "surrogatepass"))
-                total += len(texts[-1])
-                if total >= size:
-                    yield row(ids, texts)
-                    ids, texts, total = [], [], 0
-        if ids:
-            yield row(ids, texts)
-
-    def row(ids: list, texts: list[bytes]) -> pd.DataFrame:
-        return pd.DataFrame({"ids": [ids], "lengths": [[len(t) for t in texts]], "data": [zstandard.compress(b"".join(texts), 3)]})
-
-    rows = documents.select("doc_id", "text").mapInPandas(pack, "ids array<long>, lengths array<long>, data binary")
-    name = f"vigilrow_batches_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/vigilrow/{name}"
-    rows.withColumn("batch", F.monotonically_increasing_id()).write.bucketBy(partitions(spark), "batch").option("path", path).saveAsTable(name)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.table(name)
-
-
-def _texts(row) -> Iterator[tuple[int, int | None, bytes]]:
-    data, at = zstandard.decompress(row.data), 0
-    for k, (doc_id, n) in enumerate(zip(row.ids, row.lengths)):
-        yield k, None if pd.isna(doc_id) else int(doc_id), data[at : at + int(n)]
-        at += int(n)
-
-
 def _repeated(batches: DataFrame, width: int, gram: int, buckets: int) -> DataFrame:
     """Per batch the sorted hashes of its anchor strings that occur in two documents or more."""
 
     def deal(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in it:
             for r in b.itertuples():
-                found = [np.unique(anchors(t, width, gram)[1]) for _, d, t in _texts(r) if d is not None]
+                found = [np.unique(anchors(t, width, gram)[1]) for _, d, t in texts_of(r) if d is not None]
                 h, n = np.unique(np.concatenate([np.empty(0, np.uint64), *found]), return_counts=True)
                 bucket = _bucket(h, buckets)
                 order = np.argsort(bucket, kind="stable")
@@ -266,7 +229,7 @@ def _coverage(batches: DataFrame, repeated: DataFrame, width: int, gram: int, bu
             for r in b.itertuples():
                 again = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in r.again]))
                 runs: dict[int, dict] = defaultdict(lambda: defaultdict(list))
-                for k, doc_id, text in _texts(r):
+                for k, doc_id, text in texts_of(r):
                     if doc_id is None:
                         continue
                     place, h, first, last = anchors(text, width, gram)
@@ -318,9 +281,8 @@ def _joined(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
 
 def dedup(documents: DataFrame, width: int = 50, gram: int = 16) -> DataFrame:
     """doc_id, n_bytes, removed (spans of bytes, [start, end)) and kept (the remaining bytes) of every row."""
-    spark = documents.sparkSession
-    buckets = 2 * partitions(spark)
-    batches = _packed(documents)
+    buckets = 2 * partitions(documents.sparkSession)
+    batches = packed_batches(documents)
     spans = _coverage(batches, _repeated(batches, width, gram, buckets), width, gram, buckets)
 
     def cut(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -331,7 +293,7 @@ def dedup(documents: DataFrame, width: int = 50, gram: int = 16) -> DataFrame:
                 for doc, start, end in _joined([tuple(x) for p in parts for x in p.tolist()]):
                     own[doc].append((start, end))
                 rows = []
-                for k, doc_id, text in _texts(r):
+                for k, doc_id, text in texts_of(r):
                     at, kept = 0, []
                     for start, end in own[k]:
                         kept.append(text[at:start])
