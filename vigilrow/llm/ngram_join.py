@@ -196,7 +196,7 @@ def _levels(documents: DataFrame, n: int, buckets: int, cells: int) -> tuple[np.
 
 def _lists(documents: DataFrame, n: int, percent: int, buckets: int, levels: np.ndarray, exact: bool, limit: int) -> DataFrame:
     """Three kinds of rows: of documents (doc_id, cls, size), of lists with two classes or more (key, cls,
-    size) and of pairs (a, b): of a class with the most ordinary one of its list, with `size` the number of
+    size, and as `common` how many of its shingles other classes may hold) and of pairs (a, b): of a class with the most ordinary one of its list, with `size` the number of
     such lists, and, in long lists, with other classes, with size 0.
     exact: shingles of level 0 surely occur once.
     """
@@ -262,7 +262,7 @@ def _lists(documents: DataFrame, n: int, percent: int, buckets: int, levels: np.
         return pd.DataFrame({"doc_id": doc, "cls": cls, "size": size})
 
     def gather(group: pd.DataFrame) -> pd.DataFrame:
-        out = [opened(x) for x in group.docs if x is not None] + [pd.DataFrame({c: pd.array([], "Int64") for c in ("doc_id", "key", "cls", "size", "a", "b")})]
+        out = [opened(x) for x in group.docs if x is not None] + [pd.DataFrame({c: pd.array([], "Int64") for c in ("doc_id", "key", "cls", "size", "common", "a", "b")})]
         parts = [(np.frombuffer(k, np.uint32), *(np.frombuffer(x, kind)[np.frombuffer(o, np.uint32)] for x, kind in ((c, np.int64), (z, np.uint32), (r, np.uint32)))) for k, o, c, z, r in zip(group.key, group.own, group.cls, group["size"], group.rare)]
         key, cls, size, rare = (np.concatenate(x) for x in zip(*parts))
         order = np.lexsort((cls, key))
@@ -273,7 +273,7 @@ def _lists(documents: DataFrame, n: int, percent: int, buckets: int, levels: np.
             start = np.append(True, key[1:] != key[:-1])
             order = np.flatnonzero(~(start & np.append(start[1:], True)))
             order = order[np.lexsort((cls[order], rare[order], key[order]))]  # in each list the class with fewest rare shingles first
-            key, cls, size = key[order], cls[order], size[order]
+            key, cls, size, common = key[order], cls[order], size[order], size[order] - (rare[order] if exact else 0)
         if len(key):
             start = np.append(True, key[1:] != key[:-1])
             begin = np.flatnonzero(start)
@@ -287,17 +287,18 @@ def _lists(documents: DataFrame, n: int, percent: int, buckets: int, levels: np.
                 lead.append(order[np.minimum(first + k, len(key) - 1)][long])
                 member.append(np.flatnonzero(long))
             x, y, kind = np.concatenate(lead), np.concatenate(member), np.repeat([0, 1], [len(key), LEADERS * int(long.sum())])
-            near = (np.minimum(size[x], size[y]) * 100 >= np.maximum(size[x], size[y]) * percent) & (cls[x] != cls[y])
+            both = np.minimum(common[x], common[y])
+            near = (both * 100 >= (size[x] + size[y] - both) * percent) & (cls[x] != cls[y])
             pairs, times = np.unique(np.stack([kind, cls[x], cls[y]])[:, near], axis=1, return_counts=True)
             # lists of the same classes are one list, known by its classes
             same = np.add.reduceat(mix(cls.astype(np.uint64) ^ np.uint64(0xA5A5)), begin)
-            rows = np.unique(np.stack([np.repeat(same.astype(np.int64), length), cls, size]), axis=1)
-            out.append(pd.DataFrame(dict(zip(("key", "cls", "size"), rows))).astype("Int64"))
+            rows = np.unique(np.stack([np.repeat(same.astype(np.int64), length), cls, size, common]), axis=1)
+            out.append(pd.DataFrame(dict(zip(("key", "cls", "size", "common"), rows))).astype("Int64"))
             out.append(pd.DataFrame({"a": pairs[1], "b": pairs[2], "size": np.where(pairs[0] == 0, times, 0)}).astype("Int64"))
-        return pd.concat(out)[["doc_id", "key", "cls", "size", "a", "b"]]
+        return pd.concat(out)[["doc_id", "key", "cls", "size", "common", "a", "b"]]
 
     dealt = documents.select("doc_id", "text").mapInPandas(deal, "bucket long, key binary, own binary, cls binary, size binary, rare binary, docs binary")
-    return materialize(dealt.groupBy("bucket").applyInPandas(gather, "doc_id long, key long, cls long, size long, a long, b long"), "lists")
+    return materialize(dealt.groupBy("bucket").applyInPandas(gather, "doc_id long, key long, cls long, size long, common long, a long, b long"), "lists")
 
 
 def _sets(documents: DataFrame, needed: DataFrame, n: int) -> DataFrame:
@@ -340,7 +341,7 @@ def join(documents: DataFrame, n: int = 5, percent: int = 80, cells: int = 1 <<
     lists = _lists(documents, n, percent, buckets, levels, exact, light_limit(length, percent))
     own = lists.filter("key is null and a is null").select("doc_id", "cls", F.col("size").alias("n_shingles"))
     by_class = own.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    rows = lists.filter("key is not null").select("key", "cls", "size").distinct()
+    rows = lists.filter("key is not null").select("key", "cls", "size", "common").distinct()
     stars = lists.filter("a is not null").groupBy("a", "b").agg(F.sum("size").alias("times"), F.min("size").alias("least"))
     best = stars.filter("times > 0").groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a"))
     stars = best.select("a", "b").union(stars.filter("least = 0").select("a", "b"))
@@ -356,8 +357,10 @@ def join(documents: DataFrame, n: int = 5, percent: int = 80, cells: int = 1 <<
     held = rows.join(label.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     apart = held.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
     held = materialize(held.join(apart, "key", "left_semi"), "apart")
-    x, y = held.select("key", *(F.col(c).alias(f"{c}_x") for c in ("cls", "size", "component"))), held.select("key", *(F.col(c).alias(f"{c}_y") for c in ("cls", "size", "component")))
-    near = (F.col("size_x") * 100 >= F.col("size_y") * percent) & (F.col("size_y") * 100 >= F.col("size_x") * percent)
+    x, y = (held.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("cls", "size", "common", "component"))) for k in ("x", "y"))
+    # shingles that one of them has for itself are in no intersection
+    both = F.least("common_x", "common_y")
+    near = both * 100 >= (F.col("size_x") + F.col("size_y") - both) * percent
     rest = x.join(y, "key").filter((F.col("component_x") < F.col("component_y")) & near)
     rest = rest.select(F.least("cls_x", "cls_y").alias("a"), F.greatest("cls_x", "cls_y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     more = materialize(_verified(rest, sets, percent), "links")
