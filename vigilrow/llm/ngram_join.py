@@ -19,7 +19,10 @@ Everything large moves as packed numpy columns in binary cells, dealt to `bucket
    or more. A document that shares little with any other has no list at all;
 3. verify, per class, the pair with the most ordinary class of its lists, and take components; then, per
    list, only what is still in different components, until every candidate pair is either verified or
-   joined by other links. So a group of near copies costs its size, not its square.
+   joined by other links. So a group of near copies costs its size, not its square. Before two sets of a
+   list become a pair, their sketches are compared: of each of 512 cells the parity of the shingles in it.
+   Sets differ in at least as many shingles as cells, so that what this rules out surely doesn't link;
+   documents that share no more than a passage end here.
 
 Edge cases: null and empty texts have the empty set, link with nothing and form their own component;
 repeated rows of a doc_id each give a row; a null doc_id gets a row, but names no component unless
@@ -301,8 +304,14 @@ def _lists(documents: DataFrame, n: int, percent: int, buckets: int, levels: np.
     return materialize(dealt.groupBy("bucket").applyInPandas(gather, "doc_id long, key long, cls long, size long, common long, a long, b long"), "lists")
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """The parity of the number of shingles in each of 512 cells, as 8 words."""
+    cells = np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=512)
+    return np.packbits((cells & 1).astype(np.uint8)).view(np.int64)
+
+
 def _sets(documents: DataFrame, needed: DataFrame, n: int) -> DataFrame:
-    """(cls, hashes) of the classes in needed (cls, doc_id: one of its documents)."""
+    """(cls, hashes, sketch) of the classes in needed (cls, doc_id: one of its documents)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = Hashes()
@@ -310,10 +319,10 @@ def _sets(documents: DataFrame, needed: DataFrame, n: int) -> DataFrame:
             sets = [shingle_set(t, hashes, n) for t in b.text]
             # rows repeated under one doc_id may differ in text: only the class asked for stays
             own = [len(s) > 0 and _class_of(s) == c for s, c in zip(sets, b.cls)]
-            yield pd.DataFrame({"cls": b.cls, "hashes": [s.tobytes() for s in sets]})[own]
+            yield pd.DataFrame({"cls": b.cls, "hashes": [s.tobytes() for s in sets], "sketch": [sketch(s) for s in sets]})[own]
 
     text = documents.select("doc_id", "text").join(needed, "doc_id")
-    return text.mapInPandas(run, "cls long, hashes binary").dropDuplicates(["cls"])
+    return text.mapInPandas(run, "cls long, hashes binary, sketch array<long>").dropDuplicates(["cls"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -356,11 +365,14 @@ def join(documents: DataFrame, n: int = 5, percent: int = 80, cells: int = 1 <<
     # lists whose classes are still apart: each two of them, unless they were compared before
     held = rows.join(label.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     apart = held.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    held = materialize(held.join(apart, "key", "left_semi"), "apart")
-    x, y = (held.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("cls", "size", "common", "component"))) for k in ("x", "y"))
+    held = materialize(held.join(apart, "key", "left_semi").join(sets.select("cls", "sketch"), "cls"), "apart")
+    x, y = (held.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("cls", "size", "common", "component", "sketch"))) for k in ("x", "y"))
     # shingles that one of them has for itself are in no intersection
     both = F.least("common_x", "common_y")
     near = both * 100 >= (F.col("size_x") + F.col("size_y") - both) * percent
+    # cells of different parity, each of which holds a shingle of one set alone
+    apart = sum((F.bit_count(F.col("sketch_x")[k].bitwiseXOR(F.col("sketch_y")[k])) for k in range(8)), F.lit(0))
+    near &= apart * (100 + percent) <= (F.col("size_x") + F.col("size_y")) * (100 - percent)
     rest = x.join(y, "key").filter((F.col("component_x") < F.col("component_y")) & near)
     rest = rest.select(F.least("cls_x", "cls_y").alias("a"), F.greatest("cls_x", "cls_y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     more = materialize(_verified(rest, sets, percent), "links")
