@@ -44,3 +44,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
         mark = changed
     every = ids.select(F.explode(F.array("u", "v")).alias("id")).distinct()
     return every.join(now.select(F.col("u").alias("id"), "v"), "id", "left").select("id", F.coalesce("v", "id").alias("component"))
+
+
+def joined_components(label: DataFrame, more: DataFrame) -> DataFrame:
+    """label (id, component), as connected_components() gives it, after the further edges more (a, b): only
+    components that these touch are looked at again.
+    """
+    ends = more.select(F.explode(F.array("a", "b")).alias("id")).filter("id is not null").distinct()
+    label = label.unionByName(ends.join(label, "id", "left_anti").select("id", F.col("id").alias("component")))
+    of = lambda end: label.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
+    between = more.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    over = connected_components(between).select(F.col("id").alias("component"), F.col("component").alias("least"))
+    return label.join(over, "component", "left").select("id", F.coalesce("least", "component").alias("component"))

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilrow.llm.common import LOWER, Hashes, materialize, mix, partitions
-from vigilrow.llm.components import connected_components
+from vigilrow.llm.components import connected_components, joined_components
 
 _POWERS = np.array([pow(0x9FB21C651E98DF25, k, 1 << 64) for k in range(64)], np.uint64)
 
@@ -361,7 +361,7 @@ def join(documents: DataFrame, n: int = 5, percent: int = 80, cells: int = 1 <<
         needed = F.broadcast(needed)
     sets = materialize(_sets(documents, needed, n), "sets")
     links = materialize(_verified(stars, sets, percent), "links")
-    label = connected_components(links)
+    label = materialize(connected_components(links), "label")
     # lists whose classes are still apart: each two of them, unless they were compared before
     held = rows.join(label.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     apart = held.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
@@ -376,7 +376,7 @@ def join(documents: DataFrame, n: int = 5, percent: int = 80, cells: int = 1 <<
     rest = x.join(y, "key").filter((F.col("component_x") < F.col("component_y")) & near)
     rest = rest.select(F.least("cls_x", "cls_y").alias("a"), F.greatest("cls_x", "cls_y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     more = materialize(_verified(rest, sets, percent), "links")
-    label = connected_components(links.unionByName(more))
+    label = joined_components(label, more)
     known = by_class.join(label.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     ids = known.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_class = known.join(ids, "component").select("cls", "component_id")
