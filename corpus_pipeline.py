@@ -28,8 +28,10 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near copies; those without a doc_id stay."""
-    joined = ngram_join.join(docs).select(F.col("doc_id").alias("_doc"), "component_id")
-    return docs.join(joined.filter("_doc <> component_id").select("_doc").distinct(), F.col("doc_id") == F.col("_doc"), "left_anti")
+    joined = ngram_join.join(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("copy")).distinct()
+    rows = docs.select(F.struct("*").alias("row"))
+    kept = rows.join(joined, F.col("row.doc_id") == F.col("copy"), "left_anti")
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
