@@ -388,7 +388,7 @@ def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 h as (select kind, rule, count(*) filter (malicious) as caught, count(*) filter (not malicious) as false_alarms from v join s using (sample) group by all),
 j as (select h.*, n_malicious, n_benign, false_alarms::double / n_benign as p, n_benign::double as n, 1.959963984540054 as z from h join a using (kind) where n_benign > 0),
 w as (select *, (p + z*z/(2*n) - z*sqrt(p*(1-p)/n + z*z/(4*n*n))) / (1 + z*z/n) as low_, (p + z*z/(2*n) + z*sqrt(p*(1-p)/n + z*z/(4*n*n))) / (1 + z*z/n) as high_ from j)
-select kind, rule, caught, false_alarms, n_malicious, n_benign, round(low_, 6) as low, round(high_, 6) as high, false_alarms || ' / ' || n_benign || case when (high_ - low_) / 2 <= 0.15 then ' (' || floor(p * 100 + 0.5)::int || ' %)' else '' end as cell from w""")
+select kind, rule, caught, false_alarms, n_malicious, n_benign, round(low_, 6) + 0.0 as low, round(high_, 6) + 0.0 as high, false_alarms || ' / ' || n_benign || case when (high_ - low_) / 2 <= 0.15 then ' (' || floor(p * 100 + 0.5)::int || ' %)' else '' end as cell from w""")
 def rule_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     votes = _findings(spark, sf_dir).select(F.col("unit").alias("sample"), "rule")
     found = evaluation.with_interval(evaluation.rates(_samples(spark, sf_dir), votes).filter("n_benign > 0"), "false_alarms", "n_benign")
