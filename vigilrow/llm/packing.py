@@ -9,8 +9,8 @@ A block is what one Spark task has read, up to `block_tokens` tokens, so that no
 task holds more than a block; the ids of a sequence tell its task and its place there.
 
 Edge cases: null and empty texts are one token, the end token; repeated documents are packed as often as
-they occur; an empty table gives no rows; extra columns are ignored. Texts that spell a special token are
-ordinary text.
+they occur; an empty table gives no rows; extra columns are ignored. Where a text spells an added token,
+that is the token, as in the tokenizer file.
 """
 
 from __future__ import annotations
@@ -40,11 +40,22 @@ def tiktoken_ids(ranks_path: str, pattern: str) -> Callable[[str], np.ndarray]:
     return lambda text: np.asarray(encoding.encode_ordinary(text), np.uint32)
 
 
+@functools.cache
 def tokenizer() -> Callable[[str], np.ndarray]:
     """The public 50k byte-level BPE, found on the machine where it is called."""
     import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = tiktoken_ids(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    whole = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    added = [x.content for x in whole.get_added_tokens_decoder().values()]
+
+    def encode(text: str) -> np.ndarray:
+        if any(x in text for x in added):  # the ranks don't have them
+            return np.asarray(whole.encode(text, add_special_tokens=False).ids, np.uint32)
+        return plain(text)
 
-    return tiktoken_ids(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return encode
 
 
 def assign(lengths: np.ndarray, capacity: int, linear: float = 1.0, quadratic: float = 1.0 / 2048) -> list[tuple[int, int, int, int, int]]:
