@@ -176,6 +176,13 @@ def test_line_dedup_texts(spark):
     assert line_dedup.dedup(documents(spark, [])).count() == 0
 
 
+def test_line_dedup_tails(spark):
+    """A line counts up to its last character: those that differ only behind the start of their last word stay."""
+    rows = [(1, "price is 12345\ntoken abc123\none two"), (2, "price is 12399\ntoken abc987\none twofold"), (3, "price is 12345")]
+    found = {r.doc_id: r.removed for r in line_dedup.report(documents(spark, rows)).collect()}
+    assert found == {1: [], 2: [], 3: [0]}
+
+
 # embeddings
 
 
