@@ -183,6 +183,24 @@ def test_line_dedup_tails(spark):
     assert found == {1: [], 2: [], 3: [0]}
 
 
+def test_line_dedup_characters(spark):
+    """Against brute force over the 5-character substrings of lines: one changed character or word of prose."""
+    rng, rows = random.Random(11), []
+    for k in range(12):
+        line = sentence(rng, rng.choice([12, 16, 24]), 10**6)
+        at = rng.randrange(len(line) - 9)
+        rows += [(10 * k, line), (10 * k + 1, f"{line[:at]}#{line[at + 1:]}"), (10 * k + 2, f"{line[:at]}#{line[at + 1:-4]}tail"), (10 * k + 3, line[len(line) // 2 :])]
+    sets = {doc: {x[i : i + 5] for i in range(max(len(x) - 4, 1))} for doc, x in rows}
+    u = Union()
+    near = [(a, b, len(sets[a] & sets[b]) / len(sets[a] | sets[b])) for a in sets for b in sets if a < b]
+    for a, b, similar in near:
+        if similar >= 0.8:
+            u.join(a, b)
+    want = {doc for doc in sets if u.find(doc) != doc}
+    assert len(want) > 12
+    assert {r.doc_id for r in line_dedup.report(documents(spark, rows)).collect() if r.removed} == want
+
+
 # embeddings
 
 

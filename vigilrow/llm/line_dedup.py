@@ -12,6 +12,7 @@ meet are compared exactly: first each line with the line of its bucket that meet
 a few more, then, per bucket, what is still in different components, so that a group of near copies costs its size, not its
 square. Before two lines of a bucket become a pair, their sketches are compared: of each of 256 cells the parity of the
 shingles in it. Sets differ in at least as many shingles as cells, so that what this rules out surely doesn't link.
+Sets are eight times as large as their lines: they are made again for each pair and never written.
 
 Lines are known by 64-bit hashes. Exact copies are counted before anything is compared.
 
@@ -52,9 +53,10 @@ def with_set(lines: DataFrame, narrow: int = 5) -> DataFrame:
 
 
 def _occurrences(documents: DataFrame, bands: int) -> DataFrame:
-    """doc_id, line, h and the bands k1, k2, ... of every line."""
+    """doc_id, line, h, the bands k1, k2, ... and the sketch of every line: its size and the parities p0 to p3 of 64 cells each."""
     keys = [F.expr(f"if(size(set) > {k}, xxhash64(get(set, {k - 1}), get(set, {k})), {'xxhash64(get(set, 0))' if k == 1 else 'cast(null as bigint)'})").alias(f"k{k}") for k in range(1, bands + 1)]
-    return with_set(lines_of(documents)).select("doc_id", "line", "h", "set").select("doc_id", "line", "h", *keys)
+    words = [F.expr(f"aggregate(filter(set, x -> (x & 3) = {k}), 0L, (s, x) -> s ^ shiftleft(1L, cast(shiftright(x, 2) & 63 as int)))").alias(f"p{k}") for k in range(4)]
+    return with_set(lines_of(documents)).select("doc_id", "line", "h", "set").select("doc_id", "line", "h", *keys, F.size("set").alias("size"), *words)
 
 
 def _known_id():
@@ -67,26 +69,45 @@ def _place():
     return (_known_id().cast("decimal(20,0)") * F.lit(2**32).cast("decimal(11,0)") + F.col("line")).cast("decimal(38,0)")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _sizes(percent: int):
+    """Whether the sizes alone leave it open."""
+    return (F.col("sa") * 100 >= F.col("sb") * percent) & (F.col("sb") * 100 >= F.col("sa") * percent)
+
+
+def _near(percent: int):
+    """Whether the sketches of a and b leave it open that their sets are similar enough."""
+    differ = sum((F.bit_count(F.col(f"p{k}a").bitwiseXOR(F.col(f"p{k}b"))) for k in range(4)), F.lit(0))
+    return _sizes(percent) & (differ * (100 + percent) <= (F.col("sa") + F.col("sb")) * (100 - percent))
+
+
+def _sketch(lines: DataFrame, end: str, *others: str) -> DataFrame:
+    """The sketches of lines, named for one end of a pair."""
+    return lines.select(*others, F.col("h").alias(end), F.col("size").alias(f"s{end}"), *(F.col(f"p{k}").alias(f"p{k}{end}") for k in range(4)))
+
+
+def _linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of lines whose sets are similar enough."""
-    x, y = (sets.select(F.col("h").alias(i), F.col("set").alias(j)) for i, j in (("a", "x"), ("b", "y")))
-    both = pairs.join(y, "b").join(x, "a").withColumn("both", F.size(F.array_intersect("x", "y")))
+    x, y = (texts.select(F.col("h").alias(i), F.col("norm").alias(j)) for i, j in (("a", "x"), ("b", "y")))
+    both = with_set(pairs.join(y, "b").join(x, "a").withColumnRenamed("x", "norm")).withColumnRenamed("set", "x")
+    both = with_set(both.drop("norm").withColumnRenamed("y", "norm")).withColumnRenamed("set", "y").withColumn("both", F.size(F.array_intersect("x", "y")))
     return both.filter(100 * F.col("both") >= percent * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b")
 
 
 def components(documents: DataFrame, classes: DataFrame, bands: int, percent: int) -> DataFrame:
     """(id, component) of the lines that link with others."""
-    met = classes.select("h", F.explode(F.array(*(f"k{k}" for k in range(1, bands + 1)))).alias("key")).filter("key is not null")
+    met = classes.select("h", "size", F.explode(F.array(*(f"k{k}" for k in range(1, bands + 1)))).alias("key")).filter("key is not null")
     often = met.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     met = materialize(met.join(often, "key"), "met")
     # in each bucket the line that meets most others comes first
     weight = met.groupBy("h").agg(F.sum("n").alias("weight"))
-    first = met.join(weight, "h").groupBy("key").agg(F.max(F.struct("weight", "h")).alias("first")).select("key", F.col("first.h").alias("a"))
+    first = met.join(weight, "h").groupBy("key").agg(F.max(F.struct("weight", "h", "size")).alias("first")).select("key", F.col("first.h").alias("a"), F.col("first.size").alias("sa"))
     # in large buckets some other lines, chosen by hash, are compared with all too: what they join needs no pairs
-    more = met.filter(F.col("n") > LARGE).groupBy("key").agg(F.array(*(F.min(F.struct(F.xxhash64("h", F.lit(k)), "h")).getField("h") for k in range(LEADERS))).alias("a"))
-    first = first.union(more.select("key", F.explode("a").alias("a"))).distinct()
-    stars = met.join(first, "key").filter("h <> a")
-    stars = materialize(stars.select(F.least("a", "h").alias("a"), F.greatest("a", "h").alias("b")).distinct(), "stars")
+    more = met.filter(F.col("n") > LARGE).groupBy("key").agg(F.array(*(F.min(F.struct(F.xxhash64("h", F.lit(k)), "h", "size")) for k in range(LEADERS))).alias("a"))
+    first = first.union(more.select("key", F.explode("a").alias("a")).select("key", "a.h", "a.size")).distinct()
+    stars = met.withColumnRenamed("size", "sb").join(first, "key").filter((F.col("h") != F.col("a")) & _sizes(percent))
+    stars = stars.select(F.least("a", "h").alias("a"), F.greatest("a", "h").alias("b")).distinct()
+    stars = stars.join(_sketch(classes, "a"), "a").join(_sketch(classes, "b"), "b").filter(_near(percent))
+    stars = materialize(stars.select("a", "b"), "stars")
     ids = materialize(met.select("h").distinct().join(classes.select("h", "first"), "h"), "ids")
     place = ids.select("h", F.floor(F.col("first") / F.lit(2**32).cast("decimal(11,0)")).cast("long").alias("doc_id"))
     if ids.count() <= BROADCAST_IDS:
@@ -94,22 +115,17 @@ def components(documents: DataFrame, classes: DataFrame, bands: int, percent: in
     # the first document that has the line; a null doc_id is what _place() makes of it
     own = documents.withColumn("doc_id", _known_id()).join(place.select("doc_id").distinct(), "doc_id", "left_semi")
     own = lines_of(own).join(place, ["doc_id", "h"], "left_semi").dropDuplicates(["h"])
-    sets = materialize(with_set(own).select("h", "set"), "sets")
-    links = materialize(_linked(stars, sets, percent), "links")
+    texts = materialize(own.select("h", "norm"), "texts")
+    links = materialize(_linked(stars, texts, percent), "links")
     label = materialize(connected_components(links), "label")
     held = met.join(label.withColumnRenamed("id", "h"), "h", "left").select("key", "h", F.coalesce("component", "h").alias("component"))
     apart = held.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
     held = materialize(held.join(apart, "key", "left_semi"), "apart")
-    words = [F.expr(f"aggregate(filter(set, x -> (x & 3) = {k}), 0L, (s, x) -> s ^ shiftleft(1L, cast(shiftright(x, 2) & 63 as int)))").alias(f"p{k}") for k in range(4)]
-    own = sets.join(held.select("h").distinct(), "h", "left_semi").select("h", F.size("set").alias("size"), *words)
-    held = materialize(held.join(own, "h"), "sketches")
-    x, y = (held.select("key", F.col("h").alias(h), F.col("component").alias(f"c{h}"), F.col("size").alias(f"s{h}"), *(F.col(f"p{k}").alias(f"p{k}{h}") for k in range(4))) for h in ("a", "b"))
-    near = (F.col("sa") * 100 >= F.col("sb") * percent) & (F.col("sb") * 100 >= F.col("sa") * percent)
-    differ = sum((F.bit_count(F.col(f"p{k}a").bitwiseXOR(F.col(f"p{k}b"))) for k in range(4)), F.lit(0))
-    near &= differ * (100 + percent) <= (F.col("sa") + F.col("sb")) * (100 - percent)
-    rest = x.join(y, "key").filter((F.col("ca") < F.col("cb")) & near).select("a", "b")
+    held = materialize(held.join(classes.select("h", "size", *(f"p{k}" for k in range(4))), "h"), "sketches")
+    x, y = (_sketch(held, h, "key", F.col("component").alias(f"c{h}")) for h in ("a", "b"))
+    rest = x.join(y, "key").filter((F.col("ca") < F.col("cb")) & _near(percent)).select("a", "b")
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = materialize(_linked(rest, sets, percent), "links")
+    more = materialize(_linked(rest, texts, percent), "links")
     return joined_components(label, more)
 
 
@@ -117,8 +133,9 @@ def decide(documents: DataFrame, bands: int = 6, percent: int = 80) -> DataFrame
     """doc_id and removed: the sorted numbers of the lines that go, for each document that has such lines."""
     documents = documents.select("doc_id", "text")
     lines = materialize(_occurrences(documents, bands), "lines")
-    classes = lines.select("h", _place().alias("first"), *(f"k{k}" for k in range(1, bands + 1)))
-    classes = materialize(classes.groupBy("h").agg(F.count("*").alias("n"), F.min("first").alias("first"), *(F.min(f"k{k}").alias(f"k{k}") for k in range(1, bands + 1))), "classes")
+    same = [*(f"k{k}" for k in range(1, bands + 1)), "size", *(f"p{k}" for k in range(4))]
+    classes = lines.select("h", _place().alias("first"), *same)
+    classes = materialize(classes.groupBy("h").agg(F.count("*").alias("n"), F.min("first").alias("first"), *(F.min(c).alias(c) for c in same)), "classes")
     label = components(documents, classes, bands, percent).withColumnRenamed("id", "h")
     linked = classes.select("h", "n", "first").join(label, "h", "left")
     alone = linked.filter("component is null and n > 1").select("h", "first")
