@@ -92,6 +92,22 @@ def test_language_edges(spark):
     assert language_id.predict(df.limit(0), m).count() == 0
 
 
+def test_language_unspaced(spark):
+    """A text without spaces is judged by all of its characters, not by its first ones."""
+    rng = random.Random(3)
+    run = lambda letters, n: "".join(rng.choices(letters, k=n))
+    rows = [(k, run("あいうえおかき" if k % 2 else "一二三四五六七", 50), "ja" if k % 2 else "zh") for k in range(60)]
+    rows += [(100, run("あいうえおかき", 70) + run("一二三四五六七", 900) + "あいう", None), (101, run("一二三四五六七", 70) + run("あいうえおかき", 900) + "一二三", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r.doc_id: r.lang_pred for r in language_id.predict(df, language_id.train(df, F.lit(True))).collect()}
+    assert (found[100], found[101]) == ("zh", "ja")
+    for n in (1, 63, 64, 65, 66, 67, 126, 127, 1000):
+        word = run("abcdé", n)
+        parts = [p.decode() for p in language_id.words_of(word)]
+        assert parts[0] + "".join(p[2:] for p in parts[1:]) == word and max(map(len, parts)) <= 64
+        assert {word[k : k + 3] for k in range(n - 2)} == {p[k : k + 3] for p in parts for k in range(len(p) - 2)}
+
+
 def auc(pairs):
     good, bad = ([s for s, y in pairs if y == k] for k in (1, 0))
     return sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad))

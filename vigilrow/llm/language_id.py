@@ -2,7 +2,8 @@
 
 Emission features of a word are hashed: its first and last one to three characters (affixes), its
 two- and three-character n-grams with word ends, and for each language whether the word is among that
-language's most frequent training words (lexicon). Transitions and start scores are learned too, so that a
+language's most frequent training words (lexicon). A run of over LONG characters, as in texts without spaces,
+is several words in succession, so that all of it counts. Transitions and start scores are learned too, so that a
 label holds on through words that could be of several languages and changes where a text switches. Labels
 of words are marginals by forward-backward; a text's language is the one with the largest mean marginal,
 and that mean is the score.
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from vigilrow.llm.common import LOWER, bounded_sample, materialize
 
 _WORDS = bytes(LOWER[b] if chr(b).isascii() and chr(b).isalpha() or b >= 0x80 else 0x20 for b in range(256))
+#: Characters of a word; texts without spaces are runs of more.
+LONG = 64
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -56,13 +59,22 @@ class Model:
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(_WORDS).split()
+    words = (text or "").encode("utf-8", "surrogatepass").translate(_WORDS).split()
+    if max(map(len, words), default=0) > LONG:
+        words = [piece for w in words for piece in pieces(w)]
+    return words
+
+
+def pieces(word: bytes) -> list[bytes]:
+    """A run of over LONG characters in parts, each with the last two characters of the one before: no n-gram is lost."""
+    w = word.decode("utf-8", "replace")
+    return [word] if len(w) <= LONG else [w[k : k + LONG].encode() for k in range(0, len(w) - 2, LONG - 2)]
 
 
 def features(word: bytes, lexicon: dict[bytes, tuple[int, ...]], bits: int) -> list[int]:
     w = word.decode("utf-8", "replace")
     names = [f"^{w[:k]}" for k in (1, 2, 3) if k <= len(w)] + [f"{w[-k:]}$" for k in (1, 2, 3) if k <= len(w)]
-    w = f" {w} "[:66]  # a longer word's inner n-grams tell no more
+    w = f" {w} "
     names += [w[k : k + 2] for k in range(len(w) - 1)] + [w[k : k + 3] for k in range(len(w) - 2)]
     names += [f"#lexicon {k}" for k in lexicon.get(word, ())]
     return [zlib.crc32(x.encode()) >> (32 - bits) for x in names]
