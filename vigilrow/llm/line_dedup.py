@@ -85,8 +85,18 @@ def _sketch(lines: DataFrame, end: str, *others: str) -> DataFrame:
     return lines.select(*others, F.col("h").alias(end), F.col("size").alias(f"s{end}"), *(F.col(f"p{k}").alias(f"p{k}{end}") for k in range(4)))
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, documents: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of lines whose sets are similar enough."""
+    pairs = materialize(pairs, "pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    ids = materialize(ids.join(classes.select("h", "first"), "h"), "ids")
+    place = ids.select("h", F.floor(F.col("first") / F.lit(2**32).cast("decimal(11,0)")).cast("long").alias("doc_id"))
+    if ids.count() <= BROADCAST_IDS:
+        place = F.broadcast(place)
+    # the first document that has the line; a null doc_id is what _place() makes of it
+    own = documents.withColumn("doc_id", _known_id()).join(place.select("doc_id").distinct(), "doc_id", "left_semi")
+    own = lines_of(own).join(place, ["doc_id", "h"], "left_semi").dropDuplicates(["h"])
+    texts = materialize(own.select("h", "norm"), "texts")
     x, y = (texts.select(F.col("h").alias(i), F.col("norm").alias(j)) for i, j in (("a", "x"), ("b", "y")))
     both = with_set(pairs.join(y, "b").join(x, "a").withColumnRenamed("x", "norm")).withColumnRenamed("set", "x")
     both = with_set(both.drop("norm").withColumnRenamed("y", "norm")).withColumnRenamed("set", "y").withColumn("both", F.size(F.array_intersect("x", "y")))
@@ -108,15 +118,7 @@ def components(documents: DataFrame, classes: DataFrame, bands: int, percent: in
     stars = stars.select(F.least("a", "h").alias("a"), F.greatest("a", "h").alias("b")).distinct()
     stars = stars.join(_sketch(classes, "a"), "a").join(_sketch(classes, "b"), "b").filter(_near(percent))
     stars = materialize(stars.select("a", "b"), "stars")
-    ids = materialize(met.select("h").distinct().join(classes.select("h", "first"), "h"), "ids")
-    place = ids.select("h", F.floor(F.col("first") / F.lit(2**32).cast("decimal(11,0)")).cast("long").alias("doc_id"))
-    if ids.count() <= BROADCAST_IDS:
-        place = F.broadcast(place)
-    # the first document that has the line; a null doc_id is what _place() makes of it
-    own = documents.withColumn("doc_id", _known_id()).join(place.select("doc_id").distinct(), "doc_id", "left_semi")
-    own = lines_of(own).join(place, ["doc_id", "h"], "left_semi").dropDuplicates(["h"])
-    texts = materialize(own.select("h", "norm"), "texts")
-    links = materialize(_linked(stars, texts, percent), "links")
+    links = materialize(_linked(stars, documents, classes, percent), "links")
     label = materialize(connected_components(links), "label")
     held = met.join(label.withColumnRenamed("id", "h"), "h", "left").select("key", "h", F.coalesce("component", "h").alias("component"))
     apart = held.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
@@ -125,7 +127,7 @@ def components(documents: DataFrame, classes: DataFrame, bands: int, percent: in
     x, y = (_sketch(held, h, "key", F.col("component").alias(f"c{h}")) for h in ("a", "b"))
     rest = x.join(y, "key").filter((F.col("ca") < F.col("cb")) & _near(percent)).select("a", "b")
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = materialize(_linked(rest, texts, percent), "links")
+    more = materialize(_linked(rest, documents, classes, percent), "links")
     return joined_components(label, more)
 
 
