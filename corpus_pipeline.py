@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilrow.llm import decontaminate, line_dedup, ngram_join, packing, toxicity
-from vigilrow.llm.common import table
+from vigilrow.llm.common import materialize, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,11 +27,13 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies; those without a doc_id stay."""
-    joined = ngram_join.join(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("copy")).distinct()
+    """One row of each group of near copies: the one with the smallest doc_id, which one without a doc_id never is beside others."""
     rows = docs.select(F.struct("*").alias("row"))
-    kept = rows.join(joined, F.col("row.doc_id") == F.col("copy"), "left_anti")
-    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+    # numbers in the order of doc_id tell apart the rows that share one
+    rows = materialize(rows.sort(F.col("row.doc_id").asc_nulls_last()).withColumn("number", F.monotonically_increasing_id()), "rows")
+    joined = ngram_join.join(rows.select(F.col("number").alias("doc_id"), "row.text"))
+    copies = joined.filter("doc_id <> component_id").select(F.col("doc_id").alias("number"))
+    return rows.join(copies, "number", "left_anti").select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -172,3 +172,12 @@ def test_pipeline(spark, tmp_path):
             assert set(after) == {c for _, _, c in ngram_join.brute_force(list(before.items()))}
         if name == "benchmark decontamination":
             assert set(after) == {w[0] for w in decontaminate.brute_force(list(before.items()), items) if not w[-1]}
+
+
+def test_pipeline_near_copies_by_row(spark):
+    """Rows that share a doc_id, or have none, are kept or dropped each by its own text."""
+    x, y, z, t = (sentence(random.Random(k), 30) for k in range(4))
+    docs = documents(spark, [(3, x), (5, x), (5, y), (7, t), (7, t), (None, t), (None, z), (None, z), (8, None)], clash=True)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, DATA)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(3, x), (5, y), (7, t), (None, z), (8, None)], key=str)
