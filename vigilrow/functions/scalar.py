@@ -64,7 +64,7 @@ def percent(k: str, n: str) -> Column:
     return F.when(F.col(n) > 0, F.floor(F.col(k) * 100.0 / F.col(n) + 0.5).cast("long"))
 
 
-def entropy(c: str) -> Column:
+def entropy(c) -> Column:
     """Bits per character."""
     chars = F.split(c, "")
     n = F.size(chars)
@@ -72,9 +72,10 @@ def entropy(c: str) -> Column:
     return F.aggregate(counts, F.lit(0.0), lambda s, p: s - p * F.log2(p))
 
 
-def looks_secret(c: str) -> Column:
+def looks_secret(c) -> Column:
     """24 characters or more with a letter and a digit and at least 3.6 bits each."""
-    return (F.length(c) >= 24) & F.col(c).rlike("[A-Za-z]") & F.col(c).rlike("[0-9]") & (entropy(c) >= 3.6)
+    c = F.col(c) if isinstance(c, str) else c
+    return (F.length(c) >= 24) & c.rlike("[A-Za-z]") & c.rlike("[0-9]") & (entropy(c) >= 3.6)
 
 
 def hosts(c: str) -> Column:
@@ -122,7 +123,7 @@ def line_of(text: str, offset: str) -> Column:
 
 
 def redact(c: str) -> Column:
-    """Secrets replaced: URL user data, credential flags, key = value, known token prefixes, user:password flags."""
+    """Secrets replaced: URL user data, credential flags, key = value, known token prefixes, user:password flags, then long tokens of high entropy."""
     steps = (
         (r"(?i)\b([a-z][a-z0-9+.-]*://)[^/\s:@]+:[^/\s@]+@", "$1[redacted]@"),
         (r"(?<!\S)(-u|--user)([ =])([^\s:]+):\S+", "$1$2$3:[redacted]"),
@@ -133,7 +134,14 @@ def redact(c: str) -> Column:
     out = F.col(c)
     for pattern, by in steps:
         out = F.regexp_replace(out, pattern, by)
-    return out
+    return redact_entropy(out)
+
+
+def redact_entropy(c: Column) -> Column:
+    """Tokens that look secret without their padding replaced."""
+    parts = F.regexp_extract_all(c, F.lit("[A-Za-z0-9+/_-]+={0,2}|[^A-Za-z0-9+/_-]+"), F.lit(0))
+    plain = F.transform(parts, lambda x: F.when(looks_secret(F.regexp_replace(x, "=+\\z", "")) & x.rlike("^[A-Za-z0-9+/_-]"), "[redacted]").otherwise(x))
+    return F.when(c.rlike("[A-Za-z0-9+/_-]{24}"), F.array_join(plain, "")).otherwise(c)
 
 
 def scrub_paths(c: str) -> Column:

@@ -267,6 +267,12 @@ def redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", scalar.redact("t").alias("redacted"))
 
 
+@query()
+def document_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without SQL: tests/test_whole_texts.py holds it against brute force."""
+    return read(spark, sf_dir, "documents").withColumn("text", scalar.redact("text"))
+
+
 @query("""select artifact, sha256(unhex(string_agg(hex(encode(path)) || '00' || sha, '' order by path))) as hash from (select source as artifact, 'f' || lpad(doc_id::varchar, 9, '0') as path, sha256(text) as sha from documents where text is not null) group by artifact""")
 def tree_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents").filter("text is not null")
