@@ -1,13 +1,15 @@
-"""Redaction of whole documents."""
+"""Redaction and entropy of whole documents."""
 
 import math
 import random
 import re
 from collections import Counter
 
-from rows import DATA
+import pytest
+from rows import DATA, same_rows
 
 from vigilrow.functions import scalar
+from vigilrow.operators import digests
 from vigilrow.plans import queries as engine
 
 STEPS = (
@@ -54,3 +56,10 @@ def test_redaction_entropy(spark):
     found = dict(map(tuple, df.collect()))
     assert found == {k: t and brute_redact(t) for k, t in enumerate(texts)}
     assert found[0] == f"x [redacted] y\n[redacted],{secret[:20]}" and found[3] == "MY_THING=[redacted]"
+
+
+def test_entropy_of_whole_texts(spark, duck):
+    same_rows(engine.QUERIES["document_entropy"](spark, DATA), duck, engine.ORACLE_SQL["document_entropy"])
+    rows = [(1, "a" * 60 + "bcd" * 40), (2, "a" * 70), (3, ""), (4, None)]
+    found = dict(map(tuple, digests.entropies(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert found == {1: pytest.approx(bits(rows[0][1]), abs=1e-6), 2: 0.0}

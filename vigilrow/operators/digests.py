@@ -14,6 +14,13 @@ def tree_hash(files: DataFrame) -> DataFrame:
     return rows.select("artifact", F.sha2(whole, 256).alias("hash"))
 
 
+def entropies(texts: DataFrame) -> DataFrame:
+    """Per doc_id the bits per character of the whole text, to six places: sum(k log k) over the counts k of its characters."""
+    chars = texts.filter("text <> ''").select("doc_id", F.explode(F.split("text", "")).alias("x")).groupBy("doc_id", "x").agg(F.count("*").alias("k"))
+    sums = chars.groupBy("doc_id").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.log2("k")).alias("s"))
+    return sums.select("doc_id", F.round(F.log2("n") - F.col("s") / F.col("n"), 6).alias("bits"))
+
+
 def chain_breaks(journal: DataFrame) -> DataFrame:
     """Per journal (journal, line_no, raw, prev): lines, unchained ones (no prev), and the first line whose prev is not the digest of the line before."""
     w = Window.partitionBy("journal").orderBy("line_no")

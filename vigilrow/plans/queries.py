@@ -251,6 +251,12 @@ def character_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.round(scalar.entropy("head"), 6).alias("bits"))
 
 
+@query("""with p as (select doc_id, x, count(*)::double as k from (select doc_id, unnest(string_split(text, '')) as x from documents where text <> '') group by all)
+select doc_id, round(-sum(k / n * log2(k / n)), 6) as bits from (select doc_id, k, sum(k) over (partition by doc_id) as n from p) group by doc_id""")
+def document_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests.entropies(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("""select page_id, len(h)::bigint as n_hosts, array_to_string(h, ',') as hosts, len(h) > 0 and len(list_filter(h, lambda x: not regexp_matches(x, '^(?:localhost|127(?:\\.[0-9]{1,3}){3}|::1)$'))) = 0 as loopback
 from (select page_id, list_sort(list_distinct(list_transform(regexp_extract_all(html || case page_id % 4 when 0 then ' http://localhost:80/a' when 1 then ' https://u:p@Example.COM/x' when 2 then ' http://[::1]/y' else '' end, '(?i)\\bhttps?://(?:[^/\\s@]*@)?(\\[[0-9a-f:]+\\]|[A-Za-z0-9.-]+)', 1), lambda x: lower(translate(x, '[]', ''))))) as h from pages)""")
 def url_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
