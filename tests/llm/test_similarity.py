@@ -113,19 +113,13 @@ def test_front_coding_and_merge():
 
 
 def line_sets(rows):
-    """The shingle sets of lines_of's definition, computed apart from Spark; ascii lines with words."""
+    """The 5-character substrings of each line that is not blank, computed apart from Spark."""
     out = []
     for doc, text in rows:
-        for i, raw in enumerate((text or "").split("\n") if text is not None else []):
+        for i, raw in enumerate([] if text is None else text.split("\n")):
             norm = raw.strip(" ").lower()
             if norm:
-                w = norm.split(" ")
-                wide = len(norm) <= 24 * len(w)
-                parts, n = (w, 3) if wide else (list(norm), 5)
-                top = max(len(parts) - n + 1, 1)
-                get = lambda k: parts[k] if k < len(parts) else None
-                s = {(parts[k], get(k + 1), (get(k + 2) or "")[:3]) if wide else tuple(get(k + j) for j in range(5)) for k in range(top)}
-                out.append((doc, i, norm, s))
+                out.append((doc, i, norm, {norm[k : k + 5] for k in range(max(len(norm) - 4, 1))}))
     return out
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+import weakref
 import zlib
 from collections.abc import Iterator
 
@@ -27,26 +27,44 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one in the warehouse where the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="vigilrow-")
+        found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/vigilrow-shared"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+#: Where the tables of materialize() are.
+_WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut and lost executors cost nothing.
 
-    The files go when the driver's JVM ends.
+    The files go when discard() is called with what this returns, or else when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vigilrow/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(schema).parquet(path)
+    files, where = _file_system(spark, path)
+    files.deleteOnExit(where)
+    out = spark.read.schema(schema).parquet(path)
+    _WRITTEN[out] = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of frames that materialize() returned, once all that reads them is written."""
+    for df in frames:
+        files, where = _file_system(df.sparkSession, _WRITTEN.pop(df))
+        files.delete(where, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -121,8 +139,8 @@ def packed_batches(documents: DataFrame, flag: Column | None = None, size: int =
     name = f"vigilrow_batches_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/vigilrow/{name}"
     rows.withColumn("batch", F.monotonically_increasing_id()).write.bucketBy(partitions(spark), "batch").option("path", path).saveAsTable(name)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    files, where = _file_system(spark, path)
+    files.deleteOnExit(where)
     return spark.table(name)
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilrow.llm.common import materialize
+from vigilrow.llm.common import discard, materialize
 
 
 def _mark(edges: DataFrame):
@@ -27,7 +27,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     ids = now
     now = now.filter("u <> v")
-    mark = _mark(now)
+    mark, rounds = _mark(now), []
     while mark[0]:
         # larger neighbours of a node are joined to its smallest one
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -38,6 +38,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = materialize(small.union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "edges")
         changed = _mark(after)
+        if rounds:
+            discard(rounds.pop())
+        rounds.append(after)
         now = after
         if changed == mark:
             break

@@ -1,20 +1,21 @@
 r"""Line dedup: fuzzy lines by MinHash, in DataFrame and SQL functions alone.
 
 A line is a part of a text between line feeds; it is compared lower-cased and without spaces at its ends,
-and a line of spaces alone is never removed. Its set holds the shingles of `narrow` characters at every
-position, up to its last character; a shorter line is one shingle. Two lines link when the Jaccard similarity
-of their sets is at least `percent` %. Of each component of linked lines one stays: the one that comes first
-by (doc_id, line number).
-
-The signature of a line is the least hashes of its set; a band is two successive ones. With `bands` = 6
-a pair at similarity 0.8 meets in at least one band with a chance of 0.985, at 0.9 of 0.9998. Lines that
-meet are compared exactly: first each line with the line of its bucket that meets most others, in large buckets with
-a few more, then, per bucket, what is still in different components, so that a group of near copies costs its size, not its
-square. Before two lines of a bucket become a pair, their sketches are compared: of each of 256 cells the parity of the
-shingles in it. Sets differ in at least as many shingles as cells, so that what this rules out surely doesn't link.
-Sets are eight times as large as their lines: they are made again for each pair and never written.
-
-Lines are known by 64-bit hashes. Exact copies are counted before anything is compared.
+and a line of spaces alone is never removed. Its set holds the shingles of 5 characters at every position, up
+to its last character; a shorter line is one shingle. Two lines link when the Jaccard similarity of their sets
+is at least `percent` %. Of each component of linked lines one stays: the one that comes first by (doc_id, line
+number).
+
+The signature of a line has 32 cells, by the hash of a shingle: the least hash of each, or that of the next
+cell that has one. A band is four successive cells. A pair at similarity 0.8 meets in at least one of the eight
+bands with a chance of 0.985, at 0.9 of 0.9998. Lines that meet become a pair if at least 18 of their cells agree,
+which a pair at 0.8 fails with a chance of 0.001, and pairs are compared exactly: first each line with a few lines of
+its bucket, then, per bucket, what is still in different components with a few lines more, and last all that is still
+apart, so that a group of near copies costs its size, not its square. Sets are eight times as large as their lines:
+they are made for each pair and never written.
+
+Signatures are made from one row a shingle, in generated code. Exact copies are counted before anything is
+compared; they are told from others by two 64-bit hashes, and then numbered.
 
 Edge cases: null texts have no lines and stay null; an empty text has one blank line; rows that repeat a
 doc_id count as one place, so a line at the same number of each is kept or removed in both; a null doc_id
@@ -23,147 +24,177 @@ orders first; extra columns stay as they are; an empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilrow.llm.common import materialize
+from vigilrow.llm.common import discard, materialize
 from vigilrow.llm.components import connected_components, joined_components
 
-#: Up to so many ids, of 8 bytes each, are broadcast; more are joined by a shuffle.
+#: Up to so many lines, of at most five numbers each, are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
-#: In buckets of over LARGE lines, so many lines more are compared with all others at first.
-LARGE, LEADERS = 16, 5
-
-
-def lines_of(documents: DataFrame) -> DataFrame:
-    """doc_id, line (from 0) and norm of the lines that are not blank, with the hash h of norm."""
-    lines = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    return lines.select("doc_id", "line", F.lower(F.trim("raw")).alias("norm")).filter("norm <> ''").withColumn("h", F.xxhash64("norm"))
-
-
-def with_set(lines: DataFrame, narrow: int = 5) -> DataFrame:
-    """Adds `set`: the sorted distinct hashes of the shingles of norm."""
-    # four bytes a character, so that no position is searched for; bound by a lambda, so that it is encoded once a line
-    shingles = F.expr(
-        "transform(array(encode(norm, 'UTF-32')), codes -> transform(sequence(0, greatest(cast(length(codes) div 4 as int) - "
-        f"{narrow}, 0)), i -> xxhash64(substring(codes, 4 * i + 1, {4 * narrow}))))[0]"
-    )
-    return lines.withColumn("set", F.sort_array(F.array_distinct(shingles)))
-
-
-def _occurrences(documents: DataFrame, bands: int) -> DataFrame:
-    """doc_id, line, h, the bands k1, k2, ... and the sketch of every line: its size and the parities p0 to p3 of 64 cells each."""
-    keys = [F.expr(f"if(size(set) > {k}, xxhash64(get(set, {k - 1}), get(set, {k})), {'xxhash64(get(set, 0))' if k == 1 else 'cast(null as bigint)'})").alias(f"k{k}") for k in range(1, bands + 1)]
-    words = [F.expr(f"aggregate(filter(set, x -> (x & 3) = {k}), 0L, (s, x) -> s ^ shiftleft(1L, cast(shiftright(x, 2) & 63 as int)))").alias(f"p{k}") for k in range(4)]
-    return with_set(lines_of(documents)).select("doc_id", "line", "h", "set").select("doc_id", "line", "h", *keys, F.size("set").alias("size"), *words)
-
+#: Characters of a shingle, cells of a signature, cells of a band, cells that agree in a pair at least.
+WIDTH, CELLS, ROWS, AGREE = 5, 32, 4, 18
 
-def _known_id():
-    """doc_id, the least number in place of null."""
-    return F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
+#: The line of a bucket whose number is next to such a number, bit by bit, is compared with all others of it.
+LEADERS = tuple((k * 0x9E3779B97F4A7C15 + 0x2545F4914F6CDD1D) % (1 << 40) for k in range(8))
 
 
-def _place():
-    """(doc_id, line) as one ordered number."""
-    return (_known_id().cast("decimal(20,0)") * F.lit(2**32).cast("decimal(11,0)") + F.col("line")).cast("decimal(38,0)")
+def lines_of(documents: DataFrame) -> DataFrame:
+    """doc_id (the least number in place of null), line (from 0) and norm of the lines that are not blank, with two hashes of norm."""
+    lines = documents.select(_known_id().alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line", "raw"))
+    lines = lines.filter("trim(raw) <> ''").select("doc_id", "line", F.lower(F.trim("raw")).alias("norm"))
+    return lines.withColumns({"h": F.xxhash64("norm"), "g": F.xxhash64(F.lit(1), "norm")})
 
 
-def _sizes(percent: int):
-    """Whether the sizes alone leave it open."""
-    return (F.col("sa") * 100 >= F.col("sb") * percent) & (F.col("sb") * 100 >= F.col("sa") * percent)
+def _known_id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
 
 
-def _near(percent: int):
-    """Whether the sketches of a and b leave it open that their sets are similar enough."""
-    differ = sum((F.bit_count(F.col(f"p{k}a").bitwiseXOR(F.col(f"p{k}b"))) for k in range(4)), F.lit(0))
-    return _sizes(percent) & (differ * (100 + percent) <= (F.col("sa") + F.col("sb")) * (100 - percent))
+def _shingles(lines: DataFrame, *keys: str) -> DataFrame:
+    """The columns keys and the hash x of the shingle at each position of norm."""
+    # four bytes a character, so that no position is searched for
+    coded = lines.select(*keys, F.expr("encode(norm, 'UTF-32')").alias("codes"))
+    at = coded.select(*keys, "codes", F.explode(F.expr(f"sequence(0, greatest(cast(length(codes) div 4 as int) - {WIDTH}, 0))")).alias("i"))
+    return at.select(*keys, F.expr(f"xxhash64(substring(codes, 4 * i + 1, {4 * WIDTH}))").alias("x"))
 
 
-def _sketch(lines: DataFrame, end: str, *others: str) -> DataFrame:
-    """The sketches of lines, named for one end of a pair."""
-    return lines.select(*others, F.col("h").alias(end), F.col("size").alias(f"s{end}"), *(F.col(f"p{k}").alias(f"p{k}{end}") for k in range(4)))
+def with_set(lines: DataFrame) -> DataFrame:
+    """Adds `set`: the distinct hashes of the shingles of norm."""
+    # bound by a lambda, so that a line is encoded once
+    shingles = F.expr(
+        "transform(array(encode(norm, 'UTF-32')), codes -> transform(sequence(0, greatest(cast(length(codes) div 4 as int) - "
+        f"{WIDTH}, 0)), i -> xxhash64(substring(codes, 4 * i + 1, {4 * WIDTH}))))[0]"
+    )
+    return lines.withColumn("set", F.array_distinct(shingles))
+
+
+def _classes(documents: DataFrame) -> DataFrame:
+    """id, h, g, n, the first place (doc_id, line), the bands k0, k1, ... and the cells of every distinct line: a byte each, eight in each of s0, s1, ..."""
+    keys = ["h", "g", "n", "doc_id", "line"]
+    texts = lines_of(documents).groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line")).alias("first"), F.min("norm").alias("norm"))
+    x = _shingles(texts.select("h", "g", "n", "first.doc_id", "first.line", "norm"), *keys)
+    x = x.select(*keys, "x", F.expr(f"cast(x & {CELLS - 1} as int)").alias("cell"))
+    cells = x.groupBy(*keys).agg(*(F.expr(f"min(x) filter (where cell = {k})").alias(f"m{k}") for k in range(CELLS)))
+    # an empty cell has the value of the next one that is not
+    full = cells.select(*keys, *(F.coalesce(*(F.col(f"m{(k + i) % CELLS}") for i in range(CELLS))).alias(f"m{k}") for k in range(CELLS)))
+    packed = [F.expr(" | ".join(f"shiftleft(shiftright(m{8 * w + i}, 8) & 255, {8 * i})" for i in range(8))).alias(f"s{w}") for w in range(CELLS // 8)]
+    hashed = [F.xxhash64(F.lit(b), *(f"m{b * ROWS + i}" for i in range(ROWS))).alias(f"k{b}") for b in range(CELLS // ROWS)]
+    return full.select(F.monotonically_increasing_id().alias("id"), *keys, *hashed, *packed)
+
+
+def _near() -> Column:
+    """Whether enough cells of a and b agree."""
+    differ = []
+    for w in range(CELLS // 8):
+        x = F.col(f"s{w}a").bitwiseXOR(F.col(f"s{w}b"))
+        for shift in (4, 2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+        differ.append(F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101))))
+    return sum(differ, F.lit(0)) <= CELLS - AGREE
+
+
+def _end(lines: DataFrame, end: str, *others: str) -> DataFrame:
+    """The cells of lines, named for one end of a pair."""
+    return lines.select(*others, F.col("id").alias(end), *(F.col(f"s{w}").alias(f"s{w}{end}") for w in range(CELLS // 8)))
+
+
+def _texts(documents: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and norm of the lines in ids, each from the first document that has it."""
+    place = materialize(ids.join(classes.select("id", "h", "g", "doc_id", "line"), "id"), "places")
+    if place.count() <= BROADCAST_IDS:
+        place = F.broadcast(place)
+    own = documents.withColumn("doc_id", _known_id()).join(place.select("doc_id").distinct(), "doc_id", "left_semi")
+    return lines_of(own).join(place, ["doc_id", "line", "h", "g"]).dropDuplicates(["id"]).select("id", "norm")
 
 
 def _linked(pairs: DataFrame, documents: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of lines whose sets are similar enough."""
-    pairs = materialize(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    ids = materialize(ids.join(classes.select("h", "first"), "h"), "ids")
-    place = ids.select("h", F.floor(F.col("first") / F.lit(2**32).cast("decimal(11,0)")).cast("long").alias("doc_id"))
-    if ids.count() <= BROADCAST_IDS:
-        place = F.broadcast(place)
-    # the first document that has the line; a null doc_id is what _place() makes of it
-    own = documents.withColumn("doc_id", _known_id()).join(place.select("doc_id").distinct(), "doc_id", "left_semi")
-    own = lines_of(own).join(place, ["doc_id", "h"], "left_semi").dropDuplicates(["h"])
-    texts = materialize(own.select("h", "norm"), "texts")
-    x, y = (texts.select(F.col("h").alias(i), F.col("norm").alias(j)) for i, j in (("a", "x"), ("b", "y")))
+    texts = materialize(_texts(documents, classes, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "texts")
+    x, y = (texts.select(F.col("id").alias(i), F.col("norm").alias(j)) for i, j in (("a", "x"), ("b", "y")))
     both = with_set(pairs.join(y, "b").join(x, "a").withColumnRenamed("x", "norm")).withColumnRenamed("set", "x")
     both = with_set(both.drop("norm").withColumnRenamed("y", "norm")).withColumnRenamed("set", "y").withColumn("both", F.size(F.array_intersect("x", "y")))
     return both.filter(100 * F.col("both") >= percent * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b")
 
 
-def components(documents: DataFrame, classes: DataFrame, bands: int, percent: int) -> DataFrame:
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _leaders(leaders: tuple[int, ...]) -> Column:
+    """Of the lines of a group, those next to the given numbers."""
+    return F.array_distinct(F.array(*(F.min(F.col("id").bitwiseXOR(F.lit(k))).bitwiseXOR(F.lit(k)) for k in leaders)))
+
+
+def components(documents: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(id, component) of the lines that link with others."""
-    met = classes.select("h", "size", F.explode(F.array(*(f"k{k}" for k in range(1, bands + 1)))).alias("key")).filter("key is not null")
-    often = met.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    met = materialize(met.join(often, "key"), "met")
-    # in each bucket the line that meets most others comes first
-    weight = met.groupBy("h").agg(F.sum("n").alias("weight"))
-    first = met.join(weight, "h").groupBy("key").agg(F.max(F.struct("weight", "h", "size")).alias("first")).select("key", F.col("first.h").alias("a"), F.col("first.size").alias("sa"))
-    # in large buckets some other lines, chosen by hash, are compared with all too: what they join needs no pairs
-    more = met.filter(F.col("n") > LARGE).groupBy("key").agg(F.array(*(F.min(F.struct(F.xxhash64("h", F.lit(k)), "h", "size")) for k in range(LEADERS))).alias("a"))
-    first = first.union(more.select("key", F.explode("a").alias("a")).select("key", "a.h", "a.size")).distinct()
-    stars = met.withColumnRenamed("size", "sb").join(first, "key").filter((F.col("h") != F.col("a")) & _sizes(percent))
-    stars = stars.select(F.least("a", "h").alias("a"), F.greatest("a", "h").alias("b")).distinct()
-    stars = stars.join(_sketch(classes, "a"), "a").join(_sketch(classes, "b"), "b").filter(_near(percent))
-    stars = materialize(stars.select("a", "b"), "stars")
-    links = materialize(_linked(stars, documents, classes, percent), "links")
-    label = materialize(connected_components(links), "label")
-    held = met.join(label.withColumnRenamed("id", "h"), "h", "left").select("key", "h", F.coalesce("component", "h").alias("component"))
-    apart = held.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    held = materialize(held.join(apart, "key", "left_semi"), "apart")
-    held = materialize(held.join(classes.select("h", "size", *(f"p{k}" for k in range(4))), "h"), "sketches")
-    x, y = (_sketch(held, h, "key", F.col("component").alias(f"c{h}")) for h in ("a", "b"))
-    rest = x.join(y, "key").filter((F.col("ca") < F.col("cb")) & _near(percent)).select("a", "b")
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = materialize(_linked(rest, documents, classes, percent), "links")
-    return joined_components(label, more)
-
-
-def decide(documents: DataFrame, bands: int = 6, percent: int = 80) -> DataFrame:
+    every = classes.select("id", F.explode(F.array(*(c for c in classes.columns if c[0] == "k"))).alias("key"))
+    often = every.groupBy("key").agg(F.count("*").alias("n"), _leaders(LEADERS[:4]).alias("first")).filter("n > 1")
+    # in small buckets the first lines are compared with all others, so that no pair is left
+    met = materialize(every.join(often.select("key", "first", (F.size("first") < F.col("n") - 1).alias("open")), "key"), "met")
+    cells = classes.select("id", *(f"s{w}" for w in range(CELLS // 8)))
+
+    def near(pairs: DataFrame) -> DataFrame:
+        pairs = _ordered(pairs.filter("a <> b"))
+        return pairs.join(_end(cells, "a"), "a").join(_end(cells, "b"), "b").filter(_near()).select("a", "b")
+
+    stars = materialize(near(met.select(F.col("id").alias("a"), F.explode("first").alias("b"))), "stars")
+    label = materialize(connected_components(materialize(_linked(stars, documents, classes, percent), "links")), "label")
+
+    def apart() -> DataFrame:
+        """key, id and component of the lines of buckets with several components."""
+        held = met.filter("open").select("key", "id").join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+        several = held.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+        return held.join(several.select("key"), "key", "left_semi")
+
+    # in buckets still apart, some other lines are compared with all of another component
+    held = materialize(apart(), "apart")
+    more = held.groupBy("key").agg(_leaders(LEADERS[4:]).alias("first")).select("key", F.explode("first").alias("b"))
+    more = more.join(label.select(F.col("id").alias("b"), F.col("component").alias("of")), "b", "left")
+    more = held.join(more, "key").filter(F.col("component") != F.coalesce("of", "b")).select(F.col("id").alias("a"), "b")
+    more = materialize(near(more), "pairs")
+    stars = stars.union(more)
+    label = materialize(joined_components(label, materialize(_linked(more, documents, classes, percent), "links")), "label")
+    # then all that is apart
+    held = materialize(apart().join(cells, "id"), "apart")
+    x, y = (_end(held, end, "key", F.col("component").alias(f"c{end}")) for end in ("a", "b"))
+    rest = _ordered(x.join(y, "key").filter((F.col("ca") < F.col("cb")) & _near()).select("a", "b")).join(stars, ["a", "b"], "left_anti")
+    return joined_components(label, materialize(_linked(materialize(rest, "pairs"), documents, classes, percent), "links"))
+
+
+def decide(documents: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id and removed: the sorted numbers of the lines that go, for each document that has such lines."""
     documents = documents.select("doc_id", "text")
-    lines = materialize(_occurrences(documents, bands), "lines")
-    same = [*(f"k{k}" for k in range(1, bands + 1)), "size", *(f"p{k}" for k in range(4))]
-    classes = lines.select("h", _place().alias("first"), *same)
-    classes = materialize(classes.groupBy("h").agg(F.count("*").alias("n"), F.min("first").alias("first"), *(F.min(c).alias(c) for c in same)), "classes")
-    label = components(documents, classes, bands, percent).withColumnRenamed("id", "h")
-    linked = classes.select("h", "n", "first").join(label, "h", "left")
-    alone = linked.filter("component is null and n > 1").select("h", "first")
+    classes = materialize(_classes(documents), "classes")
+    label = components(documents, classes, percent)
+    linked = classes.select("id", "h", "g", "n", F.struct("doc_id", "line").alias("first")).join(label, "id", "left")
+    alone = linked.filter("component is null and n > 1").select("h", "g", "first")
     linked = linked.filter("component is not null")
     first = linked.groupBy("component").agg(F.min("first").alias("first"))
-    owner = alone.union(linked.select("h", "component").join(first, "component").select("h", "first"))
-    gone = lines.select("doc_id", "line", "h", _place().alias("place")).join(owner, "h").filter("place <> first").select("doc_id", "line").distinct()
+    owner = materialize(alone.union(linked.select("h", "g", "component").join(first, "component").select("h", "g", "first")), "owner")
+    if owner.count() <= BROADCAST_IDS:
+        owner = F.broadcast(owner)
+    lines = lines_of(documents).select("doc_id", "line", "h", "g")
+    gone = lines.join(owner, ["h", "g"]).filter(F.struct("doc_id", "line") != F.col("first")).select("doc_id", "line").distinct()
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("removed"))
 
 
-def report(documents: DataFrame, bands: int = 6, percent: int = 80) -> DataFrame:
+def report(documents: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_lines (blank ones too), n_removed and removed of every row."""
-    gone = materialize(decide(documents, bands, percent), "removed")
+    gone = materialize(decide(documents, percent), "removed").withColumnRenamed("doc_id", "_doc")
     sizes = documents.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"))
     sizes = sizes.withColumn("n_lines", F.greatest("n_lines", F.lit(0)).cast("long"))
-    gone = gone.withColumnRenamed("doc_id", "_doc")
-    both = sizes.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
+    both = sizes.join(gone, _known_id() == F.col("_doc"), "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     return both.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
 
 
-def dedup(documents: DataFrame, bands: int = 6, percent: int = 80) -> DataFrame:
+def dedup(documents: DataFrame, percent: int = 80) -> DataFrame:
     """All columns of documents, text without the lines that go."""
-    gone = materialize(decide(documents, bands, percent), "removed").select(F.col("doc_id").alias("id"), "removed")
+    gone = materialize(decide(documents, percent), "removed").select(F.col("doc_id").alias("id"), "removed")
     # a row's columns stay inside a struct, whatever their names
-    both = documents.select(F.struct("*").alias("row")).join(gone, F.col("row.doc_id").eqNullSafe(F.col("id")), "left").withColumn("lines", F.split("row.text", "\n"))
+    rows = documents.select(F.struct("*").alias("row"), _known_id().alias("known"))
+    both = rows.join(gone, F.col("known") == F.col("id"), "left").withColumn("lines", F.split("row.text", "\n"))
     # between the removed lines lie the slices that stay
     kept = F.expr("array_join(flatten(transform(concat(removed, array(size(lines))), (r, i) -> slice(lines, coalesce(get(removed, i - 1), -1) + 2, r - coalesce(get(removed, i - 1), -1) - 1))), '\n')")
     text = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(kept)
