@@ -7,12 +7,14 @@ is at least `percent` %. Of each component of linked lines one stays: the one th
 number).
 
 The signature of a line has 32 cells, by the hash of a shingle: the least hash of each, or that of the next
-cell that has one. A band is four successive cells. A pair at similarity 0.8 meets in at least one of the eight
-bands with a chance of 0.985, at 0.9 of 0.9998. Lines that meet become a pair if at least 18 of their cells agree,
-which a pair at 0.8 fails with a chance of 0.001, and pairs are compared exactly: first each line with a few lines of
-its bucket, then, per bucket, what is still in different components with a few lines more, and last all that is still
-apart, so that a group of near copies costs its size, not its square. Sets are eight times as large as their lines:
-they are made for each pair and never written.
+cell that has one. A band is five cells, seven apart; 16 of them start at every other cell. A pair at similarity 0.8
+meets in at least one with a chance of 0.979, at 0.85 of 0.996, at 0.9 of 0.9996. Lines that meet become a pair
+if at least 18 of their cells agree, which a pair at 0.8 fails with a chance of 0.001, and if their sketches allow it:
+which of 1,024 cells their shingles fall in; sets differ in at least as many shingles as cells, so that what this
+rules out surely doesn't link. Pairs are compared exactly: first each line with a few lines of its bucket, then, per
+bucket, what is still in different components with a few lines more, and last all that is still apart, so that a
+group of near copies costs its size, not its square. Sets are eight times as large as their lines: they are made for
+each pair and never written.
 
 Signatures are made from one row a shingle, in generated code. Exact copies are counted before anything is
 compared; they are told from others by two 64-bit hashes, and then numbered.
@@ -33,8 +35,11 @@ from vigilrow.llm.components import connected_components, joined_components
 #: Up to so many lines, of at most five numbers each, are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
-#: Characters of a shingle, cells of a signature, cells of a band, cells that agree in a pair at least.
-WIDTH, CELLS, ROWS, AGREE = 5, 32, 4, 18
+#: Characters of a shingle, cells of a signature, cells that agree in a pair at least, 64-bit words of a sketch.
+WIDTH, CELLS, AGREE, WORDS = 5, 32, 18, 16
+
+#: The cells of each band.
+BANDS = tuple(tuple((2 * b + 7 * i) % CELLS for i in range(5)) for b in range(16))
 
 #: The line of a bucket whose number is next to such a number, bit by bit, is compared with all others of it.
 LEADERS = tuple((k * 0x9E3779B97F4A7C15 + 0x2545F4914F6CDD1D) % (1 << 40) for k in range(8))
@@ -79,24 +84,33 @@ def _classes(documents: DataFrame) -> DataFrame:
     # an empty cell has the value of the next one that is not
     full = cells.select(*keys, *(F.coalesce(*(F.col(f"m{(k + i) % CELLS}") for i in range(CELLS))).alias(f"m{k}") for k in range(CELLS)))
     packed = [F.expr(" | ".join(f"shiftleft(shiftright(m{8 * w + i}, 8) & 255, {8 * i})" for i in range(8))).alias(f"s{w}") for w in range(CELLS // 8)]
-    hashed = [F.xxhash64(F.lit(b), *(f"m{b * ROWS + i}" for i in range(ROWS))).alias(f"k{b}") for b in range(CELLS // ROWS)]
+    hashed = [F.xxhash64(F.lit(b), *(f"m{k}" for k in band)).alias(f"k{b}") for b, band in enumerate(BANDS)]
     return full.select(F.monotonically_increasing_id().alias("id"), *keys, *hashed, *packed)
 
 
-def _near() -> Column:
-    """Whether enough cells of a and b agree."""
-    differ = []
+def _near(percent: int) -> Column:
+    """Whether enough cells of a and b agree and their sketches leave it open that their sets are similar enough."""
+    other = []
     for w in range(CELLS // 8):
         x = F.col(f"s{w}a").bitwiseXOR(F.col(f"s{w}b"))
         for shift in (4, 2, 1):
             x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        differ.append(F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101))))
-    return sum(differ, F.lit(0)) <= CELLS - AGREE
+        other.append(F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101))))
+    differ = sum((F.bit_count(F.col(f"p{k}a").bitwiseXOR(F.col(f"p{k}b"))) for k in range(WORDS)), F.lit(0))
+    return (sum(other, F.lit(0)) <= CELLS - AGREE) & (differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
+
+
+def _sketches(texts: DataFrame) -> DataFrame:
+    """id, the positions n of its line and the words p0, p1, ... of its sketch."""
+    x = _shingles(texts, "id")
+    x = x.select("id", F.expr(f"cast(x & {WORDS - 1} as int)").alias("word"), F.expr("shiftleft(1L, cast(shiftright(x, 8) & 63 as int))").alias("bit"))
+    return x.groupBy("id").agg(F.count("*").alias("n"), *(F.expr(f"coalesce(bit_or(bit) filter (where word = {k}), 0L)").alias(f"p{k}") for k in range(WORDS)))
 
 
 def _end(lines: DataFrame, end: str, *others: str) -> DataFrame:
-    """The cells of lines, named for one end of a pair."""
-    return lines.select(*others, F.col("id").alias(end), *(F.col(f"s{w}").alias(f"s{w}{end}") for w in range(CELLS // 8)))
+    """The cells and sketches of lines, named for one end of a pair."""
+    own = ["n", *(f"s{w}" for w in range(CELLS // 8)), *(f"p{k}" for k in range(WORDS))]
+    return lines.select(*others, F.col("id").alias(end), *(F.col(c).alias(f"{c}{end}") for c in own))
 
 
 def _texts(documents: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
@@ -108,9 +122,8 @@ def _texts(documents: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFram
     return lines_of(own).join(place, ["doc_id", "line", "h", "g"]).dropDuplicates(["id"]).select("id", "norm")
 
 
-def _linked(pairs: DataFrame, documents: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of lines whose sets are similar enough."""
-    texts = materialize(_texts(documents, classes, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "texts")
     x, y = (texts.select(F.col("id").alias(i), F.col("norm").alias(j)) for i, j in (("a", "x"), ("b", "y")))
     both = with_set(pairs.join(y, "b").join(x, "a").withColumnRenamed("x", "norm")).withColumnRenamed("set", "x")
     both = with_set(both.drop("norm").withColumnRenamed("y", "norm")).withColumnRenamed("set", "y").withColumn("both", F.size(F.array_intersect("x", "y")))
@@ -132,34 +145,33 @@ def components(documents: DataFrame, classes: DataFrame, percent: int) -> DataFr
     often = every.groupBy("key").agg(F.count("*").alias("n"), _leaders(LEADERS[:4]).alias("first")).filter("n > 1")
     # in small buckets the first lines are compared with all others, so that no pair is left
     met = materialize(every.join(often.select("key", "first", (F.size("first") < F.col("n") - 1).alias("open")), "key"), "met")
-    cells = classes.select("id", *(f"s{w}" for w in range(CELLS // 8)))
-
-    def near(pairs: DataFrame) -> DataFrame:
-        pairs = _ordered(pairs.filter("a <> b"))
-        return pairs.join(_end(cells, "a"), "a").join(_end(cells, "b"), "b").filter(_near()).select("a", "b")
+    texts = materialize(_texts(documents, classes, met.select("id").distinct()), "texts")
+    cells = materialize(_sketches(texts).join(classes.select("id", *(f"s{w}" for w in range(CELLS // 8))), "id"), "cells")
 
-    stars = materialize(near(met.select(F.col("id").alias("a"), F.explode("first").alias("b"))), "stars")
-    label = materialize(connected_components(materialize(_linked(stars, documents, classes, percent), "links")), "label")
+    stars = _ordered(met.select(F.col("id").alias("a"), F.explode("first").alias("b")).filter("a <> b"))
+    stars = materialize(stars.join(_end(cells, "a"), "a").join(_end(cells, "b"), "b").filter(_near(percent)).select("a", "b"), "stars")
+    label = materialize(connected_components(materialize(_linked(stars, texts, percent), "links")), "label")
 
-    def apart() -> DataFrame:
-        """key, id and component of the lines of buckets with several components."""
+    def apart(label: DataFrame) -> DataFrame:
+        """The cells and sketches, key and component of the lines of buckets with several components."""
         held = met.filter("open").select("key", "id").join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
         several = held.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-        return held.join(several.select("key"), "key", "left_semi")
-
-    # in buckets still apart, some other lines are compared with all of another component
-    held = materialize(apart(), "apart")
-    more = held.groupBy("key").agg(_leaders(LEADERS[4:]).alias("first")).select("key", F.explode("first").alias("b"))
-    more = more.join(label.select(F.col("id").alias("b"), F.col("component").alias("of")), "b", "left")
-    more = held.join(more, "key").filter(F.col("component") != F.coalesce("of", "b")).select(F.col("id").alias("a"), "b")
-    more = materialize(near(more), "pairs")
-    stars = stars.union(more)
-    label = materialize(joined_components(label, materialize(_linked(more, documents, classes, percent), "links")), "label")
+        return materialize(held.join(several.select("key"), "key", "left_semi").join(cells, "id"), "apart")
+
+    # in buckets still apart, some other lines are compared with all of other components
+    held = apart(label)
+    others = held.groupBy("key").agg(_leaders(LEADERS[4:]).alias("first")).select("key", F.explode("first").alias("id"))
+    x, y = _end(held, "a", "key", F.col("component").alias("ca")), _end(held.join(others, ["key", "id"]), "b", "key", F.col("component").alias("cb"))
+    more = materialize(_ordered(x.join(y, "key").filter((F.col("ca") != F.col("cb")) & _near(percent)).select("a", "b")).join(stars, ["a", "b"], "left_anti"), "pairs")
+    label = materialize(joined_components(label, materialize(_linked(more, texts, percent), "links")), "label")
     # then all that is apart
-    held = materialize(apart().join(cells, "id"), "apart")
+    held = apart(label)
     x, y = (_end(held, end, "key", F.col("component").alias(f"c{end}")) for end in ("a", "b"))
-    rest = _ordered(x.join(y, "key").filter((F.col("ca") < F.col("cb")) & _near()).select("a", "b")).join(stars, ["a", "b"], "left_anti")
-    return joined_components(label, materialize(_linked(materialize(rest, "pairs"), documents, classes, percent), "links"))
+    rest = _ordered(x.join(y, "key").filter((F.col("ca") < F.col("cb")) & _near(percent)).select("a", "b"))
+    rest = materialize(rest.join(stars.union(more), ["a", "b"], "left_anti"), "pairs")
+    label = materialize(joined_components(label, materialize(_linked(rest, texts, percent), "links")), "label")
+    discard(met, texts, cells)
+    return label
 
 
 def decide(documents: DataFrame, percent: int = 80) -> DataFrame:
