@@ -48,6 +48,13 @@ def test_redaction_of_documents(spark):
     assert any(r.text != docs[r.doc_id].text for r in found)
 
 
+def test_redaction_with_secrets(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()}
+    found = dict(map(tuple, engine.QUERIES["redaction"](spark, DATA).collect()))
+    assert found == {k: brute_redact(f"{t or ''}\n{engine.SECRETS[k % len(engine.SECRETS)]}") for k, t in docs.items()}
+    assert sum("[redacted]" in t for t in found.values()) > len(docs) / 2
+
+
 def test_redaction_entropy(spark):
     rng = random.Random(1)
     secret = "".join(rng.choices("abcdefghijkmnpqrstuvwxyzABCDEFGH23456789+/", k=40)) + "7a"

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilrow.functions.regex import re2_to_java
@@ -17,67 +18,68 @@ class Rule:
     dimension: int
     severity: str
     pattern: str  # RE2
+    needs: tuple[str, ...] = ()  # every match holds one of these, in small letters; none: not known
     scope: str = ""  # script, hook or connector: only there
     veto: str = ""
     raw_only: bool = False
     advisory: bool = False
 
 
-def _rule(id, dimension, severity, pattern, **more) -> Rule:
-    return Rule(id, dimension, severity, "(?i)" + pattern, **more)
+def _rule(id, dimension, severity, pattern, *needs, **more) -> Rule:
+    return Rule(id, dimension, severity, "(?i)" + pattern, needs, **more)
 
 
 #: Ids, dimensions and severities are fixed values; the patterns are our own.
 RULES = (
-    _rule("INJ-001", 1, "high", r"\b(?:ignore|disregard|forget)\b.{0,20}\b(?:previous|prior|earlier|above)\b.{0,20}\b(?:instructions?|rules|orders)\b"),
-    _rule("INJ-002", 1, "medium", r"\b(?:ignore|disregard|override)\b.{0,20}\b(?:system|developer)\b.{0,10}\b(?:prompt|message)\b"),
-    _rule("INJ-003", 1, "medium", r"\byou are now\b.{0,30}\b(?:unrestricted|jailbroken|without limits)\b"),
+    _rule("INJ-001", 1, "high", r"\b(?:ignore|disregard|forget)\b.{0,20}\b(?:previous|prior|earlier|above)\b.{0,20}\b(?:instructions?|rules|orders)\b", "instruction", "rules", "orders"),
+    _rule("INJ-002", 1, "medium", r"\b(?:ignore|disregard|override)\b.{0,20}\b(?:system|developer)\b.{0,10}\b(?:prompt|message)\b", "prompt", "message"),
+    _rule("INJ-003", 1, "medium", r"\byou are now\b.{0,30}\b(?:unrestricted|jailbroken|without limits)\b", "you are now"),
     _rule("INJ-004", 1, "medium", "[​‌‍‪‫‭‮⁠⁦⁧⁨]", raw_only=True),
-    _rule("INJ-005", 1, "high", r"\b(?:curl|wget|fetch)\b.{0,80}https?://[^\s]{1,200}/(?:instructions|steps|payload|prompt)\.(?:md|txt)\b"),
-    _rule("EXEC-001", 4, "high", r"\bcurl\b[^|]{0,200}\|\s*(?:sudo\s+)?(?:ba|z|da)?sh\b"),
-    _rule("EXEC-002", 4, "high", r"\bwget\b[^|]{0,200}\|\s*(?:sudo\s+)?(?:ba|z|da)?sh\b"),
-    _rule("EXEC-003", 4, "low", r"(?:^|[^\w.])(?:eval|exec)\s*\("),
-    _rule("EXEC-004", 4, "medium", r"\b(?:subprocess\.(?:run|popen|call|check_output)|os\.system|child_process)\b"),
-    _rule("EXEC-005", 4, "medium", r"\bnew\s+function\s*\("),
-    _rule("EXEC-006", 4, "medium", r"\bset(?:timeout|interval)\s*\(\s*['\"]"),
-    _rule("EXEC-007", 4, "medium", r"\bvm\.(?:runinnewcontext|runinthiscontext|runincontext)\b"),
-    _rule("EXEC-008", 4, "high", r"\bpowershell\b.{0,80}\s-e(?:nc|ncodedcommand)?\s+[a-z0-9+/=]{16,}"),
-    _rule("EXEC-009", 4, "medium", r"\b(?:invoke-expression|iex)\b\s*[\(\$'\"]"),
-    _rule("EXEC-010", 4, "high", r"\b(?:ld_preload|dyld_insert_libraries|pythonstartup|node_options|bash_env)\s*="),
-    _rule("EXEC-011", 4, "high", r"\bbase64\b\s+(?:-d|--decode)\b[^|]{0,80}\|\s*(?:ba|z)?sh\b"),
-    _rule("EXEC-012", 4, "high", r"(?:\$\(|`|<\()\s*(?:curl|wget)\b"),
-    _rule("EXEC-013", 4, "high", r"(?:source|\.)\s+/tmp/[^\s]+.{0,40}>>\s*~?/?[^\s]*\.(?:bashrc|zshrc|profile)\b"),
-    _rule("HOOK-001", 4, "medium", r"(?:&&|\|\||;)\s*\w", scope="hook"),
-    _rule("EXFIL-004", 3, "medium", r"(?:\bprintenv\b|(?:^|[;&|]\s*)env\s*(?:$|[|>])|\bos\.environ\.(?:items|copy)\(|json\.dumps\(\s*(?:dict\()?os\.environ)"),
-    _rule("EXFIL-006", 3, "medium", r"\b[a-z_]*(?:base_url|api_base|endpoint)\s*[=:]\s*['\"]?https?://", veto=r"https?://(?:api\.[a-z]+\.(?:com|org)|localhost|127\.)"),
-    _rule("EXFIL-007", 3, "high", r"https?://[^\s]{0,200}\?[^\s]{0,100}\$\((?:hostname|whoami|id|uname)"),
-    _rule("PERM-007", 2, "high", r"(?:>|>>|write(?:_text|filesync)?\s*\().{0,60}settings(?:\.local)?\.json", scope="script"),
-    _rule("PERM-008", 2, "medium", r"['\"]?(?:permissiondecision|decision|behavior)['\"]?\s*:\s*['\"]allow['\"]", scope="script"),
-    _rule("MCP-001", 1, "high", r"\b(?:read|include|send|attach)\b.{0,60}(?:~/\.ssh|id_rsa|\.env\b|credentials|api keys?)", scope="connector"),
-    _rule("MCP-002", 1, "medium", r"\b(?:do not|never) (?:tell|mention|inform|show)\b.{0,20}\buser\b|\binstead of (?:the )?other tools?\b", scope="connector"),
-    _rule("MCP-003", 1, "medium", r"^\s*(?:<(?:important|system)>|system\s*:)", scope="connector"),
-    _rule("MCP-004", 3, "medium", r"\b(?:send|post|forward|upload)\b.{0,60}https?://", scope="connector"),
-    _rule("MCP-005", 3, "high", r"\b(?:always )?(?:bcc|cc|copy)\b.{0,40}[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}", scope="connector"),
-    _rule("SUP-001", 5, "medium", r"\bpip3?\s+install\b.*--(?:extra-)?index-url\b"),
-    _rule("SUP-002", 5, "medium", r"\bnpm\s+(?:i|install)\b.*(?:http://|git\+http://|git://)"),
-    _rule("SUP-003", 5, "low", r"\b(?:pip3?|npm)\s+(?:i|install)\s+[a-z][a-z0-9_-]*\s*$"),
-    _rule("SUP-007", 5, "high", r"\b(?:curl|wget)\b.{0,80}\s-o\s*\S*.{0,40}http://", veto=r"http://(?:localhost|127\.)"),
-    _rule("OBF-001", 6, "medium", r"\b(?:base64\s+(?:-d|--decode)|b64decode|atob)\b"),
+    _rule("INJ-005", 1, "high", r"\b(?:curl|wget|fetch)\b.{0,80}https?://[^\s]{1,200}/(?:instructions|steps|payload|prompt)\.(?:md|txt)\b", "://"),
+    _rule("EXEC-001", 4, "high", r"\bcurl\b[^|]{0,200}\|\s*(?:sudo\s+)?(?:ba|z|da)?sh\b", "curl"),
+    _rule("EXEC-002", 4, "high", r"\bwget\b[^|]{0,200}\|\s*(?:sudo\s+)?(?:ba|z|da)?sh\b", "wget"),
+    _rule("EXEC-003", 4, "low", r"(?:^|[^\w.])(?:eval|exec)\s*\(", "eval", "exec"),
+    _rule("EXEC-004", 4, "medium", r"\bsubprocess\.[a-z_]+\s*\(|\bos\.(?:system|popen)\s*\(|\brequire\(\s*['\"](?:node:)?child_process|\bshell\s*=\s*true\b", "subprocess", "os.", "child_process", "shell"),
+    _rule("EXEC-005", 4, "medium", r"\bnew\s+function\s*\(", "function"),
+    _rule("EXEC-006", 4, "medium", r"\b(?:set|window\.set)(?:timeout|interval)\(\s*[`'\"]", "settimeout", "setinterval"),
+    _rule("EXEC-007", 4, "medium", r"\bvm\.(?:run|compile|create)[a-z]*(?:context|function|script)\b|\bnew\s+vm\.script\b", "vm."),
+    _rule("EXEC-008", 4, "high", r"\bpowershell\b.{0,80}\s-e(?:nc|ncodedcommand)?\s+[a-z0-9+/=]{16,}", "powershell"),
+    _rule("EXEC-009", 4, "medium", r"\b(?:invoke-expression|iex)\b\s*[\(\$'\"]", "invoke-expression", "iex"),
+    _rule("EXEC-010", 4, "high", r"\b(?:ld_preload|dyld_insert_libraries|pythonstartup|node_options|bash_env)\s*=", "ld_preload", "dyld_insert_libraries", "pythonstartup", "node_options", "bash_env"),
+    _rule("EXEC-011", 4, "high", r"\bbase64\b\s+(?:-d|--decode)\b[^|]{0,80}\|\s*(?:ba|z)?sh\b", "base64"),
+    _rule("EXEC-012", 4, "high", r"(?:\$\(|`|<\()\s*(?:curl|wget)\b", "curl", "wget"),
+    _rule("EXEC-013", 4, "high", r"(?:source|\.)\s+/tmp/[^\s]+.{0,40}>>\s*~?/?[^\s]*\.(?:bashrc|zshrc|profile)\b", "/tmp/"),
+    _rule("HOOK-001", 4, "medium", r"(?:&&|\|\||;)\s*\w", "&&", "||", ";", scope="hook"),
+    _rule("EXFIL-004", 3, "medium", r"(?:\bprintenv\b|(?:^|[;&|]\s*)env\s*(?:$|[|>])|\bos\.environ\.(?:items|copy)\(|json\.dumps\(\s*(?:dict\()?os\.environ)", "env"),
+    _rule("EXFIL-006", 3, "medium", r"\b[a-z_]*(?:base_url|api_base|endpoint)\s*[=:]\s*['\"]?https?://", "://", veto=r"https?://(?:api\.[a-z]+\.(?:com|org)|localhost|127\.)"),
+    _rule("EXFIL-007", 3, "high", r"\?[^\s?]{0,120}(?:\$\(|`)\s*(?:whoami|hostname|uname|id|logname)\b", "whoami", "hostname", "uname", "id", "logname"),
+    _rule("PERM-007", 2, "high", r"(?:>|>>|write(?:_text|filesync)?\s*\().{0,60}settings(?:\.local)?\.json", "settings", scope="script"),
+    _rule("PERM-008", 2, "medium", r"['\"]?(?:permissiondecision|decision|behavior)['\"]?\s*:\s*['\"]allow['\"]", "allow", scope="script"),
+    _rule("MCP-001", 1, "high", r"\b(?:read|include|send|attach)\b.{0,60}(?:~/\.ssh|id_rsa|\.env\b|credentials|api keys?)", "read", "include", "send", "attach", scope="connector"),
+    _rule("MCP-002", 1, "medium", r"\b(?:do not|never) (?:tell|mention|inform|show)\b.{0,20}\buser\b|\binstead of (?:the )?other tools?\b", "user", "instead of", scope="connector"),
+    _rule("MCP-003", 1, "medium", r"^\s*(?:<(?:important|system)>|system\s*:)", "<important>", "<system>", "system", scope="connector"),
+    _rule("MCP-004", 3, "medium", r"\b(?:send|post|forward|upload)\b.{0,60}https?://", "://", scope="connector"),
+    _rule("MCP-005", 3, "high", r"\b(?:always )?(?:bcc|cc|copy)\b.{0,40}[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}", "@", scope="connector"),
+    _rule("SUP-001", 5, "medium", r"\bpip3?\s+install\b.*--(?:extra-)?index-url\b", "index-url"),
+    _rule("SUP-002", 5, "medium", r"\bnpm\b[^;|&]{0,80}\s(?:add|ci|i|install)\s.{0,200}\b(?:git|http)://", "npm"),
+    _rule("SUP-003", 5, "low", r"\b(?:pip3?|npm)\s+(?:i|install)\s+[a-z][a-z0-9_-]*\s*$", "pip", "npm"),
+    _rule("SUP-007", 5, "high", r"\b(?:curl|wget)\b.{0,80}\s-o\s*\S*.{0,40}http://", "http://", veto=r"http://(?:localhost|127\.)"),
+    _rule("OBF-001", 6, "medium", r"\b(?:base64\s+(?:-d|--decode)|b64decode|atob)\b", "base64", "b64decode", "atob"),
     _rule("OBF-002", 6, "low", r"[a-z0-9+/]{200,}={0,2}"),
-    _rule("OBF-003", 6, "medium", r"\b(?:eval|exec)\s*\(.{0,40}\b(?:b64decode|atob|fromhex|unhexlify)\b"),
+    _rule("OBF-003", 6, "medium", r"\b(?:eval|exec)\s*\(.{0,40}\b(?:b64decode|atob|fromhex|unhexlify)\b", "eval", "exec"),
     _rule("OBF-005", 6, "medium", "[a-z][Ͱ-ϿЀ-ӿ]|[Ͱ-ϿЀ-ӿ][a-z]", raw_only=True),
-    _rule("FS-001", 9, "high", r"(?:~|/root|/home/\w+)/\.ssh/(?:id_\w+|authorized_keys)"),
-    _rule("FS-002", 9, "medium", r"(?:\.aws/credentials|\.config/gcloud|\.azure/|\.kube/config)"),
-    _rule("FS-003", 9, "high", r"\brm\s+-(?:rf|fr|r\s+-f)\s+(?:/|~|\$home)(?:\s|\*|$)"),
-    _rule("FS-004", 9, "medium", r"(?:\.\./){2,}(?:etc|root|home)\b"),
-    _rule("FS-005", 9, "high", r"(?:\bhistory\s+-c\b|\brm\b.{0,30}(?:bash|zsh)_history|\btruncate\b.{0,40}/var/log/)"),
-    _rule("RES-001", 8, "low", r"\bwhile\s*\(?\s*(?:true|1)\b", advisory=True),
-    _rule("RES-002", 8, "low", r"\bfor\s*\(\s*;\s*;\s*\)", advisory=True),
-    _rule("RES-003", 8, "low", r"\bretry\b.{0,20}\b(?:forever|indefinitely|until it works)\b", advisory=True),
-    _rule("BD-001", 7, "medium", r"\bif\b.{0,60}\b(?:hostname|getuser|datetime\.now|date\.now)\b", advisory=True),
-    _rule("BD-002", 7, "medium", r"(?:\bchr\s*\(\s*[0-9]+\s*\)\s*[+.]\s*){2,}|string\.fromcharcode\s*\(", advisory=True),
-    _rule("BD-003", 7, "low", r"\b(?:reverse shell|bind shell|netcat)\b", advisory=True, veto=r"/dev/tcp/|\bnc\b.{0,20}-e\b"),
-    _rule("BD-004", 7, "high", r"(?:bash|sh)\s+-i\b.{0,20}/dev/tcp/|\bnc\b.{0,40}\s-e\s*/bin/", advisory=True),
+    _rule("FS-001", 9, "high", r"(?:~|/root|/home/\w+)/\.ssh/(?:id_\w+|authorized_keys)", ".ssh/"),
+    _rule("FS-002", 9, "medium", r"(?:\.aws/credentials|\.config/gcloud|\.azure/|\.kube/config)", ".aws/", ".config/gcloud", ".azure/", ".kube/"),
+    _rule("FS-003", 9, "high", r"\brm\s+-(?:rf|fr|r\s+-f)\s+(?:/|~|\$home)(?:\s|\*|$)", "rm"),
+    _rule("FS-004", 9, "medium", r"(?:\.\.[/\\]){2}(?:\.\.[/\\]){0,30}(?:etc|home|root|users|var)(?:[/\\]|\b)", ".."),
+    _rule("FS-005", 9, "high", r"(?:\bhistory\s+-c\b|\brm\b.{0,30}(?:bash|zsh)_history|\btruncate\b.{0,40}/var/log/)", "history", "truncate"),
+    _rule("RES-001", 8, "low", r"\bwhile\s*\(?\s*(?:true|1)\b", "while", advisory=True),
+    _rule("RES-002", 8, "low", r"\bfor\s*\(\s*;\s*;\s*\)", "for", advisory=True),
+    _rule("RES-003", 8, "low", r"\bretry\b.{0,20}\b(?:forever|indefinitely|until it works)\b", "retry", advisory=True),
+    _rule("BD-001", 7, "medium", r"\bif\b.{0,60}\b(?:hostname|getuser|datetime\.now|date\.now)\b", "hostname", "getuser", "datetime.now", "date.now", advisory=True),
+    _rule("BD-002", 7, "medium", r"(?:\bchr\s*\(\s*[0-9]+\s*\)\s*[+.]\s*){2,}|string\.fromcharcode\s*\(", "chr", "fromcharcode", advisory=True),
+    _rule("BD-003", 7, "low", r"\b(?:reverse shell|bind shell|netcat)\b", "shell", "netcat", advisory=True, veto=r"/dev/tcp/|\bnc\b.{0,20}-e\b"),
+    _rule("BD-004", 7, "high", r"(?:bash|sh)\s+-i\b.{0,20}/dev/tcp/|\bnc\b.{0,40}\s-e\s*/bin/", "/dev/tcp/", "/bin/", advisory=True),
 )
 
 #: Which lines a rule may see: role to (ordinary rules of dimension 1, other ordinary rules, own scopes). Fixed values.
@@ -96,40 +98,69 @@ def gates() -> list[tuple[str, str]]:
     return [(role, r.id) for role, (first, other, scopes) in GATE.items() for r in RULES if (r.scope in scopes if r.scope else first if r.dimension == 1 else other)]
 
 
-def rules_table(spark: SparkSession) -> DataFrame:
-    """role, rule and what the rule is; a few hundred rows whatever the input."""
-    by_id = {r.id: r for r in RULES}
-    rows = [(role, i, r.dimension, r.severity, re2_to_java(r.pattern), re2_to_java(r.veto), r.raw_only, r.advisory) for role, i in gates() for r in [by_id[i]]]
-    return spark.createDataFrame(rows, "role string, rule string, dimension int, severity string, pattern string, veto string, raw_only boolean, advisory boolean")
-
-
 def lines(units: DataFrame) -> DataFrame:
     """units (unit, role, text, ...) to one row per logical line: line (of its first physical line, from 1), raw, norm, comment.
 
     A physical line that ends in an odd number of backslashes goes on in the next one.
     """
-    physical = units.withColumn("parts", F.split("text", "\n"))
-    # a marker that no line has joins what continues, so that line numbers can be counted afterwards
-    whole = physical.withColumn("text", F.regexp_replace("text", r"(?<!\\)((?:\\\\)*)\\\n", "$1\u0001"))
-    exploded = whole.select(*[c for c in units.columns if c != "text"], F.posexplode(F.split("text", "\n")).alias("ordinal", "joined"), F.split("text", "\n").alias("all"))
-    before = F.aggregate(F.slice("all", F.lit(1), F.col("ordinal")), F.lit(0), lambda n, x: n + F.length(x) - F.length(F.replace(x, F.lit("\u0001"), F.lit(""))))
-    raw = F.replace("joined", F.lit("\u0001"), F.lit(""))
-    out = exploded.withColumn("line", F.col("ordinal") + 1 + before).withColumn("raw", raw).drop("all", "joined", "ordinal")
-    return out.withColumn("norm", normalize("raw")).withColumn("comment", F.col("raw").rlike(r"^\s*(?:#(?!!)|//|--\s|\*\s)"))
+    keep = [c for c in units.columns if c != "text"]
+    # (line, raw) of each logical line; texts in which no line goes on need no folding
+    folded = F.expr(r"""if(not contains(text, '\\\n'), transform(split(text, '\n'), (x, i) -> struct(i + 1 as line, x as raw)),
+      transform(array(split(text, '\n')), parts -> transform(
+        array(filter(sequence(0, size(parts) - 1), i -> i = 0 or not parts[i - 1] rlike r'(?<!\\)(?:\\\\)*\\\z')), starts -> transform(starts, (s, k) -> struct(s + 1 as line,
+          regexp_replace(array_join(slice(parts, s + 1, coalesce(get(starts, k + 1), size(parts)) - s), '\n'), r'\\\n', '') as raw)))[0])[0])""")
+    out = units.select(*keep, F.inline(folded))
+    # all that normalising changes
+    odd = (F.octet_length("raw") != F.length("raw")) | F.col("raw").contains("''") | F.col("raw").contains('""') | F.col("raw").contains("\\")
+    norm = F.when(odd, normalize("raw")).otherwise(F.col("raw"))
+    return _once(out, norm=norm, comment=F.col("raw").rlike(r"^\s*(?:#(?!!)|//|--\s|\*\s)"))
+
+
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with more columns that are computed once a row, however often they are used behind."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
+def _small(view: str) -> Column:
+    """In small letters, with the one other letter that counts as an s."""
+    return F.translate(F.lower(view), "ſ", "s")
+
+
+def _matches(rule: Rule, view: str) -> Column:
+    found = F.col(view).rlike(re2_to_java(rule.pattern))
+    if rule.veto:
+        found = found & ~F.col(view).rlike(re2_to_java(rule.veto))
+    # the cheap test comes first
+    near = [F.col(f"{view}_small").contains(x) for x in rule.needs]
+    return reduce(Column.__or__, near) & found if near else found
 
 
 def evaluate(lines_df: DataFrame) -> DataFrame:
     """Lines that a rule matches: the raw view first, else the normalised one; a veto counts on the same view.
 
-    Matches on whole comment lines are dropped but for dimensions 0 and 6.
+    Matches on whole comment lines are dropped but for dimensions 0 and 6. Patterns are literals of one projection, each behind
+    a test for a word that every match holds, so that most lines meet no pattern at all.
     """
-    rules = F.broadcast(rules_table(lines_df.sparkSession))
-    hits = lines_df.join(rules, "role")
-    vetoed = lambda view: (F.col("veto") != "") & F.expr(f"{view} rlike veto")
-    raw = F.expr("raw rlike pattern") & ~vetoed("raw")
-    norm = ~F.col("raw_only") & (F.col("norm") != F.col("raw")) & F.expr("norm rlike pattern") & ~vetoed("norm")
-    found = hits.filter((raw | norm) & ~(F.col("comment") & ~F.col("dimension").isin(0, 6)))
-    return found.withColumn("view", F.when(raw, "raw").otherwise("norm")).drop("pattern", "veto", "raw_only")
+    roles: dict[str, list[str]] = {}
+    for role, rule in gates():
+        roles.setdefault(rule, []).append(role)
+    other = F.col("norm") != F.col("raw")
+    rows = _once(lines_df, raw_small=_small("raw"), norm_small=F.when(other, _small("norm")))
+    raw, norm = F.lit(0).cast("long"), F.lit(0).cast("long")
+    for k, r in enumerate(RULES):
+        if r.id in roles:
+            seen = F.col("role").isin(*roles[r.id])
+            if r.dimension not in (0, 6):
+                seen = seen & ~F.col("comment")
+            raw = raw.bitwiseOR(F.when(seen & _matches(r, "raw"), F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")))
+            if not r.raw_only:
+                norm = norm.bitwiseOR(F.when(other & seen & _matches(r, "norm"), F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")))
+    # a bit for each rule; few lines have any
+    found = _once(rows, raw_hits=raw, norm_hits=norm).filter(F.col("raw_hits").bitwiseOR(F.col("norm_hits")) != 0)
+    known = F.array(*(F.struct(F.lit(1 << k).cast("long").alias("bit"), F.lit(r.id).alias("rule"), F.lit(r.dimension).alias("dimension"), F.lit(r.severity).alias("severity"), F.lit(r.advisory).alias("advisory")) for k, r in enumerate(RULES)))
+    hit = F.filter(known, lambda x: x["bit"].bitwiseAND(F.col("raw_hits").bitwiseOR(F.col("norm_hits"))) != 0)
+    view = F.when(F.col("bit").bitwiseAND(F.col("raw_hits")) != 0, "raw").otherwise("norm")
+    return found.select("*", F.inline(hit)).withColumn("view", view).drop("raw_small", "norm_small", "raw_hits", "norm_hits", "bit")
 
 
 def fingerprint() -> str:

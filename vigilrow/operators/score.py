@@ -34,11 +34,17 @@ def fold_children(artifacts: DataFrame, findings: DataFrame) -> DataFrame:
     return findings.join(artifacts.select("artifact", "parent"), "artifact", "left").withColumn("artifact", F.coalesce("parent", "artifact")).drop("parent")
 
 
-def environment_score(scores: DataFrame, findings: DataFrame) -> DataFrame:
-    """One row: units, mean (truncated), ceiling by the worst severity (49 critical, 69 high) and score; 100 without units."""
-    ranks = findings.filter(deterministic()).select(F.lit(None).cast("long").alias("score"), severity_rank("severity").alias("worst"))
-    both = scores.select("score", F.lit(0).alias("worst")).union(ranks)
-    out = both.agg(F.count("score").alias("units"), F.floor(F.coalesce(F.avg("score"), F.lit(100.0))).cast("long").alias("mean"), F.coalesce(F.max("worst"), F.lit(0)).alias("worst"))
+def environment_score(artifacts: DataFrame, findings: DataFrame) -> DataFrame:
+    """One row: units, mean (truncated), ceiling by the worst severity (49 critical, 69 high) and score; 100 without units.
+
+    Findings are read once: their penalties and worst severities are taken together.
+    """
+    rank, d = severity_rank("severity"), deterministic()
+    by_dimension = findings.groupBy("artifact", "dimension").agg(F.coalesce(F.max(F.when(d, penalty("severity"))), F.lit(0)).alias("d"), F.max(F.when(d, rank)).alias("worst"))
+    total = by_dimension.groupBy("artifact").agg(F.sum("d").alias("d"), F.max("worst").alias("worst"))
+    every = artifacts.select("artifact").distinct().withColumn("unit", F.lit(True)).join(total, "artifact", "full")
+    score = F.when(F.col("unit"), F.greatest(F.lit(0), F.least(F.lit(100), 100 - F.coalesce("d", F.lit(0)))).cast("long"))
+    out = every.agg(F.count("unit").alias("units"), F.floor(F.coalesce(F.avg(score), F.lit(100.0))).cast("long").alias("mean"), F.coalesce(F.max("worst"), F.lit(0)).alias("worst"))
     ceiling = F.when(F.col("worst") == 4, 49).when(F.col("worst") == 3, 69).otherwise(100).cast("long")
     return out.select("units", "mean", ceiling.alias("ceiling"), F.least("mean", ceiling).alias("score"))
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilrow.functions.regex import glob_to_re2, re2_to_java
@@ -17,17 +19,10 @@ def reputation(artifacts: DataFrame, known: DataFrame) -> DataFrame:
     return own.join(parents, "parent", "left").withColumn("verdict", F.coalesce("own", "inherited")).drop("own", "inherited")
 
 
-def suppression_table(spark, rules: list[tuple[str, str]]) -> DataFrame:
-    """(rule or `*`, pattern) from (rule or `*`, glob); an empty glob is any file."""
-    return spark.createDataFrame([(r, re2_to_java(glob_to_re2(g)) if g else "") for r, g in rules], "s_rule string, s_pattern string")
-
-
-def suppress(findings: DataFrame, suppressions: DataFrame) -> DataFrame:
-    """findings with `suppressed`; a rule and a file decide."""
-    keyed = findings.withColumn("_key", F.monotonically_increasing_id())
-    hit = F.col("s_rule").isin("*") | (F.col("s_rule") == F.col("rule"))
-    found = keyed.join(F.broadcast(suppressions), hit & ((F.col("s_pattern") == "") | F.expr("file rlike s_pattern")), "left")
-    return found.groupBy(*keyed.columns).agg(F.max(F.col("s_rule").isNotNull()).alias("suppressed")).drop("_key")
+def suppress(findings: DataFrame, suppressions: list[tuple[str, str]]) -> DataFrame:
+    """findings with `suppressed`, by (rule or `*`, glob) of a baseline file; an empty glob is any file. A row by itself decides: nothing is shuffled."""
+    hits = [((F.col("rule") == r) if r != "*" else F.lit(True)) & (F.col("file").rlike(re2_to_java(glob_to_re2(g))) if g else F.lit(True)) for r, g in suppressions]
+    return findings.withColumn("suppressed", F.coalesce(reduce(Column.__or__, hits, F.lit(False)), F.lit(False)))
 
 
 def tally(suppressed: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vigilrow.functions import scalar
 from vigilrow.operators import digests, evaluation, hygiene, judge, permissions, rules, score, structural, suppress
-from vigilrow.plans.tables import UNITS_SQL, quoted, read, units
+from vigilrow.plans.tables import UNITS_SQL, quoted, read, spread, units
 from vigilrow.sources import readers
 from vigilrow.streaming import gate
 
@@ -75,8 +75,7 @@ def artifact_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 select count(*) as units, floor(avg(score))::bigint as mean, case (select worst from w) when 4 then 49 when 3 then 69 else 100 end::bigint as ceiling,
   least(floor(avg(score)), case (select worst from w) when 4 then 49 when 3 then 69 else 100 end)::bigint as score from scores""")
 def environment_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    findings = _findings(spark, sf_dir)
-    return score.environment_score(score.artifact_scores(_artifacts(spark, sf_dir), findings), findings)
+    return score.environment_score(_artifacts(spark, sf_dir), _findings(spark, sf_dir))
 
 
 @query(f"""with {_LINES_SQL}, n as (select *, row_number() over (partition by artifact, rule order by file, line) as n from findings)
@@ -101,8 +100,7 @@ def fail_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {_LINES_SQL}, s as (select *, (rule = 'SUP-003') or regexp_matches(file, '^f1[^/]*$') and rule = 'FS-001' or regexp_matches(file, '^[^/]*7\\.txt$') as suppressed from findings)
 select count(*) filter (suppressed) as n_suppressed, coalesce(max({_RANK_SQL}) filter (suppressed), 0)::bigint as highest from s""")
 def suppression_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = suppress.suppression_table(spark, [("SUP-003", ""), ("FS-001", "f1*"), ("*", "*7.txt")])
-    return suppress.tally(suppress.suppress(_findings(spark, sf_dir), table))
+    return suppress.tally(suppress.suppress(_findings(spark, sf_dir), [("SUP-003", ""), ("FS-001", "f1*"), ("*", "*7.txt")]))
 
 
 @query("""with a as (select doc_id as artifact, case when doc_id % 4 <> 0 then doc_id - doc_id % 4 end as parent, case when doc_id % 11 = 0 then '' else sha256(text) end as hash from documents),
@@ -135,10 +133,10 @@ def closest_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("unit", F.col("credential_line").cast("long").alias("credential_line"), F.col("network_line").cast("long").alias("network_line"), "encodes", "rule")
 
 
-@query(f"""with {_LEGS_SQL}, a as (select unit % 997 as g, unit, bool_or(leg = 'credential') as c, bool_or(leg = 'network') as n from legs group by all)
+@query(f"""with {_LEGS_SQL}, a as (select unit // 4 as g, unit, bool_or(leg = 'credential') as c, bool_or(leg = 'network') as n from legs group by all)
 select g::bigint as artifact from a group by g having bool_or(c) and bool_or(n) and not bool_or(c and n)""")
 def cross_file_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    legs = structural.legs(_physical(spark, sf_dir)).withColumn("artifact", F.col("unit") % 997)
+    legs = structural.legs(_physical(spark, sf_dir)).withColumn("artifact", F.floor(F.col("unit") / 4))
     return structural.cross_file_chains(legs)
 
 
@@ -242,21 +240,23 @@ def connector_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.connectors(e.select(F.format_string("%012d", "event_id").alias("file"), text.alias("json")))
 
 
-_SCALAR_SQL = "with e as (select doc_id, string_split(substr(text, 1, 60), '') as c, text from documents where text <> ''), p as (select doc_id, x, count(*) as k from (select doc_id, unnest(c) as x from e) group by all)"
-
-
-@query(f"{_SCALAR_SQL} select doc_id, round(-sum(k / n * log2(k / n)), 6) as bits from (select doc_id, k::double as k, (sum(k) over (partition by doc_id))::double as n from p) group by doc_id")
-def character_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents").filter("text <> ''").select("doc_id", F.substring("text", 1, 60).alias("head"))
-    return d.select("doc_id", F.round(scalar.entropy("head"), 6).alias("bits"))
-
-
 @query("""with p as (select doc_id, x, count(*)::double as k from (select doc_id, unnest(string_split(text, '')) as x from documents where text <> '') group by all)
 select doc_id, round(-sum(k / n * log2(k / n)), 6) as bits from (select doc_id, k, sum(k) over (partition by doc_id) as n from p) group by doc_id""")
 def document_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.entropies(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query("""with t as (select doc_id, unnest(regexp_extract_all(text, '[^\\t\\n\\f\\r ]+')) as token from documents),
+p as (select doc_id, token, x, count(*)::double as k from (select doc_id, token, unnest(string_split(token, '')) as x from (select distinct doc_id, token from t)) group by all),
+e as (select doc_id, token, round(-sum(k / n * log2(k / n)), 6) as bits from (select *, sum(k) over (partition by doc_id, token) as n from p) group by all)
+select doc_id, count(*) as n_tokens, max(bits) as bits from e group by doc_id""")
+def character_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct tokens of each whole text and the highest entropy of one of them."""
+    d = spread(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    tokens = d.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[^\t\n\f\r ]+"), F.lit(0)))).alias("token"))
+    return tokens.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.max(F.round(scalar.entropy("token"), 6)).alias("bits"))
+
+
 @query("""select page_id, len(h)::bigint as n_hosts, array_to_string(h, ',') as hosts, len(h) > 0 and len(list_filter(h, lambda x: not regexp_matches(x, '^(?:localhost|127(?:\\.[0-9]{1,3}){3}|::1)$'))) = 0 as loopback
 from (select page_id, list_sort(list_distinct(list_transform(regexp_extract_all(html || case page_id % 4 when 0 then ' http://localhost:80/a' when 1 then ' https://u:p@Example.COM/x' when 2 then ' http://[::1]/y' else '' end, '(?i)\\bhttps?://(?:[^/\\s@]*@)?(\\[[0-9a-f:]+\\]|[A-Za-z0-9.-]+)', 1), lambda x: lower(translate(x, '[]', ''))))) as h from pages)""")
 def url_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,12 +265,16 @@ def url_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", F.size("h").cast("long").alias("n_hosts"), F.array_join("h", ",").alias("hosts"), scalar.all_loopback("h").alias("loopback"))
 
 
-@query("""with d as (select doc_id, ['login --password=s3cr3tvalue now', 'https://bob:pw1234@example.com/x', 'api_key: "abcd1234efgh"', 'use ghp_abcdefghijklmnop0123', 'token = true', 'curl -u me:hidden x'][(doc_id % 6) + 1] as t from documents)
-select doc_id, ['login --password=[redacted] now', 'https://[redacted]@example.com/x', 'api_key: "[redacted]"', 'use [redacted]', 'token = true', 'curl -u me:[redacted] x'][(doc_id % 6) + 1] as redacted from d""")
+#: Lines with secrets, added to documents by doc_id.
+SECRETS = ("login --password=s3cr3tvalue now", "https://bob:pw1234@example.com/x", 'api_key: "abcd1234efgh"', "use ghp_abcdefghijklmnop0123", "token = true", "curl -u me:hidden x", "x Zk3vQ9tLr7WmXc2Nb8Yp4HdJ y")
+
+
+@query()
 def redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples = ("login --password=s3cr3tvalue now", "https://bob:pw1234@example.com/x", 'api_key: "abcd1234efgh"', "use ghp_abcdefghijklmnop0123", "token = true", "curl -u me:hidden x")
-    d = read(spark, sf_dir, "documents").select("doc_id", F.element_at(F.array(*map(F.lit, samples)), (F.col("doc_id") % 6).cast("int") + 1).alias("t"))
-    return d.select("doc_id", scalar.redact("t").alias("redacted"))
+    """Whole texts and a line with a secret behind each. Without SQL: tests/test_whole_texts.py holds it against brute force."""
+    d = spread(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    more = F.element_at(F.array(*map(F.lit, SECRETS)), F.pmod("doc_id", F.lit(len(SECRETS))).cast("int") + 1)
+    return d.withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), more)).select("doc_id", scalar.redact("text").alias("redacted"))
 
 
 @query()
