@@ -92,10 +92,44 @@ def all_loopback(found: str) -> Column:
     return (F.size(found) > 0) & F.forall(found, is_loopback)
 
 
+#: Parts of names that tell no service.
+GENERIC = (
+    "api", "com", "net", "org", "io", "www", "co", "dev", "app", "cloud", "ai", "v1", "v2", "v3", "http", "https", "key", "token", "secret", "password",
+    "passwd", "apikey", "credential", "credentials", "bearer", "oauth", "auth", "access", "private", "my", "the", "get", "id", "url", "base", "default", "pro", "env",
+)
+
+
 def service_tokens(c: str) -> Column:
-    """The telling lower-case parts of a credential's name."""
-    generic = ("api", "key", "token", "secret", "access", "password", "auth", "env", "id", "")
-    return F.array_except(F.array_distinct(F.split(F.lower(c), "[_.-]")), F.array(*map(F.lit, generic)))
+    """The telling lower-case parts of a credential's name, of three characters and more."""
+    parts = F.array_distinct(F.split(F.lower(c), "[_.-]"))
+    return F.filter(F.array_except(parts, F.array(*map(F.lit, GENERIC))), lambda x: F.length(x) > 2)
+
+
+def shell_words(c: str) -> Column:
+    """The words of a command line; quotes go and hold spaces together."""
+    found = F.regexp_extract_all(c, F.lit(r"""(?:[^\s'"\\]|\\.|"[^"]*"|'[^']*')+"""), F.lit(0))
+    return F.transform(found, lambda w: F.regexp_replace(w, r"""["'\\]""", ""))
+
+
+def shell_quoted(c: str) -> Column:
+    """A path as one word for a shell; plain ones stay as they are."""
+    return F.when(F.col(c).rlike(r"^[A-Za-z0-9_./-]+\z"), F.col(c)).otherwise(F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("'\\''")), F.lit("'")))
+
+
+def credential_file(path: str) -> Column:
+    """The severity of a file that is a credential by its name, else null. Names and endings are fixed values."""
+    base = F.lower(F.regexp_extract(path, "[^/]*\\z", 0))
+    high = (".env", "id_rsa", "id_ed25519", "id_ecdsa", "id_dsa", "credentials", "credentials.json", ".git-credentials", "secrets.yml", "secrets.yaml", ".netrc", ".htpasswd")
+    return (
+        F.when(base.rlike(r"\.(?:example|sample|template|dist)\z"), F.lit(None))
+        .when(base.isin(*high) | base.startswith(".env.") | base.rlike(r"\.(?:key|p12|pfx|jks|keystore)\z"), "high")
+        .when(base.isin(".npmrc", ".pypirc") | base.rlike(r"\.pem\z"), "medium")
+    )
+
+
+def inside(path: str, folder: str) -> Column:
+    """Whether a path is a folder or lies in it, segment by segment."""
+    return (F.col(path) == F.col(folder)) | F.startswith(F.col(path), F.concat(F.regexp_replace(folder, "/+\\z", ""), F.lit("/")))
 
 
 def clip_bytes(c: str, most: int = 200) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilrow.functions.regex import re2_to_java
+from vigilrow.functions.scalar import service_tokens
 
 #: Our own patterns of the three legs of an outbound chain.
 CREDENTIAL = r"(?i)(?:\.ssh/id_|\.aws/credentials|\.netrc|api_token|secret_key|access_key)"
@@ -84,3 +85,29 @@ def magic_mismatch(files: DataFrame) -> DataFrame:
     text = F.col("path").rlike(r"(?i)\.(?:md|txt|py|sh|js|json|ya?ml)\z")
     kind = F.coalesce(*(F.when(F.startswith(F.hex("content"), F.lit(h)), k) for h, k in magic.items()))
     return files.filter(text).select("path", kind.alias("kind")).filter("kind is not null")
+
+
+def assigned_then_erased(lines: DataFrame) -> DataFrame:
+    """unit, name, first line where a log or history path is bound to the name and the first line below it that erases what it names."""
+    bound = lines.select("unit", F.col("line").alias("assigned"), F.regexp_extract("raw", r"^[ \t]*([A-Z_]+)=[\"']?(?:/var/log/|~?/?[^ ]*_history)", 1).alias("name")).filter("name <> ''")
+    erased = lines.select("unit", F.col("line").alias("erased"), F.regexp_extract("raw", r"\b(?:rm|shred|truncate)\b[^$]{0,200}\$\{?([A-Z_]+)", 1).alias("name")).filter("name <> ''")
+    bound = bound.groupBy("unit", "name").agg(F.min("assigned").alias("assigned"))
+    return bound.join(erased, ["unit", "name"]).filter("erased > assigned").groupBy("unit", "name", "assigned").agg(F.min("erased").alias("erased"))
+
+
+def named_then_written(lines: DataFrame) -> DataFrame:
+    """Units that name a settings file on one line and write on another: the first line of each kind."""
+    named, written = (F.when(F.col("raw").rlike(p), F.col("line")) for p in (r"settings(?:\.local)?\.json", r"\.write\(|json\.dump\(|open\([^)]*['\"]w['\"]"))
+    ends = lines.select("unit", named.alias("n"), written.alias("w")).filter("n is not null or w is not null")
+    ends = ends.groupBy("unit").agg(F.min("n").alias("named"), F.max("n").alias("n"), F.min("w").alias("written"), F.max("w").alias("w"))
+    return ends.filter("named is not null and written is not null and not (named = n and written = w and n = w)").select("unit", "named", "written")
+
+
+def destination_consistency(credentials: DataFrame, hosts: DataFrame) -> DataFrame:
+    """unit and consistent: every host can be read and carries a service token of a credential of the unit, and there is a host and a token.
+
+    credentials: unit, name; hosts: unit, host (one with a `$` cannot be read).
+    """
+    tokens = credentials.select("unit", F.explode(service_tokens("name")).alias("token")).distinct()
+    seen = hosts.distinct().join(tokens, "unit", "left").groupBy("unit", "host").agg(F.coalesce(F.bool_or(F.contains("host", "token")), F.lit(False)).alias("match"))
+    return seen.groupBy("unit").agg(F.bool_and(F.col("match") & ~F.col("host").contains("$")).alias("consistent"))
