@@ -10,8 +10,8 @@ The signature of a line has 32 cells, by the hash of a shingle: the least hash o
 cell that has one. A band is five cells, seven apart; 16 of them start at every other cell. A pair at similarity 0.8
 meets in at least one with a chance of 0.979, at 0.85 of 0.996, at 0.9 of 0.9996. Lines that meet become a pair
 if at least 18 of their cells agree, which a pair at 0.8 fails with a chance of 0.001, and if their sketches allow it:
-which of 1,024 cells their shingles fall in; sets differ in at least as many shingles as cells, so that what this
-rules out surely doesn't link. Pairs are compared exactly: first each line with a few lines of its bucket, then, per
+for each of 1,024 cells, whether an odd number of the set's shingles falls in it; sets differ in at least as many
+shingles as sketches in cells, so that what this rules out surely doesn't link. Pairs are compared exactly: first each line with a few lines of its bucket, then, per
 bucket, what is still in different components with a few lines more, and last all that is still apart, so that a
 group of near copies costs its size, not its square. Sets are eight times as large as their lines: they are made for
 each pair and never written.
@@ -60,7 +60,8 @@ def _shingles(lines: DataFrame, *keys: str) -> DataFrame:
     """The columns keys and the hash x of the shingle at each position of norm."""
     # four bytes a character, so that no position is searched for
     coded = lines.select(*keys, F.expr("encode(norm, 'UTF-32')").alias("codes"))
-    at = coded.select(*keys, "codes", F.explode(F.expr(f"sequence(0, greatest(cast(length(codes) div 4 as int) - {WIDTH}, 0))")).alias("i"))
+    # outer, or else the optimizer makes each sequence once more to see that it isn't empty
+    at = coded.select(*keys, "codes", F.explode_outer(F.expr(f"sequence(0, greatest(cast(length(codes) div 4 as int) - {WIDTH}, 0))")).alias("i"))
     return at.select(*keys, F.expr(f"xxhash64(substring(codes, 4 * i + 1, {4 * WIDTH}))").alias("x"))
 
 
@@ -101,14 +102,14 @@ def _near(percent: int) -> Column:
 
 
 def _sketches(texts: DataFrame) -> DataFrame:
-    """id, the positions n of its line and the words p0, p1, ... of its sketch."""
-    x = _shingles(texts, "id")
+    """id, the size n of its set and the words p0, p1, ... of its sketch."""
+    x = with_set(texts).select("id", F.explode_outer("set").alias("x"))
     x = x.select("id", F.expr(f"cast(x & {WORDS - 1} as int)").alias("word"), F.expr("shiftleft(1L, cast(shiftright(x, 8) & 63 as int))").alias("bit"))
-    return x.groupBy("id").agg(F.count("*").alias("n"), *(F.expr(f"coalesce(bit_or(bit) filter (where word = {k}), 0L)").alias(f"p{k}") for k in range(WORDS)))
+    return x.groupBy("id").agg(F.count("*").alias("n"), *(F.expr(f"coalesce(bit_xor(bit) filter (where word = {k}), 0L)").alias(f"p{k}") for k in range(WORDS)))
 
 
 def _end(lines: DataFrame, end: str, *others: str) -> DataFrame:
-    """The cells and sketches of lines, named for one end of a pair."""
+    """The set sizes, cells and sketches of lines, named for one end of a pair."""
     own = ["n", *(f"s{w}" for w in range(CELLS // 8)), *(f"p{k}" for k in range(WORDS))]
     return lines.select(*others, F.col("id").alias(end), *(F.col(c).alias(f"{c}{end}") for c in own))
 
