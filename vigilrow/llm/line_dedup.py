@@ -9,12 +9,12 @@ number).
 The signature of a line has 32 cells, by the hash of a shingle: the least hash of each, or that of the next
 cell that has one. A band is six cells, and there are 24 of them. A pair at similarity 0.8 meets in at least one with a
 chance of 0.980, at 0.85 of 0.996, at 0.9 of 0.9997 (simulated). Lines that meet become a pair
-if at least 18 of their cells agree, which a pair at 0.8 fails with a chance of 0.001, and if their sketches allow it:
-for each of 1,024 cells, whether an odd number of the set's shingles falls in it; sets differ in at least as many
-shingles as sketches in cells, so that what this rules out surely doesn't link. Pairs are compared exactly: first each line with a few lines of its bucket, then, per
-bucket, what is still in different components with a few lines more, and last all that is still apart, so that a
-group of near copies costs its size, not its square. Sets are eight times as large as their lines: they are made for
-each pair and never written.
+if at least 18 of their cells agree, which a pair at 0.8 fails with a chance of 0.001, and, beyond the first pairs of a
+bucket, if their sketches allow it: for each of 1,024 cells, whether an odd number of the set's shingles falls in it; sets differ in at least as many
+shingles as sketches in cells, so that what this rules out surely doesn't link. Pairs are compared exactly: first the
+first line of each bucket with the others, then, per bucket, what is still in different components with a few lines
+more, and last all that is still apart, so that a group of near copies costs its size, not its square. Sets are eight
+times as large as their lines: they are made for each pair and never written.
 
 Signatures are made from one row a shingle, in generated code. Exact copies are counted before anything is
 compared; they are told from others by two 64-bit hashes, and then numbered.
@@ -43,7 +43,7 @@ WIDTH, CELLS, AGREE, WORDS = 5, 32, 18, 16
 #: The cells of each band. Shorter bands would let unrelated lines meet by chance, which grows with the square of the lines.
 BANDS = tuple(tuple(random.Random(b).sample(range(CELLS), 6)) for b in range(24))
 
-#: The line of a bucket whose number is next to such a number, bit by bit, is compared with all others of it.
+#: Of what is apart in a bucket, the line whose number is next to such a number, bit by bit, is compared with all others.
 LEADERS = tuple((k * 0x9E3779B97F4A7C15 + 0x2545F4914F6CDD1D) % (1 << 40) for k in range(8))
 
 
@@ -79,11 +79,13 @@ def with_set(lines: DataFrame) -> DataFrame:
 
 def _classes(documents: DataFrame) -> DataFrame:
     """id, h, g, n, the first place (doc_id, line), the bands k0, k1, ... and the cells of every distinct line: a byte each, eight in each of s0, s1, ..."""
-    keys = ["h", "g", "n", "doc_id", "line"]
     texts = lines_of(documents).groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line")).alias("first"), F.min("norm").alias("norm"))
-    x = _shingles(texts.select("h", "g", "n", "first.doc_id", "first.line", "norm"), *keys)
-    x = x.select(*keys, "x", F.expr(f"cast(x & {CELLS - 1} as int)").alias("cell"))
-    cells = x.groupBy(*keys).agg(*(F.expr(f"min(x) filter (where cell = {k})").alias(f"m{k}") for k in range(CELLS)))
+    # grouped by the two hashes alone: what else is known of a line costs less as an aggregate than in the key of each shingle
+    keys, known = ["h", "g"], ["n", "doc_id", "line"]
+    x = _shingles(texts.select("h", "g", "n", "first.doc_id", "first.line", "norm"), *keys, *known)
+    x = x.select(*keys, *known, "x", F.expr(f"cast(x & {CELLS - 1} as int)").alias("cell"))
+    cells = x.groupBy(*keys).agg(*(F.min(c).alias(c) for c in known), *(F.expr(f"min(x) filter (where cell = {k})").alias(f"m{k}") for k in range(CELLS)))
+    keys += known
     # an empty cell has the value of the next one that is not
     full = cells.select(*keys, *(F.coalesce(*(F.col(f"m{(k + i) % CELLS}") for i in range(CELLS))).alias(f"m{k}") for k in range(CELLS)))
     packed = [F.expr(" | ".join(f"shiftleft(shiftright(m{8 * w + i}, 8) & 255, {8 * i})" for i in range(8))).alias(f"s{w}") for w in range(CELLS // 8)]
@@ -91,16 +93,21 @@ def _classes(documents: DataFrame) -> DataFrame:
     return full.select(F.monotonically_increasing_id().alias("id"), *keys, *hashed, *packed)
 
 
-def _near(percent: int) -> Column:
-    """Whether enough cells of a and b agree and their sketches leave it open that their sets are similar enough."""
+def _agree() -> Column:
+    """Whether enough cells of a and b agree."""
     other = []
     for w in range(CELLS // 8):
         x = F.col(f"s{w}a").bitwiseXOR(F.col(f"s{w}b"))
         for shift in (4, 2, 1):
             x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
         other.append(F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101))))
+    return sum(other, F.lit(0)) <= CELLS - AGREE
+
+
+def _near(percent: int) -> Column:
+    """Whether, besides, the sketches of a and b leave it open that their sets are similar enough."""
     differ = sum((F.bit_count(F.col(f"p{k}a").bitwiseXOR(F.col(f"p{k}b"))) for k in range(WORDS)), F.lit(0))
-    return (sum(other, F.lit(0)) <= CELLS - AGREE) & (differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
+    return _agree() & (differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
 
 
 def _sketches(texts: DataFrame) -> DataFrame:
@@ -111,14 +118,14 @@ def _sketches(texts: DataFrame) -> DataFrame:
 
 
 def _end(lines: DataFrame, end: str, *others: str) -> DataFrame:
-    """The set sizes, cells and sketches of lines, named for one end of a pair."""
-    own = ["n", *(f"s{w}" for w in range(CELLS // 8)), *(f"p{k}" for k in range(WORDS))]
+    """The cells, set sizes and sketches of lines, as far as they are there, named for one end of a pair."""
+    own = [c for c in lines.columns if c == "n" or c[0] in "sp"]
     return lines.select(*others, F.col("id").alias(end), *(F.col(c).alias(f"{c}{end}") for c in own))
 
 
-def _texts(documents: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
-    """id and norm of the lines in ids, each from the first document that has it."""
-    place = materialize(ids.join(classes.select("id", "h", "g", "doc_id", "line"), "id"), "places")
+def _texts(documents: DataFrame, places: DataFrame) -> DataFrame:
+    """id and norm of the lines in places, each from the first document that has it."""
+    place = materialize(places, "places")
     if place.count() <= BROADCAST_IDS:
         place = F.broadcast(place)
     own = documents.withColumn("doc_id", _known_id()).join(place.select("doc_id").distinct(), "doc_id", "left_semi")
@@ -145,39 +152,43 @@ def _leaders(leaders: tuple[int, ...]) -> Column:
 def components(documents: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(id, component) of the lines that link with others."""
     every = classes.select("id", F.explode(F.array(*(c for c in classes.columns if c[0] == "k"))).alias("key"))
-    # nearly all keys are of one line: only counts of them are shuffled, and leaders are looked for in the others
-    often = every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = materialize(every.join(often, "key"), "shared")
-    first = shared.groupBy("key").agg(F.count("*").alias("n"), _leaders(LEADERS[:4]).alias("first"))
-    # in small buckets the first lines are compared with all others, so that no pair is left
-    met = materialize(shared.drop("n").join(first.select("key", "first", (F.size("first") < F.col("n") - 1).alias("open")), "key"), "met")
-    discard(shared)
-    texts = materialize(_texts(documents, classes, met.select("id").distinct()), "texts")
-    cells = materialize(_sketches(texts).join(classes.select("id", *(f"s{w}" for w in range(CELLS // 8))), "id"), "cells")
-
-    stars = _ordered(met.select(F.col("id").alias("a"), F.explode("first").alias("b")).filter("a <> b"))
-    stars = materialize(stars.join(_end(cells, "a"), "a").join(_end(cells, "b"), "b").filter(_near(percent)).select("a", "b"), "stars")
+    # dealt by key once: the exchange serves the counts and the join. Nearly all keys are of one line, so those of several are the small side
+    dealt = every.repartition("key")
+    often = dealt.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low")).filter("n > 1")
+    shared = materialize(dealt.join(often.hint("shuffle_hash"), "key"), "shared")
+    seen = materialize(shared.select("id").distinct().join(classes.select("id", "h", "g", "doc_id", "line", *(c for c in classes.columns if c[0] == "s")), "id"), "seen")
+
+    # the first line of a bucket is compared with all others; in buckets of two no pair is left then
+    stars = _ordered(shared.filter("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")))
+    stars = materialize(stars.join(_end(seen, "a"), "a").join(_end(seen, "b"), "b").filter(_agree()).select("a", "b"), "stars")
+    wide = shared.filter("n > 2").select("key", "id")
+    wanted = stars.select(F.explode(F.array("a", "b")).alias("id")).union(wide.select("id")).distinct()
+    texts = materialize(_texts(documents, wanted.join(seen.select("id", "h", "g", "doc_id", "line"), "id")), "texts")
     label = materialize(connected_components(materialize(_linked(stars, texts, percent), "links")), "label")
 
     def apart(label: DataFrame) -> DataFrame:
-        """The cells and sketches, key and component of the lines of buckets with several components."""
-        held = met.filter("open").select("key", "id").join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+        """The key, id and component of the lines of buckets with several components."""
+        held = wide.join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
         several = held.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-        return materialize(held.join(several.select("key"), "key", "left_semi").join(cells, "id"), "apart")
+        return materialize(held.join(several.select("key"), "key", "left_semi"), "apart")
 
-    # in buckets still apart, some other lines are compared with all of other components
+    # only what is apart gets sketches
     held = apart(label)
-    others = held.groupBy("key").agg(_leaders(LEADERS[4:]).alias("first")).select("key", F.explode("first").alias("id"))
+    cells = _sketches(texts.join(held.select("id").distinct(), "id", "left_semi"))
+    cells = materialize(cells.join(seen.select("id", *(c for c in seen.columns if c[0] == "s")), "id"), "cells")
+    # in buckets still apart, some other lines are compared with all of other components
+    others = held.groupBy("key").agg(_leaders(LEADERS).alias("first")).select("key", F.explode("first").alias("id"))
+    held = held.join(cells, "id")
     x, y = _end(held, "a", "key", F.col("component").alias("ca")), _end(held.join(others, ["key", "id"]), "b", "key", F.col("component").alias("cb"))
     more = materialize(_ordered(x.join(y, "key").filter((F.col("ca") != F.col("cb")) & _near(percent)).select("a", "b")).join(stars, ["a", "b"], "left_anti"), "pairs")
     label = materialize(joined_components(label, materialize(_linked(more, texts, percent), "links")), "label")
     # then all that is apart
-    held = apart(label)
+    held = apart(label).join(cells, "id")
     x, y = (_end(held, end, "key", F.col("component").alias(f"c{end}")) for end in ("a", "b"))
     rest = _ordered(x.join(y, "key").filter((F.col("ca") < F.col("cb")) & _near(percent)).select("a", "b"))
     rest = materialize(rest.join(stars.union(more), ["a", "b"], "left_anti"), "pairs")
     label = materialize(joined_components(label, materialize(_linked(rest, texts, percent), "links")), "label")
-    discard(met, texts, cells)
+    discard(shared, seen, texts, cells)
     return label
 
 
