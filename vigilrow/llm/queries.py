@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilrow.llm import chat_format, decontaminate, embedding_dedup, language_id, line_dedup, lm_scoring, ngram_join, packing, suffix_dedup, toxicity
+from vigilrow.llm import centroids, chat_format, decontaminate, embedding_dedup, exact_dedup, language_id, line_dedup, lm_scoring, ngram_join, packing, periodic_runs, suffix_dedup, toxicity
 from vigilrow.llm.common import fold, table
 
 QUERIES: dict = {}
@@ -130,3 +130,62 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.dedup(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
+@query
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents", "doc_id", "text")
+    return exact_dedup.dedup(documents, text_sha256=F.sha2(exact_dedup.normalised().cast("binary"), 256))
+
+
+ORACLE_SQL["op11_exact_dedup"] = r"""
+with d as (select doc_id, row_number() over () as r, coalesce(length(text), 0) as n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as t from documents)
+select doc_id, first_value(doc_id) over w as keep_id, count(*) over (partition by t) as group_size, row_number() over w = 1 as kept, sha256(t) as text_sha256
+from d window w as (partition by t order by n desc, doc_id nulls last, r)
+"""
+
+
+@query
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(centroids.cluster(table(spark, sf_dir, "embeddings", "vec_id", "embedding")))
+
+
+def _rounds() -> str:
+    """Every distance to every centroid, four times."""
+    steps = []
+    for k in range(4):
+        steps.append(f"""a{k} as (select r, min_by(c, (far, c)) as c, min(far) as far from (select r, c, list_sum(list_transform(list_zip(v, m), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as far from v, c{k}) group by r)""")
+        if k < 3:
+            steps.append(f"""s{k} as (select c, d, sum(x)::bigint as s, count(*)::bigint as n from (select c, unnest(v) as x, unnest(range(1, 65)) as d from a{k} join v using (r)) group by c, d),
+n{k} as (select c, list((s - ((s % n) + n) % n) // n order by d) as m from s{k} group by c),
+c{k + 1} as (select c, coalesce(n{k}.m, c{k}.m) as m from c{k} left join n{k} using (c))""")
+    return ",\n".join(steps)
+
+
+ORACLE_SQL["op12_centroids"] = f"""
+with e as (select vec_id, row_number() over () as r, embedding::double[] as x from embeddings where len(embedding) = 64),
+v as (select vec_id, r, list_transform(x, lambda y: floor(64 * y)::bigint) as v from e where len(list_filter(x, lambda y: y is not null and isfinite(y))) = 64),
+c0 as (select (row_number() over (order by sha256('1:' || vec_id), v) - 1)::int as c, v as m from v qualify c < 16),
+{_rounds()},
+t as (select c, sum(far)::bigint as s from a3 group by c)
+select vec_id, c as cluster, far as distance, s as cluster_inertia, (select sum(s)::bigint from t) as inertia, sha256(array_to_string(m, ',')) as centroid_sha256
+from a3 join v using (r) join t using (c) join c3 using (c)
+"""
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents", "doc_id", "text")
+    return periodic_runs.digest(periodic_runs.find(documents.withColumn("text", repeated_tail())))
+
+
+def repeated_tail() -> Column:
+    """The text; of a tenth of the documents, chosen by doc_id, its words with a tail that repeats one part of them."""
+    words = F.expr(r"filter(split(text, r'[\x20\x09-\x0D]+'), w -> w <> '')")
+    n = F.size(words)
+    g = F.expr("crc32(cast(coalesce(cast(doc_id as string), '') as binary)) div 10")
+    a = (g % n).cast("int")
+    p = (F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int"))), F.lit(1), n - a)
+    chosen = (F.expr(fold("doc_id", "10")) == 0) & (n > 0)
+    return F.when(chosen, F.array_join(F.concat(F.slice(words, F.lit(1), a), tail), " ")).otherwise(F.col("text"))
