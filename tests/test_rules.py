@@ -13,7 +13,7 @@ HITS = [p for p in PAYLOADS if p]
 
 
 def found(spark, texts: list[str], role: str = "script") -> dict:
-    df = spark.createDataFrame([("a", k, role, f"f{k}", t) for k, t in enumerate(texts)], "artifact string, unit int, role string, file string, text string")
+    df = spark.createDataFrame([("a", k, role, f"f{k}.sh", t) for k, t in enumerate(texts)], "artifact string, unit int, role string, file string, text string")
     out = defaultdict(set)
     for r in rules.evaluate(rules.lines(df)).collect():
         out[r.unit].add((r.line, r.rule, r.view))
@@ -45,7 +45,7 @@ def test_needs_are_in_every_match(rule):
 
 def test_logical_lines(spark):
     text = "one\\\n two\\\n three\nfour\\\\\nfive\\"
-    df = spark.createDataFrame([("a", 1, "script", "f", text), ("a", 2, "script", "f", ""), ("a", 3, "script", "f", None)], "artifact string, unit int, role string, file string, text string")
+    df = spark.createDataFrame([("a", 1, "script", "f.sh", text), ("a", 2, "script", "f.sh", ""), ("a", 3, "script", "f.sh", None)], "artifact string, unit int, role string, file string, text string")
     got = sorted((r.unit, r.line, r.raw) for r in rules.lines(df).collect())
     assert got == [(1, 1, "one two three"), (1, 4, "four\\\\"), (1, 5, "five\\"), (2, 1, "")]
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigilrow.functions.regex import re2_to_java
+from vigilrow.operators.comments import code_only, fence_lines
+
 #: So many documents that a body names count. A fixed value.
 NAMED_CAP = 8
 
@@ -30,26 +35,40 @@ def named_documents(files: DataFrame) -> DataFrame:
 
 
 def file_roles(files: DataFrame) -> DataFrame:
-    """files with role: by name, a command in its folder is an instruction, and a document that is named is `named`."""
+    """files with role: by name, a command in its folder is an instruction, and a document that is named is `named`.
+
+    Only documents meet the named ones; the texts of all other files stay where they are.
+    """
+    role = F.when(F.col("path").rlike(r"(?:^|/)commands/[^/]+\.md\z"), "instruction").otherwise(role_by_name("path"))
+    known = files.withColumn("role", role)
     named = named_documents(files).select("tree", "path", F.lit(True).alias("is_named"))
-    command = F.col("path").rlike(r"(?:^|/)commands/[^/]+\.md\z")
-    role = F.when(command, "instruction").when((role_by_name("path") == "doc") & F.col("is_named"), "named").otherwise(role_by_name("path"))
-    return files.join(named, ["tree", "path"], "left").withColumn("role", role).drop("is_named")
-
-
-def fenced_lines(lines: DataFrame) -> DataFrame:
-    """lines (unit, line, raw) that stand in a fence tagged as shell; one that is not closed runs to the end."""
-    fence = F.col("raw").rlike(r"^\s{0,3}```")
-    before = Window.partitionBy("unit").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tag = F.when(fence, F.lower(F.regexp_extract("raw", r"^\s*```+\s*([A-Za-z]*)", 1)))
-    state = lines.withColumn("fence", fence).withColumn("toggles", F.count_if(fence).over(before)).withColumn("tag", F.last(tag, ignorenulls=True).over(before))
-    return state.filter(~F.col("fence") & (F.col("toggles") % 2 == 1) & F.col("tag").isin("sh", "bash", "shell", "zsh", "console")).drop("fence", "toggles", "tag")
-
-
-def quoted_as_example(raw: str, pattern: str) -> Column:
-    """Whether what pattern (java) finds first stands in double quotes on a line that refuses it or gives it as an example."""
-    before = F.regexp_extract(raw, f"^(.*?)(?:{pattern})", 1)
-    behind = F.regexp_extract(raw, f"^.*?(?:{pattern})(.*)", 1)
-    open_ = (F.length(before) - F.length(F.replace(before, F.lit('"'), F.lit("")))) % 2 == 1
-    cue = F.col(raw).rlike(r"(?i)\b(?:never|refuse|reject|decline|such as|for example|an? example|do not)\b")
-    return open_ & behind.contains('"') & cue
+    docs = known.filter("role = 'doc'").join(named, ["tree", "path"], "left").withColumn("role", F.when(F.col("is_named"), "named").otherwise("doc"))
+    return known.filter("role <> 'doc'").unionByName(docs.drop("is_named"))
+
+
+def scan_units(files: DataFrame) -> DataFrame:
+    """files with the roles that rules know: a named document is scanned whole as a document and its fenced lines as code."""
+    views = F.when(F.col("role") == "named", F.array(F.lit("doc"), F.lit("code"))).otherwise(F.array("role"))
+    each = files.withColumn("role", F.explode(views))
+    return each.withColumn("text", F.when(F.col("role") == "code", code_only("text")).otherwise(F.col("text")))
+
+
+def fenced_lines(units: DataFrame) -> DataFrame:
+    """unit, line and raw of the lines that stand in a fence tagged as shell; one that is not closed runs to the end."""
+    both = F.arrays_zip(F.split("text", "\n").alias("raw"), fence_lines("text", shell_only=True).alias("inside"))
+    lines = units.select("unit", F.posexplode(both).alias("at", "x"))
+    return lines.filter("x.inside").select("unit", (F.col("at") + 1).alias("line"), "x.raw")
+
+
+#: Marks that quote, with those that end the quote. Fixed values.
+QUOTES = (('"', '"'), ("'", "'"), ("“", "”"), ("‘", "’"), ("`", "`"), ("「", "」"), ("『", "』"))
+#: Words by which a line says that what it quotes is not to be done, or is shown only; our own list.
+CUES = r"\b(?:never|must not|should not|cannot|won't|refuses?|reject(?:s|ed)?|block(?:s|ed)?|flag(?:s|ged)?|beware|warn(?:s|ing)?|attacks?|malicious|suspicious|examples?|for instance|phrases? like|e\.g)\b"
+
+
+def quoted_as_example(line: Column, pattern: str) -> Column:
+    """Whether what pattern (java) finds first in a line stands between quotation marks and the line refuses it or shows it as an example."""
+    before = F.regexp_extract(line, f"^([^\\n]*?)(?:{pattern})", 1)
+    behind = F.regexp_extract(line, f"^[^\\n]*?(?:{pattern})([^\\n]*)", 1)
+    inside = reduce(Column.__or__, (F.contains(before, F.lit(a)) & F.contains(behind, F.lit(b)) for a, b in QUOTES))
+    return inside & line.rlike("(?i)" + re2_to_java(CUES))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from vigilrow.functions.regex import re2_to_java
 from vigilrow.functions.scalar import normalize
+from vigilrow.operators.comments import code_view, comment_lines, fence_lines, language
+from vigilrow.operators.layout import quoted_as_example
 
 
 @dataclass(frozen=True)
@@ -35,13 +37,14 @@ RULES = (
     _rule("INJ-002", 1, "medium", r"\b(?:ignore|disregard|override)\b.{0,20}\b(?:system|developer)\b.{0,10}\b(?:prompt|message)\b", "prompt", "message"),
     _rule("INJ-003", 1, "medium", r"\byou are now\b.{0,30}\b(?:unrestricted|jailbroken|without limits)\b", "you are now"),
     _rule("INJ-004", 1, "medium", "[​‌‍‪‫‭‮⁠⁦⁧⁨]", raw_only=True),
-    _rule("INJ-005", 1, "high", r"\b(?:curl|wget|fetch)\b.{0,80}https?://[^\s]{1,200}/(?:instructions|steps|payload|prompt)\.(?:md|txt)\b", "://"),
-    _rule("EXEC-001", 4, "high", r"\bcurl\b[^|]{0,200}\|\s*(?:sudo\s+)?(?:ba|z|da)?sh\b", "curl"),
-    _rule("EXEC-002", 4, "high", r"\bwget\b[^|]{0,200}\|\s*(?:sudo\s+)?(?:ba|z|da)?sh\b", "wget"),
+    _rule("INJ-005", 1, "high", r"\b(?:curl|wget|fetch)\b.*https?://\S+/(?:instructions|steps|payload|prompt)\.(?:md|txt)\b", "://"),
+    _rule("EXEC-001", 4, "high", r"\bcurl\b.*\|\s*(?:sudo\s+(?:-\S+\s+)*)?(?:/(?:usr/)?bin/)?(?:ba|z|da|k)?sh\b", "curl"),
+    _rule("EXEC-002", 4, "high", r"\bwget\b.*\|\s*(?:sudo\s+(?:-\S+\s+)*)?(?:/(?:usr/)?bin/)?(?:ba|z|da|k)?sh\b", "wget"),
     _rule("EXEC-003", 4, "low", r"(?:^|[^\w.])(?:eval|exec)\s*\(", "eval", "exec"),
     _rule("EXEC-004", 4, "medium", r"\bsubprocess\.[a-z_]+\s*\(|\bos\.(?:system|popen)\s*\(|\brequire\(\s*['\"](?:node:)?child_process|\bshell\s*=\s*true\b", "subprocess", "os.", "child_process", "shell"),
     _rule("EXEC-005", 4, "medium", r"\bnew\s+function\s*\(", "function"),
-    _rule("EXEC-006", 4, "medium", r"\b(?:set|window\.set)(?:timeout|interval)\(\s*[`'\"]", "settimeout", "setinterval"),
+    # a timer that is given text: called by name or by key, with a literal or one that is put together
+    _rule("EXEC-006", 4, "medium", r"\bset(?:timeout|interval)(?:['\"]\s*\])?\s*\(\s*(?:[\w$.]+\s*\+\s*)?['\"`]", "settimeout", "setinterval"),
     _rule("EXEC-007", 4, "medium", r"\bvm\.(?:run|compile|create)[a-z]*(?:context|function|script)\b|\bnew\s+vm\.script\b", "vm."),
     _rule("EXEC-008", 4, "high", r"\bpowershell\b.{0,80}\s-e(?:nc|ncodedcommand)?\s+[a-z0-9+/=]{16,}", "powershell"),
     _rule("EXEC-009", 4, "medium", r"\b(?:invoke-expression|iex)\b\s*[\(\$'\"]", "invoke-expression", "iex"),
@@ -52,7 +55,8 @@ RULES = (
     _rule("HOOK-001", 4, "medium", r"(?:&&|\|\||;)\s*\w", "&&", "||", ";", scope="hook"),
     _rule("EXFIL-004", 3, "medium", r"(?:\bprintenv\b|(?:^|[;&|]\s*)env\s*(?:$|[|>])|\bos\.environ\.(?:items|copy)\(|json\.dumps\(\s*(?:dict\()?os\.environ)", "env"),
     _rule("EXFIL-006", 3, "medium", r"\b[a-z_]*(?:base_url|api_base|endpoint)\s*[=:]\s*['\"]?https?://", "://", veto=r"https?://(?:api\.[a-z]+\.(?:com|org)|localhost|127\.)"),
-    _rule("EXFIL-007", 3, "high", r"\?[^\s?]{0,120}(?:\$\(|`)\s*(?:whoami|hostname|uname|id|logname)\b", "whoami", "hostname", "uname", "id", "logname"),
+    # a query parameter whose value names the machine or its user: by a command, or by a variable of the shell
+    _rule("EXFIL-007", 3, "high", r"[?&][\w.%-]*=\S*?(?:(?:\$\(|`)\s*(?:(?:hostname|whoami|uname|ifconfig|id|logname)\b|cat\s+/etc/machine-id)|\$\{?(?:hostname|user|logname)\b)", "hostname", "whoami", "uname", "ifconfig", "id", "logname", "user"),
     _rule("PERM-007", 2, "high", r"(?:>|>>|write(?:_text|filesync)?\s*\().{0,60}settings(?:\.local)?\.json", "settings", scope="script"),
     _rule("PERM-008", 2, "medium", r"['\"]?(?:permissiondecision|decision|behavior)['\"]?\s*:\s*['\"]allow['\"]", "allow", scope="script"),
     _rule("MCP-001", 1, "high", r"\b(?:read|include|send|attach)\b.{0,60}(?:~/\.ssh|id_rsa|\.env\b|credentials|api keys?)", "read", "include", "send", "attach", scope="connector"),
@@ -61,7 +65,8 @@ RULES = (
     _rule("MCP-004", 3, "medium", r"\b(?:send|post|forward|upload)\b.{0,60}https?://", "://", scope="connector"),
     _rule("MCP-005", 3, "high", r"\b(?:always )?(?:bcc|cc|copy)\b.{0,40}[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}", "@", scope="connector"),
     _rule("SUP-001", 5, "medium", r"\bpip3?\s+install\b.*--(?:extra-)?index-url\b", "index-url"),
-    _rule("SUP-002", 5, "medium", r"\bnpm\b[^;|&]{0,80}\s(?:add|ci|i|install)\s.{0,200}\b(?:git|http)://", "npm"),
+    # a package from a place without a certificate: any client, any form of the address
+    _rule("SUP-002", 5, "medium", r"\b(?:npm|pnpm|yarn)\s(?:[^;|&]*\s)?(?:install|add|ci|i)\s(?:[^;|&]*\s)?['\"]?(?:[@\w./-]+@)?(?:git\+http|git|http)://", "npm", "yarn"),
     _rule("SUP-003", 5, "low", r"\b(?:pip3?|npm)\s+(?:i|install)\s+[a-z][a-z0-9_-]*\s*$", "pip", "npm"),
     _rule("SUP-007", 5, "high", r"\b(?:curl|wget)\b.{0,80}\s-o\s*\S*.{0,40}http://", "http://", veto=r"http://(?:localhost|127\.)"),
     _rule("OBF-001", 6, "medium", r"\b(?:base64\s+(?:-d|--decode)|b64decode|atob)\b", "base64", "b64decode", "atob"),
@@ -71,7 +76,8 @@ RULES = (
     _rule("FS-001", 9, "high", r"(?:~|/root|/home/\w+)/\.ssh/(?:id_\w+|authorized_keys)", ".ssh/"),
     _rule("FS-002", 9, "medium", r"(?:\.aws/credentials|\.config/gcloud|\.azure/|\.kube/config)", ".aws/", ".config/gcloud", ".azure/", ".kube/"),
     _rule("FS-003", 9, "high", r"\brm\s+-(?:rf|fr|r\s+-f)\s+(?:/|~|\$home)(?:\s|\*|$)", "rm"),
-    _rule("FS-004", 9, "medium", r"(?:\.\.[/\\]){2}(?:\.\.[/\\]){0,30}(?:etc|home|root|users|var)(?:[/\\]|\b)", ".."),
+    # two steps up or more, plain or percent-encoded, and then a folder of the system
+    _rule("FS-004", 9, "medium", r"(?:(?:\.|%2e){2}(?:[/\\]|%2f|%5c)+){2,}(?:etc|proc|root|home|users|var|windows)(?:[/\\]|%2f|%5c|\b)", "..", "%2e"),
     _rule("FS-005", 9, "high", r"(?:\bhistory\s+-c\b|\brm\b.{0,30}(?:bash|zsh)_history|\btruncate\b.{0,40}/var/log/)", "history", "truncate"),
     _rule("RES-001", 8, "low", r"\bwhile\s*\(?\s*(?:true|1)\b", "while", advisory=True),
     _rule("RES-002", 8, "low", r"\bfor\s*\(\s*;\s*;\s*\)", "for", advisory=True),
@@ -98,22 +104,32 @@ def gates() -> list[tuple[str, str]]:
     return [(role, r.id) for role, (first, other, scopes) in GATE.items() for r in RULES if (r.scope in scopes if r.scope else first if r.dimension == 1 else other)]
 
 
+#: Injection phrases that may be quoted to refuse them. Fixed values.
+PHRASES = ("INJ-001", "INJ-002", "INJ-003")
+
+
 def lines(units: DataFrame) -> DataFrame:
-    """units (unit, role, text, ...) to one row per logical line: line (of its first physical line, from 1), raw, norm, comment.
+    """units (unit, role, file, text, ...) to one row per logical line: line (of its first physical line, from 1), raw, comment, norm.
 
-    A physical line that ends in an odd number of backslashes goes on in the next one.
+    A physical line that ends in an odd number of backslashes goes on in the next one: in files of shell and its like unless it is a
+    comment, in hooks, and in fences of Markdown that are tagged as shell. comment: the line is a comment of its file's language.
     """
     keep = [c for c in units.columns if c != "text"]
-    # (line, raw) of each logical line; texts in which no line goes on need no folding
-    folded = F.expr(r"""if(not contains(text, '\\\n'), transform(split(text, '\n'), (x, i) -> struct(i + 1 as line, x as raw)),
-      transform(array(split(text, '\n')), parts -> transform(
-        array(filter(sequence(0, size(parts) - 1), i -> i = 0 or not parts[i - 1] rlike r'(?<!\\)(?:\\\\)*\\\z')), starts -> transform(starts, (s, k) -> struct(s + 1 as line,
-          regexp_replace(array_join(slice(parts, s + 1, coalesce(get(starts, k + 1), size(parts)) - s), '\n'), r'\\\n', '') as raw)))[0])[0])""")
-    out = units.select(*keep, F.inline(folded))
+    plain = F.lit(None).cast("array<boolean>")
+    known = _once(units, _language=language("file"))
+    known = _once(known, _parts=F.split("text", "\n"), _view=code_view("text", "_language"))
+    goes_on = F.contains("text", F.lit("\\\n"))
+    fenced = F.when(goes_on & (F.col("_language") == "md"), fence_lines("text", shell_only=True)).otherwise(plain)
+    known = _once(known, _comment=comment_lines("text", "_view"), _fenced=fenced, _folds=goes_on & ((F.col("role") == "hook") | (F.coalesce("_language", F.lit("")) == "hash")))
+    # (line, raw, comment) of each logical line; texts in which no line goes on need no folding
+    folded = F.expr(r"""if(not (_folds or _fenced is not null), transform(_parts, (x, i) -> struct(i + 1 as line, x as raw, coalesce(get(_comment, i), false) as comment)),
+      transform(array(filter(sequence(0, size(_parts) - 1), i -> i = 0 or not (_parts[i - 1] rlike r'(?<!\\)(?:\\\\)*\\\z'
+        and (_folds and not coalesce(get(_comment, i - 1), false) or coalesce(get(_fenced, i - 1), false))))), starts -> transform(starts, (s, k) -> struct(s + 1 as line,
+          regexp_replace(array_join(slice(_parts, s + 1, coalesce(get(starts, k + 1), size(_parts)) - s), '\n'), r'\\\n', '') as raw, coalesce(get(_comment, s), false) as comment)))[0])""")
+    out = known.select(*keep, F.inline(folded))
     # all that normalising changes
     odd = (F.octet_length("raw") != F.length("raw")) | F.col("raw").contains("''") | F.col("raw").contains('""') | F.col("raw").contains("\\")
-    norm = F.when(odd, normalize("raw")).otherwise(F.col("raw"))
-    return _once(out, norm=norm, comment=F.col("raw").rlike(r"^\s*(?:#(?!!)|//|--\s|\*\s)"))
+    return _once(out, norm=F.when(odd, normalize("raw")).otherwise(F.col("raw")))
 
 
 def _once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -138,7 +154,8 @@ def _matches(rule: Rule, view: str) -> Column:
 def evaluate(lines_df: DataFrame) -> DataFrame:
     """Lines that a rule matches: the raw view first, else the normalised one; a veto counts on the same view.
 
-    Matches on whole comment lines are dropped but for dimensions 0 and 6. Patterns are literals of one projection, each behind
+    Matches on whole comment lines are dropped but for dimensions 0 and 6, and so are, outside scripts, injection phrases that are quoted as
+    an example. Patterns are literals of one projection, each behind
     a test for a word that every match holds, so that most lines meet no pattern at all.
     """
     roles: dict[str, list[str]] = {}
@@ -160,7 +177,10 @@ def evaluate(lines_df: DataFrame) -> DataFrame:
     known = F.array(*(F.struct(F.lit(1 << k).cast("long").alias("bit"), F.lit(r.id).alias("rule"), F.lit(r.dimension).alias("dimension"), F.lit(r.severity).alias("severity"), F.lit(r.advisory).alias("advisory")) for k, r in enumerate(RULES)))
     hit = F.filter(known, lambda x: x["bit"].bitwiseAND(F.col("raw_hits").bitwiseOR(F.col("norm_hits"))) != 0)
     view = F.when(F.col("bit").bitwiseAND(F.col("raw_hits")) != 0, "raw").otherwise("norm")
-    return found.select("*", F.inline(hit)).withColumn("view", view).drop("raw_small", "norm_small", "raw_hits", "norm_hits", "bit")
+    hits = found.select("*", F.inline(hit)).withColumn("view", view)
+    seen = F.when(F.col("view") == "raw", F.col("raw")).otherwise(F.col("norm"))
+    example = reduce(lambda rest, r: F.when(F.col("rule") == r.id, quoted_as_example(seen, re2_to_java(r.pattern))).otherwise(rest), (r for r in RULES if r.id in PHRASES), F.lit(False))
+    return hits.filter((F.col("role") == "script") | ~example).drop("raw_small", "norm_small", "raw_hits", "norm_hits", "bit")
 
 
 def fingerprint() -> str:

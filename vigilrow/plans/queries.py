@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilrow.functions import scalar
-from vigilrow.operators import digests, evaluation, hygiene, judge, permissions, rules, score, structural, suppress
-from vigilrow.plans.tables import UNITS_SQL, quoted, read, spread, units
+from vigilrow.operators import comments, digests, evaluation, hygiene, judge, layout, permissions, rules, score, structural, suppress
+from vigilrow.plans.tables import UNITS_SQL, fences_sql, quoted, read, spread, units
 from vigilrow.sources import readers
 from vigilrow.streaming import gate
 
@@ -27,22 +27,41 @@ def query(sql: str | None = None):
 
 _RULES_SQL = "rules as (select * from (values " + ", ".join(f"({quoted(role)}, {quoted(r.id)}, {r.dimension}, {quoted(r.severity)}, {quoted(r.pattern)}, {quoted(r.veto)}, {str(r.raw_only).lower()}, {str(r.advisory).lower()})" for role, i in rules.gates() for r in [next(r for r in rules.RULES if r.id == i)]) + ") t(role, rule, dimension, severity, pattern, veto, raw_only, advisory))"
 
+#: What a language's text is without comments: strings stay, comments go but for their line ends.
+_VIEW_SQL = "case " + " ".join(
+    f"when lang = '{k}' and ({' or '.join(f'contains(text, {quoted(o)})' for o in comments.OPENERS[k])}) then (select string_agg(string_split(x, chr(57344))[1] || regexp_replace(coalesce(string_split(x, chr(57344))[2], ''), '[^\\n]+', '', 'g'), '' order by i) "
+    f"from (select unnest(m) as x, unnest(range(len(m))) as i from (select string_split(regexp_replace(text, {quoted(comments.re2(comments.PARTS[k]))}, '\\1' || chr(57344) || '\\2' || chr(57345), 'g'), chr(57345)) as m)))"
+    for k in ("hash", "c")
+) + " end"
+_ENDING_SQL = " ".join(f"when lower(regexp_extract(file, '\\.([A-Za-z0-9]+)$', 1)) in ({', '.join(map(quoted, v))}) then '{k}'" for k, v in (("hash", comments.HASH), ("c", comments.C_STYLE), ("md", ("md",))))
+_CUES_SQL = quoted("(?i)" + layout.CUES)
+
+
+def example_sql(pattern: str, seen: str) -> str:
+    """Whether what the pattern finds first stands in quotes and the line has a cue."""
+    p = pattern.removeprefix("(?i)")
+    before, behind = (f"regexp_extract({seen}, {quoted(f'(?i)^{x}')}, 1)" for x in (f"([^\\n]*?)(?:{p})", f"[^\\n]*?(?:{p})([^\\n]*)"))
+    return f"(regexp_matches({seen}, {_CUES_SQL}) and (" + " or ".join(f"(contains({before}, {quoted(a)}) and contains({behind}, {quoted(b)}))" for a, b in layout.QUOTES) + "))"
+
+
 #: Logical lines, their normalised view and what rules find in them.
 _LINES_SQL = (
     UNITS_SQL
-    + r""",
-whole as (select * exclude text, string_split(regexp_replace(text, '(^|[^\\])((?:\\\\)*)\\\n', '\1\2' || chr(1), 'g'), chr(10)) as parts from units),
-logical as (select artifact, unit, role, file, k, parts, parts[k] as joined from (select *, unnest(range(1, len(parts) + 1)) as k from whole)),
-counted as (select *, length(joined) - length(replace(joined, chr(1), '')) as more from logical),
-lines as (select artifact, unit, role, file, k + coalesce(sum(more) over (partition by unit order by k rows between unbounded preceding and 1 preceding), 0) as line, replace(joined, chr(1), '') as raw from counted),
-"""
-    + f"""views as (select *, regexp_replace(regexp_replace(translate(regexp_replace(raw, '[{scalar.INVISIBLE}]', '', 'g'), '{scalar.LOOKALIKE[0]}', '{scalar.LOOKALIKE[1]}'), '([A-Za-z0-9_])(?:''''|"")\\b', '\\1', 'g'), '([A-Za-z0-9_])\\\\\\b', '\\1', 'g') as norm,
-  regexp_matches(raw, '^[\\t\\n\\f\\r\\v ]*(?:#(?:[^!]|$)|//|--[\\t\\n\\f\\r\\v ]|\\*[\\t\\n\\f\\r\\v ])') as comment from lines),
+    + f""",
+known as (select *, case {_ENDING_SQL} end as lang, row_number() over () as u from units),
+viewed as (select *, string_split(text, chr(10)) as parts, string_split({_VIEW_SQL}, chr(10)) as code, case when lang = 'md' and contains(text, '\\' || chr(10)) then {fences_sql(True)} end as fences from known),
+physical as (select artifact, unit, role, file, lang, u, k, parts[k] as part, code is not null and translate(code[k], ' ' || chr(9) || chr(13), '') = '' and translate(parts[k], ' ' || chr(9) || chr(13), '') <> '' as comment, coalesce(fences[k], false) as fenced from (select *, unnest(range(1, len(parts) + 1)) as k from viewed)),
+ended as (select *, k < count(*) over (partition by u) and regexp_matches(part, '(^|[^\\\\])(?:\\\\\\\\)*\\\\$') and ((role = 'hook' or coalesce(lang, '') = 'hash') and not comment or fenced) as goes_on from physical),
+begun as (select *, coalesce(lag(goes_on) over (partition by u order by k), false) as goes from ended),
+numbered as (select *, sum(case when goes then 0 else 1 end) over (partition by u order by k) as n from begun),
+lines as (select any_value(artifact) as artifact, any_value(unit) as unit, any_value(role) as role, any_value(file) as file, min(k) as line, arg_min(comment, k) as comment, string_agg(case when goes_on then left(part, length(part) - 1) else part end, '' order by k) as raw from numbered group by u, n),
+views as (select *, regexp_replace(regexp_replace(translate(regexp_replace(raw, '[{scalar.INVISIBLE}]', '', 'g'), '{scalar.LOOKALIKE[0]}', '{scalar.LOOKALIKE[1]}'), '([A-Za-z0-9_])(?:''''|"")\\b', '\\1', 'g'), '([A-Za-z0-9_])\\\\\\b', '\\1', 'g') as norm from lines),
 {_RULES_SQL},
-findings as (select artifact, unit, file, line, rule, dimension, severity, case when raw_hit then 'raw' else 'norm' end as view from (
+hits as (select artifact, unit, role, file, line, rule, dimension, severity, raw, norm, case when raw_hit then 'raw' else 'norm' end as view from (
   select v.*, r.rule, r.dimension, r.severity, regexp_matches(raw, pattern) and not (veto <> '' and regexp_matches(raw, veto)) as raw_hit,
     not raw_only and norm <> raw and regexp_matches(norm, pattern) and not (veto <> '' and regexp_matches(norm, veto)) as norm_hit
-  from views v join rules r using (role)) where (raw_hit or norm_hit) and not (comment and dimension not in (0, 6)))"""
+  from views v join rules r using (role)) where (raw_hit or norm_hit) and not (comment and dimension not in (0, 6))),
+findings as (select artifact, unit, file, line, rule, dimension, severity, view from hits where role = 'script' or not case rule {" ".join(f"when '{r.id}' then " + example_sql(r.pattern, "(case view when 'raw' then raw else norm end)") for r in rules.RULES if r.id in rules.PHRASES)} else false end)"""
 )
 
 
