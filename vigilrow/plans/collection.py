@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilrow.operators import imports, routing
+from vigilrow.operators import content_hash, imports, routing
 from vigilrow.plans.queries import query
 from vigilrow.plans.tables import pick, picked, quoted, read, spread
 
@@ -146,3 +146,52 @@ def scan_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {_LISTED_SQL} select target, path, note from entries where note is not null union all select distinct target, artifact, 'belongs to no artifact' from member where kind = 'unowned'")
 def scan_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.notes(_listed(spark, sf_dir))
+
+
+#: Entries by kind; {s} is a secret of each, {c} a command of few kinds, and every second one has its members the other way round.
+_ENTRIES = {
+    "hook": ('{"type":"command","command":"run --token {s} | {c}","timeout":5}', '{"timeout":5,"command":"run --token {s} | {c}","type":"command"}'),
+    "server": ('{"command":"{c}","args":["--api-key","{s}","--url","https://u:{s}@h.example/x"],"env":{"A_TOKEN":"{s}","MODE":"{c}"}}', '{"env":{"MODE":"{c}","A_TOKEN":"{s}"},"args":["--api-key","{s}","--url","https://u:{s}@h.example/x"],"command":"{c}"}'),
+    "permissions": ('{"allow":["Bash({c} --password={s} *)"],"deny":[],"defaultMode":"ask"}', '{"defaultMode":"ask","deny":[],"allow":["Bash({c} --password={s} *)"]}'),
+    "env": ('{"API_KEY":"{s}","H":"Bearer {s}","N":1.50,"B":true,"E":null,"O":{}}', '{"O":{},"E":null,"B":true,"N":1.50,"H":"Bearer {s}","API_KEY":"{s}"}'),
+}
+_COMMANDS = ("node", "python3", "sh -c $X", "npx y")
+
+
+def _configured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    text = pick(tuple(x for k in _ENTRIES for x in _ENTRIES[k]), key)
+    # every fifth secret is one that a shell gives a meaning to
+    secret = F.concat(F.lit("s3cr3t"), key, F.when(key % 5 == 0, F.concat(F.lit("$("), key, F.lit(")"))).otherwise(""))
+    text = F.replace(F.replace(text, F.lit("{s}"), secret), F.lit("{c}"), pick(_COMMANDS, F.floor(key / 8)))
+    text = F.when(key % 97 == 96, F.lit("{")).otherwise(text)
+    return read(spark, sf_dir, "customer").select(key.alias("entry"), pick(tuple(k for k in _ENTRIES for _ in "ab"), key).alias("kind"), text.alias("json"), F.when(key % 3 == 0, F.array(F.lit("unresolved"))).alias("scripts"))
+
+
+_KINDS_SQL = picked(tuple(k for k in _ENTRIES for _ in "ab"), "c_custkey")
+_JSON_SQL = picked(tuple(x for k in _ENTRIES for x in _ENTRIES[k]), "c_custkey")
+
+
+def _blanked_sql(chars: str) -> str:
+    bare = content_hash._set(chars)
+    inner = f"regexp_replace(value, {quoted(f'(?i)({content_hash.SECRET}=){bare}+')}, '\\1{content_hash.BLANK}', 'g')"
+    inner = f"regexp_replace({inner}, {quoted(f'(://[A-Za-z0-9._-]*:){content_hash._set(chars + chr(64) + chr(47))}+@')}, '\\1{content_hash.BLANK}@', 'g')"
+    inner = f"regexp_replace({inner}, {quoted(f'(?i){chr(92)}b(bearer|basic) {bare}+')}, '\\1 {content_hash.BLANK}', 'g')"
+    return f"case when told and regexp_matches(value, {quoted(f'^{bare}+$')}) then '{content_hash.BLANK}' else {inner} end"
+
+
+@query(f"""with e as (select c_custkey as entry, {_KINDS_SQL} as kind, case when c_custkey % 97 = 96 then '{{' else replace(replace({_JSON_SQL}, '{{s}}', 's3cr3t' || c_custkey || case when c_custkey % 5 = 0 then '$(' || c_custkey || ')' else '' end), '{{c}}', {picked(_COMMANDS, 'c_custkey // 8')}) end as json,
+  case when c_custkey % 3 = 0 then chr(10) || 'script' || chr(31) || 'unresolved' else '' end as scripts from customer),
+good as (select * from e where json_valid(json)),
+t as (select entry, kind, t.fullkey as path, t.type, t.key, t.id, t.parent, t.atom ->> '$' as value from good, json_tree(good.json) t),
+n as (select *, case when key ~ '^[0-9]+$' then regexp_extract(regexp_replace(path, '(\\[[0-9]+\\])+$', ''), '[^.]*$') else key end as name,
+  lag(case when type = 'VARCHAR' then value end) over (partition by entry, parent order by id) as previous, regexp_matches(path, '\\]$') as element from t),
+l as (select *, coalesce(regexp_matches(name, {quoted(f'(?i){content_hash.SECRET}$')}), false) or coalesce(element and regexp_matches(previous, {quoted(f'(?i)^--?[A-Za-z0-9_-]*{content_hash.SECRET}$')}), false) as told,
+  case kind when 'permissions' then regexp_matches(path, '^\\$\\.(?:allow|deny|ask)\\b') when 'env' then false else regexp_matches(path, '^\\$\\.(?:command|args)\\b') end as shell from n),
+v as (select entry, kind, path || chr(31) || case type when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'NULL' then 'null' when 'OBJECT' then 'object' when 'ARRAY' then 'array' else 'number' end || chr(31) ||
+  case when type = 'VARCHAR' then (case when shell then {_blanked_sql(content_hash.SHELL)} else {_blanked_sql(content_hash.LITERAL)} end) when type = 'DOUBLE' then '1.50' else coalesce(value, '') end as line
+  from l where type not in ('OBJECT', 'ARRAY') or not exists (select 1 from t c where c.entry = l.entry and c.parent = l.id)),
+h as (select entry, sha256(any_value(kind) || chr(10) || string_agg(line, chr(10) order by line) || any_value(scripts)) as hash from v join good using (entry, kind) group by entry)
+select entry, hash from e left join h using (entry)""")
+def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return content_hash.content_hashes(_configured(spark, sf_dir)).select("entry", "hash")
