@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vigilrow.operators import content_hash, imports, routing
 from vigilrow.plans.queries import query
 from vigilrow.plans.tables import pick, picked, quoted, read, spread
+from vigilrow.streaming import gate
 
 #: Files of a home by doc_id, of which the last hold no documents of the tree.
 _HOME = 40
@@ -195,3 +196,42 @@ h as (select entry, sha256(any_value(kind) || chr(10) || string_agg(line, chr(10
 select entry, hash from e left join h using (entry)""")
 def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_hash.content_hashes(_configured(spark, sf_dir)).select("entry", "hash")
+
+
+#: Severities and modes of loads, by number of the call.
+_WORST, _MODES = (0, 3, 1, 3, 2, 3, 3), ("default", "default", "auto", "default", "bypass")
+
+
+def _hook_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as those of hooks: loads and their answers in turns, some late, of changed bytes, of other tools, failed or told twice."""
+    e = read(spark, sf_dir, "events").select(F.col("event_id").alias("uid"))
+    call, post = F.floor(F.col("uid") / 2), F.col("uid") % 2 == 1
+    seconds = call * 977 + F.when(post, (call % 6) * 800 - F.when(call % 6 == 5, 401).otherwise(0)).otherwise(0)
+    content = F.when(post & (call % 11 == 3), call % 89 + 1).otherwise(call % 89)
+    all_ = e.select(
+        "uid",
+        F.when(post, "PostToolUse").when(call % 50 == 49, "SessionStart").otherwise("PreToolUse").alias("name"),
+        F.when(call % 41 == 40, "Bash").otherwise("Skill").alias("tool"),
+        F.concat(F.lit("c"), call - F.when(call % 13 == 12, 1).otherwise(0)).alias("id"),
+        F.when(call % 71 != 70, F.concat(F.lit("h"), content)).alias("hash"),
+        pick(_WORST, call).alias("worst"),
+        pick(_MODES, call).alias("mode"),
+        (call % 17 != 16).alias("succeeded"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + seconds).alias("at"),
+    )
+    return all_.unionByName(all_.filter("uid % 10 = 3"))
+
+
+@query(f"""with e as (select event_id as uid, event_id // 2 as call, event_id % 2 = 1 as post from events),
+h as (select uid, call, post, 1700000000 + call * 977 + case when post then (call % 6) * 800 - case when call % 6 = 5 then 401 else 0 end else 0 end as s, 'c' || (call - case when call % 13 = 12 then 1 else 0 end) as id,
+  case when call % 71 <> 70 then 'h' || (case when post and call % 11 = 3 then call % 89 + 1 else call % 89 end) end as hash, {picked(_WORST, 'call')} as worst, {picked(_MODES, 'call')} as mode from e
+  where call % 41 <> 40 and case when post then call % 17 <> 16 else call % 50 <> 49 end),
+l as (select *, lag((post, hash, s, uid)) over (partition by id order by s, uid) as last from h where post or (worst >= 3 and mode not in ('auto', 'bypass'))),
+steps as (select uid, hash, s, false as answer, false as same, s as asked, uid as asked_uid, worst, mode from h where not post
+  union all select uid, last[2], s, true, hash is not distinct from last[2], last[3], last[4], 0, '' from l where post and not last[1] and s - last[3] <= 3600),
+f as (select hash, min((s, uid)) as first from steps where hash is not null and case when answer then same else worst < 2 end group by hash),
+k as (select *, coalesce((asked, asked_uid) > first, false) as known from steps left join f using (hash))
+select uid, hash, make_timestamp(s * 1000000) as at, case when answer then (case when same then 'accepted' else 'changed' end) when known then 'allow' when worst < 2 then (case when hash is null then 'noted' else 'remembered' end)
+  when worst < 3 then 'noted' when mode in ('auto', 'bypass') then 'deny' else 'ask' end as decision from k where not (answer and known)""")
+def gate_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gate.gate(_hook_events(spark, sf_dir))

@@ -130,7 +130,7 @@ def quoted(text: str) -> str:
 
 def picked(values: tuple, key: str) -> str:
     """pick() in DuckDB."""
-    return f"([{', '.join(map(quoted, values))}])[({key}) % {len(values)} + 1]"
+    return f"([{', '.join(quoted(v) if isinstance(v, str) else str(v) for v in values)}])[({key}) % {len(values)} + 1]"
 
 
 #: tree, place, path of named documents, from files (tree, path, text).
