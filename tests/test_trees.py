@@ -136,3 +136,15 @@ def test_plugin_and_server(load, tmp_path):
     write(tmp_path / "c", **{"src/a.py": "import mcp\nprint(mcp)", "b.py": "app = Server('x')", "d.txt": "from mcp import x\nServer()"})
     layout = lambda n: [r.layout for r in routing.layouts(load(tmp_path / n).filter("note is null")).collect()]
     assert layout("s") == ["server"] and layout("c") == ["directory"]
+
+
+def test_reader_of_any_store(spark, tmp_path):
+    """The same rows of files, through Spark's own reader."""
+    from vigilrow.sources import readers
+
+    root = tmp_path / "a b's" / "tree"
+    write(root, **{"a.md": "﻿one", "b/c.py": "two", "node_modules/x.js": "no", "bin": b"a\x00b", "latin": b"\xe9", "empty": "", "big": b"x" * (trees.MAX_BYTES + 1), "copy/a.md": "one"})
+    got = readers.tree(spark, str(root))
+    assert got.columns == [c.split()[0] for c in trees.SCHEMA.split(", ")]
+    assert {r.path: r.note or r.text for r in got.collect()} == {"a.md": "one", "b/c.py": "two", "node_modules/x.js": "excluded folder", "bin": "not text", "latin": "not text", "empty": "", "big": "too large", "copy/a.md": "one"}
+    assert {r.layout for r in routing.layouts(got.filter("note is null")).collect()} == {"directory"}

@@ -106,9 +106,9 @@ def service_tokens(c: str) -> Column:
 
 
 def shell_words(c: str) -> Column:
-    """The words of a command line; quotes go and hold spaces together."""
-    found = F.regexp_extract_all(c, F.lit(r"""(?:[^\s'"\\]|\\.|"[^"]*"|'[^']*')+"""), F.lit(0))
-    return F.transform(found, lambda w: F.regexp_replace(w, r"""["'\\]""", ""))
+    """The words of a command line; quotes go and hold blanks together, and between single ones a backslash is a character as others."""
+    found = F.regexp_extract_all(c, F.lit(r"""(?:[^\s'"\\]|\\.|"(?:[^"\\]|\\.)*"|'[^']*')+"""), F.lit(0))
+    return F.transform(found, lambda w: F.regexp_replace(w, r"""'([^']*)'|"((?:[^"\\]|\\.)*)"|\\(.)""", "$1$2$3"))
 
 
 def shell_quoted(c: str) -> Column:

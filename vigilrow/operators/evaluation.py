@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigilrow.sources.shared import cut
+
 from vigilrow.functions.scalar import wilson
 
 
@@ -55,9 +57,17 @@ def delta_recall(samples: DataFrame, static: DataFrame, voted: DataFrame) -> Dat
 
 
 def nearest_rank(df: DataFrame, group: str, value: str, p: float) -> DataFrame:
-    """Per group the value at floor((n - 1) * p) in order: the lower nearest rank, exact."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(group)
-    ranked = df.filter(F.col(value).isNotNull()).withColumn("n", F.count("*").over(w)).withColumn("r", F.row_number().over(w.orderBy(value)))
-    return ranked.filter(F.col("r") == F.floor((F.col("n") - 1) * p) + 1).select(group, F.col(value).alias("value"))
+    """Per group the value at floor((n - 1) * p) in order: the lower nearest rank, exact.
+
+    Equal values are counted first; the counts are dealt out by ranges of value, so that a range's place in its group is known from the
+    sums of the ranges before it and no task sorts a whole group.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("k"))
+    ranges = cut(counts.repartitionByRange(group, value).withColumn("part", F.spark_partition_id()))
+    sums = ranges.groupBy(group, "part").agg(F.sum("k").alias("own"))
+    w = Window.partitionBy(group).orderBy("part")
+    # as many rows as there are ranges and groups
+    sums = sums.select(group, "part", (F.sum("own").over(w) - F.col("own")).alias("before"), F.sum("own").over(Window.partitionBy(group)).alias("n"))
+    placed = ranges.join(sums, [group, "part"]).withColumn("upto", F.col("before") + F.sum("k").over(Window.partitionBy(group, "part").orderBy(value)))
+    rank = F.floor((F.col("n") - 1) * p) + 1
+    return placed.filter((F.col("upto") >= rank) & (F.col("upto") - F.col("k") < rank)).select(group, F.col(value).alias("value"))

@@ -63,13 +63,18 @@ def written_then_sourced(lines: DataFrame) -> DataFrame:
 
 
 def registry_redirects(lines: DataFrame, official: tuple[str, ...] = ("registry.npmjs.org", "pypi.org")) -> DataFrame:
-    """unit, line and host where a package registry is set to a host off the list; `$NAME` is the unit's last assignment of NAME."""
-    target = lines.select("unit", "line", F.regexp_extract("raw", r"registry\s+(\S+)", 1).alias("target")).filter("target <> ''")
-    assigned = lines.select("unit", "line", F.regexp_extract("raw", r"^([A-Z_]+)=(\S+)", 1).alias("name"), F.regexp_extract("raw", r"^([A-Z_]+)=(\S+)", 2).alias("value")).filter("name <> ''")
-    last = assigned.groupBy("unit", "name").agg(F.max_by("value", "line").alias("value"))
-    named = target.withColumn("name", F.regexp_extract("target", r"^\$\{?([A-Z_]+)", 1))
-    url = F.coalesce("value", "target")
-    out = named.join(last, ["unit", "name"], "left").withColumn("host", F.lower(F.regexp_extract(url, r"(?i)^https?://([A-Za-z0-9.-]+)", 1)))
+    """unit, line and host where a package registry is set to a host off the list; `$NAME` is what NAME was last set to above or on that line."""
+    nothing = F.lit(None).cast("string")
+    target = F.regexp_extract("raw", r"registry\s+(\S+)", 1)
+    uses = lines.select("unit", "line", target.alias("target")).filter("target <> ''")
+    uses = uses.select("unit", "line", "target", F.regexp_extract("target", r"^\$\{?([A-Z_]+)", 1).alias("name"))
+    assigned = lines.select("unit", "line", nothing.alias("target"), F.regexp_extract("raw", r"^([A-Z_]+)=(\S+)", 1).alias("name"), F.regexp_extract("raw", r"^([A-Z_]+)=(\S+)", 2).alias("value")).filter("name <> ''")
+    # only assignments of names that are used meet uses; on one line the assignment comes first
+    both = uses.filter("name <> ''").withColumn("value", nothing).unionByName(assigned)
+    upto = Window.partitionBy("unit", "name").orderBy("line", F.col("target").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    named = both.withColumn("url", F.last("value", ignorenulls=True).over(upto)).filter("target is not null").select("unit", "line", "url")
+    plain = uses.filter("name = ''").select("unit", "line", F.col("target").alias("url"))
+    out = plain.unionByName(named).withColumn("host", F.lower(F.regexp_extract("url", r"(?i)^https?://([A-Za-z0-9.-]+)", 1)))
     return out.filter((F.col("host") != "") & ~F.col("host").isin(*official)).select("unit", F.col("line").cast("long").alias("line"), "host")
 
 

@@ -179,8 +179,9 @@ def written_then_sourced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {_PHYSICAL_SQL}, t as (select unit, line, regexp_extract(raw, 'registry[\\t\\n\\f\\r ]+([^\\t\\n\\f\\r ]+)', 1) as target from lines),
-a as (select unit, regexp_extract(raw, '^([A-Z_]+)=([^\\t\\n\\f\\r ]+)', 1) as name, arg_max(regexp_extract(raw, '^([A-Z_]+)=([^\\t\\n\\f\\r ]+)', 2), line) as value from lines where regexp_matches(raw, '^[A-Z_]+=[^\\t\\n\\f\\r ]') group by all),
-h as (select t.unit, t.line, lower(regexp_extract(coalesce(value, target), '(?i)^https?://([A-Za-z0-9.-]+)', 1)) as host from t left join a on a.unit = t.unit and a.name = regexp_extract(target, '^\\$\\{{?([A-Z_]+)', 1) where target <> '')
+a as (select unit, line, regexp_extract(raw, '^([A-Z_]+)=([^\\t\\n\\f\\r ]+)', 1) as name, regexp_extract(raw, '^([A-Z_]+)=([^\\t\\n\\f\\r ]+)', 2) as value from lines where regexp_matches(raw, '^[A-Z_]+=[^\\t\\n\\f\\r ]')),
+u as (select unit, line, target, regexp_extract(target, '^\\$\\{{?([A-Z_]+)', 1) as name from t where target <> ''),
+h as (select u.unit, u.line, lower(regexp_extract(case when u.name = '' then any_value(target) else arg_max(value, a.line) end, '(?i)^https?://([A-Za-z0-9.-]+)', 1)) as host from u left join a on a.unit = u.unit and a.name = u.name and a.line <= u.line group by u.unit, u.line, u.name)
 select unit, line::bigint as line, host from h where host <> '' and host not in ('registry.npmjs.org', 'pypi.org')""")
 def registry_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structural.registry_redirects(_physical(spark, sf_dir))
@@ -310,23 +311,25 @@ def tree_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""with j as (select user_id as journal, event_id as line_no, event_type || value::decimal(18, 2)::varchar as raw from events),
 l as (select *, coalesce(lag(sha256(raw)) over (partition by journal order by line_no), 'genesis') as want from j),
-p as (select *, case when line_no % 50 = 7 then '' when line_no % 97 = 13 then 'forged' else want end as prev from l)
-select journal, count(*) as n_lines, count(*) filter (prev = '') as unchained, min(line_no) filter (prev <> '' and prev <> want) as first_break from p group by journal""")
+p as (select *, case when line_no % 89 = 31 then null when line_no % 50 = 7 then '' when line_no % 97 = 13 then 'forged' else want end as prev from l),
+f as (select journal, min(line_no) filter (prev is null or prev <> '' and prev <> want) as first from p group by journal)
+select journal, count(*) as n_lines, count(*) filter (prev = '' and (first is null or line_no < first)) as unchained, first as first_break, coalesce(bool_or(line_no = first and prev is null), false) as corrupt from p join f using (journal) group by journal, first""")
 def hash_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     e = read(spark, sf_dir, "events").select(F.col("user_id").alias("journal"), F.col("event_id").alias("line_no"), F.concat("event_type", F.col("value").cast("decimal(18,2)").cast("string")).alias("raw"))
     want = F.coalesce(F.lag(F.sha2("raw", 256)).over(Window.partitionBy("journal").orderBy("line_no")), F.lit("genesis"))
-    prev = F.when(F.col("line_no") % 50 == 7, "").when(F.col("line_no") % 97 == 13, "forged").otherwise(want)
+    prev = F.when(F.col("line_no") % 89 != 31, F.when(F.col("line_no") % 50 == 7, "").when(F.col("line_no") % 97 == 13, "forged").otherwise(want))
     return digests.chain_breaks(e.withColumn("prev", prev))
 
 
-@query("""with j as (select o_orderkey % 50 as batch, o_custkey as item, ['intended', 'done', 'undone', 'intended', 'failed'][(o_orderkey % 5) + 1] as state from orders),
-p as (select batch, item, bool_or(state = 'intended') as i, bool_or(state = 'done') as d, bool_or(state = 'failed') as f, bool_or(state = 'undone') as u from j group by all)
-select 'pending' as kind, batch, item from p where i and not (d or f or u) union all select 'restorable', batch, item from p where d and not u and batch = (select max(batch) from p where d and not u)""")
+@query("""with j as (select o_orderkey as place, (o_orderkey * 7) % 50 as batch, o_custkey as item, ['intended', 'done', 'undone', 'intended', 'failed'][(o_orderkey % 5) + 1] as state from orders),
+p as (select batch, item, bool_or(state = 'intended') as i, bool_or(state = 'done') as d, bool_or(state = 'failed') as f, bool_or(state = 'undone') as u, min(place) filter (state = 'done') as place from j group by all),
+o as (select batch, min(place) as place from p where d and not u group by batch)
+select 'pending' as kind, batch, item from p where i and not (d or f or u) union all select 'restorable', batch, item from p where d and not u and batch = (select arg_max(batch, place) from o)""")
 def journal_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = F.element_at(F.array(*map(F.lit, ("intended", "done", "undone", "intended", "failed"))), (F.col("o_orderkey") % 5).cast("int") + 1)
-    pending, restorable = digests.journal_state(read(spark, sf_dir, "orders").select((F.col("o_orderkey") % 50).alias("batch"), F.col("o_custkey").alias("item"), state.alias("state")))
+    pending, restorable = digests.journal_state(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("place"), (F.col("o_orderkey") * 7 % 50).alias("batch"), F.col("o_custkey").alias("item"), state.alias("state")))
     return pending.select(F.lit("pending").alias("kind"), "batch", "item").union(restorable.select(F.lit("restorable"), "batch", "item"))
 
 

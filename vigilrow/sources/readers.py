@@ -5,6 +5,8 @@ Every reader gives (rows, notes): what it could not read is a note, never silenc
 
 from __future__ import annotations
 
+from urllib.parse import urlparse
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,7 +14,6 @@ from pyspark.sql import types as T
 MAX_BYTES = 1 << 20
 #: Folders that are not scanned. Fixed values.
 SKIPPED = ("node_modules", ".git", "dist", "build", "vendor", "__pycache__", ".venv")
-TEXT = r"(?i)\.(?:md|txt|py|sh|js|ts|json|ya?ml|toml|rb|go|rs)\z"
 
 HOOKS = "map<string, array<struct<matcher: string, hooks: array<struct<type: string, command: string, url: string>>>>>"
 SETTINGS = f"struct<permissions: struct<allow: array<string>, deny: array<string>>, env: map<string, string>, hooks: {HOOKS}, _corrupt_record: string>"
@@ -20,15 +21,26 @@ SERVERS = "struct<mcpServers: map<string, struct<command: string, args: array<st
 SESSION = "struct<lastActivityAt: bigint, remoteMcpServersConfig: array<struct<name: string, uuid: string, tools: array<struct<name: string, description: string>>>>>"
 
 
-def tree(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """Text files under root: (path, text, sha256), the first path of equal content; notes (path, reason)."""
+def tree(spark: SparkSession, root: str) -> DataFrame:
+    """The files under root in any store that Spark reads, as rows of the tree source: target, path, size, sha256, text, note.
+
+    Names and sizes are judged before contents: the scan of what is refused reads no content, and the one of what is read leaves
+    files over the bound out where it lists them. Which copies of equal files are scanned is for routing.units() to say.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    files = files.withColumn("skipped", F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, SKIPPED))))
-    reason = F.when(F.col("skipped"), "excluded directory").when(F.col("length") > MAX_BYTES, "too large").when(~F.col("path").rlike(TEXT), "not a text name").when(~F.is_valid_utf8(F.decode("content", "UTF-8")) | (F.instr(F.hex("content"), "00") % 2 == 1) & F.contains(F.decode("content", "ISO-8859-1"), F.lit("\0")), "not text")
-    judged = files.withColumn("reason", reason)
-    read = judged.filter("reason is null").select("path", F.decode("content", "UTF-8").alias("text"), F.sha2("content", 256).alias("sha256"))
-    first = read.withColumn("n", F.row_number().over(Window.partitionBy("sha256").orderBy("path"))).filter("n = 1").drop("n")
-    return first, judged.filter("reason is not null").select("path", "reason")
+    target = F.lit(root.rstrip("/"))
+    # paths come with the scheme of their store
+    at = urlparse(root).path.rstrip("/")
+    inner = F.expr("substring(path, instr(path, :at) + length(:at) + 1)".replace(":at", "'" + at.replace("\\", "\\\\").replace("'", "\\'") + "'"))
+    skipped = F.exists(F.split(inner, "/"), lambda s: s.isin(*SKIPPED))
+    refused = files.withColumn("note", F.when(skipped, "excluded folder").when(F.col("length") > MAX_BYTES, "too large")).filter("note is not null")
+    nothing = F.lit(None).cast("string")
+    refused = refused.select(target.alias("target"), inner.alias("path"), F.col("length").alias("size"), nothing.alias("sha256"), nothing.alias("text"), "note")
+    read = files.filter(F.col("length") <= MAX_BYTES).filter(~skipped)
+    text = F.is_valid_utf8(F.col("content").cast("string")) & ~F.contains(F.col("content"), F.lit(b"\0"))
+    held = F.regexp_replace(F.col("content").cast("string"), "^\ufeff", "")
+    rows = read.select(target.alias("target"), inner.alias("path"), F.col("length").alias("size"), F.when(text, F.sha2("content", 256)).alias("sha256"), F.when(text, held).alias("text"), F.when(~text, "not text").alias("note"))
+    return rows.unionByName(refused)
 
 
 def frontmatter(files: DataFrame) -> DataFrame:
