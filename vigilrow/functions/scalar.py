@@ -105,15 +105,23 @@ def service_tokens(c: str) -> Column:
     return F.filter(F.array_except(parts, F.array(*map(F.lit, GENERIC))), lambda x: F.length(x) > 2)
 
 
+#: A word of a command line, and the parts of which a word is made: single quotes, double quotes, an escaped character.
+SHELL_WORD = r"""(?:[^\t\n\f\r '"\\]++|\\[^\n]|"(?:[^"\\]++|\\[^\n])*+"|'[^']*+')++"""
+SHELL_PART = r"""'([^']*+)'|"((?:[^"\\]++|\\[^\n])*+)"|\\([^\n])"""
+#: A word that needs no quotes.
+PLAIN_WORD = r"^[A-Za-z0-9_./-]+\z"
+
+
 def shell_words(c: str) -> Column:
-    """The words of a command line; quotes go and hold blanks together, and between single ones a backslash is a character as others."""
-    found = F.regexp_extract_all(c, F.lit(r"""(?:[^\s'"\\]|\\.|"(?:[^"\\]|\\.)*"|'[^']*')+"""), F.lit(0))
-    return F.transform(found, lambda w: F.regexp_replace(w, r"""'([^']*)'|"((?:[^"\\]|\\.)*)"|\\(.)""", "$1$2$3"))
+    """The words of a command line; quotes go and hold blanks together, and between quotes a backslash is a character as others."""
+    found = F.regexp_extract_all(c, F.lit(SHELL_WORD), F.lit(0))
+    return F.transform(found, lambda w: F.regexp_replace(w, SHELL_PART, "$1$2$3"))
 
 
-def shell_quoted(c: str) -> Column:
+def shell_quoted(c: str | Column) -> Column:
     """A path as one word for a shell; plain ones stay as they are."""
-    return F.when(F.col(c).rlike(r"^[A-Za-z0-9_./-]+\z"), F.col(c)).otherwise(F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("'\\''")), F.lit("'")))
+    word = F.col(c) if isinstance(c, str) else c
+    return F.when(word.rlike(PLAIN_WORD), word).otherwise(F.concat(F.lit("'"), F.replace(word, F.lit("'"), F.lit("'\\''")), F.lit("'")))
 
 
 def credential_file(path: str) -> Column:

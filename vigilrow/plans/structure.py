@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vigilrow.functions import scalar
 from vigilrow.functions.regex import re2_to_java
 from vigilrow.operators import families, folds, layout, rules, structural
+from vigilrow.operators.comments import re2
 from vigilrow.plans.queries import example_sql, query
 from vigilrow.plans.tables import NAMED_SQL, fences_sql, pick as _pick, picked as _picked, quoted, read, spread
 
@@ -279,11 +280,17 @@ def credential_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("item", "path", scalar.credential_file("path").alias("severity"), scalar.inside("path", "folder").alias("inside"))
 
 
-_COMMANDS = ('run "two words" it\'s\'', "plain a  b", "x=\"a 'b' c\" d", "", "cp 'one two' three")
-_WORDS = ("run|two words|its", "plain|a|b", "x=a b c|d", "", "cp|one two|three")
+_COMMANDS = ('run "two words" it\'s', "plain a  b", "x=\"a 'b' c\" d", "", "cp 'one two' three", "grep '\\d+' a\\ b \"q\\\"r\"", "it'\\''s")
+_WORDS_SQL = f"list_transform(regexp_extract_all(text, {quoted(re2(scalar.SHELL_WORD))}), lambda w: regexp_replace(w, {quoted(re2(scalar.SHELL_PART))}, '\\1\\2\\3', 'g'))"
+_QUOTE = quoted("'")
+_QUOTED_SQL = f"list_transform(w, lambda x: case when regexp_matches(x, {quoted(scalar.PLAIN_WORD)}) then x else {_QUOTE} || replace(x, {_QUOTE}, {quoted(chr(39) + chr(92) + chr(39) + chr(39))}) || {_QUOTE} end)"
 
 
-@query(f"select s_suppkey as item, {_picked(_WORDS, 's_suppkey')} as words, {_picked(('plain/path.md', chr(39) + 'with space' + chr(39), chr(39) + 'it' + chr(39) + chr(92) + chr(39) + chr(39) + 's' + chr(39)), 's_suppkey')} as quoted from supplier")
+@query(f"""with w as (select doc_id, {_WORDS_SQL} as w from (select doc_id, coalesce(text, '') || chr(10) || {_picked(_COMMANDS, 'doc_id')} as text from documents))
+select doc_id as item, len(w)::bigint as n_words, sha256(array_to_string(w, chr(10))) as words_sha256, sha256(array_to_string({_QUOTED_SQL}, ' ')) as quoted_sha256 from w""")
 def command_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("item"), _pick(_COMMANDS, F.col("s_suppkey")).alias("c"), _pick(("plain/path.md", "with space", "it's"), F.col("s_suppkey")).alias("p"))
-    return s.select("item", F.array_join(scalar.shell_words("c"), "|").alias("words"), scalar.shell_quoted("p").alias("quoted"))
+    """Whole texts as command lines: their words, and the line that means the same words."""
+    d = spread(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    words = d.select(F.col("doc_id").alias("item"), F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), _pick(_COMMANDS, F.col("doc_id"))).alias("c")).select("item", scalar.shell_words("c").alias("w"))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return words.select("item", F.size("w").cast("long").alias("n_words"), sha(F.array_join("w", "\n")).alias("words_sha256"), sha(F.array_join(F.transform("w", scalar.shell_quoted), " ")).alias("quoted_sha256"))

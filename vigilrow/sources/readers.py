@@ -25,7 +25,7 @@ def tree(spark: SparkSession, root: str) -> DataFrame:
     """The files under root in any store that Spark reads, as rows of the tree source: target, path, size, sha256, text, note.
 
     Names and sizes are judged before contents: the scan of what is refused reads no content, and the one of what is read leaves
-    files over the bound out where it lists them. Which copies of equal files are scanned is for routing.units() to say.
+    files over the bound out where it lists them. Empty files, which Spark does not list, have no row. Which copies of equal files are scanned is for routing.units() to say.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     target = F.lit(root.rstrip("/"))
