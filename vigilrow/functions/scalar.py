@@ -108,13 +108,23 @@ def service_tokens(c: str) -> Column:
 #: A word of a command line, and the parts of which a word is made: single quotes, double quotes, an escaped character.
 SHELL_WORD = r"""(?:[^\t\n\f\r '"\\]++|\\[^\n]|"(?:[^"\\]++|\\[^\n])*+"|'[^']*+')++"""
 SHELL_PART = r"""'([^']*+)'|"((?:[^"\\]++|\\[^\n])*+)"|\\([^\n])"""
+
+
+def shell_word(breakers: str = "") -> str:
+    """SHELL_WORD with more characters that end a bare word."""
+    return SHELL_WORD.replace("[^\\t", f"[^{breakers}\\t", 1)
+
+
 #: A word that needs no quotes.
 PLAIN_WORD = r"^[A-Za-z0-9_./-]+\z"
 
 
-def shell_words(c: str) -> Column:
-    """The words of a command line; quotes go and hold blanks together, and between quotes a backslash is a character as others."""
-    found = F.regexp_extract_all(c, F.lit(SHELL_WORD), F.lit(0))
+def shell_words(c: str, breakers: str = "") -> Column:
+    """The words of a command line; quotes go and hold blanks together, and between quotes a backslash is a character as others.
+
+    breakers: characters that part words as blanks do, outside quotes.
+    """
+    found = F.regexp_extract_all(c, F.lit(shell_word(breakers)), F.lit(0))
     return F.transform(found, lambda w: F.regexp_replace(w, SHELL_PART, "$1$2$3"))
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilrow.operators import content_hash, imports, routing
+from vigilrow.functions import scalar
+from vigilrow.operators import commands, comments, content_hash, imports, routing
 from vigilrow.plans.queries import query
 from vigilrow.plans.tables import pick, picked, quoted, read, spread
 from vigilrow.streaming import gate
@@ -235,3 +236,76 @@ select uid, hash, make_timestamp(s * 1000000) as at, case when answer then (case
   when worst < 3 then 'noted' when mode in ('auto', 'bypass') then 'deny' else 'ask' end as decision from k where not (answer and known)""")
 def gate_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.gate(_hook_events(spark, sf_dir))
+
+
+#: Commands of hooks and grants by entry, files by document, both in homes of their own.
+_RUNS = (
+    "sh $HOME/.agent/hooks/a.sh && python3 'my dir/b.py' | tee x.log",
+    "node \"${CLAUDE_PROJECT_DIR}/tools/c.js\" ~/missing.rb",
+    "hooks/a.sh; hooks/a.sh (tools/c.js)",
+    "/usr/local/bin/out.sh --x=1",
+    "node $PLUGIN/lib/run.mjs $PLUGIN/gone.ts",
+    "bash ../../usr/local/bin/out.sh *.sh https://x.example/y.sh",
+    "Bash(./.ssh/k.sh *)",
+)
+_URLS = ("http://localhost:9/x", "https://hooks.example.org/in", "http://127.0.0.1/", "")
+_FOUND = ("~/.agent/hooks/a.sh", "~/my dir/b.py", "~/tools/c.js", "/usr/local/bin/out.sh", "~/.agent/plug/lib/run.mjs", "~/.ssh/k.sh", "~/.agent/notes.md")
+_HOMES = 20
+
+
+def _run_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = F.col("doc_id") % _HOMES
+    path = pick(_FOUND, F.floor(F.col("doc_id") / _HOMES))
+    return read(spark, sf_dir, "documents").select(root.alias("root"), F.when(path.startswith("~"), F.concat(F.lit("/home/u"), root, F.substring(path, 2, 99))).otherwise(path).alias("path"), "text")
+
+
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    root = key % _HOMES
+    home = F.concat(F.lit("/home/u"), root)
+    event = F.when(key % 3 != 2, F.when(key % 5 == 0, "PermissionRequest").otherwise("PreToolUse"))
+    kind = F.when(event.isNull(), "grant").when(key % 4 == 3, "http").otherwise("command")
+    c = read(spark, sf_dir, "customer")
+    return c.select(root.alias("root"), key.alias("item"), event.alias("event"), kind.alias("type"), F.when(kind != "http", pick(_RUNS, key)).alias("command"), F.when(kind == "http", pick(_URLS, F.floor(key / 4))).alias("url"),
+                    home.alias("home"), F.concat(home, F.lit("/.agent")).alias("config"), F.when(key % 2 == 0, F.concat(home, F.lit("/.agent/plug"))).alias("owner"))
+
+
+def _array_sql(values: str) -> str:
+    return f"list_filter({values}, lambda x: x not in ('', '.'))"
+
+
+_RUNS_SQL = f"""files as (select distinct doc_id % {_HOMES} as root, case when p like '~%' then '/home/u' || doc_id % {_HOMES} || p[2:] else p end as path from (select doc_id, {picked(_FOUND, f'doc_id // {_HOMES}')} as p from documents)),
+c as (select c_custkey as item, c_custkey % {_HOMES} as root, '/home/u' || c_custkey % {_HOMES} as home, case when c_custkey % 3 <> 2 then (case when c_custkey % 5 = 0 then 'PermissionRequest' else 'PreToolUse' end) end as event from customer),
+e as (select *, home || '/.agent' as config, case when item % 2 = 0 then home || '/.agent/plug' end as owner, case when event is null then 'grant' when item % 4 = 3 then 'http' else 'command' end as type, {picked(_RUNS, 'item')} as command, {picked(_URLS, 'item // 4')} as url from c),
+w as (select *, unnest(list_distinct(list_transform(regexp_extract_all(command, {quoted(comments.re2(scalar.shell_word(commands.BREAKERS)))}), lambda w: regexp_replace(w, {quoted(comments.re2(scalar.SHELL_PART))}, '\\1\\2\\3', 'g')))) as ref from e where type <> 'http'),
+r as (select *, replace(replace(case when ref like '~/%' then home || ref[2:] else ref end, '${{CLAUDE_PROJECT_DIR}}', home), '$HOME', home) as way from w where not contains(ref, '://') and regexp_matches(ref, '(?i)\\.(?:{"|".join(commands.SCRIPTS)})$')),
+p as (select *, {_array_sql("string_split(way, '/')")} as parts from r),
+t as (select root, item, ref, 1 as place, 'own' as how, {normal_sql('way')} as path from r where way like '/%' and not regexp_matches(way, '[$*?]')
+  union all select root, item, ref, 1, 'own', {normal_sql("home || '/' || way")} from r where way not like '/%' and not regexp_matches(way, '[$*?]')
+  union all select root, item, ref, 2, 'own', {normal_sql("config || '/' || way")} from r where way not like '/%' and not regexp_matches(way, '[$*?]')
+  union all select root, item, ref, 2 + k, 'owner', owner || '/' || array_to_string(parts[k:], '/') from (select *, unnest(range(1, greatest(len(parts) - 1, 1) + 1)) as k from p where owner is not null)),
+f as (select t.root, t.item, t.ref, arg_min(how, place) as how, arg_min(t.path, place) as path from t join files on files.root = t.root and files.path = t.path where not contains(t.path, '/../') group by all),
+led as (select r.*, f.path, case when how = 'owner' then 'owned' when contains(f.path, '/.ssh/') then 'credential' when f.path is not null and not starts_with(f.path, home || '/') then 'outside' when f.path is not null then 'followed' when regexp_matches(way, '[$*?]') then 'unknown' else 'missing' end as state
+  from r left join f on f.root = r.root and f.item = r.item and f.ref = r.ref)"""
+
+
+@query(f"with {_RUNS_SQL} select root, item, ref, path, state from led")
+def followed_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return commands.follow(_entries(spark, sf_dir), _run_files(spark, sf_dir)).select("root", "item", "ref", "path", "state")
+
+
+@query(f"""with {_RUNS_SQL} select root, item, 'COV-000' as rule, 0 as dimension, 'low' as severity, ref || ': ' || state as snippet from led where state <> 'followed'
+union all select root, item, 'HOOK-002', 4, case when event = 'PermissionRequest' then 'high' else 'medium' end, ref || ' → ' || path from led where state in ('outside', 'credential') and event is not null
+union all select root, item, 'HOOK-003', 4, case when event <> 'PermissionRequest' and regexp_matches(url, '//(localhost|127)') then 'low' else 'high' end, url from e where type = 'http' and url <> ''""")
+def hook_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = _entries(spark, sf_dir)
+    return commands.entry_findings(entries, commands.follow(entries, _run_files(spark, sf_dir)))
+
+
+@query(f"""with {_RUNS_SQL}, texts as (select doc_id % {_HOMES} as root, case when p like '~%' then '/home/u' || doc_id % {_HOMES} || p[2:] else p end as path, text from (select doc_id, text, {picked(_FOUND, f'doc_id // {_HOMES}')} as p from documents))
+select root, item, 'settings' as file, 'hook' as role, sha256(trim(command)) as text_sha256 from e where type = 'command'
+union all select l.root, l.item, l.path, case when l.path like '%.md' then 'doc' else 'script' end, sha256(t.text) from (select distinct root, item, path from led where state = 'followed') l join texts t on t.root = l.root and t.path = l.path""")
+def hook_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries, files = _entries(spark, sf_dir), _run_files(spark, sf_dir)
+    found = commands.entry_units(entries.filter("event is not null"), commands.follow(entries, files), files)
+    return found.select("root", "item", "file", "role", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
