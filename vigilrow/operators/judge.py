@@ -54,15 +54,6 @@ def ballot(votes: DataFrame) -> DataFrame:
     return votes.groupBy("item").agg(F.count("*").alias("asked"), F.count_if("answered").alias("answered"), F.count_if(F.col("answered") & F.col("flagged")).alias("flagged"), F.count_if(F.col("answered") & ~F.col("grounded")).alias("ungrounded"))
 
 
-def ground(quotes: DataFrame, units: DataFrame, least: int = 16) -> DataFrame:
-    """quotes (item, artifact, quote) with the first unit of the artifact that holds the quote, white space aside; short ones are never grounded."""
-    plain = lambda c: F.regexp_replace(F.trim(c), r"\s+", " ")
-    q = quotes.withColumn("q", plain("quote"))
-    both = q.filter(F.length("q") >= least).join(units.select("artifact", "unit", plain("text").alias("t")), "artifact").filter(F.contains("t", "q"))
-    found = both.groupBy("item").agg(F.min("unit").alias("unit"))
-    return quotes.join(found, "item", "left").select("item", "unit", F.col("unit").isNotNull().alias("grounded"))
-
-
 def statistics(calls: DataFrame) -> DataFrame:
     """calls (pass, status, retries, tokens) by pass; retries are unknown where one is, tokens that are missing are counted."""
     return calls.groupBy("pass").agg(

@@ -373,16 +373,6 @@ def vote_ballot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge.ballot(_votes(spark, sf_dir))
 
 
-@query("""with q as (select item_id as item, 'src' || (item_id % 20) as artifact, case when item_id % 5 = 0 then substr(text, 1, 10) else substr(text, 1, 40) end as quote from benchmark),
-u as (select source as artifact, doc_id as unit, regexp_replace(trim(text), '[\\t\\n\\v\\f\\r ]+', ' ', 'g') as t from documents), p as (select item, artifact, regexp_replace(trim(quote), '[\\t\\n\\v\\f\\r ]+', ' ', 'g') as q from q),
-f as (select item, min(unit) as unit from p join u using (artifact) where length(q) >= 16 and contains(t, q) group by item)
-select item, unit, unit is not null as grounded from q left join f using (item)""")
-def quote_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"), F.concat(F.lit("src"), F.col("item_id") % 20).alias("artifact"), F.when(F.col("item_id") % 5 == 0, F.substring("text", 1, 10)).otherwise(F.substring("text", 1, 40)).alias("quote"))
-    d = read(spark, sf_dir, "documents").select(F.col("source").alias("artifact"), F.col("doc_id").alias("unit"), "text")
-    return judge.ground(b, d)
-
-
 @query("""select event_type as pass, count(*) as calls, count(*) filter (event_id % 17 = 0) as failed, case when bool_or(event_type = 'error') then null else sum(event_id % 3) end::bigint as retries, coalesce(sum(case when event_id % 10 <> 0 then user_id end), 0)::bigint as tokens, count(*) filter (event_id % 10 = 0) as without_tokens from events group by event_type""")
 def judge_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events")
