@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilrow.functions.scalar import estimate_tokens, tokens
+from vigilrow.sources.shared import cut
 
 
 def context_bloat(items: DataFrame, most: int = 200) -> DataFrame:
@@ -16,15 +17,20 @@ def context_bloat(items: DataFrame, most: int = 200) -> DataFrame:
 def duplicate_pairs(items: DataFrame, least: float = 0.6) -> DataFrame:
     """Pairs a < b of items (item, description) whose token sets have at least this Jaccard similarity.
 
-    Candidates share one of the rarest tokens of each, as many as a pair at the limit must share one of.
+    Candidates share one of the rarest tokens of each, as many as a pair at the limit must share one of: the prefix. How many tokens of
+    the prefixes they share bounds how many they share at all, since what they share beyond is beyond the prefix of one of them;
+    only pairs that can reach the limit by that bound are compared.
     """
-    sets = items.select("item", tokens("description").alias("t")).filter("size(t) > 0").withColumn("size", F.size("t"))
+    sets = cut(items.select("item", tokens("description").alias("t")).filter("size(t) > 0").withColumn("size", F.size("t")))
     each = sets.select("item", "size", F.explode("t").alias("token"))
     df = each.groupBy("token").agg(F.count("*").alias("df"))
     ranked = each.join(df, "token").groupBy("item", "size").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("r"))
-    prefix = ranked.select("item", "size", F.explode(F.slice("r", F.lit(1), F.col("size") - F.ceil(F.col("size") * least).cast("int") + 1)).alias("p")).select("item", "size", "p.token")
+    # equal hashes of different tokens only raise the bound
+    prefix = ranked.select("item", "size", F.explode(F.slice("r", F.lit(1), F.col("size") - F.ceil(F.col("size") * least).cast("int") + 1)).alias("p")).filter("p.df > 1").select("item", "size", F.xxhash64("p.token").alias("token"))
     a, b = (prefix.select("token", F.col("item").alias(k), F.col("size").alias(f"n{k}")) for k in ("a", "b"))
-    pairs = a.join(b, "token").filter((F.col("a") < F.col("b")) & (F.col("na") >= F.col("nb") * least) & (F.col("nb") >= F.col("na") * least)).select("a", "b").distinct()
+    met = a.join(b, "token").filter((F.col("a") < F.col("b")) & (F.col("na") >= F.col("nb") * least) & (F.col("nb") >= F.col("na") * least))
+    beyond = F.ceil(F.greatest("na", "nb") * least) - 1
+    pairs = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c")).filter((F.col("c") + beyond) * (1 + least) >= (F.col("na") + F.col("nb")) * least - 1e-6).select("a", "b")
     ta, tb = (sets.select(F.col("item").alias(k), F.col("t").alias(f"t{k}")) for k in ("a", "b"))
     both = pairs.join(ta, "a").join(tb, "b").withColumn("shared", F.size(F.array_intersect("ta", "tb"))).withColumn("all", F.size("ta") + F.size("tb") - F.col("shared"))
     return both.filter(F.col("shared") >= F.col("all") * least).select("a", "b", F.col("shared").cast("long").alias("shared"), F.col("all").cast("long").alias("n_all"))
