@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilrow.functions import decoding, scalar, table_functions
-from vigilrow.operators import commands, comments, content_hash, grounding, imports, routing, rules
+from vigilrow.operators import commands, comments, content_hash, evidence, grounding, imports, routing, rules
 from vigilrow.plans.queries import query
 from vigilrow.plans.tables import pick, picked, quoted, read, spread
-from vigilrow.streaming import gate
+from vigilrow.streaming import gate, sessions
 
 #: Files of a home by doc_id, of which the last hold no documents of the tree.
 _HOME = 40
@@ -384,3 +384,64 @@ def lateral_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same payloads by the table function, from SQL."""
     table_functions.register(spark)
     return spark.sql("select d.doc_id, p.line::bigint as line, p.depth, p.kind from {d} d, lateral decoded_payloads(d.text) p where p.depth > 1", d=_encoded(spark, sf_dir))
+
+
+def _hit_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents cut into lines of a few words; lines with common words are hits of various ranks."""
+    d = spread(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    parts = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "([^ \n]* [^ \n]* [^ \n]* [^ \n]*) ", "$1\n"), "\n")
+    lines = d.select(F.col("doc_id").alias("unit"), F.posexplode(parts).alias("at", "raw")).select("unit", (F.col("at") + 1).cast("long").alias("line"), "raw")
+    hits = lines.filter(F.length("raw") % 11 == 3).select("unit", "line", (F.col("line") % 4).alias("rank"))
+    return hits.unionByName(hits.filter("line % 5 = 0")), lines
+
+
+@query("""with l as (select doc_id as unit, k as line, p[k] as raw from (select doc_id, p, unnest(range(1, len(p) + 1)) as k from (select doc_id, string_split(regexp_replace(coalesce(text, ''), '([^ \\n]* [^ \\n]* [^ \\n]* [^ \\n]*) ', '\\1' || chr(10), 'g'), chr(10)) as p from documents))),
+h as (select unit, line, line % 4 as rank, 1 + (line % 5 = 0)::int as k from l where length(raw) % 11 = 3),
+w as (select unit, greatest(line - 3, 1) as first, line + 3 as last, rank, k from h),
+s as (select *, coalesce(first > max(last) over (partition by unit order by first, last rows between unbounded preceding and 1 preceding) + 1, true)::int as starts from w),
+i as (select *, sum(starts) over (partition by unit order by first, last rows unbounded preceding) as island from s),
+m as (select unit, island, min(first) as first, max(last) as last, max(rank) as rank, sum(k)::bigint as n_hits from i group by unit, island),
+t as (select m.unit, m.first, m.rank, m.n_hits, max(l.line) as last, string_agg(l.raw, chr(10) order by l.line) as text from m join l on l.unit = m.unit and l.line between m.first and m.last group by all),
+r as (select *, row_number() over o as place, sum(length(text) + 1) over (partition by unit order by rank desc, first rows unbounded preceding) as spent, count(*) over (partition by unit) as n_all from t window o as (partition by unit order by rank desc, first)),
+f as (select * from r where spent <= 900)
+select unit, place, first, last, rank, n_hits, sha256(text) as text_sha256, n_all - max(place) over (partition by unit) as omitted from f""")
+def evidence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = evidence.evidence(*_hit_lines(spark, sf_dir), around=3, budget=900)
+    return found.withColumn("text_sha256", F.sha2(F.col("text").cast("binary"), 256)).withColumn("place", F.col("place").cast("long")).drop("text")
+
+
+def _store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One approval store per nation: its customers' hashes, some under another key, some stores of another version, cut off or missing."""
+    c = read(spark, sf_dir, "customer").filter("c_custkey % 4 = 0").select(F.col("c_nationkey").alias("root"), "c_custkey")
+    key = F.when(F.col("c_custkey") % 12 == 0, "other").otherwise(F.concat(F.lit("h"), "c_custkey"))
+    entry = F.concat(F.lit('"'), key, F.lit('":{"hash":"h'), "c_custkey", F.lit('","name":"n","kind":"skill","score":'), F.col("c_custkey") % 100, F.lit(',"verdict":"clean","approved_at":1}'))
+    held = c.groupBy("root").agg(F.array_join(F.array_sort(F.collect_list(entry)), ",").alias("entries"))
+    root = F.col("root")
+    text = F.concat(F.lit('{"version":'), F.when(root % 7 == 3, "2").otherwise("1"), F.lit(',"approvals":{'), "entries", F.lit("}}"))
+    text = F.when(root % 7 == 5, F.lit('{"version":1,"approvals":')).when(root % 7 != 6, text)
+    return held.select("root", text.alias("json"))
+
+
+@query("""select c_nationkey as root, 'h' || c_custkey as hash, (c_custkey % 100)::int as score from customer where c_custkey % 4 = 0 and c_custkey % 12 <> 0 and c_nationkey % 7 not in (3, 5, 6)""")
+def approval_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.approvals(_store(spark, sf_dir))[0].select("root", "hash", "score")
+
+
+@query("""select distinct c_nationkey as root, case c_nationkey % 7 when 3 then 'approvals have another version' else 'approvals do not parse' end as reason from customer where c_custkey % 4 = 0 and c_nationkey % 7 in (3, 5)""")
+def approval_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.approvals(_store(spark, sf_dir))[1]
+
+
+@query("""with known as (select c_nationkey as root, 'h' || c_custkey as hash from customer where c_custkey % 4 = 0 and c_custkey % 12 <> 0 and c_nationkey % 7 not in (3, 5, 6)),
+a as (select c_custkey, c_nationkey as root, 'h' || c_custkey as hash, (c_custkey * 37) % 101 as score from customer where c_custkey % 5 <> 0),
+f as (select o_custkey, max(o_orderkey % 5) as worst, string_agg(distinct 'R' || o_orderkey % 9, ',' order by 'R' || o_orderkey % 9) as rules from orders where o_orderkey % 3 <> 0 group by o_custkey having max(o_orderkey % 5) >= 3),
+l as (select root, row_number() over (partition by root order by score, c_custkey) as place, c_custkey as artifact, score, rules, count(*) over (partition by root) as n from a join f on o_custkey = c_custkey where (root, hash) not in (select (root, hash) from known))
+select s_suppkey as session, place, artifact, score, rules, greatest(n - 10, 0) as more from supplier join l on root = s_nationkey where place <= 10 and s_suppkey % 4 <> 1""")
+def session_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read(spark, sf_dir, "customer")
+    artifacts = c.select(F.col("c_nationkey").alias("root"), F.col("c_custkey").alias("artifact"), F.concat(F.lit("h"), "c_custkey").alias("hash"), (F.col("c_custkey") * 37 % 101).alias("score"), (F.col("c_custkey") % 5 == 0).alias("child"))
+    o = read(spark, sf_dir, "orders").join(c.select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("root")), "o_custkey")
+    found = o.select("root", F.col("o_custkey").alias("artifact"), F.concat(F.lit("R"), F.col("o_orderkey") % 9).alias("rule"), (F.col("o_orderkey") % 5).alias("rank"), (F.col("o_orderkey") % 3 != 0).alias("deterministic"))
+    starts = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("session"), F.col("s_nationkey").alias("root"), pick(("startup", "resume", "clear", ""), F.col("s_suppkey")).alias("source"))
+    told = sessions.session_start(starts, artifacts, found, sessions.approvals(_store(spark, sf_dir))[0])
+    return told.withColumn("place", F.col("place").cast("long"))
