@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilrow.functions import decoding, scalar, table_functions
-from vigilrow.operators import commands, comments, content_hash, evidence, grounding, imports, routing, rules
+from vigilrow.operators import cleanup, commands, comments, content_hash, evidence, grounding, imports, routing, rules
 from vigilrow.plans.queries import query
 from vigilrow.plans.tables import pick, picked, quoted, read, spread
 from vigilrow.streaming import gate, sessions
@@ -445,3 +445,49 @@ def session_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     starts = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("session"), F.col("s_nationkey").alias("root"), pick(("startup", "resume", "clear", ""), F.col("s_suppkey")).alias("source"))
     told = sessions.session_start(starts, artifacts, found, sessions.approvals(_store(spark, sf_dir))[0])
     return told.withColumn("place", F.col("place").cast("long"))
+
+
+_REALS = ("/skills/{n}", "/shared/{n}", "/hooks", "/.trash/{n}", "/skills/same", "", "/skills/{n}/deep", "x/skills/{n}")
+
+
+def _clean_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as skills of 50 roots at various places; neighbours are duplicates, and every ninth is unused."""
+    key = F.col("p_partkey")
+    root = F.concat(F.lit("/r/"), key % 50)
+    place = F.replace(pick(_REALS, F.when(key % 3 == 0, F.floor(key / 3)).otherwise(0)), F.lit("{n}"), key.cast("string"))
+    skills = read(spark, sf_dir, "part").select(F.concat(F.lit("s"), F.lpad(key.cast("string"), 7, "0")).alias("skill"), root.alias("root"), F.concat(root, place).alias("real"), key.alias("k"))
+    name = lambda c: F.concat(F.lit("s"), F.lpad(c.cast("string"), 7, "0"))
+    pairs = skills.filter("k % 2 = 1").select(name(F.col("k")).alias("a"), F.explode(F.array(name(F.col("k") + 1), name(F.col("k") + 50))).alias("b"))
+    return cleanup.plan(skills.filter("k % 9 = 0").select("skill"), pairs, skills.drop("k"))
+
+
+_CLEAN_SQL = f"""k as (select p_partkey as k, 's' || lpad(p_partkey::varchar, 7, '0') as skill, '/r/' || p_partkey % 50 as root, '/r/' || p_partkey % 50 || replace({picked(_REALS, 'case when p_partkey % 3 = 0 then p_partkey // 3 else 0 end')}, '{{n}}', p_partkey::varchar) as real from part),
+b as (select *, case when real = root or not starts_with(real, root || '/') then 'target-outside-root' when real = root || '/hooks' then 'protected' when starts_with(real, root || '/.trash/') then 'already-quarantined' when not starts_with(real, root || '/skills/') then 'not-under-skills' end as blocker from k),
+p as (select a.skill as a, b.skill as b, list_filter(['side-selection-required', case when a.real = b.real then 'same-target' end, a.blocker, case when b.blocker is distinct from a.blocker then b.blocker end], lambda x: x is not null) as blockers from b a join b on b.k in (a.k + 1, a.k + 50) where a.k % 2 = 1),
+items as (select 'unused:' || skill as item, 'unused' as kind, [skill] as targets, list_filter([blocker], lambda x: x is not null) as blockers from b where k % 9 = 0
+  union all select 'pair:' || a || ':' || b, 'duplicate', [a, b], blockers from p)"""
+
+
+@query(f"with {_CLEAN_SQL} select item, kind, array_to_string(targets, ',') as targets, array_to_string(blockers, ',') as blockers, len(blockers) = 0 as executable from items")
+def clean_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _clean_items(spark, sf_dir).withColumns({c: F.array_join(c, ",") for c in ("targets", "blockers")})
+
+
+@query(f"""with {_CLEAN_SQL}, n as (select item, targets, blockers, substr(item, 7, 7)::int // 2 + substr(item, 16, 7)::int as n from items where kind = 'duplicate'),
+a as (select item, case n % 5 when 0 then 'nobody' when 1 then targets[2] else targets[1] end as keep from n union select 'pair:gone', 'x'),
+j as (select a.item, keep, case when targets[1] = keep then targets[2] else targets[1] end as drop_, case when targets is null then 'unknown item' when not list_contains(targets, keep) then 'no side' else nullif(array_to_string(list_filter(blockers, lambda x: x <> 'side-selection-required'), ','), '') end as outcome from a left join n using (item))
+select item, keep as kept, case when outcome is null then drop_ end as dropped, coalesce(outcome, case when drop_ in (select keep from j where outcome is null) then 'conflict' else 'moved' end) as outcome from j""")
+def clean_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _clean_items(spark, sf_dir)
+    number = lambda at: F.substring("item", at, 7).cast("int")
+    numbered = items.filter("kind = 'duplicate'").select("item", "targets", (F.floor(number(7) / 2) + number(16)).alias("n"))
+    side = F.when(F.col("n") % 5 == 0, "nobody").when(F.col("n") % 5 == 1, F.col("targets")[1]).otherwise(F.col("targets")[0])
+    answers = numbered.select("item", side.alias("keep")).unionByName(spark.createDataFrame([("pair:gone", "x")], "item string, keep string"))
+    return cleanup.resolve(items, answers)
+
+
+@query("""select 'o' || (o_custkey % 997) as sample, count(*) as n from orders where o_custkey % 997 not in (select c_custkey * 3 from customer where c_nationkey < 15) group by o_custkey % 997""")
+def stray_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outputs = read(spark, sf_dir, "orders").select(F.concat(F.lit("o"), F.col("o_custkey") % 997).alias("sample"))
+    listed = read(spark, sf_dir, "customer").filter("c_nationkey < 15").select(F.concat(F.lit("o"), F.col("c_custkey") * 3).alias("sample"))
+    return cleanup.strays(outputs, listed)
