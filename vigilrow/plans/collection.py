@@ -232,10 +232,10 @@ steps as (select uid, hash, s, false as answer, false as same, s as asked, uid a
   union all select uid, last[2], s, true, hash is not distinct from last[2], last[3], last[4], 0, '' from l where post and not last[1] and s - last[3] <= 3600),
 f as (select hash, min((s, uid)) as first from steps where hash is not null and case when answer then same else worst < 2 end group by hash),
 k as (select *, coalesce((asked, asked_uid) > first, false) as known from steps left join f using (hash))
-select uid, hash, make_timestamp(s * 1000000) as at, case when answer then (case when same then 'accepted' else 'changed' end) when known then 'allow' when worst < 2 then (case when hash is null then 'noted' else 'remembered' end)
+select uid, hash, s as at_second, case when answer then (case when same then 'accepted' else 'changed' end) when known then 'allow' when worst < 2 then (case when hash is null then 'noted' else 'remembered' end)
   when worst < 3 then 'noted' when mode in ('auto', 'bypass') then 'deny' else 'ask' end as decision from k where not (answer and known)""")
 def gate_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gate.gate(_hook_events(spark, sf_dir))
+    return gate.gate(_hook_events(spark, sf_dir)).select("uid", "hash", F.unix_seconds("at").alias("at_second"), "decision")
 
 
 #: Commands of hooks and grants by entry, files by document, both in homes of their own.
