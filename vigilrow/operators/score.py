@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilrow.functions.scalar import band, penalty, severity_rank
+from vigilrow.sources.shared import cut
 
 
 def deterministic() -> Column:
@@ -50,22 +51,28 @@ def environment_score(artifacts: DataFrame, findings: DataFrame) -> DataFrame:
 
 
 def report(findings: DataFrame) -> DataFrame:
-    """Per (artifact, rule): findings, distinct files, worst severity and the first three places."""
-    place = F.struct("file", "line")
-    numbered = findings.withColumn("n", F.row_number().over(Window.partitionBy("artifact", "rule").orderBy("file", "line")))
-    return numbered.groupBy("artifact", "rule").agg(
-        F.count("*").alias("n_findings"),
-        F.countDistinct("file").alias("n_files"),
-        F.max(severity_rank("severity")).cast("long").alias("severity_rank"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("n") <= 3, place))), lambda p: F.concat_ws(":", p["file"], p["line"])), ",").alias("places"),
-    )
+    """Per (artifact, rule): findings, distinct files, worst severity and the first three places.
+
+    Findings are written once; the places come from a rank that Spark limits before it shuffles, so that no group is sorted whole.
+    """
+    found = cut(findings.select("artifact", "rule", "file", "line", "severity"))
+    counts = found.groupBy("artifact", "rule").agg(F.count("*").alias("n_findings"), F.countDistinct("file").alias("n_files"), F.max(severity_rank("severity")).cast("long").alias("severity_rank"))
+    first = found.withColumn("n", F.row_number().over(Window.partitionBy("artifact", "rule").orderBy("file", "line"))).filter("n <= 3")
+    places = first.groupBy("artifact", "rule").agg(F.array_sort(F.collect_list(F.struct("file", "line"))).alias("p"))
+    text = F.array_join(F.transform("p", lambda p: F.concat_ws(":", p["file"], p["line"])), ",")
+    return counts.join(places, ["artifact", "rule"]).select("artifact", "rule", "n_findings", "n_files", "severity_rank", text.alias("places"))
 
 
 def top(findings: DataFrame, n: int = 5) -> DataFrame:
-    """The n worst findings of each artifact in a stable order, with the number left out."""
+    """The n worst findings of each artifact in a stable order, with the number left out.
+
+    Findings are counted apart from their rank, which Spark then limits before it shuffles.
+    """
+    found = cut(findings)
     order = Window.partitionBy("artifact").orderBy(F.desc(severity_rank("severity")), "rule", "file", "line")
-    ranked = findings.withColumn("place", F.row_number().over(order)).withColumn("omitted", F.greatest(F.count("*").over(Window.partitionBy("artifact")) - n, F.lit(0)))
-    return ranked.filter(F.col("place") <= n)
+    ranked = found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n)
+    counts = found.groupBy("artifact").agg(F.greatest(F.count("*") - n, F.lit(0)).alias("omitted"))
+    return ranked.join(counts, "artifact")
 
 
 def fails(findings: DataFrame, level: str) -> DataFrame:
