@@ -31,21 +31,77 @@ def test_lm_scoring(spark):
     assert model > base
 
 
+def toy_model(s: Settings, unlisted: int = 40) -> tuple[Model, np.ndarray, np.ndarray]:
+    """A model with random weights, and the hashes and counts of its unlisted tokens."""
+    rng = np.random.default_rng(0)
+    h = rng.integers(0, 1 << 63, s.words + unlisted).astype(np.uint64)
+    counts = np.sort(rng.integers(1, 90, len(h)))[::-1]
+    halves = np.bincount(lm_scoring._cells(h[s.words :]), 2 * counts[s.words :] + 1, lm_scoring.CELLS).astype(np.int64)
+    m = lm_scoring.base(s, int(counts.sum()), len(h), h[: s.words], counts[: s.words], halves)
+    m.weights[:] = rng.standard_normal(len(m.weights))
+    return m, h[s.words :], counts[s.words :]
+
+
 def test_lm_model_is_proper():
-    """After any history the probabilities of all words and of an unseen one sum to one."""
-    s, rng = Settings(words=8, classes=2, hashed=16, rare_rows=8), np.random.default_rng(0)
-    counts = rng.integers(1, 50, 30).astype(float)
-    mass = counts[:8] + 0.5
-    by_class = mass.reshape(2, 4).sum(axis=1)
-    rest = (counts[8:] + 0.5).sum() + 0.5
-    m = Model(s, int(counts.sum()), 30, np.arange(8, dtype=np.uint64), np.arange(8), np.log(np.append(by_class, rest) / (mass.sum() + rest)), np.log(mass) - np.repeat(np.log(by_class), 4), rest, rng.standard_normal((s.rows, s.width)).astype(np.float32))
-    every, rare = np.append(np.arange(8), np.full(23, 9)), np.log(np.append(np.ones(8), np.append(counts[8:] + 0.5, 0.5) / rest))
-    for history in ([1, 2], [9, 4]):
-        total = 0.0
-        for c, r in zip(every, rare):
-            code = np.array([*history, c])
-            total += math.exp(_log_model(m, _history(code, np.array([0]), s), code, np.array([0.0, 0.0, r]), m.parts())[-1])
-        assert math.isclose(total, 1.0, rel_tol=1e-4)
+    """After any history the probabilities of all words and of an unseen one sum to one; unlisted ones follow it too."""
+    for s in (Settings(side=3, rare_rows=9, weights=5000), Settings(side=3, rare_rows=9, weights=600)):
+        m, h, counts = toy_model(s)
+        every = np.concatenate([np.arange(s.words), lm_scoring.rare_codes(h, s), [s.words]])
+        own = np.append(counts + 0.5, 0.5) / m.rest[lm_scoring._class_of(every[s.words :], s) - s.side]
+        rare = np.log(np.append(np.ones(s.words), own))
+        seen = []
+        for history in ([1, 2], [s.words + 2, 4]):
+            p = []
+            for c, r in zip(every, rare):
+                code = np.array([*history, c])
+                p.append(math.exp(_log_model(m, _history(code, np.array([0]), s), code, np.array([0.0, 0.0, r]), m.parts())[-1]))
+            assert math.isclose(sum(p), 1.0, rel_tol=1e-4)
+            seen.append(p)
+        assert all(not math.isclose(x, y, rel_tol=1e-3) for x, y in zip(*seen))
+
+
+def test_lm_probabilities_are_brute_force():
+    """Every token's probability by loops over features, classes and members; with rows enough, and with hashed ones."""
+    for weights in (6000, 600):
+        s = Settings(side=3, rare_rows=9, weights=weights)
+        m, h, counts = toy_model(s)
+        heads, inner = m.parts()
+        rng = np.random.default_rng(1)
+        code = np.where(rng.random(60) < 0.6, rng.integers(0, s.words, 60), s.words + rng.integers(0, s.rare_rows - 1, 60))
+        starts = np.array([0, 1, 20])
+        rows = _history(code, starts, s)
+        got = _log_model(m, rows, code, np.zeros(60), m.parts())
+        none = s.words + s.rare_rows - 1
+        for i, c in enumerate(code.tolist()):
+            text = code[max(x for x in starts if x <= i) : i].tolist()
+            before = [none, none, *text][-1], [none, none, *text][-2]
+            if s.kind_rows >= s.words + s.rare_rows:
+                assert rows[:2, i].tolist() == [1 + before[0], 1 + s.kind_rows + before[1]]
+            features = [0, *rows[:, i].tolist()]
+            of = [m.log_class[k] + sum(float(heads[f, k]) for f in features) for k in range(2 * s.side)]
+            k = c // s.side if c < s.words else s.side + (c - s.words) % s.side
+            want = of[k] - math.log(sum(map(math.exp, of)))
+            if c < s.words:
+                at = [int(lm_scoring._inner(np.array([f]), np.array([k]), s)[0]) for f in features]
+                of = [m.log_word[k * s.side + j] + sum(float(inner[x, j]) for x in at) for j in range(s.side)]
+                want += of[c % s.side] - math.log(sum(map(math.exp, of)))
+            assert math.isclose(got[i], want, rel_tol=1e-4, abs_tol=1e-4)
+
+
+def test_lm_without_training_is_the_base(spark):
+    """With zero weights the masses of classes give every text, listed words or not, its base score."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    found = lm_scoring.fit_and_score(docs, F.expr("doc_id % 3 != 0"), Settings(side=4, rare_rows=64, weights=4000, rounds=0)).collect()
+    assert any(r.n_known < r.n_tokens for r in found)
+    for r in found:
+        assert math.isclose(r.score, r.base_score, rel_tol=1e-5)
+
+
+def test_lm_model_grows():
+    """Listed words, classes and weights follow the tokens; the weights up to their bound."""
+    made = [Settings.of(n) for n in (10**5, 10**8, 10**10, 10**13)]
+    assert [s.words for s in made] == sorted({s.words for s in made}) and made[-1].words > 200_000
+    assert all(s.rows * 2 * s.side + s.inner_rows * s.side <= s.weights * 1.01 <= 17_000_000 for s in made)
 
 
 def test_lm_edges(spark):

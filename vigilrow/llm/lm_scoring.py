@@ -1,17 +1,22 @@
 """LM scoring: a hashed maximum-entropy model of the next token with class-factored softmax.
 
 Tokens are runs of non-white-space bytes, A-Z lower-cased; every text ends with one end token. The model
-says p(token | history) = p(class | history) * p(token | class, history). The `words` most frequent
-training tokens, the end token always among them, are dealt to `classes` classes of like mass; every
-other token is in one more class, whose members have their smoothed unigram shares. Features of a history
-are the previous token, the token before it (a skip), both together, hashed to `hashed` rows, and a bias; a
-token outside the list counts as one of `rare_rows` hashed ones. Weights start at zero, where the model is
-the smoothed unigram distribution, which is its base measure; so the model is proper over the same events.
+says p(token | history) = p(class | history) * p(token | class, history). The most frequent training tokens,
+side * side of them, are dealt to `side` classes of like mass; all others are dealt by hash to `side` more
+classes, whose members keep their smoothed unigram shares of the class. So every token's probability depends
+on its history. Features of a history are the previous token, the token before it (a skip), both together,
+and a bias; each kind has a third of the rows of weights, hashed where it has more values than rows, and a
+token outside the list counts as one of `rare_rows` hashed ones. Weights start at zero, where the model is the
+smoothed unigram distribution, which is its base measure; so the model is proper over the same events.
+
+The model grows with the corpus: listed words with the square root of its tokens, as vocabularies do, and
+weights in proportion to them up to `most_weights`, which bounds what is broadcast (Settings.of). Beyond that
+more rows share weights; listed words and classes go on growing up to MOST_SIDE.
 
 Counts cover every training document: tokens are counted per batch, dealt to buckets by hash, summed
 there, and each bucket answers each batch, so that what moves grows with the corpus and no task or driver
 holds a whole vocabulary. Weights are trained by distributed gradient updates: each round, tasks make
-AdaGrad steps on their share of the training documents and return what changed, which is averaged per
+AdaGrad steps on their share of the training documents and return what changed, in 16-bit floats, which is averaged per
 block of weights; over all rounds, every training document is used once. Scoring works in batches of
 numpy rows.
 
@@ -26,7 +31,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
@@ -41,30 +46,47 @@ from vigilrow.llm.common import LOWER, Hashes, materialize, mix, packed_batches,
 END = b"\n"
 
 
+#: The largest side: 262,144 listed words.
+MOST_SIDE = 512
+
+#: Unlisted tokens are counted in this many cells of their hashes, from which their classes follow.
+CELLS = 4096
+
+
 @dataclass(frozen=True)
 class Settings:
-    words: int = 256
-    classes: int = 16
-    hashed: int = 1024
+    side: int = 16  # classes of listed words, members of each, and classes of the other tokens
     rare_rows: int = 256
+    weights: int = 1 << 20
     rounds: int = 3
     least_shards: int = 12
     step: float = 0.15
     minibatch: int = 4096
 
+    @staticmethod
+    def of(tokens: int, least_weights: int = 1 << 20, most_weights: int = 1 << 24) -> Settings:
+        """The settings for a number of training tokens."""
+        side = min(max(16, round(tokens**0.25 / 2)), MOST_SIDE)
+        return Settings(side, min(16 * side, CELLS), min(max(tokens // 8, least_weights), most_weights))
+
+    @property
+    def words(self) -> int:
+        return self.side**2
+
     @property
-    def members(self) -> int:
-        return self.words // self.classes
+    def kind_rows(self) -> int:
+        """Rows of each of the three kinds of features; heads have a quarter of the weights at most."""
+        return max(self.weights // (24 * self.side), 8)
 
     @property
     def rows(self) -> int:
         """Feature rows: bias, previous, skip, both."""
-        return 1 + 2 * (self.words + self.rare_rows) + self.hashed
+        return 1 + 3 * self.kind_rows
 
     @property
-    def width(self) -> int:
-        """Weights of a feature row: of the classes and the rest, then of the words."""
-        return self.classes + 1 + self.words
+    def inner_rows(self) -> int:
+        """Rows of weights for the members of a class after a feature; hashed if there are fewer than pairs of these."""
+        return min(self.rows * self.side, max((self.weights - 2 * self.side * self.rows) // self.side, 8))
 
 
 def tokens_of(text: bytes) -> list[bytes]:
@@ -73,6 +95,10 @@ def tokens_of(text: bytes) -> list[bytes]:
     return words
 
 
+def _cells(h: np.ndarray) -> np.ndarray:
+    return ((h >> np.uint64(20)) % np.uint64(CELLS)).astype(np.int64)
+
+
 def _by_bucket(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """The order of hashes by bucket and hash, and where buckets end; a batch and its answers agree on it."""
     bucket = ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
@@ -82,7 +108,7 @@ def _by_bucket(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _vocabulary(batches: DataFrame, buckets: int) -> DataFrame:
     """Per batch and bucket the counts, over all training documents, of the batch's distinct tokens in order
-    of their hashes; and, as batch -1, each bucket's totals and most frequent tokens.
+    of their hashes; and, as batch -1, each bucket's totals, most frequent tokens and smoothed mass by cell, in halves.
     """
 
     def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -109,13 +135,15 @@ def _vocabulary(batches: DataFrame, buckets: int) -> DataFrame:
         at, where = np.unique(h, return_inverse=True)
         c = np.bincount(where, n, len(at)).astype(np.int64)
         each = np.split(c[where], np.cumsum([len(x) // 8 for x in g.h])[:-1])
-        back = pd.DataFrame({"batch": g.batch, "bucket": g.bucket, "h": None, "c": [zlib.compress(x.tobytes(), 1) for x in each], "tokens": 0, "distinct": 0})
-        often = np.argsort(-c, kind="stable")[:4096]
-        top = pd.DataFrame({"batch": [-1], "bucket": g.bucket.iloc[:1].to_numpy(), "h": [at[often].tobytes()], "c": [c[often].tobytes()], "tokens": [int(c.sum())], "distinct": [int((c > 0).sum())]})
+        back = pd.DataFrame({"batch": g.batch, "bucket": g.bucket, "h": None, "c": [zlib.compress(x.tobytes(), 1) for x in each], "tokens": 0, "distinct": 0, "halves": None})
+        often = np.argsort(-c, kind="stable")[:often_most]
+        halves = np.bincount(_cells(at), np.where(c > 0, 2 * c + 1, 0), CELLS).astype(np.int64)
+        top = pd.DataFrame({"batch": [-1], "bucket": g.bucket.iloc[:1].to_numpy(), "h": [at[often].tobytes()], "c": [c[often].tobytes()], "tokens": [int(c.sum())], "distinct": [int((c > 0).sum())], "halves": [halves]})
         return pd.concat([top, back])
 
+    often_most = max(8192, 4 * MOST_SIDE**2 // buckets)  # hashes deal the most frequent tokens evenly
     dealt = batches.mapInPandas(count, "bucket long, batch long, h binary, n binary")
-    return materialize(dealt.groupBy("bucket").applyInPandas(total, "batch long, bucket long, h binary, c binary, tokens long, distinct long"), "vocabulary")
+    return materialize(dealt.groupBy("bucket").applyInPandas(total, "batch long, bucket long, h binary, c binary, tokens long, distinct long, halves array<long>"), "vocabulary")
 
 
 @dataclass
@@ -127,22 +155,29 @@ class Model:
     place: np.ndarray  # class * members + member of each of them
     log_class: np.ndarray
     log_word: np.ndarray
-    rest: float  # smoothed mass of all other tokens
-    weights: np.ndarray  # (rows, width)
+    rest: np.ndarray  # smoothed mass of the other tokens by class
+    weights: np.ndarray  # those of heads, then of members
 
     def codes(self, h: np.ndarray) -> np.ndarray:
-        """The place of each token or, from `words` on, the hashed row of a token outside the list."""
-        s = self.settings
-        code = s.words + ((h >> np.uint64(20)) % np.uint64(s.rare_rows - 1)).astype(np.int64)
+        """The place of each token or, above `words`, the hashed row of a token outside the list."""
+        code = rare_codes(h, self.settings)
         if len(self.hashes):
             at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
             code = np.where(self.hashes[at] == h, self.place[at], code)
         return code
 
     def parts(self) -> tuple[np.ndarray, np.ndarray]:
-        """The weights of classes (rows, classes + 1) and of their members (rows, classes, members)."""
+        """The weights of all classes (rows, 2 * side) and of members (inner_rows, side)."""
         s = self.settings
-        return np.ascontiguousarray(self.weights[:, : s.classes + 1]), np.ascontiguousarray(self.weights[:, s.classes + 1 :]).reshape(-1, s.classes, s.members)
+        cut = s.rows * 2 * s.side
+        return self.weights[:cut].reshape(s.rows, -1).copy(), self.weights[cut:].reshape(s.inner_rows, s.side).copy()
+
+
+def rare_codes(h: np.ndarray, s: Settings) -> np.ndarray:
+    """Codes of tokens outside the list, by their cells. Code `words` is left to tokens that training never
+    saw, and the last code to the places before a text.
+    """
+    return s.words + 1 + _cells(h) % (s.rare_rows - 2)
 
 
 class Codes(dict):
@@ -157,14 +192,15 @@ class Codes(dict):
             self.clear()
         h = xxhash.xxh3_64_intdigest(word, 0)
         place = self.known.get(h)
-        value = self[word] = self.s.words + (h >> 20) % (self.s.rare_rows - 1) if place is None else place
+        value = self[word] = self.s.words + 1 + (h >> 20) % CELLS % (self.s.rare_rows - 2) if place is None else place
         return value
 
 
-def _base_model(vocabulary: DataFrame, s: Settings) -> Model:
-    """The model with zero weights, from the most frequent tokens: at most 4096 of each bucket are looked at."""
-    heads = vocabulary.filter("batch = -1").select("h", "c", "tokens", "distinct")
+def _base_model(vocabulary: DataFrame, settings: Settings | None) -> Model:
+    """The model with zero weights, from the most frequent tokens of all buckets."""
+    heads = vocabulary.filter("batch = -1").select("h", "c", "tokens", "distinct", "halves")
     tokens, distinct = (int(x or 0) for x in heads.agg(F.sum("tokens"), F.sum("distinct")).first())
+    s = settings or Settings.of(tokens)
 
     def top(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         h, c = np.empty(0, np.uint64), np.empty(0, np.int64)
@@ -175,51 +211,82 @@ def _base_model(vocabulary: DataFrame, s: Settings) -> Model:
             h, c = h[best], c[best]
         yield pd.DataFrame({"h": h.astype(np.int64), "c": c.astype(np.int64)})
 
-    found = heads.mapInPandas(top, "h long, c long").orderBy(F.desc("c"), "h").limit(s.words).toPandas()
-    h, c = found.h.to_numpy(np.int64).astype(np.uint64), found.c.to_numpy(np.int64).astype(float) + 0.5
-    c, h = c[c > 0.5], h[c > 0.5]
+    found = heads.select("h", "c").mapInPandas(top, "h long, c long").orderBy(F.desc("c"), "h").limit(s.words).toPandas()
+    h, c = found.h.to_numpy(np.int64).astype(np.uint64), found.c.to_numpy(np.int64)
+    h, c = h[c > 0], c[c > 0]
+    halves = np.zeros(CELLS, np.int64)
+    for r in heads.select(F.posexplode("halves")).groupBy("pos").agg(F.sum("col").alias("n")).collect():  # CELLS rows
+        halves[r.pos] = r.n
+    np.subtract.at(halves, _cells(h), 2 * c + 1)
+    return base(s, tokens, distinct, h, c, halves)
+
+
+def base(s: Settings, tokens: int, distinct: int, h: np.ndarray, c: np.ndarray, halves: np.ndarray) -> Model:
+    """The model with zero weights; h, c: hashes and counts of listed words by rank, halves: twice the
+    smoothed mass of all other seen tokens by cell.
+    """
     rank = np.arange(len(h))
     # dealt in turn by rank, so that classes have like mass
-    place = (rank % s.classes) * s.members + rank // s.classes
-    mass = np.full(s.words, 0.0)
-    mass[place] = c
-    by_class = mass.reshape(s.classes, s.members).sum(axis=1)
-    rest = max(tokens + 0.5 * (distinct + 1) - mass.sum(), 0.5)
+    place = (rank % s.side) * s.side + rank // s.side
+    mass = np.zeros(s.words)
+    mass[place] = c + 0.5
+    by_class = mass.reshape(s.side, s.side).sum(axis=1)
+    rest = np.bincount((1 + np.arange(CELLS) % (s.rare_rows - 2)) % s.side, halves / 2, s.side)
+    rest[0] += 0.5  # the tokens that training never saw
     with np.errstate(divide="ignore"):
-        log_class = np.log(np.append(by_class, rest) / (mass.sum() + rest))
-        log_word = np.log(mass) - np.repeat(np.log(np.maximum(by_class, 1e-300)), s.members)
+        log_class = np.log(np.append(by_class, rest) / (mass.sum() + rest.sum()))
+        log_word = np.log(mass) - np.repeat(np.log(np.maximum(by_class, 1e-300)), s.side)
     order = np.argsort(h)
     finite = lambda x: np.where(np.isfinite(x), x, -1e9)
-    return Model(s, tokens, distinct, h[order], place[order], finite(log_class), finite(log_word), rest, np.zeros((s.rows, s.width), np.float32))
+    zero = np.zeros(s.rows * 2 * s.side + s.inner_rows * s.side, np.float32)
+    return Model(s, tokens, distinct, h[order], place[order], finite(log_class), finite(log_word), rest, zero)
 
 
 def _history(code: np.ndarray, start: np.ndarray, s: Settings) -> np.ndarray:
     """Feature rows (previous, skip, both) of every token; start: where texts begin. The bias is row 0."""
-    size = s.words + s.rare_rows
+    size, kind = s.words + s.rare_rows, s.kind_rows
     none = size - 1
     one = np.append(none, code[:-1])
     one[start] = none
     two = np.append(none, one[:-1])
     two[start] = none
-    both = (mix(one.astype(np.uint64) * np.uint64(1 << 20) + two.astype(np.uint64)) % np.uint64(s.hashed)).astype(np.int64)
-    return np.stack([1 + one, 1 + size + two, 1 + 2 * size + both])
+
+    def hashed(x: np.ndarray) -> np.ndarray:
+        return (mix(x.astype(np.uint64)) % np.uint64(kind)).astype(np.int64)
+
+    both = hashed(one * (1 << 21) + two)
+    if size > kind:
+        one, two = hashed(one), hashed(two)
+    return np.stack([1 + one, 1 + kind + two, 1 + 2 * kind + both])
+
+
+def _class_of(code: np.ndarray, s: Settings) -> np.ndarray:
+    return np.where(code < s.words, code // s.side, s.side + (code - s.words) % s.side)
+
+
+def _inner(rows: np.ndarray, cls: np.ndarray, s: Settings) -> np.ndarray:
+    """The rows of weights for the members of a class after each feature."""
+    pair = rows * s.side + cls
+    if s.rows * s.side > s.inner_rows:
+        pair = (mix(pair.astype(np.uint64)) % np.uint64(s.inner_rows)).astype(np.int64)
+    return pair
 
 
 def _scores(m: Model, rows: np.ndarray, code: np.ndarray, heads: np.ndarray, inner: np.ndarray):
-    """Scores of the classes of each token; which tokens are listed, their classes and the scores in these."""
+    """Scores of the classes of each token; which tokens are listed, the rows of their members, the scores of these."""
     s = m.settings
     x = heads[rows[0]]
     x += heads[rows[1]]
     x += heads[rows[2]]
     x += (heads[0] + m.log_class).astype(np.float32)
     listed = np.flatnonzero(code < s.words)
-    cls = code[listed] // s.members
-    r, flat = rows[:, listed] * s.classes + cls, inner.reshape(-1, s.members)
-    y = flat[r[0]]
-    y += flat[r[1]]
-    y += flat[r[2]]
-    y += (inner[0] + m.log_word.reshape(s.classes, s.members)).astype(np.float32)[cls]
-    return x, listed, cls, y
+    cls = code[listed] // s.side
+    r = _inner(np.concatenate([np.zeros((1, len(listed)), np.int64), rows[:, listed]]), cls, s)
+    y = inner[r[0]]
+    for k in r[1:]:
+        y += inner[k]
+    y += m.log_word.astype(np.float32).reshape(s.side, s.side)[cls]
+    return x, listed, r, y
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -230,8 +297,9 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def _sums(of: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct numbers in `of`, below 2**16, and for each the sum of its rows of values."""
-    of = of.astype(np.uint16)  # sorted by digits, not by comparison
+    """The distinct numbers in `of` and for each the sum of its rows of values."""
+    if of.max() < 1 << 16:
+        of = of.astype(np.uint16)  # sorted by digits, not by comparison
     order = np.argsort(of, kind="stable")
     of = of[order]
     first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
@@ -241,31 +309,29 @@ def _sums(of: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _learn(m: Model, rows: np.ndarray, code: np.ndarray, weights: tuple, squares: tuple) -> None:
     """AdaGrad steps on minibatches of tokens, in place; weights and squares as Model.parts() gives them."""
     s = m.settings
-    flat = [x.reshape(-1, s.members) for x in (weights[1], squares[1])]
-
     def step(w: np.ndarray, q: np.ndarray, at: np.ndarray, g: np.ndarray) -> None:
         q[at] = own = q[at] + g * g
         w[at] -= s.step * g / np.sqrt(own + 1e-8)
 
     for at in range(0, code.size, s.minibatch):
         r, c = rows[:, at : at + s.minibatch], code[at : at + s.minibatch]
-        p, listed, cls, q = _scores(m, r, c, *weights)
+        p, listed, inner, q = _scores(m, r, c, *weights)
         p, q = _softmax(p), _softmax(q)
-        p[np.arange(len(c)), np.minimum(c // s.members, s.classes)] -= 1
-        q[np.arange(len(listed)), c[listed] % s.members] -= 1
+        p[np.arange(len(c)), _class_of(c, s)] -= 1
+        q[np.arange(len(listed)), c[listed] % s.side] -= 1
         p /= len(c)
         q /= len(c)
         for f, g in [(np.zeros(1, np.int64), p.sum(axis=0, keepdims=True)), *(_sums(x, p) for x in r)]:
             step(weights[0], squares[0], f, g)
         if len(listed):
-            for f in (np.zeros(len(listed), np.int64), *r[:, listed]):
-                step(*flat, *_sums(f * s.classes + cls, q))
+            for f in inner:
+                step(weights[1], squares[1], *_sums(f, q))
 
 
 def train(batches: DataFrame, m: Model) -> Model:
     """The model with learned weights."""
     s, sc = m.settings, batches.sparkSession.sparkContext
-    blocks = np.array_split(np.arange(s.rows), 16)
+    blocks = [slice(x, y) for x, y in pairwise(np.linspace(0, len(m.weights), 17).astype(int).tolist())]
     shards = max(s.least_shards, partitions(batches.sparkSession) // 4)
     slots = int(shards**0.5) + 1  # changes are averaged in two steps, so that none gathers all shards
     schema = "block int, slot int, seen long, change binary"
@@ -286,19 +352,20 @@ def train(batches: DataFrame, m: Model) -> Model:
                         _learn(m, _history(code, np.cumsum(lengths) - lengths, s), code, weights, squares)
                         seen += len(code)
             if seen:
-                change = np.concatenate([weights[0], weights[1].reshape(s.rows, -1)], axis=1) - m.weights
+                change = (np.concatenate([x.ravel() for x in weights]) - m.weights).astype(np.float16)
                 slot = TaskContext.get().partitionId() % slots
-                yield pd.DataFrame({"block": range(len(blocks)), "slot": slot, "seen": seen, "change": [change[x].astype(np.float32).tobytes() for x in blocks]})
+                yield pd.DataFrame({"block": range(len(blocks)), "slot": slot, "seen": seen, "change": [change[x].tobytes() for x in blocks]})
 
         def average(g: pd.DataFrame) -> pd.DataFrame:
-            total = reduce(np.add, (np.frombuffer(c, np.float32).astype(np.float64) * n for c, n in zip(g.change, g.seen)))
-            return pd.DataFrame({"block": g.block.iloc[:1], "slot": g.slot.iloc[:1], "seen": [int(g.seen.sum())], "change": [(total / g.seen.sum()).astype(np.float32).tobytes()]})
+            total = reduce(np.add, (np.frombuffer(c, np.float16).astype(np.float64) * n for c, n in zip(g.change, g.seen)))
+            return pd.DataFrame({"block": g.block.iloc[:1], "slot": g.slot.iloc[:1], "seen": [int(g.seen.sum())], "change": [(total / g.seen.sum()).astype(np.float16).tobytes()]})
 
         changed = batches.coalesce(shards).mapInPandas(learn, schema)
         changed = changed.groupBy("block", "slot").applyInPandas(average, schema).groupBy("block").applyInPandas(average, schema)
         weights = m.weights.copy()
         for r in changed.collect():  # 16 rows, together the size of the weights
-            weights[blocks[r.block]] += np.frombuffer(r.change, np.float32).reshape(-1, s.width)
+            weights[blocks[r.block]] += np.frombuffer(r.change, np.float16)
+        now.unpersist()
         m = Model(s, m.tokens, m.distinct, m.hashes, m.place, m.log_class, m.log_word, m.rest, weights)
     return m
 
@@ -324,7 +391,8 @@ def score(batches: DataFrame, vocabulary: DataFrame, buckets: int, m: Model) ->
                 n = np.empty(len(h))
                 n[_by_bucket(h, buckets)[0]] = np.concatenate([np.frombuffer(zlib.decompress(x["c"]), np.int64) for x in sorted(r.answers, key=lambda x: x["bucket"])])
                 got, start = np.concatenate(texts), np.cumsum(lengths) - lengths
-                code, base, rare = m.codes(h), np.log10((n + 0.5) / whole), np.log((n + 0.5) / m.rest)
+                code, base = np.where(n > 0, m.codes(h), m.settings.words), np.log10((n + 0.5) / whole)
+                rare = np.log((n + 0.5) / m.rest[_class_of(code, m.settings) % m.settings.side])
                 own = code[got]
                 rows = _history(own, start, m.settings)
                 model = np.concatenate([_log_model(m, rows[:, x : x + 8192], own[x : x + 8192], rare[got[x : x + 8192]], parts) for x in range(0, len(got), 8192)])
@@ -336,7 +404,7 @@ def score(batches: DataFrame, vocabulary: DataFrame, buckets: int, m: Model) ->
 
 
 def _log_model(m: Model, rows: np.ndarray, code: np.ndarray, rare: np.ndarray, parts: tuple) -> np.ndarray:
-    """Natural log of each token's probability; rare: its smoothed share of the tokens outside the list."""
+    """Natural log of each token's probability; rare: its smoothed share of its class if it is outside the list."""
     s = m.settings
     x, listed, cls, y = _scores(m, rows, code, *parts)
 
@@ -346,15 +414,15 @@ def _log_model(m: Model, rows: np.ndarray, code: np.ndarray, rare: np.ndarray, p
         np.exp(x, out=x)
         return np.maximum(own, -69.0) - np.log(x.sum(axis=1))
 
-    log = chosen(x, np.minimum(code // s.members, s.classes))
-    log[listed] += chosen(y, code[listed] % s.members)
+    log = chosen(x, _class_of(code, s))
+    log[listed] += chosen(y, code[listed] % s.side)
     other = code >= s.words
     log[other] += rare[other]
     return log
 
 
-def fit_and_score(documents: DataFrame, train_rows: Column, s: Settings = Settings()) -> DataFrame:
-    """Learn from the documents for which train_rows holds, then score every document."""
+def fit_and_score(documents: DataFrame, train_rows: Column, s: Settings | None = None) -> DataFrame:
+    """Learn from the documents for which train_rows holds, then score every document; settings follow their tokens."""
     batches, buckets = packed_batches(documents, train_rows), 2 * partitions(documents.sparkSession)
     vocabulary = _vocabulary(batches, buckets)
     m = train(batches, _base_model(vocabulary, s))
