@@ -41,6 +41,27 @@ def test_decontamination(spark, chunk):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(w[0] for w in want if not w[-1])
 
 
+def test_decontamination_holds_one_share(spark, monkeypatch):
+    """A share of the benchmark is dropped before the next one is read."""
+    rows, items = contaminated(1)
+    live, most, make = [], [], decontaminate._broadcast
+    shares = -(-sum(len((text or "").encode()) for item, text in items if item is not None) // 400)
+
+    def watched(share):
+        shared = make(share)
+        drop = shared.destroy
+        live.append(sum(len(text.encode()) for _, text in shared.value))
+        most.append(len(live))
+        shared.destroy = lambda: (live.pop(), drop())
+        return shared
+
+    monkeypatch.setattr(decontaminate, "_broadcast", watched)
+    for job in (decontaminate.find, decontaminate.keep_clean):
+        live.clear(), most.clear()
+        job(documents(spark, rows), benchmark(spark, items), chunk_bytes=400).count()
+        assert len(most) == shares > 1 and max(most) == 1
+
+
 def test_decontamination_empty(spark):
     docs = documents(spark, [(1, "a b")])
     assert [tuple(r)[1:4] for r in decontaminate.digest(decontaminate.find(docs, benchmark(spark, []))).collect()] == [(2, 0, 0)]
