@@ -16,7 +16,7 @@ more rows share weights; listed words and classes go on growing up to MOST_SIDE.
 Counts cover every training document: tokens are counted per batch, dealt to buckets by hash, summed
 there, and each bucket answers each batch, so that what moves grows with the corpus and no task or driver
 holds a whole vocabulary. Weights are trained by distributed gradient updates: each round, tasks make
-AdaGrad steps on their share of the training documents and return what changed, in 16-bit floats, which is averaged per
+AdaGrad steps, with one rate for a row of weights, on their share of the training documents and return what changed, in 16-bit floats, which is averaged per
 block of weights; over all rounds, every training document is used once. Scoring works in batches of
 numpy rows.
 
@@ -49,6 +49,9 @@ END = b"\n"
 #: The largest side: 262,144 listed words.
 MOST_SIDE = 512
 
+#: Tokens that are scored at a time; their scores fit a core's cache.
+CHUNK = 2048
+
 #: Unlisted tokens are counted in this many cells of their hashes, from which their classes follow.
 CELLS = 4096
 
@@ -61,12 +64,12 @@ class Settings:
     rounds: int = 3
     least_shards: int = 12
     step: float = 0.15
-    minibatch: int = 4096
+    minibatch: int = 2048
 
     @staticmethod
     def of(tokens: int, least_weights: int = 1 << 20, most_weights: int = 1 << 24) -> Settings:
         """The settings for a number of training tokens."""
-        side = min(max(16, round(tokens**0.25 / 2)), MOST_SIDE)
+        side = min(max(16, round(tokens**0.25 / 3)), MOST_SIDE)
         return Settings(side, min(16 * side, CELLS), min(max(tokens // 8, least_weights), most_weights))
 
     @property
@@ -211,12 +214,15 @@ def _base_model(vocabulary: DataFrame, settings: Settings | None) -> Model:
             h, c = h[best], c[best]
         yield pd.DataFrame({"h": h.astype(np.int64), "c": c.astype(np.int64)})
 
+    def add(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"halves": [sum((np.asarray(x) for b in it for x in b.halves), np.zeros(CELLS, np.int64))]})
+
     found = heads.select("h", "c").mapInPandas(top, "h long, c long").orderBy(F.desc("c"), "h").limit(s.words).toPandas()
     h, c = found.h.to_numpy(np.int64).astype(np.uint64), found.c.to_numpy(np.int64)
     h, c = h[c > 0], c[c > 0]
     halves = np.zeros(CELLS, np.int64)
-    for r in heads.select(F.posexplode("halves")).groupBy("pos").agg(F.sum("col").alias("n")).collect():  # CELLS rows
-        halves[r.pos] = r.n
+    for r in heads.select("halves").coalesce(64).mapInPandas(add, "halves array<long>").collect():  # 64 rows of CELLS numbers at most
+        halves += np.array(r.halves)
     np.subtract.at(halves, _cells(h), 2 * c + 1)
     return base(s, tokens, distinct, h, c, halves)
 
@@ -275,17 +281,17 @@ def _inner(rows: np.ndarray, cls: np.ndarray, s: Settings) -> np.ndarray:
 def _scores(m: Model, rows: np.ndarray, code: np.ndarray, heads: np.ndarray, inner: np.ndarray):
     """Scores of the classes of each token; which tokens are listed, the rows of their members, the scores of these."""
     s = m.settings
-    x = heads[rows[0]]
-    x += heads[rows[1]]
-    x += heads[rows[2]]
+    x = np.take(heads, rows[0], axis=0)
+    x += np.take(heads, rows[1], axis=0)
+    x += np.take(heads, rows[2], axis=0)
     x += (heads[0] + m.log_class).astype(np.float32)
     listed = np.flatnonzero(code < s.words)
     cls = code[listed] // s.side
     r = _inner(np.concatenate([np.zeros((1, len(listed)), np.int64), rows[:, listed]]), cls, s)
-    y = inner[r[0]]
+    y = np.take(inner, r[0], axis=0)
     for k in r[1:]:
-        y += inner[k]
-    y += m.log_word.astype(np.float32).reshape(s.side, s.side)[cls]
+        y += np.take(inner, k, axis=0)
+    y += np.take(m.log_word.astype(np.float32).reshape(s.side, s.side), cls, axis=0)
     return x, listed, r, y
 
 
@@ -303,15 +309,28 @@ def _sums(of: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(of, kind="stable")
     of = of[order]
     first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
-    return of[first].astype(np.int64), np.add.reduceat(values[order], first, axis=0)
+    sizes = np.diff(np.append(first, len(of)))
+    out = np.take(values, order[first], axis=0)
+    # most numbers are rare: their first rows are added all at once, and only what is left of frequent ones by segments
+    for k in range(1, 4):
+        more = np.flatnonzero(sizes > k)
+        out[more] += np.take(values, order[first[more] + k], axis=0)
+    many = np.flatnonzero(sizes > 4)
+    if len(many):
+        left = sizes[many] - 4
+        ends = np.cumsum(left)
+        rest = np.arange(ends[-1]) + np.repeat(first[many] + 4 - (ends - left), left)
+        out[many] += np.add.reduceat(np.take(values, order[rest], axis=0), ends - left, axis=0)
+    return of[first].astype(np.int64), out
 
 
 def _learn(m: Model, rows: np.ndarray, code: np.ndarray, weights: tuple, squares: tuple) -> None:
-    """AdaGrad steps on minibatches of tokens, in place; weights and squares as Model.parts() gives them."""
+    """AdaGrad steps on minibatches of tokens, in place; weights as Model.parts() gives them, squares: one for each of their rows."""
     s = m.settings
     def step(w: np.ndarray, q: np.ndarray, at: np.ndarray, g: np.ndarray) -> None:
-        q[at] = own = q[at] + g * g
-        w[at] -= s.step * g / np.sqrt(own + 1e-8)
+        q[at] = own = q[at] + np.einsum("ij,ij->i", g, g) / g.shape[1]
+        g *= (s.step / np.sqrt(own + 1e-8))[:, None]
+        w[at] = np.take(w, at, axis=0) - g
 
     for at in range(0, code.size, s.minibatch):
         r, c = rows[:, at : at + s.minibatch], code[at : at + s.minibatch]
@@ -333,7 +352,7 @@ def train(batches: DataFrame, m: Model) -> Model:
     s, sc = m.settings, batches.sparkSession.sparkContext
     blocks = [slice(x, y) for x, y in pairwise(np.linspace(0, len(m.weights), 17).astype(int).tolist())]
     shards = max(s.least_shards, partitions(batches.sparkSession) // 4)
-    slots = int(shards**0.5) + 1  # changes are averaged in two steps, so that none gathers all shards
+    slots = int(shards**0.5) if shards > 32 else 1  # the changes of many shards are averaged in two steps, so that none gathers all
     schema = "block int, slot int, seen long, change binary"
     for k in range(s.rounds):
         now = sc.broadcast(m)
@@ -341,7 +360,7 @@ def train(batches: DataFrame, m: Model) -> Model:
         def learn(it: Iterator[pd.DataFrame], k=k, now=now) -> Iterator[pd.DataFrame]:
             m, seen = now.value, 0
             codes, weights = Codes(m), m.parts()
-            squares = tuple(np.zeros_like(x) for x in weights)
+            squares = tuple(np.zeros(len(x), np.float32) for x in weights)
             for b in it:
                 for r in b.itertuples():
                     own = [tokens_of(t) for i, _, t in texts_of(r) if r.flags[i] and (i + r.batch) % s.rounds == k]
@@ -361,7 +380,9 @@ def train(batches: DataFrame, m: Model) -> Model:
             return pd.DataFrame({"block": g.block.iloc[:1], "slot": g.slot.iloc[:1], "seen": [int(g.seen.sum())], "change": [(total / g.seen.sum()).astype(np.float16).tobytes()]})
 
         changed = batches.coalesce(shards).mapInPandas(learn, schema)
-        changed = changed.groupBy("block", "slot").applyInPandas(average, schema).groupBy("block").applyInPandas(average, schema)
+        changed = changed.groupBy("block", "slot").applyInPandas(average, schema)
+        if slots > 1:
+            changed = changed.groupBy("block").applyInPandas(average, schema)
         weights = m.weights.copy()
         for r in changed.collect():  # 16 rows, together the size of the weights
             weights[blocks[r.block]] += np.frombuffer(r.change, np.float16)
@@ -395,7 +416,7 @@ def score(batches: DataFrame, vocabulary: DataFrame, buckets: int, m: Model) ->
                 rare = np.log((n + 0.5) / m.rest[_class_of(code, m.settings) % m.settings.side])
                 own = code[got]
                 rows = _history(own, start, m.settings)
-                model = np.concatenate([_log_model(m, rows[:, x : x + 8192], own[x : x + 8192], rare[got[x : x + 8192]], parts) for x in range(0, len(got), 8192)])
+                model = np.concatenate([_log_model(m, rows[:, x : x + CHUNK], own[x : x + CHUNK], rare[got[x : x + CHUNK]], parts) for x in range(0, len(got), CHUNK)])
                 known, base, model = (np.add.reduceat(v, start) for v in ((n > 0).astype(np.int64)[got], base[got], model))
                 ids = pd.array([None if pd.isna(x) else int(x) for x in r.ids], "Int64")
                 yield pd.DataFrame({"doc_id": ids, "n_tokens": lengths, "n_known": known, "train_tokens": m.tokens, "base_score": base, "score": model / np.log(10)})
