@@ -174,7 +174,7 @@ def line_of(text: str, offset: str) -> Column:
     return F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit(""))) + 1
 
 
-def redact(c: str) -> Column:
+def redact(c: str | Column) -> Column:
     """Secrets replaced: URL user data, credential flags, key = value, known token prefixes, user:password flags, then long tokens of high entropy."""
     steps = (
         (r"(?i)\b([a-z][a-z0-9+.-]*://)[^/\s:@]+:[^/\s@]+@", "$1[redacted]@"),
@@ -183,7 +183,7 @@ def redact(c: str) -> Column:
         (r"(?i)\b([a-z0-9_-]*(?:password|passwd|secret|token|api[_-]?key)[a-z0-9_-]*)(\s*[=:]\s*)(['\"]?)(?!\[redacted\]|true\b|false\b|null\b|none\b|bearer\b)[^\s'\",;]{4,}", "$1$2$3[redacted]"),
         (r"\b(?:ghp_|gho_|sk-|xox[abp]-|AKIA)[A-Za-z0-9_-]{12,}", "[redacted]"),
     )
-    out = F.col(c)
+    out = F.col(c) if isinstance(c, str) else c
     for pattern, by in steps:
         out = F.regexp_replace(out, pattern, by)
     return redact_entropy(out)
