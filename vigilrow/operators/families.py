@@ -11,8 +11,19 @@ from vigilrow.operators.score import deterministic
 
 def parents(children: DataFrame, plugins: DataFrame) -> DataFrame:
     """child and parent: of the plugins (name, path, parent, place) of a child's name, one that holds its path before others, then the first."""
-    pairs = children.join(plugins.withColumnRenamed("path", "folder"), children["plugin"] == plugins["name"])
-    return pairs.groupBy("child").agg(F.min_by("parent", F.struct(~inside("path", "folder"), "place")).alias("parent"))
+    first = F.min(F.struct("place", "parent")).alias("f")
+    # a folder holds a path that is the folder, or that has a slash after it: as many keys a child as its path has slashes
+    ends = F.filter(F.sequence(F.lit(1), F.length("path") + 1), lambda i: F.substring(F.col("path"), i, F.lit(1)) == "/")
+    own = F.array(F.struct(F.lit(True).alias("whole"), F.col("path").alias("key")))
+    above = F.transform(ends, lambda i: F.struct(F.lit(False).alias("whole"), F.substring(F.col("path"), F.lit(1), i - 1).alias("key")))
+    held = children.filter("path is not null").select("child", "plugin", F.explode(F.concat(own, above)).alias("k")).select("child", "plugin", "k.*")
+    keys = F.array(F.struct(F.lit(True).alias("whole"), F.col("path").alias("key")), F.struct(F.lit(False).alias("whole"), F.regexp_replace("path", "/+\\z", "").alias("key")))
+    folders = plugins.filter("path is not null").select(F.col("name").alias("plugin"), "parent", "place", F.explode(keys).alias("k")).groupBy("plugin", "k.whole", "k.key").agg(first)
+    named = plugins.groupBy(F.col("name").alias("plugin")).agg(first)
+    # one plugin a key on the right, so that no join makes pairs of all children and plugins of a name
+    found = held.join(folders, ["plugin", "whole", "key"]).select("child", F.lit(False).alias("apart"), "f")
+    found = found.union(children.select("child", "plugin").join(named, "plugin").select("child", F.lit(True).alias("apart"), "f"))
+    return found.groupBy("child").agg(F.min(F.struct("apart", "f")).alias("m")).select("child", "m.f.parent")
 
 
 def shown_by_parent(findings: DataFrame, family: DataFrame) -> DataFrame:
