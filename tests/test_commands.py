@@ -1,5 +1,8 @@
 """Scripts that hooks and grants name: where they are found, what is scanned of them and what is not."""
 
+import contextlib
+import io
+
 from pyspark.sql import functions as F
 
 from vigilrow.operators import commands, rules
@@ -44,6 +47,18 @@ def test_units_are_scanned(spark):
     assert got == [(f"{CONFIG}/hooks/a.sh", "FS-003"), ("settings", "HOOK-001")]
 
 
+def test_units_shown_once_a_file(spark):
+    """What is shown of a text is made below the join, so that it is not made anew for every item that runs the file."""
+    items, followed, files = led(spark, "sh hooks/a.sh && sh /opt/o.sh")
+    plain = commands.entry_units(items, followed, files)
+    units = commands.entry_units(items, followed, files, lambda text: F.sha2(text, 256))
+    assert sorted(map(tuple, units.collect())) == sorted(map(tuple, plain.withColumn("text", F.sha2("text", 256)).collect()))
+    with contextlib.redirect_stdout(io.StringIO()) as shown:
+        units.select("text").explain()
+    above = [line for line in shown.getvalue().split("Join", 1)[0].splitlines() if "sha2" in line and "trim" not in line]  # the command lines have no join
+    assert "Join" in shown.getvalue() and not above
+
+
 def test_findings(spark):
     def found(command=None, url=None, kind="command", event="PreToolUse"):
         items, followed, _ = led(spark, command, event=event)
