@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from math import ceil
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,26 +19,106 @@ def context_bloat(items: DataFrame, most: int = 200) -> DataFrame:
     return items.select("item", estimate_tokens("description").alias("tokens")).filter(F.col("tokens") > most).withColumn("reclaim", F.col("tokens") - most)
 
 
-def duplicate_pairs(items: DataFrame, least: float = 0.6) -> DataFrame:
+def _marked(least: float, parts: int) -> Callable:
+    """Rows (key, size, hashes, df), hashes by rarity, as rows (part, key, size, sketch, hashes, places): what of a prefix falls into a part."""
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for key, hashes, df in zip(batch.key, batch.hashes, batch.df):
+                h, n = np.asarray(hashes, np.int64).view(np.uint64), len(hashes)
+                bits = 64 << _tier(np.array([n]))[0]
+                ones = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+                sketch = np.packbits(ones.astype(np.uint8)).tobytes()
+                at = np.flatnonzero(np.asarray(df)[: n - ceil(n * least - 1e-9) + 1] > 1)
+                part = ((h[at] >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
+                for p in np.unique(part):
+                    own = at[part == p]
+                    out.append((p, key, n, sketch, h[own].tobytes(), (own + 1).astype(np.int32).tobytes()))
+            yield pd.DataFrame(out, columns=["part", "key", "size", "sketch", "hashes", "places"])
+
+    return mark
+
+
+def _tier(sizes: np.ndarray) -> np.ndarray:
+    """A sketch has 64 bits doubled so often that there are over 2.4 for each token."""
+    return np.maximum(np.ceil(np.log2(np.maximum(sizes, 1) * 2.4 / 64)), 0).astype(np.int64)
+
+
+def _met(least: float, most: int = 1 << 20) -> Callable:
+    """The pairs (a, b) of a part that share a token of both prefixes and may reach the limit by its places and by the sketches."""
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        n, key = rows["size"].to_numpy(np.int64), rows.key.to_numpy(np.int64)
+        tier, slot, sketches = _tier(n), np.zeros(len(rows), np.int64), {}
+        for t in np.unique(tier):
+            at = np.flatnonzero(tier == t)
+            slot[at] = np.arange(len(at))
+            sketches[t] = np.frombuffer(b"".join(rows.sketch.iloc[at]), np.uint64).reshape(len(at), -1)
+        tokens = np.frombuffer(b"".join(rows.hashes), np.uint64)
+        place = np.frombuffer(b"".join(rows.places), np.int32).astype(np.int64)
+        doc = np.repeat(np.arange(len(rows)), rows.hashes.map(len).to_numpy() // 8)
+        order = np.lexsort((n[doc], tokens))
+        tokens, place, doc = tokens[order], place[order], doc[order]
+        size, group = n[doc], np.cumsum(np.append(True, tokens[1:] != tokens[:-1])) - 1 if len(tokens) else tokens
+        # of the rows of a token those from here to `end` are no larger than the limit allows
+        wide = int(n.max()) + 1
+        end = np.searchsorted(group * wide + size, group * wide + np.minimum(np.floor(size / least + 1e-9).astype(np.int64), wide - 1), "right")
+        count = end - np.arange(len(doc)) - 1
+        out, total = [np.empty((0, 2), np.int64)], np.append(0, np.cumsum(count))
+        lo = 0
+        while lo < len(doc):
+            hi = max(lo + 1, int(np.searchsorted(total, total[lo] + most, "right")) - 1)
+            left = np.repeat(np.arange(lo, hi), count[lo:hi])
+            right = left + 1 + np.arange(len(left)) - np.repeat(total[lo:hi] - total[lo], count[lo:hi])
+            both = size[left] + size[right]
+            need = np.ceil(both * least / (1 + least) - 1e-9)
+            fit = 1 + np.minimum(size[left] - place[left], size[right] - place[right]) >= need
+            pair = np.unique(np.stack([doc[left[fit]], doc[right[fit]]], axis=1), axis=0)
+            apart = np.zeros(len(pair), np.int64)
+            for t in np.unique(tier[pair[:, 0]]):
+                for u in (t, t + 1):
+                    at = np.flatnonzero((tier[pair[:, 0]] == t) & (tier[pair[:, 1]] == u))
+                    for k in range(0, len(at), 1 << 16):
+                        some = at[k : k + (1 << 16)]
+                        x, y = sketches[t][slot[pair[some, 0]]], sketches[u][slot[pair[some, 1]]] if u in sketches else None
+                        if y is not None:
+                            y = y if u == t else y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+                            apart[some] = np.bitwise_count(x ^ y).sum(axis=1)
+            both = n[pair].sum(axis=1)
+            keep = apart <= both - 2 * np.ceil(both * least / (1 + least) - 1e-9)
+            out.append(np.sort(key[pair[keep]], axis=1))
+            lo = hi
+        return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"])
+
+    return compare
+
+
+def duplicate_pairs(items: DataFrame, least: float = 0.6, rows_a_part: int = 1 << 15) -> DataFrame:
     """Pairs a < b of items (item, description) whose token sets have at least this Jaccard similarity.
 
-    Candidates share one of the rarest tokens of each, as many as a pair at the limit must share one of: the prefix. How many tokens of
-    the prefixes they share bounds how many they share at all, since what they share beyond is beyond the prefix of one of them;
-    only pairs that can reach the limit by that bound are compared.
+    Equal sets are one class, whose members are joined at the end. Classes meet by the rarest tokens of each: the prefix, of which a pair at
+    the limit shares one. Of the tokens that two sets share, behind the places of the first one must be enough to reach the limit. The parity
+    of tokens by hashed bits then bounds from below how much two sets differ; both bounds are safe, and only what they leave is compared.
+    A part of the tokens is one task, in which no pair is written before the bounds; the number of parts grows with the classes.
     """
-    sets = cut(items.select("item", tokens("description").alias("t")).filter("size(t) > 0").withColumn("size", F.size("t")))
-    each = sets.select("item", "size", F.explode("t").alias("token"))
+    sets = items.select("item", tokens("description").alias("t")).filter("size(t) > 0").withColumn("size", F.size("t"))
+    sets = cut(sets.withColumn("key", F.xxhash64(F.sha2(F.array_join(F.array_sort("t"), ",").cast("binary"), 256))))
+    classes = cut(sets.dropDuplicates(["key"]).select("key", "size", "t"))
+    each = classes.select("key", F.explode("t").alias("token"))
     df = each.groupBy("token").agg(F.count("*").alias("df"))
-    ranked = each.join(df, "token").groupBy("item", "size").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("r"))
-    # equal hashes of different tokens only raise the bound
-    prefix = ranked.select("item", "size", F.explode(F.slice("r", F.lit(1), F.col("size") - F.ceil(F.col("size") * least).cast("int") + 1)).alias("p")).filter("p.df > 1").select("item", "size", F.xxhash64("p.token").alias("token"))
-    a, b = (prefix.select("token", F.col("item").alias(k), F.col("size").alias(f"n{k}")) for k in ("a", "b"))
-    met = a.join(b, "token").filter((F.col("a") < F.col("b")) & (F.col("na") >= F.col("nb") * least) & (F.col("nb") >= F.col("na") * least))
-    beyond = F.ceil(F.greatest("na", "nb") * least) - 1
-    pairs = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c")).filter((F.col("c") + beyond) * (1 + least) >= (F.col("na") + F.col("nb")) * least - 1e-6).select("a", "b")
-    ta, tb = (sets.select(F.col("item").alias(k), F.col("t").alias(f"t{k}")) for k in ("a", "b"))
-    both = pairs.join(ta, "a").join(tb, "b").withColumn("shared", F.size(F.array_intersect("ta", "tb"))).withColumn("all", F.size("ta") + F.size("tb") - F.col("shared"))
-    return both.filter(F.col("shared") >= F.col("all") * least).select("a", "b", F.col("shared").cast("long").alias("shared"), F.col("all").cast("long").alias("n_all"))
+    ranked = each.join(df, "token").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("r"))
+    ranked = ranked.select("key", F.transform("r", lambda x: F.xxhash64(x["token"])).alias("hashes"), F.transform("r", lambda x: x["df"]).alias("df"))
+    parts = max(16, -(-classes.count() // rows_a_part))
+    marked = ranked.mapInPandas(_marked(least, parts), "part long, key long, size int, sketch binary, hashes binary, places binary")
+    met = marked.groupBy("part").applyInPandas(_met(least), "a long, b long").distinct()
+    ta, tb = (classes.select(F.col("key").alias(k), F.col("t").alias(f"t{k}")) for k in ("a", "b"))
+    both = met.join(ta, "a").join(tb, "b").withColumn("shared", F.size(F.array_intersect("ta", "tb"))).withColumn("all", F.size("ta") + F.size("tb") - F.col("shared"))
+    near = both.filter(F.col("shared") >= F.col("all") * least).select("a", "b", "shared", "all")
+    near = near.union(classes.select("key", F.col("key").alias("b"), "size", F.col("size").alias("all")))
+    ia, ib = (sets.select(F.col("key").alias(k), F.col("item").alias(f"i{k}")) for k in ("a", "b"))
+    pairs = near.join(ia, "a").join(ib, "b").filter((F.col("a") != F.col("b")) & (F.col("ia") != F.col("ib")) | (F.col("ia") < F.col("ib")))
+    return pairs.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), F.col("shared").cast("long").alias("shared"), F.col("all").cast("long").alias("n_all"))
 
 
 def stale_references(references: DataFrame, files: DataFrame, roots: tuple[str, ...] = ("",)) -> DataFrame:
