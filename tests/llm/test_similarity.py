@@ -226,6 +226,23 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.dedup(df.limit(0)).count() == 0
 
 
+def test_embedding_dedup_leaves_out_no_link(spark):
+    """Pairs just at the limit, of which tables met by chance left some out; and components whose squares no double holds."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((1000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.standard_normal((1000, 16))
+    side -= (side * x).sum(axis=1, keepdims=True) * x
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cos = 0.9801
+    rows = [(k, 1, list(map(float, v))) for k, v in enumerate(np.concatenate([x, cos * x + np.sqrt(1 - cos * cos) * side]))]
+    rows += [(9000, 2, [1e200, 1e200]), (9001, 2, [1e-200, 1e-200]), (9002, 2, [3.0, 3.1])]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    want = brute_embeddings(rows[:-3]) + [(9000, 2, 9000, True), (9001, 2, 9000, False), (9002, 2, 9000, False)]
+    for bits, block in ((None, 1024), (7, 30)):
+        assert rows_of(embedding_dedup.dedup(df, bits=bits, block=block)) == sorted(want, key=str)
+
+
 # components
 
 
