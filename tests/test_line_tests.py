@@ -1,4 +1,4 @@
-"""The cheap tests before patterns lose nothing, and the step of the rules is compiled."""
+"""The cheap tests before patterns lose nothing, sightings are read once, and the step of the rules is compiled."""
 
 import random
 import re
@@ -6,7 +6,7 @@ import re
 import pytest
 
 from vigilrow.functions import scalar
-from vigilrow.operators import rules
+from vigilrow.operators import rules, structural
 from vigilrow.plans.tables import PAYLOADS
 
 UNIT = "artifact string, unit int, role string, file string, text string"
@@ -49,3 +49,20 @@ def test_normalize(spark):
     texts = ["".join(rng.choice("ab1 '\"\\é\u200b\u00adсα.") for _ in range(rng.randrange(12))) for _ in range(3000)]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", scalar.normalize("t").alias("n")).collect()
     assert {r.t: r.n for r in rows} == {t: plain(t) for t in texts}
+
+
+def test_closest_pairs(spark):
+    rng = random.Random(2)
+    legs = {"cat ~/.netrc": "c", "CURL x -d y": "n", "requests.post(u); echo $API_TOKEN": "cn", "base64 x": "e", "curly": "", "word": ""}
+    texts = {k: [rng.choice(list(legs)[: 6 - k % 5]) if k % 4 else rng.choice(list(legs)[2 + k % 3 :]) for _ in range(rng.choice((1, 3, 8, 400)))] for k in range(60)}
+    want = {}
+    for k, lines in texts.items():
+        at = {leg: [i for i, x in enumerate(lines, 1) if leg in legs[x]][: structural.LEG_CAP] for leg in "cne"}
+        if at["c"] and at["n"]:
+            _, c, n = min((abs(c - n), c, n) for c in at["c"] for n in at["n"])
+            want[k] = (c, n, bool(at["e"]))
+    df = spark.createDataFrame([("a", k, role, "f", "\n".join(x)) for k, x in texts.items() for role in ("doc", "code")[: 1 + k % 2 * (len(x) < 64)]], UNIT)
+    found = structural.closest_pairs(structural.legs(structural.physical_lines(df)))
+    assert {r.unit: (r.credential_line, r.network_line, r.encodes) for r in found.collect()} == want
+    # the lines are made once; before, once for each leg
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("posexplode") == 1

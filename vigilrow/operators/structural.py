@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilrow.functions.regex import re2_to_java
-from vigilrow.functions.scalar import service_tokens
+from vigilrow.functions.scalar import service_tokens, small
+from vigilrow.operators.rules import once
 
 #: Our own patterns of the three legs of an outbound chain.
 CREDENTIAL = r"(?i)(?:\.ssh/id_|\.aws/credentials|\.netrc|api_token|secret_key|access_key)"
 NETWORK = r"(?i)(?:\bcurl\b.*\s(?:-d|-F|--data|-X\s*POST)\b|requests\.post\(|\bwget\b.*--post)"
 ENCODE = r"(?i)\bbase64\b"
+#: leg, pattern and words in small letters of which every match holds one.
+LEGS = (
+    ("credential", CREDENTIAL, (".ssh/id_", ".aws/credentials", ".netrc", "api_token", "secret_key", "access_key")),
+    ("network", NETWORK, ("curl", "requests.post(", "wget")),
+    ("encode", ENCODE, ("base64",)),
+)
 
 LEG_CAP = 64
 
@@ -22,20 +31,24 @@ def physical_lines(units: DataFrame) -> DataFrame:
 
 
 def legs(lines: DataFrame) -> DataFrame:
-    """unit, leg and line of the first LEG_CAP sightings of each leg in a unit."""
-    kinds = F.array_compact(F.array(*(F.when(F.col("raw").rlike(re2_to_java(p)), k) for k, p in (("credential", CREDENTIAL), ("network", NETWORK), ("encode", ENCODE)))))
-    seen = lines.select("artifact", "unit", "role", "line", F.explode(kinds).alias("leg"))
+    """unit, leg and line of the first LEG_CAP sightings of each leg in a unit; lines without a word of a leg meet no pattern."""
+    near = lambda words: reduce(Column.__or__, (F.col("small").contains(x) for x in words))
+    kinds = F.array_compact(F.array(*(F.when(near(words) & F.col("raw").rlike(re2_to_java(p)), k) for k, p, words in LEGS)))
+    few = once(lines.select("artifact", "unit", "role", "line", "raw"), small=small("raw")).filter(near([x for _, _, words in LEGS for x in words]))
+    seen = few.select("artifact", "unit", "role", "line", F.explode(kinds).alias("leg"))
     return seen.withColumn("n", F.row_number().over(Window.partitionBy("unit", "leg").orderBy("line"))).filter(F.col("n") <= LEG_CAP).drop("n")
 
 
 def closest_pairs(seen: DataFrame) -> DataFrame:
-    """Per unit with a credential and a network leg: the closest two, earliest on ties, whether it encodes, and the rule."""
-    c = seen.filter("leg = 'credential'").select("artifact", "unit", F.col("line").alias("c"))
-    n = seen.filter("leg = 'network'").select("unit", F.col("line").alias("n"))
-    e = seen.filter("leg = 'encode'").select("unit").distinct().withColumn("encodes", F.lit(True))
-    # at most LEG_CAP squared pairs for a unit
-    best = c.join(n, "unit").groupBy("artifact", "unit").agg(F.min(F.struct(F.abs(F.col("c") - F.col("n")).alias("d"), "c", "n")).alias("b"))
-    out = best.join(e, "unit", "left").select("artifact", "unit", F.col("b.c").alias("credential_line"), F.col("b.n").alias("network_line"), F.coalesce("encodes", F.lit(False)).alias("encodes"))
+    """Per unit with a credential and a network leg: the closest two, earliest on ties, whether it encodes, and the rule.
+
+    Sightings are read once; a unit has at most LEG_CAP of a leg, so LEG_CAP squared pairs.
+    """
+    lines_of = lambda leg: F.array_distinct(F.collect_list(F.when(F.col("leg") == leg, F.col("line"))))
+    per = seen.groupBy("artifact", "unit").agg(lines_of("credential").alias("c"), lines_of("network").alias("n"), F.bool_or(F.col("leg") == "encode").alias("encodes"))
+    pairs = F.flatten(F.transform("c", lambda c: F.transform("n", lambda n: F.struct(F.abs(c - n).alias("d"), c.alias("c"), n.alias("n")))))
+    best = per.filter("size(c) > 0 and size(n) > 0").select("artifact", "unit", "encodes", F.array_min(pairs).alias("b"))
+    out = best.select("artifact", "unit", F.col("b.c").alias("credential_line"), F.col("b.n").alias("network_line"), "encodes")
     return out.withColumn("rule", F.when(F.col("encodes"), "EXFIL-003").otherwise("EXFIL-001"))
 
 
