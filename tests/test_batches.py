@@ -1,0 +1,32 @@
+"""Python takes few texts at a time."""
+
+from pyspark.sql import functions as F
+
+from vigilrow.functions import decoding
+from vigilrow.operators import grounding, replies
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_are_read_row_by_row(spark):
+    """Before, batches of Arrow held up to 10,000 texts or 64 MB, and Python several times that."""
+    texts = spark.createDataFrame([(1, 1, "a b")], "item int, artifact int, text string")
+    said = texts.select("item", "artifact", F.lit("p").alias("pass"), F.lit(1).alias("sample"), F.col("text").alias("reply"))
+    found = (
+        replies.votes(said),
+        replies.triage(said, said.select("artifact", F.lit("r").alias("rule"))),
+        decoding.payloads(texts),
+        grounding.ground(texts.withColumnRenamed("text", "quote"), texts.withColumnRenamed("item", "unit")),
+    )
+    for df in found:
+        assert "BatchEvalPython" in plan(df) and "Arrow" not in plan(df) and "Pandas" not in plan(df)
+
+
+def test_quotes_of_one_batch(spark):
+    rows = [(k, k % 3, f"{'word ' * k}\nline {k} of the text é\n") for k in range(40)] + [(40, 0, None), (41, 1, ""), (42, 2, "x")]
+    texts = spark.createDataFrame(rows, "item int, artifact int, text string").coalesce(1)
+    got = {r["item"]: (r.unit, r.line, r.part) for r in grounding.ground(texts.withColumnRenamed("text", "quote"), texts.withColumnRenamed("item", "unit")).collect()}
+    assert got[40] == got[41] == (None, None, None) and got[42] == (42, 1, 0)
+    assert all(got[k][2] == 0 and got[k][0] <= k for k in range(2, 40))

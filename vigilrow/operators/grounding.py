@@ -8,10 +8,9 @@ texts are joined by artifact and anchor, never by artifact alone, and what meets
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,20 +59,32 @@ def _lines(text: str) -> np.ndarray:
     return np.repeat(np.arange(1, len(parts) + 1), [len(reduced(p)) for p in parts])
 
 
-def needles(quotes: DataFrame) -> DataFrame:
-    """item, artifact, part, needle (reduced) and anchor: a quote as a whole (part 0), then its lines."""
-    lines = F.split("quote", "\n")
-    parts = F.concat(F.array("quote"), F.when(F.size(lines) > 1, lines).otherwise(F.array().cast("array<string>")))
-    each = quotes.select("item", "artifact", F.posexplode(parts).alias("part", "needle"))
-    kinds = ", ".join(f"{c} {each.schema[c].dataType.simpleString()}" for c in ("item", "artifact"))
+def _needles_of(quote: str | None) -> list[tuple[int, str, int]]:
+    parts = [quote or ""]
+    parts += parts[0].split("\n") if "\n" in parts[0] else []
+    return [(k, n, hash_of(n)) for k, n in enumerate(map(reduced, parts)) if n]
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b["needle"] = b["needle"].map(reduced)
-            b = b[b["needle"] != ""]
-            yield b.assign(anchor=b["needle"].map(hash_of).astype(np.int64))
+def _places_of(text: str | None, sought: list) -> list[tuple]:
+    """(item, part, line) of the needles that a text holds."""
+    hay, lines, out = reduced(text), None, []
+    for n in sought:
+        at = hay.find(n["needle"]) if len(n["needle"]) >= LEAST else 0 if hay == n["needle"] else -1
+        if at >= 0:
+            lines = _lines(text or "") if lines is None else lines
+            out.append((n["item"], n["part"], int(lines[at])))
+    return out
 
-    return each.mapInPandas(run, f"{kinds}, part int, needle string, anchor long")
+
+def _row_by_row(f: Callable, kind: str):
+    """f as a function of rows: a batch of Arrow holds up to 64 MB of texts, and several times that as Python's objects."""
+    return F.udf(f, kind, useArrow=False)
+
+
+def needles(quotes: DataFrame) -> DataFrame:
+    """item, artifact, part, needle (reduced) and anchor: a quote as a whole (part 0), then its lines."""
+    found = _row_by_row(_needles_of, "array<struct<part: int, needle: string, anchor: bigint>>")
+    return quotes.select("item", "artifact", F.inline(found("quote")))
 
 
 def ground(quotes: DataFrame, units: DataFrame) -> DataFrame:
@@ -83,32 +94,12 @@ def ground(quotes: DataFrame, units: DataFrame) -> DataFrame:
     """
     wanted = needles(quotes)
     own = units.join(quotes.select("artifact").distinct(), "artifact", "left_semi")
-    kinds = ", ".join(f"{c} {own.schema[c].dataType.simpleString()}" for c in ("artifact", "unit"))
-
-    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [anchors(reduced(t)) for t in b["text"]]
-            at = np.repeat(np.arange(len(b)), [len(x) for x in found])
-            yield pd.DataFrame({"artifact": b["artifact"].to_numpy()[at], "unit": b["unit"].to_numpy()[at], "anchor": np.concatenate(found) if found else np.zeros(0, np.int64)})
-
-    indexed = own.select("artifact", "unit", "text").mapInPandas(index, f"{kinds}, anchor long")
+    index = _row_by_row(lambda text: anchors(reduced(text)).tolist(), "array<bigint>")
+    indexed = own.select("artifact", "unit", F.explode(index("text")).alias("anchor"))
     met = indexed.join(wanted, ["artifact", "anchor"]).groupBy("artifact", "unit").agg(F.collect_set(F.struct("item", "part", "needle")).alias("needles"))
     item = quotes.schema["item"].dataType.simpleString()
-
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for unit, text, sought in zip(b["unit"], b["text"], b["needles"]):
-                hay, lines = reduced(text), None
-                for n in sought:
-                    at = hay.find(n["needle"]) if len(n["needle"]) >= LEAST else 0 if hay == n["needle"] else -1
-                    if at >= 0:
-                        lines = _lines(text or "") if lines is None else lines
-                        out.append((n["item"], n["part"], unit, int(lines[at])))
-            yield pd.DataFrame(out, columns=["item", "part", "unit", "line"])
-
-    unit = own.schema["unit"].dataType.simpleString()
-    checked = own.select("artifact", "unit", "text").join(met, ["artifact", "unit"]).select("unit", "text", "needles").mapInPandas(check, f"item {item}, part int, unit {unit}, line int")
+    check = _row_by_row(_places_of, f"array<struct<item: {item}, part: int, line: int>>")
+    checked = own.select("artifact", "unit", "text").join(met, ["artifact", "unit"]).select("unit", F.inline(check("text", "needles")))
     first = checked.groupBy("item").agg(F.min(F.struct("part", "unit", "line")).alias("f"))
     return quotes.join(first, "item", "left").select("item", "f.unit", "f.line", "f.part", F.col("f").isNotNull().alias("grounded"))
 
