@@ -51,6 +51,15 @@ def test_normalize(spark):
     assert {r.t: r.n for r in rows} == {t: plain(t) for t in texts}
 
 
+def test_each_test_of_a_line_is_made_once(spark):
+    """Before, the test for characters that are not seen was made twice for every line that has none."""
+    texts = [f"a{x}b" for x in scalar.INVISIBLE + scalar.LOOKALIKE[0] + "é—漢"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", scalar.normalize("t").alias("n"))
+    want = {"a" + x + "b": "a" + y + "b" for x, y in [*((x, "") for x in scalar.INVISIBLE), *zip(*scalar.LOOKALIKE), *((x, x) for x in "é—漢")]}
+    assert {r.t: r.n for r in df.collect()} == want
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") <= 2
+
+
 def test_closest_pairs(spark):
     rng = random.Random(2)
     legs = {"cat ~/.netrc": "c", "CURL x -d y": "n", "requests.post(u); echo $API_TOKEN": "cn", "base64 x": "e", "curly": "", "word": ""}
