@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from helpers import documents, near_copies, sentence
 from pyspark.sql import functions as F
 
 from vigilrow.llm import embedding_dedup, line_dedup, ngram_join, suffix_dedup
+from vigilrow.llm.common import materialize
 from vigilrow.llm.components import connected_components
 from vigilrow.llm.suffix_dedup import LoserTree, decoded, front_coded
 
@@ -259,3 +261,32 @@ def test_components(spark):
 def test_digest_is_of_kept_bytes(spark):
     r = suffix_dedup.digest(suffix_dedup.dedup(documents(spark, [(1, "é")]))).first()
     assert (r.n_bytes, r.kept_sha256) == (2, hashlib.sha256("é".encode()).hexdigest())
+
+
+def test_lines_carry_cells_and_keys_are_made_from_them(spark):
+    """Before, each line carried 24 keys of eight bytes."""
+    words = sentence(random.Random(5), 30)
+    df = documents(spark, [(1, words), (2, words + " a"), (3, "b " + words), (4, words[20:] + " c"), (5, "short"), (6, "x")])
+    classes = materialize(line_dedup._classes(df), "classes")
+    assert not [c for c in classes.columns if c[0] == "k"]
+    cells = {r.id: b"".join(r[f"s{w}"].to_bytes(8, "little", signed=True) for w in range(line_dedup.CELLS // 8)) for r in classes.collect()}
+    found = {}
+    for r in line_dedup._keys(classes).collect():
+        found.setdefault(r.key, set()).add(r.id)
+    want = {}
+    for i, x in cells.items():
+        for b, band in enumerate(line_dedup.BANDS):
+            want.setdefault((b, *(x[k] for k in sorted(band))), set()).add(i)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, want.values()))
+
+
+def test_shuffle_files_go_with_the_write(spark):
+    """Before, they stayed until the driver collected garbage."""
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").count("/shuffle_")
+    before = files()
+    materialize(spark.range(1000).repartition(3), "numbers")
+    until = time.time() + 20
+    while files() > before and time.time() < until:
+        time.sleep(0.2)
+    assert files() <= before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"

@@ -78,7 +78,7 @@ def with_set(lines: DataFrame) -> DataFrame:
 
 
 def _classes(documents: DataFrame) -> DataFrame:
-    """id, h, g, n, the first place (doc_id, line), the bands k0, k1, ... and the cells of every distinct line: a byte each, eight in each of s0, s1, ..."""
+    """id, h, g, n, the first place (doc_id, line) and the cells of every distinct line: a byte each, eight in each of s0, s1, ..."""
     texts = lines_of(documents).groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line")).alias("first"), F.min("norm").alias("norm"))
     # grouped by the two hashes alone: what else is known of a line costs less as an aggregate than in the key of each shingle
     keys, known = ["h", "g"], ["n", "doc_id", "line"]
@@ -89,8 +89,19 @@ def _classes(documents: DataFrame) -> DataFrame:
     # an empty cell has the value of the next one that is not
     full = cells.select(*keys, *(F.coalesce(*(F.col(f"m{(k + i) % CELLS}") for i in range(CELLS))).alias(f"m{k}") for k in range(CELLS)))
     packed = [F.expr(" | ".join(f"shiftleft(shiftright(m{8 * w + i}, 8) & 255, {8 * i})" for i in range(8))).alias(f"s{w}") for w in range(CELLS // 8)]
-    hashed = [F.xxhash64(F.lit(b), *(f"m{k}" for k in band)).alias(f"k{b}") for b, band in enumerate(BANDS)]
-    return full.select(F.monotonically_increasing_id().alias("id"), *keys, *hashed, *packed)
+    return full.select(F.monotonically_increasing_id().alias("id"), *keys, *packed)
+
+
+def _keys(classes: DataFrame) -> DataFrame:
+    """id and key of each band of each line: a hash of its number and the bytes of its cells.
+
+    Made from the cells where they are used, as keys are six times as large; bands are rows of masks, so that the compiled step stays small.
+    """
+    words = range(CELLS // 8)
+    mask = lambda band, w: int.from_bytes(bytes(255 * (8 * w + i in band) for i in range(8)), "little", signed=True)
+    masks = F.array(*(F.struct(F.lit(b).alias("band"), *(F.lit(mask(band, w)).cast("long").alias(f"m{w}") for w in words)) for b, band in enumerate(BANDS)))
+    cells = classes.select("id", *(f"s{w}" for w in words)).select("*", F.inline(masks))
+    return cells.select("id", F.xxhash64("band", *(F.col(f"s{w}").bitwiseAND(F.col(f"m{w}")) for w in words)).alias("key"))
 
 
 def _agree() -> Column:
@@ -151,7 +162,7 @@ def _leaders(leaders: tuple[int, ...]) -> Column:
 
 def components(documents: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(id, component) of the lines that link with others."""
-    every = classes.select("id", F.explode(F.array(*(c for c in classes.columns if c[0] == "k"))).alias("key"))
+    every = _keys(classes)
     # dealt by key once: the exchange serves the counts and the join. Nearly all keys are of one line, so those of several are the small side
     dealt = every.repartition("key")
     often = dealt.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low")).filter("n > 1")
