@@ -111,6 +111,21 @@ def test_front_coding_and_merge():
     assert [x[1] for x in LoserTree([decoded(*c) for c in coded])] == sorted(k for r in runs for k, _, _ in r)
 
 
+def test_suffix_windows_joined():
+    """Windows in succession come as one span, also where entries of one key come apart or differ around the anchor."""
+    x = bytes(range(65, 65 + 60))
+    near = x[:55] + b"....."
+    key = lambda t: t[20:] + t[:20][::-1]
+    # the 55 bytes that they share are 6 windows of 50
+    found = list(suffix_dedup.covered([(key(x), 20, [(7, 1, 20)]), (key(near), 20, [(8, 2, 120)])], 50))
+    assert found == [(8, 100, 155)]
+    entries = [(key(x), 20, [(7, 3, 20)]), (key(near), 20, [(9, 1, 20)]), (key(x), 20, [(8, 2, 20)])]
+    spans = sorted(suffix_dedup.covered(entries, 50))
+    assert spans == [(7, 0, 60), (8, 0, 55)]
+    # of two places of one document none goes
+    assert list(suffix_dedup.covered([(key(x), 20, [(7, 1, 20), (7, 1, 220)])], 50)) == []
+
+
 # line dedup
 
 

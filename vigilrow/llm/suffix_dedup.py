@@ -47,8 +47,8 @@ _CHUNK = (1 << _PLACE) - 1
 def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     """A 64-bit hash of the gram bytes from each place on; gram is a multiple of 8."""
     n = len(data) - gram + 1
-    words = np.lib.stride_tricks.as_strided(data.view(), (len(data) - 7, 8), (1, 1))
-    words = np.ascontiguousarray(words).view(np.uint64).ravel()
+    # eight bytes from each place on, read as they lie
+    words = np.ndarray((len(data) - 7,), np.uint64, data, strides=(1,)).copy()
     out = mix(words[:n])
     for k in range(8, gram, 8):
         out = mix(out + words[k : k + n] * np.uint64(0x9FB21C651E98DF25))
@@ -121,7 +121,7 @@ def front_coded(entries: list[tuple[bytes, int, list[tuple]]]) -> tuple[bytes, b
     for key, left, places in entries:
         shared = _common(before, key, 0)
         rest.append(key[shared:])
-        head += [shared, len(key) - shared, left, len(places)]
+        head += (shared, len(key) - shared, left, len(places))
         for p in places:
             head += p
         before = key
@@ -137,15 +137,19 @@ def _common(a: bytes, b: bytes, known: int) -> int:
     return n - (x.bit_length() + 7) // 8
 
 
-def decoded(numbers: bytes, rest: bytes) -> Iterator[tuple[int, bytes, int, list]]:
-    """(prefix shared with the entry before, key, bytes before the anchor, places) of a run."""
-    head, i, at, key = np.frombuffer(numbers, np.int64).tolist(), 0, 0, b""
-    while i < len(head):
+def decoded(numbers: bytes, rest: bytes, batch: int = 0) -> Iterator[tuple[int, bytes, int, list]]:
+    """(prefix shared with the entry before, key, bytes before the anchor, places (batch << 32 | document, id, anchor)) of a run."""
+    head, i, at, key, base = np.frombuffer(numbers, np.int64).tolist(), 0, 0, b"", batch << 32
+    end = len(head)
+    while i < end:
         shared, n, left, places = head[i : i + 4]
         key = key[:shared] + rest[at : at + n]
         at += n
         i += 4
-        yield shared, key, left, [head[k : k + 3] for k in range(i, i + 3 * places, 3)]
+        if places == 1:
+            yield shared, key, left, [(base | head[i], head[i + 1], head[i + 2])]
+        else:
+            yield shared, key, left, [(base | head[k], head[k + 1], head[k + 2]) for k in range(i, i + 3 * places, 3)]
         i += 3 * places
 
 
@@ -193,32 +197,56 @@ class LoserTree:
 
 
 def covered(entries: list[tuple[bytes, int, list]], width: int) -> Iterator[tuple[int, int, int, int]]:
-    """(batch, document, start, end) of covered bytes, from all entries (key, left, places (batch << 32 | document, id, anchor)) of one anchor string."""
-    whole: dict[tuple, list] = defaultdict(list)
+    """(batch, document, start, end) of covered bytes, from all entries (key, left, places (batch << 32 | document, id, anchor)) of one anchor string.
+
+    Entries of equal key and left may be several, if they come in succession.
+    """
+    whole: list[tuple[bytes, int, list]] = []
     for key, left, places in entries:
-        right = len(key) - left
-        whole[key[right:][::-1] + key[:right], left] += places
+        if whole and whole[-1][1] == left and whole[-1][0] == key:
+            whole[-1][2].extend(places)
+        else:
+            whole.append((key, left, list(places)))
     if len(whole) == 1:
-        ((text, left), places), = whole.items()
-        least = min(p[1] for p in places)
-        yield from ((p[0], p[2] - left, p[2] - left + len(text)) for p in places if p[1] > least)
+        (key, left, places), = whole
+        if len(places) > 1:
+            least, n = min(p[1] for p in places), len(key) - left
+            yield from ((p[0], p[2] - left, p[2] + n) for p in places if p[1] > least)
         return
-    owner: dict[tuple, int] = {}
-    for (text, left), places in whole.items():
-        least = min(p[1] for p in places)
-        for k in range(len(text) - width + 1):
-            w = (left - k, text[k : k + width])
-            if least < owner.get(w, least + 1):
-                owner[w] = least
-    for (text, left), places in whole.items():
-        own = [owner[left - k, text[k : k + width]] for k in range(len(text) - width + 1)]
+    # windows are known by their bytes alone, which say where in them the anchor is
+    owner: dict[bytes, int] = {}
+    shared, listed = False, []
+    for key, left, places in whole:
+        right = len(key) - left
+        text = key[right:][::-1] + key[:right]
+        windows = [text[k : k + width] for k in range(len(text) - width + 1)]
+        least = min(p[1] for p in places) if len(places) > 1 else places[0][1]
+        for w in windows:
+            known = owner.setdefault(w, least)
+            if known != least:
+                shared = True
+                if least < known:
+                    owner[w] = least
+        listed.append((windows, least))
+    for (key, left, places), (windows, least) in zip(whole, listed):
+        if not shared and len(places) == 1:
+            continue  # no other document has any of its windows
+        own = [owner[w] for w in windows] if shared else [least] * len(windows)
         low, high = min(own), max(own)
         for where, doc_id, place in places:
             start = place - left
             if doc_id > high:
-                yield where, start, start + len(text)
+                yield where, start, start + len(key)
             elif doc_id > low:
-                yield from ((where, start + k, start + k + width) for k, o in enumerate(own) if doc_id > o)
+                begin = None
+                for k, o in enumerate(own):
+                    if doc_id > o:
+                        begin = k if begin is None else begin
+                    elif begin is not None:
+                        yield where, start + begin, start + k - 1 + width
+                        begin = None
+                if begin is not None:
+                    yield where, start + begin, start + len(key)
 
 
 def _coverage(batches: DataFrame, repeated: DataFrame, width: int, gram: int, buckets: int) -> DataFrame:
@@ -228,7 +256,7 @@ def _coverage(batches: DataFrame, repeated: DataFrame, width: int, gram: int, bu
         for b in it:
             for r in b.itertuples():
                 again = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in r.again]))
-                runs: dict[int, dict] = defaultdict(lambda: defaultdict(list))
+                runs: dict[int, dict] = defaultdict(dict)
                 for k, doc_id, text in texts_of(r):
                     if doc_id is None:
                         continue
@@ -236,15 +264,15 @@ def _coverage(batches: DataFrame, repeated: DataFrame, width: int, gram: int, bu
                     at = np.minimum(np.searchsorted(again, h), len(again) - 1)
                     mine = again[at] == h
                     for p, x, y, z in zip(*(v[mine].tolist() for v in (place, first, last)), _bucket(h[mine], buckets).tolist()):
-                        runs[z][_key(text, p, x, y, width), p - x].append((k, doc_id, p))
+                        run, entry = runs[z], (_key(text, p, x, y, width), p - x)
+                        if entry in run:
+                            run[entry].append((k, doc_id, p))
+                        else:
+                            run[entry] = [(k, doc_id, p)]
                 rows = [(z, r.batch, *front_coded(sorted((key, left, places) for (key, left), places in run.items()))) for z, run in runs.items()]
                 yield pd.DataFrame(rows, columns=["bucket", "batch", "numbers", "rest"])
 
     def merge(g: pd.DataFrame) -> pd.DataFrame:
-        def run(index: int, numbers: bytes, rest: bytes) -> Iterator[tuple]:
-            for shared, key, left, places in decoded(numbers, rest):
-                yield shared, key, left, [(index << 32 | p[0], p[1], p[2]) for p in places]
-
         spans: dict[int, list] = defaultdict(list)
         held: list = []
 
@@ -253,9 +281,11 @@ def _coverage(batches: DataFrame, repeated: DataFrame, width: int, gram: int, bu
                 spans[where >> 32].append((where & 0xFFFFFFFF, start, end))
             held.clear()
 
-        for _, key, left, places in LoserTree([run(i, n, x) for i, (n, x) in enumerate(zip(g.numbers, g.rest))]):
-            if held and held[0][0][:gram] != key[:gram]:
+        anchor = None
+        for _, key, left, places in LoserTree([decoded(n, x, i) for i, (n, x) in enumerate(zip(g.numbers, g.rest))]):
+            if anchor is None or not key.startswith(anchor):
                 close()
+                anchor = key[:gram]
             held.append((key, left, places))
         if held:
             close()
