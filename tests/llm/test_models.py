@@ -5,12 +5,13 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 from helpers import documents
 from pyspark.sql import functions as F
 from rows import DATA
 
 from vigilrow.llm import language_id, lm_scoring, queries, toxicity
-from vigilrow.llm.common import fold_of
+from vigilrow.llm.common import fold_of, materialize
 from vigilrow.llm.lm_scoring import Model, Settings, _history, _log_model
 
 
@@ -191,3 +192,19 @@ def test_toxicity_edges(spark):
     untaught = toxicity.train(docs, labels.limit(0), F.lit(True))
     assert {r.predicted for r in toxicity.score(docs, untaught).collect()} == {0}
     assert toxicity.score(documents(spark, []), model).count() == 0
+
+
+def test_toxicity_keeps_row_by_row(spark):
+    """Documents go to Python as texts alone and not as Arrow batches of whole rows; written steps get bounded batches."""
+    docs = documents(spark, [(1, "good day"), (2, "awful"), (3, None)])
+    kept = toxicity.keep_clean(docs, (np.array([], np.int64), np.array([])))
+    assert "Arrow" not in kept._jdf.queryExecution().executedPlan().toString() and kept.count() == 3
+
+    def sizes(batches):
+        for b in batches:
+            yield pd.DataFrame({"n": [len(b)]})
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = materialize(spark.range(0, 2500, 1, 1).mapInPandas(sizes, "n long"), "sizes")
+    assert sorted(r.n for r in got.collect()) == [500, 1000, 1000]
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before

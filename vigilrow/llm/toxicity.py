@@ -23,7 +23,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -138,21 +137,16 @@ def train(documents: DataFrame, labels: DataFrame, usable: Column, s: Settings =
 
 
 def _scorer(shared, s: Settings):
-    """A function from texts to scores; shared: the broadcast model."""
+    """A function from a text to its score; shared: the broadcast model."""
+    dense = np.zeros((1 << s.bits) + 1, np.float64)
+    dense[shared.value[0]] = shared.value[1]
+    bias, hashes, stems = dense[-1] if len(shared.value[0]) else -1e-9, Hashes(), Stems()
 
-    def scores(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
-        dense = np.zeros((1 << s.bits) + 1, np.float64)
-        dense[shared.value[0]] = shared.value[1]
-        bias, hashes = dense[-1] if len(shared.value[0]) else -1e-9, Hashes()
-        stems = Stems()
-        for b in batches:
-            raw = np.empty(len(b))
-            for k, text in enumerate(b.text):
-                x = features(text, hashes, stems, s.bits)
-                raw[k] = dense[np.unique(x[dense[x] != 0])].sum() + bias
-            yield b, _sigmoid(raw)
+    def score_of(text: str | None) -> float:
+        x = features(text, hashes, stems, s.bits)
+        return _sigmoid(dense[np.unique(x[dense[x] != 0])].sum() + bias)
 
-    return scores
+    return score_of
 
 
 def _shared(documents: DataFrame, model: tuple[np.ndarray, np.ndarray]):
@@ -161,22 +155,26 @@ def _shared(documents: DataFrame, model: tuple[np.ndarray, np.ndarray]):
 
 def keep_clean(documents: DataFrame, model: tuple[np.ndarray, np.ndarray], s: Settings = Settings()) -> DataFrame:
     """The rows of documents, all columns, whose score is below 0.5."""
-    scores = _scorer(_shared(documents, model), s)
+    shared = _shared(documents, model)
+    opened: list = []  # a task opens the model once
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for _, p in scores([pd.DataFrame({"text": b.column("text").to_pylist()})]):
-                yield b.filter(pa.array(p < 0.5))
+    def probability(text: str | None) -> float:
+        if not opened:
+            opened.append(_scorer(shared, s))
+        return float(opened[0](text))
 
-    return documents.mapInArrow(run, documents.schema)
+    # row by row: an Arrow batch would hold all columns of 10,000 documents, in the JVM and in Python
+    return documents.filter(F.udf(probability, "double", useArrow=False)("text") < 0.5)
 
 
 def score(documents: DataFrame, model: tuple[np.ndarray, np.ndarray], s: Settings = Settings()) -> DataFrame:
     """doc_id, score (0 to 1) and predicted (1 from 0.5 on) for every row of documents."""
-    scores = _scorer(_shared(documents, model), s)
+    shared = _shared(documents, model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b, p in scores(batches):
+        score_of = _scorer(shared, s)
+        for b in batches:
+            p = np.fromiter(map(score_of, b.text), np.float64, len(b))
             yield pd.DataFrame({"doc_id": b.doc_id, "score": p, "predicted": (p >= 0.5).astype(np.int32)})
 
     return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, score double, predicted int")
