@@ -75,3 +75,11 @@ def test_closest_pairs(spark):
     assert {r.unit: (r.credential_line, r.network_line, r.encodes) for r in found.collect()} == want
     # the lines are made once; before, once for each leg
     assert found._jdf.queryExecution().optimizedPlan().toString().count("posexplode") == 1
+
+
+def test_closest_pairs_takes_every_sighting(spark):
+    """Before, only the first 64 sightings of a leg in a unit could be in a pair."""
+    lines = ["cat ~/.netrc", ""] * 100 + ["curl x -d y", "", ""] * 100 + ["cat ~/.netrc", "curl x -d y; echo $API_TOKEN", "base64 x"]
+    df = spark.createDataFrame([("a", 1, "doc", "f", "\n".join(lines)), ("a", 2, "doc", "f", "\n".join(lines[:-3] + ["x"] + lines[-3:-2]))], UNIT)
+    found = structural.closest_pairs(structural.legs(structural.physical_lines(df))).collect()
+    assert sorted((r.unit, r.credential_line, r.network_line, r.rule) for r in found) == [(1, 502, 502, "EXFIL-003"), (2, 199, 201, "EXFIL-001")]

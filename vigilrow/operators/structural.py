@@ -22,7 +22,8 @@ LEGS = (
     ("encode", ENCODE, ("base64",)),
 )
 
-LEG_CAP = 64
+#: How many sightings of a leg count in a unit; None: all.
+LEG_CAP = None
 
 
 def physical_lines(units: DataFrame) -> DataFrame:
@@ -31,23 +32,24 @@ def physical_lines(units: DataFrame) -> DataFrame:
 
 
 def legs(lines: DataFrame) -> DataFrame:
-    """unit, leg and line of the first LEG_CAP sightings of each leg in a unit; lines without a word of a leg meet no pattern."""
+    """unit, leg and line of every sighting of a leg; lines without a word of a leg meet no pattern."""
     near = lambda words: reduce(Column.__or__, (F.col("small").contains(x) for x in words))
     kinds = F.array_compact(F.array(*(F.when(near(words) & F.col("raw").rlike(re2_to_java(p)), k) for k, p, words in LEGS)))
     few = once(lines.select("artifact", "unit", "role", "line", "raw"), small=small("raw")).filter(near([x for _, _, words in LEGS for x in words]))
-    seen = few.select("artifact", "unit", "role", "line", F.explode(kinds).alias("leg"))
-    return seen.withColumn("n", F.row_number().over(Window.partitionBy("unit", "leg").orderBy("line"))).filter(F.col("n") <= LEG_CAP).drop("n")
+    return few.select("artifact", "unit", "role", "line", F.explode(kinds).alias("leg"))
 
 
 def closest_pairs(seen: DataFrame) -> DataFrame:
     """Per unit with a credential and a network leg: the closest two, earliest on ties, whether it encodes, and the rule.
 
-    Sightings are read once; a unit has at most LEG_CAP of a leg, so LEG_CAP squared pairs.
+    No sighting of either leg is between the closest two, so at the lower one both are the last that were seen: one pass in order of lines,
+    and no pairs of all sightings.
     """
-    lines_of = lambda leg: F.array_distinct(F.collect_list(F.when(F.col("leg") == leg, F.col("line"))))
-    per = seen.groupBy("artifact", "unit").agg(lines_of("credential").alias("c"), lines_of("network").alias("n"), F.bool_or(F.col("leg") == "encode").alias("encodes"))
-    pairs = F.flatten(F.transform("c", lambda c: F.transform("n", lambda n: F.struct(F.abs(c - n).alias("d"), c.alias("c"), n.alias("n")))))
-    best = per.filter("size(c) > 0 and size(n) > 0").select("artifact", "unit", "encodes", F.array_min(pairs).alias("b"))
+    upto = Window.partitionBy("artifact", "unit").orderBy("line").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    last = lambda leg: F.max(F.when(F.col("leg") == leg, F.col("line"))).over(upto)
+    near = seen.select("artifact", "unit", "leg", last("credential").alias("c"), last("network").alias("n"))
+    pair = F.when(F.col("c").isNotNull() & F.col("n").isNotNull(), F.struct(F.abs(F.col("c") - F.col("n")).alias("d"), "c", "n"))
+    best = near.groupBy("artifact", "unit").agg(F.min(pair).alias("b"), F.bool_or(F.col("leg") == "encode").alias("encodes")).filter("b is not null")
     out = best.select("artifact", "unit", F.col("b.c").alias("credential_line"), F.col("b.n").alias("network_line"), "encodes")
     return out.withColumn("rule", F.when(F.col("encodes"), "EXFIL-003").otherwise("EXFIL-001"))
 
