@@ -243,6 +243,14 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.dedup(df.limit(0)).count() == 0
 
 
+def test_embedding_dedup_follows_chains(spark):
+    """Rings of vectors that each link with the next alone; before, of what a vector was joined to in a block only the least on either side was kept, and rings fell apart."""
+    rows = [(100 * label + k, label, [np.cos(k * np.pi / 18), np.sin(k * np.pi / 18), 0.0]) for label in range(12) for k in range(36)]
+    df = spark.createDataFrame([(i, label, list(map(float, v))) for i, label, v in rows], "vec_id long, label int, embedding array<double>")
+    for bits, block in ((None, 1024), (2, 5)):
+        assert rows_of(embedding_dedup.dedup(df, bits=bits, block=block)) == sorted(brute_embeddings(rows), key=str)
+
+
 def test_embedding_dedup_leaves_out_no_link(spark):
     """Pairs just at the limit, of which tables met by chance left some out; and components whose squares no double holds."""
     rng = np.random.default_rng(9)
