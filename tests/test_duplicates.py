@@ -36,3 +36,26 @@ def test_unlike_sets_of_one_rare_token_are_not_compared():
     rows = pd.DataFrame([(k, [7, *(rng.getrandbits(62) for _ in range(99))], [2] * 100) for k in range(2000)], columns=["key", "hashes", "df"])
     marked = pd.concat(hygiene._marked(0.6, 1)(iter([rows])))
     assert len(marked) == 2000 and len(hygiene._met(0.6, 1 << 18)(marked)) < 200
+
+
+def test_a_part_passes_by_size():
+    """Before, a part lay in its task whole, several times over; now what is too small for the rows at hand is gone, and no pair with it."""
+    rng = random.Random(5)
+    sets = [sorted(rng.sample(range(1, 400), rng.choice([2, 5, 9, 20, 60, 150]))) for _ in range(150)]
+    sets += [sorted(set(rng.sample(x, max(1, len(x) * 4 // 5)))) for x in sets]
+    marked = pd.concat(hygiene._marked(0.6, 3)(iter([pd.DataFrame([(k, [x * 1_000_003 << 20 for x in s], [2] * len(s)) for k, s in enumerate(sets)], columns=["key", "hashes", "df"])])))
+    whole = {tuple(map(int, x)) for _, g in marked.groupby("part") for x in hygiene._met(0.6)(g).to_numpy()}
+    marked = marked.sort_values(["part", "size"], kind="stable")
+    sizes, near = [], hygiene._near
+
+    def seen(rows, *more):
+        sizes.append(len(rows["n"]))
+        return near(rows, *more)
+
+    hygiene._near = seen
+    try:
+        passed = {tuple(map(int, x)) for b in hygiene._met_by_size(0.6, 40, 64)(marked[k : k + 20] for k in range(0, len(marked), 20)) for x in b.to_numpy()}
+    finally:
+        hygiene._near = near
+    assert passed == whole and len(sizes) > 9 and max(sizes) < len(marked) // 3
+    assert {(a, b) for a in range(300) for b in range(a + 1, 300) if len({*sets[a]} & {*sets[b]}) >= 0.6 * len({*sets[a]} | {*sets[b]})} <= passed

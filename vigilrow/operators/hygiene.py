@@ -45,51 +45,119 @@ def _tier(sizes: np.ndarray) -> np.ndarray:
     return np.maximum(np.ceil(np.log2(np.maximum(sizes, 1) * 2.4 / 64)), 0).astype(np.int64)
 
 
-def _met(least: float, most: int = 1 << 20) -> Callable:
+def _loaded(rows: pd.DataFrame) -> dict[str, np.ndarray]:
+    """Rows of _marked() as flat arrays; count is of tokens, words are those of a sketch."""
+    n = rows["size"].to_numpy(np.int64)
+    tokens, place, words = (np.frombuffer(b"".join(rows[c]), t) for c, t in (("hashes", np.uint64), ("places", np.int32), ("sketch", np.uint64)))
+    return {"key": rows.key.to_numpy(np.int64), "n": n, "count": rows.hashes.map(len).to_numpy(np.int64) // 8, "tokens": tokens, "place": place, "words": words}
+
+
+def _from(rows: dict[str, np.ndarray], k: int) -> dict[str, np.ndarray]:
+    """The rows from the k-th on."""
+    tokens, words = rows["count"][:k].sum(), (1 << _tier(rows["n"][:k])).sum()
+    at = {"tokens": tokens, "place": tokens, "words": words}
+    return {c: x[at.get(c, k) :].copy() for c, x in rows.items()}
+
+
+def _apart(n: np.ndarray, words: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """By how many tokens the sets left and right, which are no smaller, differ at least, as their sketches tell."""
+    tier = _tier(n)
+    at, apart = np.append(0, np.cumsum(1 << tier)), np.zeros(len(left), np.int64)
+    for t in np.unique(tier[left]):
+        for u in (t, t + 1):
+            both = np.flatnonzero((tier[left] == t) & (tier[right] == u))
+            step = max(1, (1 << 19) >> int(u))
+            for k in range(0, len(both), step):
+                some = both[k : k + step]
+                x, y = words[at[left[some]][:, None] + np.arange(1 << t)], words[at[right[some]][:, None] + np.arange(1 << u)]
+                y = y if u == t else y[:, : 1 << t] ^ y[:, 1 << t :]
+                apart[some] = np.bitwise_count(x ^ y).sum(axis=1)
+    return apart
+
+
+def _near(rows: dict[str, np.ndarray], fresh: int, least: float, most: int) -> Iterator[np.ndarray]:
+    """Pairs (a, b) of rows, which come by size, of which the second is the `fresh`-th or a later one, that share a token of both prefixes
+    and may reach the limit by its places and by the sketches. `most` pairs are looked at at once."""
+    key, n, share = rows["key"], rows["n"], least / (1 + least)
+    if not len(rows["tokens"]):
+        return
+    order = np.argsort(rows["tokens"], kind="stable")
+    tokens, doc = rows["tokens"][order], np.repeat(np.arange(len(n), dtype=np.int32), rows["count"])[order]
+    begin = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
+    group = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(tokens))))
+    del tokens
+    size = n[doc]
+    # as many tokens can be shared from this one on
+    room = size - rows["place"][order] + 1
+    # of the rows of a token those from `start` up to `end` are new, no smaller and no larger than this room allows
+    wide = int(n.max()) + 1
+    end = np.searchsorted(group * wide + size, group * wide + np.clip(np.floor((room + 1e-9) / share) - size, 0, wide - 1).astype(np.int64), "right")
+    start = np.maximum(np.arange(len(doc)) + 1, (begin + np.add.reduceat((doc < fresh).astype(np.int64), begin))[group])
+    count = np.maximum(end - start, 0)
+    del group, end
+    total = np.append(0, np.cumsum(count))
+    found, held, lo = [], 0, 0
+    while lo < len(doc):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + most, "right")) - 1)
+        left = np.repeat(np.arange(lo, hi), count[lo:hi])
+        right = np.arange(len(left)) + np.repeat(start[lo:hi] - total[lo:hi] + total[lo], count[lo:hi])
+        fit = np.minimum(room[left], room[right]) >= np.ceil((size[left] + size[right]) * share - 1e-9)
+        # one number a pair
+        pair = np.unique(doc[left[fit]].astype(np.int64) * len(n) + doc[right[fit]])
+        a, b = pair // len(n), pair % len(n)
+        both = n[a] + n[b]
+        found.append(pair[_apart(n, rows["words"], a, b) <= both - 2 * np.ceil(both * share - 1e-9)])
+        held, lo = held + len(found[-1]), hi
+        if held > most:
+            found = [np.unique(np.concatenate(found))]
+            held = len(found[0])
+        if held > most // 2 or lo == len(doc):
+            pair, found, held = np.unique(np.concatenate(found)), [], 0
+            for k in range(0, len(pair), 1 << 16):
+                some = pair[k : k + (1 << 16)]
+                yield np.sort(np.stack([key[some // len(n)], key[some % len(n)]], axis=1), axis=1)
+
+
+def _met(least: float, most: int = 1 << 18) -> Callable:
     """The pairs (a, b) of a part that share a token of both prefixes and may reach the limit by its places and by the sketches."""
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        n, key = rows["size"].to_numpy(np.int64), rows.key.to_numpy(np.int64)
-        tier, slot, sketches = _tier(n), np.zeros(len(rows), np.int64), {}
-        for t in np.unique(tier):
-            at = np.flatnonzero(tier == t)
-            slot[at] = np.arange(len(at))
-            sketches[t] = np.frombuffer(b"".join(rows.sketch.iloc[at]), np.uint64).reshape(len(at), -1)
-        tokens = np.frombuffer(b"".join(rows.hashes), np.uint64)
-        place = np.frombuffer(b"".join(rows.places), np.int32).astype(np.int64)
-        doc = np.repeat(np.arange(len(rows)), rows.hashes.map(len).to_numpy() // 8)
-        order = np.lexsort((n[doc], tokens))
-        tokens, place, doc = tokens[order], place[order], doc[order]
-        size, group = n[doc], np.cumsum(np.append(True, tokens[1:] != tokens[:-1])) - 1 if len(tokens) else tokens
-        # of the rows of a token those from here to `end` are no larger than the limit allows
-        wide = int(n.max()) + 1
-        end = np.searchsorted(group * wide + size, group * wide + np.minimum(np.floor(size / least + 1e-9).astype(np.int64), wide - 1), "right")
-        count = end - np.arange(len(doc)) - 1
-        out, total = [np.empty((0, 2), np.int64)], np.append(0, np.cumsum(count))
-        lo = 0
-        while lo < len(doc):
-            hi = max(lo + 1, int(np.searchsorted(total, total[lo] + most, "right")) - 1)
-            left = np.repeat(np.arange(lo, hi), count[lo:hi])
-            right = left + 1 + np.arange(len(left)) - np.repeat(total[lo:hi] - total[lo], count[lo:hi])
-            both = size[left] + size[right]
-            need = np.ceil(both * least / (1 + least) - 1e-9)
-            fit = 1 + np.minimum(size[left] - place[left], size[right] - place[right]) >= need
-            pair = np.unique(np.stack([doc[left[fit]], doc[right[fit]]], axis=1), axis=0)
-            apart = np.zeros(len(pair), np.int64)
-            for t in np.unique(tier[pair[:, 0]]):
-                for u in (t, t + 1):
-                    at = np.flatnonzero((tier[pair[:, 0]] == t) & (tier[pair[:, 1]] == u))
-                    for k in range(0, len(at), 1 << 16):
-                        some = at[k : k + (1 << 16)]
-                        x, y = sketches[t][slot[pair[some, 0]]], sketches[u][slot[pair[some, 1]]] if u in sketches else None
-                        if y is not None:
-                            y = y if u == t else y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
-                            apart[some] = np.bitwise_count(x ^ y).sum(axis=1)
-            both = n[pair].sum(axis=1)
-            keep = apart <= both - 2 * np.ceil(both * least / (1 + least) - 1e-9)
-            out.append(np.sort(key[pair[keep]], axis=1))
-            lo = hi
-        return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"])
+        out = _near(_loaded(rows.sort_values("size", kind="stable")), 0, least, most)
+        return pd.DataFrame(np.unique(np.concatenate([np.empty((0, 2), np.int64), *out]), axis=0), columns=["a", "b"])
+
+    return compare
+
+
+def _met_by_size(least: float, tokens: int, most: int = 1 << 18) -> Callable:
+    """_met() of rows sorted by part and size, of which `tokens` new ones are held at once and what of the ones before is not too small for them."""
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, held, new = None, None, []
+
+        def flush() -> Iterator[pd.DataFrame]:
+            nonlocal held
+            every = [held, *new] if held else new
+            fresh = len(held["n"]) if held else 0
+            rows = {c: np.concatenate([x[c] for x in every]) for c in every[0]}
+            new.clear()
+            held = None
+            for pairs in _near(rows, fresh, least, most):
+                yield pd.DataFrame(pairs, columns=["a", "b"])
+            held = _from(rows, int(np.searchsorted(rows["n"], np.ceil(rows["n"][-1] * least - 1e-9))))
+
+        for b in batches:
+            of = b.part.to_numpy()
+            starts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+            for lo, hi in zip(starts, np.append(starts[1:], len(of))):
+                if of[lo] != part:
+                    if new:
+                        yield from flush()
+                    part, held = of[lo], None
+                new.append(_loaded(b.iloc[lo:hi]))
+                if sum(len(x["tokens"]) for x in new) >= tokens:
+                    yield from flush()
+        if new:
+            yield from flush()
 
     return compare
 
@@ -100,7 +168,8 @@ def duplicate_pairs(items: DataFrame, least: float = 0.6, rows_a_part: int = 1 <
     Equal sets are one class, whose members are joined at the end. Classes meet by the rarest tokens of each: the prefix, of which a pair at
     the limit shares one. Of the tokens that two sets share, behind the places of the first one must be enough to reach the limit. The parity
     of tokens by hashed bits then bounds from below how much two sets differ; both bounds are safe, and only what they leave is compared.
-    A part of the tokens is one task, in which no pair is written before the bounds; the number of parts grows with the classes.
+    A part of the tokens is one task, in which no pair is written before the bounds. The parts grow in number with the tokens of all prefixes, so that
+    a part has about 64 times `rows_a_part` of them, and pass through their task by size: a set meets those before it that are not too small for it.
     """
     sets = items.select("item", tokens("description").alias("t")).filter("size(t) > 0").withColumn("size", F.size("t"))
     sets = cut(sets.withColumn("key", F.xxhash64(F.sha2(F.array_join(F.array_sort("t"), ",").cast("binary"), 256))))
@@ -109,9 +178,11 @@ def duplicate_pairs(items: DataFrame, least: float = 0.6, rows_a_part: int = 1 <
     df = each.groupBy("token").agg(F.count("*").alias("df"))
     ranked = each.join(df, "token").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("r"))
     ranked = ranked.select("key", F.transform("r", lambda x: F.xxhash64(x["token"])).alias("hashes"), F.transform("r", lambda x: x["df"]).alias("df"))
-    parts = max(16, -(-classes.count() // rows_a_part))
+    prefixes = classes.agg(F.sum(F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1)).first()[0] or 0
+    parts = max(16, -(-int(prefixes) // (64 * rows_a_part)))
     marked = ranked.mapInPandas(_marked(least, parts), "part long, key long, size int, sketch binary, hashes binary, places binary")
-    met = marked.groupBy("part").applyInPandas(_met(least), "a long, b long").distinct()
+    dealt = marked.repartition(4 * parts, "part").sortWithinPartitions("part", "size")
+    met = dealt.mapInPandas(_met_by_size(least, 16 * rows_a_part), "a long, b long").distinct()
     ta, tb = (classes.select(F.col("key").alias(k), F.col("t").alias(f"t{k}")) for k in ("a", "b"))
     both = met.join(ta, "a").join(tb, "b").withColumn("shared", F.size(F.array_intersect("ta", "tb"))).withColumn("all", F.size("ta") + F.size("tb") - F.col("shared"))
     near = both.filter(F.col("shared") >= F.col("all") * least).select("a", "b", "shared", "all")
