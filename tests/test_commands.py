@@ -59,6 +59,18 @@ def test_units_shown_once_a_file(spark):
     assert "Join" in shown.getvalue() and not above
 
 
+def test_units_come_file_by_file(spark):
+    """Rows of one text are neighbours, as a columnar file then holds the text once; before, texts alternated with every row."""
+    files = spark.createDataFrame([(1, f"{HOME}/b.py", f"text {k}") for k in range(20)] + [(1, f"{HOME}/c.py", None)], "root int, path string, text string")
+    items = [(1, k, f"{HOME}/b.py", "followed") for k in range(60) for _ in range(1 + k % 2)] + [(1, 7, f"{HOME}/c.py", "followed"), (2, 8, f"{HOME}/b.py", "followed"), (1, 9, f"{HOME}/b.py", "outside")]
+    followed = spark.createDataFrame(items, "root int, item int, path string, state string")
+    hooks = spark.createDataFrame([], "root int, item int, type string, command string")
+    rows = commands.entry_units(hooks, followed, files).collect()
+    assert sorted((r.item, r.text) for r in rows if r.text) == sorted((k, f"text {n}") for k in range(60) for n in range(20))
+    assert [(r.root, r.item, r.file, r.role) for r in rows if r.text is None] == [(1, 7, f"{HOME}/c.py", "script")]
+    assert sum(a.text != b.text for a, b in zip(rows, rows[1:])) < 40
+
+
 def test_findings(spark):
     def found(command=None, url=None, kind="command", event="PreToolUse"):
         items, followed, _ = led(spark, command, event=event)
