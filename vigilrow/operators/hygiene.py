@@ -7,10 +7,12 @@ from math import ceil
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilrow.functions.scalar import estimate_tokens, tokens
+from vigilrow.operators.rules import once
 from vigilrow.sources.shared import cut
 
 
@@ -19,6 +21,41 @@ def context_bloat(items: DataFrame, most: int = 200) -> DataFrame:
     return items.select("item", estimate_tokens("description").alias("tokens")).filter(F.col("tokens") > most).withColumn("reclaim", F.col("tokens") - most)
 
 
+def _levels(hashed: DataFrame, cells: int = 1 << 22) -> Broadcast[np.ndarray]:
+    """How often tokens occur in hashed (hashes), as eight times the logarithm, by the last bits of their hash: a table of the same size for any input.
+
+    0 is once. Tokens on one cell count together: their order is less apt for it, and still one order for all sets.
+    """
+    each = hashed.select(F.explode("hashes").alias("hash")).groupBy(F.col("hash").bitwiseAND(F.lit(cells - 1)).alias("cell"))
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            level = np.minimum(np.rint(8 * np.log2(b.n.to_numpy(np.float64))), 255).astype(np.uint8)
+            yield pd.DataFrame({"cells": [b.cell.to_numpy(np.int32).tobytes()], "levels": [level.tobytes()]})
+
+    levels = np.zeros(cells, np.uint8)
+    for r in each.agg(F.count("*").alias("n")).mapInPandas(pack, "cells binary, levels binary").collect():
+        levels[np.frombuffer(r.cells, np.int32)] = np.frombuffer(r.levels, np.uint8)
+    return hashed.sparkSession.sparkContext.broadcast(levels)
+
+
+def _by_rarity(levels: Broadcast[np.ndarray]) -> Callable:
+    """Rows (key, hashes) as rows (key, hashes, df), hashes by rarity, df 1 for what occurs once."""
+
+    def order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k in range(0, len(batch), 1000):
+                out = []
+                for key, hashes in zip(batch.key[k : k + 1000], batch.hashes[k : k + 1000]):
+                    h = np.asarray(hashes, np.int64)
+                    level = levels.value[h & (len(levels.value) - 1)]
+                    by = np.lexsort((h, level))
+                    out.append((key, h[by], level[by].astype(np.int64) + 1))
+                yield pd.DataFrame(out, columns=["key", "hashes", "df"])
+
+    return order
+
+
 def _marked(least: float, parts: int) -> Callable:
     """Rows (key, size, hashes, df), hashes by rarity, as rows (part, key, size, sketch, hashes, places): what of a prefix falls into a part."""
 
@@ -166,25 +203,27 @@ def duplicate_pairs(items: DataFrame, least: float = 0.6, rows_a_part: int = 1 <
     """Pairs a < b of items (item, description) whose token sets have at least this Jaccard similarity.
 
     Equal sets are one class, whose members are joined at the end. Classes meet by the rarest tokens of each: the prefix, of which a pair at
-    the limit shares one. Of the tokens that two sets share, behind the places of the first one must be enough to reach the limit. The parity
-    of tokens by hashed bits then bounds from below how much two sets differ; both bounds are safe, and only what they leave is compared.
+    the limit shares one; any one order of tokens is right, and a table of bounded size tells which are rare. Of the tokens that two sets
+    share, behind the places of the first one must be enough to reach the limit. The parity of tokens by hashed bits then bounds from below
+    how much two sets differ; both bounds are safe, and only what they leave is compared.
     A part of the tokens is one task, in which no pair is written before the bounds. The parts grow in number with the tokens of all prefixes, so that
     a part has about 64 times `rows_a_part` of them, and pass through their task by size: a set meets those before it that are not too small for it.
     """
-    sets = items.select("item", tokens("description").alias("t")).filter("size(t) > 0").withColumn("size", F.size("t"))
-    sets = cut(sets.withColumn("key", F.xxhash64(F.sha2(F.array_join(F.array_sort("t"), ",").cast("binary"), 256))))
+    sets = once(items.select("item", "description"), t=tokens("description")).filter("size(t) > 0")
+    # tokens have no comma; one string takes half of what an array of strings does
+    sets = sets.select("item", F.size("t").alias("size"), F.array_join("t", ",").alias("t"))
+    sets = cut(sets.withColumn("key", F.xxhash64(F.sha2(F.col("t").cast("binary"), 256))))
     classes = cut(sets.dropDuplicates(["key"]).select("key", "size", "t"))
-    each = classes.select("key", F.explode("t").alias("token"))
-    df = each.groupBy("token").agg(F.count("*").alias("df"))
-    ranked = each.join(df, "token").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("r"))
-    ranked = ranked.select("key", F.transform("r", lambda x: F.xxhash64(x["token"])).alias("hashes"), F.transform("r", lambda x: x["df"]).alias("df"))
+    hashed = classes.select("key", F.transform(F.split("t", ","), lambda w: F.xxhash64(w)).alias("hashes"))
+    levels, mark = _levels(hashed), "part long, key long, size int, sketch binary, hashes binary, places binary"
     prefixes = classes.agg(F.sum(F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1)).first()[0] or 0
     parts = max(16, -(-int(prefixes) // (64 * rows_a_part)))
-    marked = ranked.mapInPandas(_marked(least, parts), "part long, key long, size int, sketch binary, hashes binary, places binary")
+    marked = hashed.mapInPandas(lambda batches: _marked(least, parts)(_by_rarity(levels)(batches)), mark)
     dealt = marked.repartition(4 * parts, "part").sortWithinPartitions("part", "size")
     met = dealt.mapInPandas(_met_by_size(least, 16 * rows_a_part), "a long, b long").distinct()
-    ta, tb = (classes.select(F.col("key").alias(k), F.col("t").alias(f"t{k}")) for k in ("a", "b"))
-    both = met.join(ta, "a").join(tb, "b").withColumn("shared", F.size(F.array_intersect("ta", "tb"))).withColumn("all", F.size("ta") + F.size("tb") - F.col("shared"))
+    ta, tb = (classes.select(F.col("key").alias(k), F.col("t").alias(f"t{k}"), F.col("size").alias(f"n{k}")) for k in ("a", "b"))
+    both = met.join(ta, "a").join(tb, "b").withColumn("shared", F.size(F.array_intersect(F.split("ta", ","), F.split("tb", ","))))
+    both = both.select("a", "b", "shared", (F.col("na") + F.col("nb") - F.col("shared")).alias("all"))
     near = both.filter(F.col("shared") >= F.col("all") * least).select("a", "b", "shared", "all")
     near = near.union(classes.select("key", F.col("key").alias("b"), "size", F.col("size").alias("all")))
     ia, ib = (sets.select(F.col("key").alias(k), F.col("item").alias(f"i{k}")) for k in ("a", "b"))
