@@ -71,7 +71,8 @@ def _marked(least: float, parts: int) -> Callable:
                 part = ((h[at] >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
                 for p in np.unique(part):
                     own = at[part == p]
-                    out.append((p, key, n, sketch, h[own].tobytes(), (own + 1).astype(np.int32).tobytes()))
+                    # 32 bits do: two tokens on one number are one more pair to rule out
+                    out.append((p, key, n, sketch, h[own].astype(np.uint32).tobytes(), (own + 1).astype(np.int32).tobytes()))
             yield pd.DataFrame(out, columns=["part", "key", "size", "sketch", "hashes", "places"])
 
     return mark
@@ -85,8 +86,8 @@ def _tier(sizes: np.ndarray) -> np.ndarray:
 def _loaded(rows: pd.DataFrame) -> dict[str, np.ndarray]:
     """Rows of _marked() as flat arrays; count is of tokens, words are those of a sketch."""
     n = rows["size"].to_numpy(np.int64)
-    tokens, place, words = (np.frombuffer(b"".join(rows[c]), t) for c, t in (("hashes", np.uint64), ("places", np.int32), ("sketch", np.uint64)))
-    return {"key": rows.key.to_numpy(np.int64), "n": n, "count": rows.hashes.map(len).to_numpy(np.int64) // 8, "tokens": tokens, "place": place, "words": words}
+    tokens, place, words = (np.frombuffer(b"".join(rows[c]), t) for c, t in (("hashes", np.uint32), ("places", np.int32), ("sketch", np.uint64)))
+    return {"key": rows.key.to_numpy(np.int64), "n": n, "count": rows.hashes.map(len).to_numpy(np.int64) // 4, "tokens": tokens, "place": place, "words": words}
 
 
 def _from(rows: dict[str, np.ndarray], k: int) -> dict[str, np.ndarray]:
@@ -217,7 +218,7 @@ def duplicate_pairs(items: DataFrame, least: float = 0.6, rows_a_part: int = 1 <
     hashed = classes.select("key", F.transform(F.split("t", ","), lambda w: F.xxhash64(w)).alias("hashes"))
     levels, mark = _levels(hashed), "part long, key long, size int, sketch binary, hashes binary, places binary"
     prefixes = classes.agg(F.sum(F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1)).first()[0] or 0
-    parts = max(16, -(-int(prefixes) // (64 * rows_a_part)))
+    parts = max(8, -(-int(prefixes) // (64 * rows_a_part)))
     marked = hashed.mapInPandas(lambda batches: _marked(least, parts)(_by_rarity(levels)(batches)), mark)
     dealt = marked.repartition(4 * parts, "part").sortWithinPartitions("part", "size")
     met = dealt.mapInPandas(_met_by_size(least, 16 * rows_a_part), "a long, b long").distinct()
